@@ -65,10 +65,12 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """One run of several: keys are unique in a run, so two runs merge by a full outer sort-merge join of their buckets."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            other = self.spark.table(name).select(*HASH, F.col("n").alias("n2"), F.col("top").alias("top2")).hint("merge")
+            rows = rows.join(other, HASH, "full_outer").select(*HASH, (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("top", "top2").alias("top"))
+        return rows
 
     def add(self, batch: DataFrame) -> None:
         """Anti-joins the batch with the runs, adds its run and compacts full levels."""
