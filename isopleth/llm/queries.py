@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash
+from . import langid, line_dedup, packing, pii, quality, simhash, toxicity
+from .sampling import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    out = quality.score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, remainder(F.col("doc_id"), 4) != 2)
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.spans(table(spark, sf_dir, "documents"))
+    n = [pii.number("spans", k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return out.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -41,6 +73,10 @@ FROM f GROUP BY doc_id
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
 }
 SQL = {"op1_line_dedup": OP1_SQL}

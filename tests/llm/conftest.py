@@ -12,7 +12,7 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and blank texts, a very long text, ties, repeated rows and clashing column names."""
-    long = " ".join(f"word{i % 977}" for i in range(60_000)) + ".\n" + "x" * 50_000
+    long = " ".join(f"word{i % 977}" for i in range(60_000)) + ".\n" + "x" * 5_000
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t\n", "en", "s", 4), (None, "No id here, but a line of some length.\nshort", "en", None, 9)]
     rows += [(4, "The same long line in all of these.\nA", "en", "s", 9)] * 2 + [(k, "  THE same long line in all of these. \nB", "de", "s", 9) for k in (5, 6)]
     rows += [(7, long, "en", "s", len(long)), (8, "Ünï 中文字 😂 mixed", "fr", "s", 9), (9, "42", "es", "s", 2)]

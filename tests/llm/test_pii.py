@@ -1,0 +1,73 @@
+import re
+
+from isopleth.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".") if kind == "ip"), "card": 12 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def got(frame):
+    return [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.spans(frame).collect()]
+
+
+def same(frame):
+    want = sorted(((r.doc_id, brute(r.text)) for r in frame.select("doc_id", "text").collect()), key=str)
+    assert sorted(((d, [s for s in x if s[0] in PLAIN]) for d, x in got(frame)), key=str) == want
+
+
+def test_documents(docs):
+    same(docs)
+
+
+def test_odd_rows(odd):
+    same(odd)
+
+
+def hard(n):
+    return [
+        "a@b.c_x@y.z 1.2.3.4.5.6.7.8 999.1.1.1 00255.1.1.1 4111 1111 1111 1111 é +1 (555) 010-9999 4111-1111-1111-1112",
+        "x@y x@y. @a.b a@b.c@d.e 😂 q@w.e +12 345678901234567 +1  -- 23 1..2.3.4 ++1 234 567 890",
+        "a" * n, "1" * n, "a.b-" * n + "@" + "c." * n, "+1" + " " * n, "1 " * n, "x@" + "y." * n + "z",
+        "DE89 3704 0044 0532 0130 00 bank; GB82WEST12345698765432 DE89 3704 0044 0532 0130 01",
+    ]
+
+
+def test_hard_texts(spark):
+    frame = spark.createDataFrame(list(enumerate(hard(1000))), "doc_id long, text string")
+    same(frame)
+    last = dict(got(frame))[8]
+    assert [s for s in last if s[0] == "iban"] == [("iban", 0, 27), ("iban", 34, 56)]
+
+
+def test_long_runs_take_linear_time(spark):
+    frame = spark.createDataFrame(list(enumerate(hard(200_000))), "doc_id long, text string")
+    assert len(got(frame)) == 9
+
+
+def test_context_raises_the_score(spark):
+    frame = spark.createDataFrame([(1, "call +1 555 010 9999"), (2, "then +1 555 010 9999")], "doc_id long, text string")
+    score = {r.doc_id: r.spans[0].score for r in pii.spans(frame).collect()}
+    assert score[1] > score[2]
+
+
+def test_empty(empty):
+    assert pii.spans(empty).count() == 0
