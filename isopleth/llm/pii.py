@@ -37,6 +37,8 @@ WORDS = {
 }
 #: Code points before and after a span that are its context; least score of a span that the method adds to the base kinds.
 NEARBY, ADDED_LEAST = 40, 0.5
+#: Matches whose places are summed up at a time.
+CHUNK = 256
 #: The digits of a doubled digit, by digit.
 DOUBLED = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
@@ -78,24 +80,39 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _places(text: Column, kind: str, matches: Column) -> Column:
-    """Array of (start, end, value) of a kind's proposed matches, in code points."""
+def _pairs(text: Column, kind: str, matches: Column) -> Column:
+    """Array of (b, m): the length of the text before each match, from the last one on, and the match."""
     between = F.split(text, PATTERNS[kind], -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
+    return F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
+
+
+def _chunk(kind: str, pairs: Column) -> Column:
+    """(at, out) of one chunk: its length in code points, and its confirmed matches with places counted from its start."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         s = acc["at"] + p["b"]
         e = s + F.length(p["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value"))))
+        return F.struct(e.alias("at"), F.when(confirmed(kind, p["m"]), more).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, step)
+
+
+def _chunks(kind: str) -> Column:
+    pairs = F.col(f"_{kind}")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda j: _chunk(kind, F.slice(pairs, j * CHUNK + 1, F.lit(CHUNK))))
+
 
-    return F.aggregate(pairs, start, step)["out"]
+def _moved(chunks: Column) -> Column:
+    """The spans of all chunks, with places counted from the text's start."""
+    starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.transform(c["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
 
 
-def _confirmed_spans(kind: str) -> Column:
-    """The confirmed spans of a kind's column, made to sort by start, then kind."""
-    kept = F.filter(F.col(f"_{kind}"), lambda s: confirmed(kind, s["value"]))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
+def _ranked(kind: str) -> Column:
+    """The spans of a kind's column, made to sort by start, then kind."""
+    return F.transform(F.col(f"_{kind}"), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +128,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     digit = F.col("text").rlike("[0-9]")
     wanted = {k: F.col("text").contains(NEEDS[k]) if k in NEEDS else digit for k in KINDS}
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    # a step of their own, so that the patterns run once: the next step uses each column more than once
+    # Steps of their own, so that the patterns run once: the next step uses each column more than once. Sums run over
+    # chunks of matches, then over chunks, so that very many matches in one text don't take quadratic time.
     found = base.select("doc_id", "text", *[F.when(wanted[k], F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).alias(f"_{k}") for k in KINDS])
-    placed = found.select("doc_id", "text", *[F.when(F.size(f"_{k}") > 0, _places(F.col("text"), k, F.col(f"_{k}"))).otherwise(empty).alias(f"_{k}") for k in KINDS])
-    every = reduce(F.concat, [_confirmed_spans(k) for k in KINDS])
+    paired = found.select("doc_id", "text", *[F.when(F.size(f"_{k}") > 0, _pairs(F.col("text"), k, F.col(f"_{k}"))).alias(f"_{k}") for k in KINDS])
+    chunked = paired.select("doc_id", "text", *[F.when(F.size(f"_{k}") > 0, _chunks(k)).alias(f"_{k}") for k in KINDS])
+    placed = chunked.select("doc_id", "text", *[F.when(F.size(f"_{k}") > 0, _moved(F.col(f"_{k}"))).otherwise(empty).alias(f"_{k}") for k in KINDS])
+    every = reduce(F.concat, [_ranked(k) for k in KINDS])
     some = placed.select("doc_id", "text", F.array_sort(every).alias("_all"))
 
     def scored(s: Column) -> Column:
