@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, packing, pii, quality, simhash, toxicity
+from . import decontam, langid, line_dedup, media, packing, pii, quality, sharding, simhash, toxicity
 from .sampling import remainder
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels, remainder(F.col("doc_id"), 3) != 1)
@@ -30,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,6 +66,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents")))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -70,13 +82,27 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_
 FROM f GROUP BY doc_id
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT d.*, g.depth, d.h >> (60 - g.depth) AS prefix FROM d, (SELECT unnest(range(0, 61))::INT AS depth) g),
+s AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY depth, prefix),
+f AS (SELECT p.doc_id, p.n_bytes, p.depth, p.prefix, s.shard_bytes, s.shard_rows,
+             row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS k
+      FROM p JOIN s USING (depth, prefix) WHERE s.shard_bytes <= 16777216 OR p.depth = 60)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard_id,
+       depth AS shard_depth, shard_bytes::BIGINT AS shard_bytes, shard_rows::BIGINT AS shard_rows FROM f WHERE k = 1
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_decontam": op3_decontam,
     "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
+    "op10_media": op10_media,
 }
-SQL = {"op1_line_dedup": OP1_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op5_sharding": OP5_SQL}
