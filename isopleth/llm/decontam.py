@@ -25,7 +25,9 @@ from .scratch import Scratch
 #: Hashed features; singular vectors kept and spare ones of the sketch; words of a passage and of a step.
 FEATURES, RANK, SPARE, PASSAGE, STEP = 1 << 14, 48, 8, 64, 8
 #: Least cosine of a candidate; least share of an item's words, and of its answer's, in the common subsequence; the answer's share of an item.
-COSINE, LCS_SHARE, ANSWER_SHARE, ANSWER = 0.45, 0.6, 0.5, 0.25
+COSINE, LCS_SHARE, ANSWER_SHARE, ANSWER = 0.6, 0.6, 0.5, 0.25
+#: Features in more than this share of the passages (and in so many of them) say nothing about a passage and have no weight.
+STOP_SHARE, STOP_LEAST = 0.02, 30
 #: Tokens that a task handles at a time.
 CHUNK = 1 << 16
 
@@ -121,7 +123,8 @@ def idf(words: DataFrame) -> np.ndarray:
     at, n = found["feature"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(FEATURES)
     df[at[at >= 0]] = n[at >= 0]
-    return np.log((1 + n[at == -1].sum()) / (1 + df)).astype(np.float32)
+    total = n[at == -1].sum()
+    return np.where(df > max(STOP_SHARE * total, STOP_LEAST), 0, np.log((1 + total) / (1 + df))).astype(np.float32)
 
 
 def singular_vectors(words: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
@@ -195,9 +198,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, vectors, item_words, names, by = shared.value
+        blind = ~vectors.any(axis=1)
+        holds = np.zeros((len(names), FEATURES), bool)
+        for k, c in enumerate(item_words):
+            holds[k, np.array(c) % FEATURES] = True
+        least = np.array([LCS_SHARE * len(c) for c in item_words])
         for ids, t, counts in _batches(it):
+            f = (t % FEATURES).astype(np.int64)
             starts, many = _pieces(counts, STEP)
-            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.add.reduceat(latent[t % FEATURES], starts, axis=0), axis=0, dtype=float)])
+            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.add.reduceat(latent[f], starts, axis=0), axis=0, dtype=float)])
             owner, first = np.repeat(np.arange(len(ids)), many), np.cumsum(many) - many
             stop = first + many  # of each document's steps
             begin = np.cumsum(counts) - counts
@@ -208,13 +217,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 whole = (to - at == steps) | (at == first[owner])  # windows that the document's end cuts are in the one before, but for the first
                 at, to = at[whole], to[whole]
                 cosine = _unit((sums[to] - sums[at]).astype(np.float32)) @ vectors[members].T
-                for row, column in zip(*np.nonzero(cosine >= COSINE)):
-                    doc, k = int(owner[at[row]]), members[column]
-                    a = max(starts[at[row]] - STEP, begin[doc])
-                    b = min(starts[at[row]] + (steps + 1) * STEP, begin[doc] + counts[doc])
-                    share, ok = matches(item_words[k], t[a:b].tolist())
-                    if ok and (doc, k) not in best or ok and best[doc, k][1] < share:
-                        best[doc, k] = (float(cosine[row, column]), share, int(a - begin[doc]))
+                cosine[:, blind[members]] = 1  # every window is a candidate for what the latent space can't see
+                left = np.maximum(starts[at] - STEP, begin[owner[at]])
+                right = np.minimum(starts[at] + (steps + 1) * STEP, (begin + counts)[owner[at]])
+                rows, columns = np.nonzero(cosine >= COSINE)
+                for cut in range(0, len(rows), CHUNK):  # a subsequence isn't longer than the number of words in common
+                    row, column = rows[cut : cut + CHUNK], columns[cut : cut + CHUNK]
+                    place = left[row][:, None] + np.arange((steps + 2) * STEP)
+                    inside = place < right[row][:, None]
+                    common = holds[np.array(members)[column][:, None], f[np.minimum(place, len(t) - 1)]] & inside
+                    for r, c in zip(*(x[common.sum(axis=1) >= least[np.array(members)[column]]].tolist() for x in (row, column))):
+                        doc, k = int(owner[at[r]]), members[c]
+                        share, ok = matches(item_words[k], t[left[r] : right[r]].tolist())
+                        if ok and ((doc, k) not in best or best[doc, k][1] < share):
+                            best[doc, k] = (float(cosine[r, c]), share, int(left[r] - begin[doc]))
             rows = [(ids[d], names[k], *x) for (d, k), x in sorted(best.items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "cosine", "lcs_share", "at_word"])

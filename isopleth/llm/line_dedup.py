@@ -101,8 +101,8 @@ class LineRuns:
         return self._merged(self.runs())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drops repeated lines. A row per input row: (doc_id, n_lines, n_dropped, kept_text).
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Drops repeated lines. A row per input row: (doc_id, n_lines, n_dropped, kept_text), with ``carry`` a struct ``carried`` of the row's other columns too.
 
     A key (see ``line_key``) of at least ``min_chars`` code points that at
     least ``min_docs`` documents hold stays only in the document with the
@@ -116,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("carried")] if carry else []))
+    more = ["carried"] if carry else []
     base = base.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("rid"))
     cuts = sorted(set(base.agg(F.percentile_approx("id", [k / n_batches for k in range(1, n_batches)], 1000)).first()[0] or []))
     batch = F.lit(0)
@@ -130,8 +131,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
         runs.add(keys.where(F.col("batch") == k))
     common = runs.keys().where(F.col("n") >= min_docs)
     dropped = keys.join(common, HASH).where(F.col("id") != F.col("top")).groupBy("id", "rid").agg(F.collect_set("pos").alias("lost"))
-    split = base.join(dropped, ["id", "rid"], "left").select("doc_id", "text", "lost", F.split("text", "\n", -1).alias("lines"))
+    split = base.join(dropped, ["id", "rid"], "left").select(*more, "doc_id", "text", "lost", F.split("text", "\n", -1).alias("lines"))
     # "lines" is used more than once in the next step, so the optimizer doesn't fold the split into the function over the kept positions
-    kept = split.select("doc_id", "text", "lines", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("lost").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")).alias("kept"))
-    kept = kept.select("doc_id", "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), "text", "lines", "kept")
-    return kept.select("doc_id", "n_lines", "n_dropped", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")).alias("kept_text"))
+    kept = split.select(*more, "doc_id", "text", "lines", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("lost").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")).alias("kept"))
+    kept = kept.select(*more, "doc_id", "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), "text", "lines", "kept")
+    return kept.select(*more, "doc_id", "n_lines", "n_dropped", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")).alias("kept_text"))
