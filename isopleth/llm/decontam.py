@@ -29,7 +29,7 @@ COSINE, LCS_SHARE, ANSWER_SHARE, ANSWER = 0.6, 0.6, 0.5, 0.25
 #: Features in more than this share of the passages (and in so many of them) say nothing about a passage and have no weight.
 STOP_SHARE, STOP_LEAST = 0.02, 30
 #: Tokens that a task handles at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 
 
 class _Codes(dict):
@@ -145,10 +145,15 @@ def singular_vectors(words: DataFrame, weights: np.ndarray, rank: int = RANK, se
             starts, _ = _pieces(counts, PASSAGE)
             sizes = np.diff(np.append(starts, len(t)))
             f = (t % FEATURES).astype(np.int64)
-            y = np.add.reduceat(s[f], starts, axis=0)
-            y = np.ascontiguousarray((y / sizes[:, None]).T)  # rows of unit total frequency
+            heavy = w[f] > 0  # the others add nothing
+            f, passage = f[heavy], np.repeat(np.arange(len(starts)), sizes)[heavy]
+            if not len(f):
+                continue
+            first = np.flatnonzero(np.diff(passage, prepend=-1))
+            y = np.add.reduceat(s[f], first, axis=0) / np.square(sizes[passage[first]])[:, None]  # rows of unit total frequency
+            row, y = np.cumsum(np.diff(passage, prepend=passage[0]) != 0), np.ascontiguousarray(y.T)
             for j in range(width):
-                total[j] += np.bincount(f, np.repeat(y[j] / sizes, sizes), minlength=FEATURES)
+                total[j] += np.bincount(f, y[j][row], minlength=FEATURES)
         total *= w
         used = np.flatnonzero(total.any(axis=0))
         if len(used):
@@ -206,26 +211,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for ids, t, counts in _batches(it):
             f = (t % FEATURES).astype(np.int64)
             starts, many = _pieces(counts, STEP)
-            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.add.reduceat(latent[f], starts, axis=0), axis=0, dtype=float)])
+            sums = np.add.reduceat(latent[f], starts, axis=0)
             owner, first = np.repeat(np.arange(len(ids)), many), np.cumsum(many) - many
-            stop = first + many  # of each document's steps
+            stop = (first + many)[owner]  # where the document of each step ends
+            place, window = np.arange(len(starts)), np.zeros_like(sums)
             begin = np.cumsum(counts) - counts
             best: dict[tuple[int, int], tuple] = {}
-            for steps, members in by.items():
-                at = np.arange(len(starts))
-                to = np.minimum(at + steps, stop[owner])
-                whole = (to - at == steps) | (at == first[owner])  # windows that the document's end cuts are in the one before, but for the first
-                at, to = at[whole], to[whole]
-                cosine = _unit((sums[to] - sums[at]).astype(np.float32)) @ vectors[members].T
+            for steps in range(1, max(by, default=0) + 1):
+                more = len(starts) - steps + 1  # windows grow by a step, but not over their document's end
+                if more > 0:
+                    window[:more] += np.where((place[:more] + steps <= stop[:more])[:, None], sums[steps - 1 :], 0)
+                if steps not in by:
+                    continue
+                members, at = by[steps], np.flatnonzero((place + steps <= stop) | (place == first[owner]))  # windows that the end cuts are in the one before, but for the first
+                part = window if len(at) == len(window) else window[at]
+                cosine = part @ vectors[members].T
+                cosine /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-20)[:, None]
                 cosine[:, blind[members]] = 1  # every window is a candidate for what the latent space can't see
                 left = np.maximum(starts[at] - STEP, begin[owner[at]])
                 right = np.minimum(starts[at] + (steps + 1) * STEP, (begin + counts)[owner[at]])
                 rows, columns = np.nonzero(cosine >= COSINE)
                 for cut in range(0, len(rows), CHUNK):  # a subsequence isn't longer than the number of words in common
                     row, column = rows[cut : cut + CHUNK], columns[cut : cut + CHUNK]
-                    place = left[row][:, None] + np.arange((steps + 2) * STEP)
-                    inside = place < right[row][:, None]
-                    common = holds[np.array(members)[column][:, None], f[np.minimum(place, len(t) - 1)]] & inside
+                    spot = left[row][:, None] + np.arange((steps + 2) * STEP)
+                    inside = spot < right[row][:, None]
+                    common = holds[np.array(members)[column][:, None], f[np.minimum(spot, len(t) - 1)]] & inside
                     for r, c in zip(*(x[common.sum(axis=1) >= least[np.array(members)[column]]].tolist() for x in (row, column))):
                         doc, k = int(owner[at[r]]), members[c]
                         share, ok = matches(item_words[k], t[left[r] : right[r]].tolist())
