@@ -1,0 +1,66 @@
+import numpy as np
+
+from isopleth.operators import atlas, discovery, inference
+
+
+def cycles(spark, *values):
+    return spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(values)], "zone int, c array<double>")
+
+
+def test_plateau_is_one_peak_and_two_rains_are_two(spark):
+    from pyspark.sql import functions as F
+
+    frame = cycles(spark, [10, 10, 100, 100, 20, 10, 10, 10, 10, 10, 10, 10], [20, 25, 90, 140, 80, 30, 25, 25, 40, 120, 130, 60])
+    got = {r.zone: r.p for r in frame.select("zone", discovery.peaks(F.col("c")).alias("p")).collect()}
+    assert got == {0: [2], 1: [3, 10]}
+    s = {r.zone: set() for r in frame.collect()}
+    for r in discovery.seasons(frame, ["zone"]).collect():
+        s[r.zone].add(tuple(r.months))
+    assert s[1] == {(3, 4, 5), (10, 11, 12)} or s[1] == {(3, 4, 5), (9, 10, 11)}, s
+
+
+def test_two_zones_are_found(spark):
+    rng = np.random.default_rng(0)
+    month = np.arange(12)
+    rows = []
+    for cell in range(60):
+        west = cell < 30
+        base = np.exp(-((month - 7) ** 2) / 3) if west else np.exp(-((month - 3) ** 2) / 2.4) + np.exp(-((month - 10) ** 2) / 2.4)
+        for y in range(10):
+            for m in range(12):
+                rows.append((0, cell, 12 * y + m, float(max(0.01, base[m] * (1 + 0.1 * rng.normal()) + 0.05 * rng.normal())), float(cell)))
+    frame = spark.createDataFrame(rows, "fold int, cell int, col int, v double, lon double")
+    curve = discovery.discover(frame, range(2, 4), 3)
+    best = {r.k: r.ari for r in curve.collect()}
+    assert best[2] > 0.99
+    zone = {r.cell: r.zone for r in discovery.zones(frame, 2).collect()}
+    assert all(zone[c] == int(c >= 30) for c in range(60))
+
+
+def test_assignment_and_ari():
+    assert discovery.assign([(0, 1, 9), (0, 0, 5), (1, 1, 8), (1, 0, 1)]) == {0: 0, 1: 1}
+    a = np.array([0, 0, 1, 1, 2, 2])
+    assert discovery.ari(a, (a + 1) % 3) == 1.0
+    assert abs(discovery.ari(a, np.array([0, 1, 0, 1, 0, 1]))) < 0.5
+
+
+def test_planted_signal_is_kept_and_shuffled_is_not(spark):
+    rng = np.random.default_rng(4)
+    n = 42
+    x = rng.normal(size=(3, n))
+    y = -1.2 * x[1] + 0.6 * rng.normal(size=n)
+    moves = inference.drawn_donors(spark, n, 8, 4242)
+    pairs = spark.createDataFrame([(k, i, float(x[k, i]), float(y[i])) for k in range(3) for i in range(n)], "cell int, place int, x double, y double")
+    folds = atlas.folds(spark, [(list(range(a)), list(range(a, a + 7))) for a in (21, 28, 35)])
+    from pyspark.sql import functions as F
+
+    rows = inference.permuted(pairs, moves, ["cell"]).withColumnRenamed("place", "year").join(folds, "year")
+    rows = rows.select("replicate", "fold", F.lit(0).alias("zone"), F.lit("w").alias("window"), F.concat(F.lit("k"), "cell").alias("key"), "year", "is_train", "x", "y")
+    chosen = atlas.select(rows)
+    assert {r.key for r in chosen.where("replicate = 0").select("key").distinct().collect()} == {"k1"}
+    skill = {r.replicate: r.rpss for r in atlas.pooled_skill(atlas.score(chosen).withColumn("weight", F.lit(1.0)), ["replicate"]).collect()}
+    assert skill[0] > 0.15 and np.mean([v for k, v in skill.items() if k]) <= 0.05
+
+
+def test_exact_spearman():
+    assert inference.exact_spearman_p([1, 2, 3, 4], [1, 2, 3, 4])[1] == 1 / 24
