@@ -42,7 +42,7 @@ def long_date(text: Column) -> Column:
     pattern = rf"({'|'.join(MONTHS)}) (\d{{1,2}}), (\d{{4}})"
     part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(1))
-    return F.to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0")))
+    return F.to_date(F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(2), 2, "0")))
 
 
 def words(text: Column) -> Column:
@@ -67,6 +67,8 @@ class _Markdown(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.skipped:
             self.depth += 1
+        elif self.depth:
+            pass
         elif tag in {"p", "div", "article", "ul", "ol", "br", "blockquote"}:
             self.close_line()
         elif tag[0] == "h" and tag[1:].isdigit():
@@ -84,6 +86,8 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.skipped:
             self.depth = max(0, self.depth - 1)
+        elif self.depth:
+            pass
         elif tag in {"b", "strong"}:
             self.line += "**"
         elif tag == "a":

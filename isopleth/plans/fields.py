@@ -121,8 +121,8 @@ def a4(spark, sf):
 
 
 @query("flagship_mam", f"""WITH a AS (SELECT cell, year, month, v - avg(v) FILTER (year BETWEEN 1995 AND 1999) OVER (PARTITION BY cell, month) AS anom FROM pm),
-m AS (SELECT cell % 5 AS grp, year, month, sum(w * anom) / sum(w) AS x FROM a JOIN dim USING (cell) GROUP BY 1, 2, 3)
-SELECT grp, year AS season_year, {R('sum(x)')} AS total FROM m WHERE month IN (3, 4, 5) GROUP BY grp, year HAVING count(*) = 3""", "dim pm")
+m AS (SELECT cell % 5 AS grp, year, month, sum(w * anom) / sum(w) FILTER (anom IS NOT NULL) AS x FROM a JOIN dim USING (cell) GROUP BY 1, 2, 3)
+SELECT grp, year AS season_year, {R('sum(x)')} AS total FROM m WHERE month IN (3, 4, 5) GROUP BY grp, year HAVING count(*) = 3 AND count(x) = 3""", "dim pm")
 def flagship(spark, sf):
     a = cube.anomaly(field(spark, sf), 1995, 1999).withColumn("grp", F.col("cell") % 5)
     m = cube.area_mean(a, ["grp", "year", "month"], value="anom")
