@@ -318,7 +318,8 @@ def _ac_first(s: _Stream, blocks: list[np.ndarray], look: np.ndarray, first: int
             k += 1
         at += n
         over = k > last
-        if over.any():
+        ended = ends.any()
+        if ended or over.any():
             i += over
             k[over] = first
             more = i < size[lane]
