@@ -31,9 +31,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id."""
+    """Keeps of each group of near copies (five-word shingles, a similarity of about 0.8 or more) the document with the smallest id."""
     keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed, id_col="_key")
+    found = simhash.similar_documents(keyed, id_col="_key")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 

@@ -51,7 +51,7 @@ class Model:
     def predict(self, text: str | None, memory: dict) -> tuple[str, float]:
         """The language and its share of the posterior. No letter, or nothing learnt: ``und`` and 0."""
         found = words(text)
-        if not found or not self.languages:
+        if not self.languages or not any(c.isalpha() for w in found for c in w):
             return "und", 0.0
         if len(memory) > 200_000:
             memory.clear()

@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
     runs = LineRuns(spark, fanout)
     for k in range(len(cuts) + 1):
         runs.add(keys.where(F.col("batch") == k))
-    common = runs.keys().where(F.col("n") >= min_docs)
+    # a plain table, not the runs' buckets: adaptive execution splits a very common line's rows only where both sides are shuffled
+    common = scratch.write(runs.keys().where(F.col("n") >= min_docs), "common")
     dropped = keys.join(common, HASH).where(F.col("id") != F.col("top")).groupBy("id", "rid").agg(F.collect_set("pos").alias("lost"))
     split = base.join(dropped, ["id", "rid"], "left").select(*more, "doc_id", "text", "lost", F.split("text", "\n", -1).alias("lines"))
     # "lines" is used more than once in the next step, so the optimizer doesn't fold the split into the function over the kept positions

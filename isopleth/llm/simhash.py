@@ -29,23 +29,26 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-SEED = 42
+#: Seeds of the fingerprint and of the second one that similar_documents() adds.
+SEED, SECOND = 42, 43
 #: Node pairs that a task holds in one step; leaves that a dealt node should have.
 FRONTIER, NODE_LEAVES = 1 << 17, 16384
+#: The same for wider budgets, whose nodes have many more neighbours to be dealt to.
+WIDE_LEAVES = 1 << 17
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
+def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = SEED) -> int:
     """The 64-bit fingerprint (unsigned): a bit is set where over half of the shingles' hashes have it. No word: 0."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
     if len(words) < words_per_shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+        hashes = [xxhash.xxh64_intdigest(joined, seed)]
     else:
         ends = list(accumulate((len(w) + 1 for w in words), initial=-1))  # of word i: ends[i + 1]
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a + 1 : b], SEED) for a, b in zip(ends, ends[words_per_shingle:])]
+        hashes = [digest(joined[a + 1 : b], seed) for a, b in zip(ends, ends[words_per_shingle:])]
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
@@ -53,15 +56,17 @@ def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row per input row; fp is the fingerprint as a signed long. Null and empty texts have 0."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp), with a second seed fp2 too: a row per input row, fingerprints as signed longs. Null and empty texts have 0."""
+    names = ["doc_id", "fp", "fp2"][: 1 + len(seeds)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [fingerprint(x, words_per_shingle) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            made = [pa.array(np.array([fingerprint(x, words_per_shingle, seed) for x in texts], dtype=np.uint64).view(np.int64)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
 
 
 class _Leaves:
@@ -93,10 +98,11 @@ def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth: int, err: int, max_bits: int) -> np.ndarray:
+def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth: int, err: int, max_bits: int, other: np.ndarray | None = None, both_bits: int = 0) -> np.ndarray:
     """Joins the subtrees over values[a) and values[b) (sorted, equal or apart); returns each leaf's component as a place.
 
     values: sorted distinct uint64; ``depth`` bits of each subtree are common and ``err`` of those differ between the two.
+    With ``other``, each leaf's second fingerprint, a pair also has at most both_bits differing bits in the two together.
     """
     n, half = len(values), max_bits // 2
     leaves, parent = _Leaves(values), np.arange(n)
@@ -112,7 +118,10 @@ def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth
             single = (ahi - alo == 1) & (bhi - blo == 1) | (t == 64)
             if single.any():
                 i, j = alo[single], blo[single]
-                near = np.bitwise_count(values[i] ^ values[j]) <= total
+                bits = np.bitwise_count(values[i] ^ values[j])
+                near = bits <= total
+                if other is not None:
+                    near &= bits + np.bitwise_count(other[i] ^ other[j]) <= both_bits
                 _united(parent, i[near], j[near])
                 alo, ahi, blo, bhi, e = (x[~single] for x in (alo, ahi, blo, bhi, e))
             if not len(alo):
@@ -122,8 +131,8 @@ def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth
                     stack.append((t, *(x[at : at + FRONTIER] for x in (alo, ahi, blo, bhi, e))))
                 continue
             amid, bmid = leaves.mid(t, alo, ahi), leaves.mid(t, blo, bhi)
-            other = alo != blo  # a node paired with itself has its mixed pair once
-            parts = [(alo, amid, blo, bmid, e), (amid, ahi, bmid, bhi, e), (alo, amid, bmid, bhi, e + 1), (amid[other], ahi[other], blo[other], bmid[other], e[other] + 1)]
+            mixed = alo != blo  # a node paired with itself has its mixed pair once
+            parts = [(alo, amid, blo, bmid, e), (amid, ahi, bmid, bhi, e), (alo, amid, bmid, bhi, e + 1), (amid[mixed], ahi[mixed], blo[mixed], bmid[mixed], e[mixed] + 1)]
             stack.append((t + 1, *(np.concatenate(x) for x in zip(*parts))))
     return parent
 
@@ -138,22 +147,37 @@ def _masks(depth: int, most: int) -> list[int]:
     return sorted({0, *(one if most else []), *(x | y for x in one for y in one if most > 1 and x != y)} if most < 3 else {m for m in range(1 << depth) if m.bit_count() <= most})
 
 
-def links(reps: DataFrame, max_bits: int = 4, node_leaves: int = NODE_LEAVES) -> DataFrame:
-    """(u, v) over distinct fingerprints ``fp``: enough links to connect all that are within max_bits, at most one per leaf and task."""
+def links(reps: DataFrame, max_bits: int = 4, node_leaves: int = NODE_LEAVES, both_bits: int = 0) -> DataFrame:
+    """(u, v) over distinct fingerprints ``fp``: enough links to connect all that are within max_bits, at most one per leaf and task.
+
+    With a column fp2 the tries of both fingerprints are joined: a link is within max_bits in one of them and within
+    both_bits in the two together (equal ones in either are linked).
+    """
+    two = "fp2" in reps.columns
     n = reps.count()
     depth = min(16, max(4, math.ceil(math.log2(max(1, n / node_leaves)))))
     masks = F.array(*[F.lit(m) for m in _masks(depth, max_bits // 2)])
-    turns = reps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("x")), F.struct(F.lit(1).alias("turn"), _turned(F.col("fp")).alias("x")))).alias("t")).select("t.turn", "t.x")
-    nodes = turns.select("turn", "x", F.shiftrightunsigned("x", 64 - depth).cast("int").alias("p"), F.explode(masks).alias("m"))
+    y = F.col("fp2") if two else F.lit(0).cast("long")
+    kinds = [(0, F.col("fp"), y), (1, _turned(F.col("fp")), y)]
+    if two:
+        kinds += [(2, F.col("fp2"), F.col("fp")), (3, _turned(F.col("fp2")), F.col("fp"))]
+    turns = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), a.alias("x"), b.alias("y")) for k, a, b in kinds])).alias("t")).select("t.turn", "t.x", "t.y", F.col("fp").alias("node"))
+    nodes = turns.select("turn", "x", *(["y", "node"] if two else []), F.shiftrightunsigned("x", 64 - depth).cast("int").alias("p"), F.explode(masks).alias("m"))
     q = F.col("p").bitwiseXOR(F.col("m"))
-    dealt = nodes.select("turn", F.least("p", q).alias("a"), F.greatest("p", q).alias("b"), "x")
+    dealt = nodes.select("turn", F.least("p", q).alias("a"), F.greatest("p", q).alias("b"), "x", *(["y", "node"] if two else []))
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         turn, a, b = (int(k) for k in key)
-        values = np.sort(rows["x"].to_numpy(np.int64).view(np.uint64))
+        x = rows["x"].to_numpy(np.int64).view(np.uint64)
+        values, first, group = np.unique(x, return_index=True, return_inverse=True)
         cut = int(np.searchsorted(values, np.uint64(b << (64 - depth))))
         ranges = ((0, len(values)),) * 2 if a == b else ((0, cut), (cut, len(values)))
-        root = trie_links(values, *ranges, depth, (a ^ b).bit_count(), max_bits)
+        other = rows["y"].to_numpy(np.int64).view(np.uint64)[first] if two else None
+        root = trie_links(values, *ranges, depth, (a ^ b).bit_count(), max_bits, other, both_bits)
+        if two:
+            node = rows["node"].to_numpy(np.int64)
+            u, v = node, node[first[root[group]]]
+            return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
         moved = np.flatnonzero(root != np.arange(len(values)))
         u, v = values[moved], values[root[moved]]
         if turn:
@@ -200,8 +224,26 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int =
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, words_per_shingle, id_col, text_col), "fingerprints")
     reps = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = components(links(reps, max_bits), scratch)
+    return _classes(marked, reps, links(reps, max_bits), scratch)
+
+
+def _classes(marked: DataFrame, reps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each row of marked (doc_id, fp) with the smallest id of its fingerprint's component."""
+    roots = components(edges, scratch)
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = scratch.write(named, "roots")
     classes = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return marked.join(named.join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, max_bits: int = 8, both_bits: int = 20, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_duplicates, for shingles that overlap by about 0.8 or more: a second fingerprint widens the search and confirms what it finds.
+
+    At that similarity about 15 % of a fingerprint's bits differ. A pair is found within max_bits of 64 in either
+    fingerprint, and counts within both_bits of 128, which unrelated texts don't reach by chance at any scale. The
+    budget of a trie stays small, which finds nearly all pairs from 0.9 on and most of those between 0.8 and 0.9.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.write(fingerprints(docs, words_per_shingle, id_col, text_col, (SEED, SECOND)), "fingerprints")
+    reps = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2")), "reps")
+    return _classes(marked, reps, links(reps, max_bits, WIDE_LEAVES, both_bits), scratch)

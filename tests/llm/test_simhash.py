@@ -68,3 +68,31 @@ def test_trie_equals_brute_force(spark):
         for x in signed:
             made.setdefault(root.get(x, x), set()).add(x)
         assert sorted(map(sorted, made.values())) == sorted(map(sorted, want.values()))
+
+
+def similar_classes(texts, most=8, both=20):
+    """Classes by all pairs: within ``most`` bits in either fingerprint and ``both`` in the two, or equal in one."""
+    one, two = ([simhash.fingerprint(t, 5, seed) for t in texts] for seed in (simhash.SEED, simhash.SECOND))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            d, e = (one[i] ^ one[j]).bit_count(), (two[i] ^ two[j]).bit_count()
+            if (min(d, e) <= most and d + e <= both or not min(d, e)) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_similar_documents(spark, docs, odd, empty):
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    rnd = random.Random(1)
+    for k in range(40):
+        words = rows[k][1].split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rnd.randrange(len(words))] = "changed"
+        rows.append((5000 + k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    label = similar_classes([t for _, t in rows])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert got == {r[0]: rows[k][0] for r, k in zip(rows, label)}
+    assert simhash.similar_documents(odd).count() == odd.count() and simhash.similar_documents(empty).count() == 0
