@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isopleth.functions import sqlnames
 from isopleth.functions.calendar import lead_windows
 from isopleth.functions.scalar import clean, kelvin_to_celsius, physical, r4
-from isopleth.operators import atlas, benchmarks, candidates, cube, discovery, inference, regress, rolling, search
+from isopleth.operators import atlas, benchmarks, candidates, cube, discovery, downscale, inference, regress, rolling, search
 from isopleth.sources import io
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
 from isopleth.streaming import issuance
@@ -284,3 +284,17 @@ def t3(spark, sf):
     means = issuance.window_means(spark.readStream.schema(rows.schema).parquet(source), "7 days", 7, "1 day")
     means.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("cell string, start timestamp, v double").parquet(out).select("cell", F.col("start").cast("string").alias("start"), r4(F.col("v")).alias("v"))
+
+
+@query("u3_method_search")
+def u3(spark, sf):
+    p = pairs(spark, sf).where("cell < 5 AND year < 60")
+    out = downscale.left_out(p, ["cell"], sorted(downscale.METHODS)).groupBy("cell", "method").agg(F.corr("pred", "y").alias("r"), F.count("*").alias("n"))
+    return rounded(out.withColumn("r", clean(F.col("r"))), ["cell", "method", "n"], ["r"])
+
+
+@query("u3_cca_left_out")
+def u3b(spark, sf):
+    w = month_panel(spark, sf).where("cell < 10").select(F.lit(0).alias("g"), F.when(F.col("cell") < 5, "x").otherwise("y").alias("side"), "cell", (F.col("year") * 12 + F.col("month")).alias("year"), "v")
+    out = downscale.cca_left_out(w).groupBy("cell").agg(F.corr("pred", "y").alias("r"), F.count("*").alias("n"))
+    return rounded(out, ["cell", "n"], ["r"])
