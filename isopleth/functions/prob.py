@@ -54,6 +54,7 @@ def tercile_closed(y: Column, q33: Column, q67: Column) -> Column:
 
 def normal_terciles(mean: Column, sigma: Column, t33: Column, t67: Column) -> list[Column]:
     """Probabilities of the three categories under a normal forecast."""
+    sigma = F.greatest(sigma, F.lit(1e-9))
     low, high = normal_cdf((t33 - mean) / sigma), normal_cdf((t67 - mean) / sigma)
     return renormalised([low, high - low, 1 - high])
 

@@ -51,3 +51,10 @@ def number(s: Column) -> Column:
 def r4(v: Column, digits: int = 4) -> Column:
     """Rounded, and never minus zero."""
     return F.round(v, digits) + F.lit(0.0)
+
+
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation over rows that have both values; null, and no error, where either doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.prob import normal_terciles, rps, tercile
+from isopleth.functions.scalar import corr
 
 from .inference import bootstrap_gap, williams
 from .regress import loyo_skill, split_fit
@@ -72,7 +73,7 @@ def persistence_sensitivity(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """(days, model_r, anchor_r, gain, t, p_not_better): model against persistence of several lengths. rows: (days, place, model, anchor, y)."""
     a = loyo_skill(rows.select("days", F.col("model").alias("x"), "y"), ["days"]).select("days", F.col("loo_r").alias("model_r"))
     b = loyo_skill(rows.select("days", F.col("anchor").alias("x"), "y"), ["days"]).select("days", F.col("loo_r").alias("anchor_r"))
-    t = williams(rows.groupBy("days").agg(F.corr("model", "y").alias("r1"), F.corr("anchor", "y").alias("r2"), F.corr("model", "anchor").alias("r12"), F.count("*").alias("n"))).select("days", "t")
+    t = williams(rows.groupBy("days").agg(corr("model", "y").alias("r1"), corr("anchor", "y").alias("r2"), corr("model", "anchor").alias("r12"), F.count("*").alias("n"))).select("days", "t")
     g = bootstrap_gap(rows.select("days", "place", F.col("model").alias("x1"), F.col("anchor").alias("x2"), "y"), draws, ["days"]).select("days", "p_not_better")
     return a.join(b, "days").join(t, "days").join(g, "days").withColumn("gain", F.col("model_r") - F.col("anchor_r"))
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 
 def cycle(clim: DataFrame, by: list[str]) -> DataFrame:
-    """(by, c): the annual cycle (month, clim) as an array of twelve."""
-    return clim.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "clim"))), lambda s: s["clim"]).alias("c"))
+    """(by, c): the annual cycle (month, clim) as an array of twelve; cycles with a missing month are left out."""
+    out = clim.where(F.col("clim").isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "clim"))), lambda s: s["clim"]).alias("c"))
+    return out.where(F.size("c") == 12)
 
 
 def _at(c: Column, m: Column) -> Column:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isopleth.functions.scalar import corr
+
 
 def average_rank(by: list[str], value: str) -> Column:
     """Rank from 1 with equals sharing the mean of their ranks."""
@@ -22,7 +24,7 @@ def ordinal_rank(by: list[str], value: str, tie: str, descending: bool = True) -
 def spearman(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", least: int = 4) -> DataFrame:
     """(by, rho, n): correlation of average ranks; null below ``least`` rows."""
     ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
-    return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, F.corr("rx", "ry")).alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, corr("rx", "ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, positive: Column, tie: str | None = None) -> DataFrame:
@@ -110,13 +112,13 @@ def resamples(spark: SparkSession, n: int, reps: int, a: int = 1103515245, b: in
 
 def bootstrap(pairs: DataFrame, draws: DataFrame, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(by, lo, hi, n_ok): percentile interval of the correlation of x and y; replicates without spread are left out. The table of draws is small."""
-    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg(F.corr("x", "y").alias("r")).where(~F.isnan("r") & F.col("r").isNotNull())
+    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg(corr("x", "y").alias("r")).where(~F.isnan("r") & F.col("r").isNotNull())
     return r.groupBy(*by).agg(F.percentile("r", low).alias("lo"), F.percentile("r", high).alias("hi"), F.count("r").alias("n_ok"))
 
 
 def bootstrap_gap(pairs: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
     """(by, p_not_better, gap): of two predictors x1 and x2 of y on shared draws: mean gain in correlation of x1, and how often there is none."""
-    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg((F.corr("x1", "y") - F.corr("x2", "y")).alias("g")).where(~F.isnan("g") & F.col("g").isNotNull())
+    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg((corr("x1", "y") - corr("x2", "y")).alias("g")).where(~F.isnan("g") & F.col("g").isNotNull())
     return r.groupBy(*by).agg(F.avg((F.col("g") <= 0).cast("double")).alias("p_not_better"), F.avg("g").alias("gap"))
 
 
@@ -125,7 +127,7 @@ def williams(rows: DataFrame) -> DataFrame:
     det = 1 - F.pow("r1", F.lit(2)) - F.pow("r2", F.lit(2)) - F.pow("r12", F.lit(2)) + 2 * F.col("r1") * F.col("r2") * F.col("r12")
     mean = (F.col("r1") + F.col("r2")) / 2
     under = 2 * (F.col("n") - 1) / (F.col("n") - 3) * det + mean * mean * F.pow(1 - F.col("r12"), F.lit(3))
-    return rows.withColumn("t", F.when(F.col("n") >= 5, (F.col("r1") - F.col("r2")) * F.sqrt((F.col("n") - 1) * (1 + F.col("r12")) / under)))
+    return rows.withColumn("t", F.when(F.col("n") >= 5, (F.col("r1") - F.col("r2")) * F.sqrt(F.try_divide((F.col("n") - 1) * (1 + F.col("r12")), under))))
 
 
 def exact_spearman_p(x: list[float], y: list[float], most: int = 200_000, draws: int = 5000, seed: int = 0) -> tuple[float, float]:

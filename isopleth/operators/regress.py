@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.prob import t_quantile
+from isopleth.functions.scalar import corr
 
 
 def ols(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
@@ -15,7 +16,7 @@ def ols(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     ok = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     sse = F.regr_syy("y", "x") - F.try_divide(F.pow(F.regr_sxy("y", "x"), F.lit(2)), F.regr_sxx("y", "x"))
     out = ok.groupBy(*by).agg(
-        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("y", "x").alias("r"),
+        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), corr("y", "x").alias("r"),
         F.sqrt(F.greatest(F.lit(0.0), sse) / F.greatest(F.lit(1), F.count("y") - 2)).alias("resid_sd"),
         F.count("y").alias("n"), F.avg("x").alias("xbar"), F.regr_sxx("y", "x").alias("sxx"),
     )
@@ -43,7 +44,7 @@ def loyo(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def loyo_skill(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, loo_r, loo_mse, loo_rmse, n): skill of the left-out predictions; constant x has an infinite error."""
-    out = loyo(pairs, by).groupBy(*by).agg(F.corr("y", "loo").alias("loo_r"), F.avg(F.pow(F.col("y") - F.col("loo"), F.lit(2))).alias("mse"), F.count("y").alias("n"))
+    out = loyo(pairs, by).groupBy(*by).agg(corr("y", "loo").alias("loo_r"), F.avg(F.pow(F.col("y") - F.col("loo"), F.lit(2))).alias("mse"), F.count("y").alias("n"))
     return out.select(*by, "loo_r", F.coalesce("mse", F.lit(float("inf"))).alias("loo_mse"), F.sqrt("mse").alias("loo_rmse"), "n")
 
 
@@ -80,7 +81,7 @@ def grid_sigma(pairs: DataFrame, by: list[str], train: Column, least: int = 10)
 def batched(features: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     """(feature, target, slope, r, resid_var, n) of every feature on every target: one join on the years, one aggregation of covariances."""
     rows = features.join(targets, on)
-    return rows.groupBy("feature", "target").agg(F.regr_slope("y", "x").alias("slope"), F.corr("y", "x").alias("r"), ((F.regr_syy("y", "x") - F.try_divide(F.pow(F.regr_sxy("y", "x"), F.lit(2)), F.regr_sxx("y", "x"))) / F.count("y")).alias("resid_var"), F.count("y").alias("n"))
+    return rows.groupBy("feature", "target").agg(F.regr_slope("y", "x").alias("slope"), corr("y", "x").alias("r"), ((F.regr_syy("y", "x") - F.try_divide(F.pow(F.regr_sxy("y", "x"), F.lit(2)), F.regr_sxx("y", "x"))) / F.count("y")).alias("resid_var"), F.count("y").alias("n"))
 
 
 def two_predictor(rows: DataFrame, by: list[str]) -> DataFrame:

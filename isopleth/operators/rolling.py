@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.prob import t_quantile
+from isopleth.functions.scalar import corr
 
 from .regress import interval, loyo, ols
 
@@ -41,7 +42,7 @@ def calibrate(hindcast: DataFrame, forecast: DataFrame, by: list[str], level: fl
     hindcast: (by, year, x, y) of model and observation; forecast: (by, raw).
     """
     fits = interval(ols(hindcast, by).join(forecast, by), F.col("raw"), level)
-    left_out = loyo(hindcast, by).groupBy(*by).agg(F.corr("y", "loo").alias("loyo_r"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("loo"), F.lit(2)))).alias("loyo_rmse"), F.stddev_pop("x").alias("sx"))
+    left_out = loyo(hindcast, by).groupBy(*by).agg(corr("y", "loo").alias("loyo_r"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("loo"), F.lit(2)))).alias("loyo_rmse"), F.stddev_pop("x").alias("sx"))
     out = fits.join(left_out, by)
     return out.select(*by, "raw", F.col("pred").alias("calibrated"), (F.col("pred") - F.col("half_width")).alias("lo"), (F.col("pred") + F.col("half_width")).alias("hi"), "slope", "n", "loyo_r", "loyo_rmse", F.try_divide(F.col("raw") - F.col("xbar"), F.col("sx")).alias("z_vs_training"))
 
@@ -80,7 +81,7 @@ def interval_coverage(verified: DataFrame, by: list[str]) -> DataFrame:
 
 def dispersion(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, sd_ratio, implied_slope) of model x against observation y, sample deviations."""
-    return pairs.groupBy(*by).agg((F.stddev_samp("x") / F.nullif(F.stddev_samp("y"), F.lit(0.0))).alias("sd_ratio"), (F.corr("x", "y") * F.stddev_samp("y") / F.nullif(F.stddev_samp("x"), F.lit(0.0))).alias("implied_slope"))
+    return pairs.groupBy(*by).agg((F.stddev_samp("x") / F.nullif(F.stddev_samp("y"), F.lit(0.0))).alias("sd_ratio"), (corr("x", "y") * F.stddev_samp("y") / F.nullif(F.stddev_samp("x"), F.lit(0.0))).alias("implied_slope"))
 
 
 def newest_with_hindcast(inits: DataFrame, hindcasts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isopleth.functions import sqlnames
 from isopleth.functions.calendar import lead_windows
-from isopleth.functions.scalar import clean, kelvin_to_celsius, physical, r4
+from isopleth.functions.scalar import clean, corr, kelvin_to_celsius, physical, r4
 from isopleth.operators import atlas, benchmarks, candidates, cube, discovery, downscale, inference, regress, rolling, search
 from isopleth.sources import io
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
@@ -43,7 +43,7 @@ def f9(spark, sf):
 
 @query("f11_minimum_sample", f"WITH {PAIRS} SELECT cell, count(*) AS n, {R('corr(x, y)')} AS r FROM pairs WHERE year < 100 GROUP BY cell HAVING count(*) >= 25", "pw")
 def f11(spark, sf):
-    rows = pairs(spark, sf).where("year < 100").groupBy("cell").agg(F.count("*").alias("n"), r4(F.corr("x", "y")).alias("r"))
+    rows = pairs(spark, sf).where("year < 100").groupBy("cell").agg(F.count("*").alias("n"), r4(corr("x", "y")).alias("r"))
     return rows.where("n >= 25")
 
 
@@ -172,7 +172,7 @@ def r14(spark, sf):
 @query("r24_point_biserial", f"WITH {PAIRS}, q AS (SELECT *, quantile_cont(y, 1e0/3) OVER (PARTITION BY cell) AS q FROM pairs) SELECT cell, {R('corr((y < q)::INT, x)')} AS r FROM q GROUP BY cell", "pw")
 def r24(spark, sf):
     q = pairs(spark, sf).withColumn("q", F.percentile("y", F.lit(1 / 3)).over(Window.partitionBy("cell")))
-    return q.groupBy("cell").agg(r4(F.corr((F.col("y") < F.col("q")).cast("double"), F.col("x"))).alias("r"))
+    return q.groupBy("cell").agg(r4(corr((F.col("y") < F.col("q")).cast("double"), F.col("x"))).alias("r"))
 
 
 @query("r28_block_bootstrap_gap", f"""WITH t AS (SELECT a.period AS year, a.v AS y, b.v AS x1, c.v AS x2 FROM pw a JOIN pw b ON b.cell = 1 AND b.period = a.period JOIN pw c ON c.cell = 2 AND c.period = a.period WHERE a.cell = 0), {DRAWS},
@@ -187,7 +187,7 @@ def r28(spark, sf):
 @query("r30_two_sided_shared_null", f"WITH {PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, abs(corr(x.x, y.y)) AS stat FROM pairs x JOIN don USING (year) JOIN pairs y ON y.cell = x.cell AND y.year = don.donor GROUP BY 1, 2), o AS (SELECT cell, stat AS observed FROM st WHERE replicate = 0) SELECT cell, {R('observed')} AS observed, {R('(1e0 + count(*) FILTER (replicate > 0 AND stat >= observed)) / 51')} AS p FROM st JOIN o USING (cell) GROUP BY cell, observed", "pw")
 def r30(spark, sf):
     p = pairs(spark, sf).withColumnRenamed("year", "place")
-    moved = inference.permuted(p, inference.donors(spark, 60, 50), ["cell"]).groupBy("cell", "replicate").agg(F.corr("x", "y").alias("stat"))
+    moved = inference.permuted(p, inference.donors(spark, 60, 50), ["cell"]).groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
     return rounded(inference.permutation_p(moved, ["cell"], two_sided=True), ["cell"], ["observed", "p"])
 
 
@@ -289,12 +289,12 @@ def t3(spark, sf):
 @query("u3_method_search")
 def u3(spark, sf):
     p = pairs(spark, sf).where("cell < 5 AND year < 60")
-    out = downscale.left_out(p, ["cell"], sorted(downscale.METHODS)).groupBy("cell", "method").agg(F.corr("pred", "y").alias("r"), F.count("*").alias("n"))
+    out = downscale.left_out(p, ["cell"], sorted(downscale.METHODS)).groupBy("cell", "method").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
     return rounded(out.withColumn("r", clean(F.col("r"))), ["cell", "method", "n"], ["r"])
 
 
 @query("u3_cca_left_out")
 def u3b(spark, sf):
     w = month_panel(spark, sf).where("cell < 10").select(F.lit(0).alias("g"), F.when(F.col("cell") < 5, "x").otherwise("y").alias("side"), "cell", (F.col("year") * 12 + F.col("month")).alias("year"), "v")
-    out = downscale.cca_left_out(w).groupBy("cell").agg(F.corr("pred", "y").alias("r"), F.count("*").alias("n"))
+    out = downscale.cca_left_out(w).groupBy("cell").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
     return rounded(out, ["cell", "n"], ["r"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions import prob
-from isopleth.functions.scalar import r4
+from isopleth.functions.scalar import corr, r4
 from isopleth.operators import atlas, cube, discovery, inference, regress, rolling, search, text
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
 
@@ -142,7 +142,7 @@ def r16(spark, sf):
 def r17(spark, sf):
     w = week_panel(spark, sf)
     t = w.groupBy("period").agg(F.sum("v").alias("y"))
-    return w.join(t, "period").groupBy("cell").agg(F.when(F.count("*") >= 8, r4(F.corr("v", "y"))).alias("r"))
+    return w.join(t, "period").groupBy("cell").agg(F.when(F.count("*") >= 8, r4(corr("v", "y"))).alias("r"))
 
 
 @query("r19_w3_spearman", f"""WITH {PAIRS}, k AS (SELECT cell, rank() OVER (PARTITION BY cell ORDER BY x) + (count(*) OVER (PARTITION BY cell, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY cell ORDER BY y) + (count(*) OVER (PARTITION BY cell, y) - 1) / 2e0 AS ry FROM pairs)
@@ -217,7 +217,7 @@ def u5(spark, sf):
 def r23(spark, sf):
     w = Window.partitionBy("cell")
     d = pairs(spark, sf).select((F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
-    return d.agg(r4(F.corr("x", "y")).alias("r"))
+    return d.agg(r4(corr("x", "y")).alias("r"))
 
 
 @query("r25_williams", f"""WITH t AS (SELECT a.cell, corr(a.v, b.v) AS r1, corr(a.v, c.v) AS r2, corr(b.v, c.v) AS r12, count(*) AS n FROM pw a JOIN pw b ON b.cell = (a.cell + 1) % 25 AND b.period = a.period JOIN pw c ON c.cell = (a.cell + 2) % 25 AND c.period = a.period GROUP BY a.cell)
@@ -226,7 +226,7 @@ def r25(spark, sf):
     w = week_panel(spark, sf)
     shifted = lambda k, name: w.select(F.pmod(F.col("cell") - k, F.lit(25)).alias("cell"), "period", F.col("v").alias(name))
     rows = w.join(shifted(1, "x1"), ["cell", "period"]).join(shifted(2, "x2"), ["cell", "period"])
-    r = rows.groupBy("cell").agg(F.corr("v", "x1").alias("r1"), F.corr("v", "x2").alias("r2"), F.corr("x1", "x2").alias("r12"), F.count("*").alias("n")).where("n >= 5")
+    r = rows.groupBy("cell").agg(corr("v", "x1").alias("r1"), corr("v", "x2").alias("r2"), corr("x1", "x2").alias("r12"), F.count("*").alias("n")).where("n >= 5")
     return rounded(inference.williams(r), ["cell"], ["t"])
 
 
@@ -246,7 +246,7 @@ PERM = f"{PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, corr(x.x, y.y) A
 def null_stats(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf).withColumnRenamed("year", "place")
     moved = inference.permuted(p, inference.donors(spark, 60, 50), ["cell"])
-    return moved.groupBy("cell", "replicate").agg(F.corr("x", "y").alias("stat"))
+    return moved.groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
 
 
 @query("r29_j10_permutation_p", f"WITH {PERM}, o AS (SELECT cell, stat AS observed FROM st WHERE replicate = 0) SELECT cell, {R('observed')} AS observed, {R('(1e0 + count(*) FILTER (replicate > 0 AND stat >= observed)) / (1 + count(*) FILTER (replicate > 0))')} AS p, count(*) FILTER (replicate > 0) AS n_null FROM st JOIN o USING (cell) GROUP BY cell, observed", "pw")
@@ -432,4 +432,4 @@ def a22(spark, sf):
 @query("r36_holdout", f"WITH {PAIRS}, s AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, corr(x, y) AS train_r FROM pairs WHERE year < 200 GROUP BY cell) SELECT cell, {R('train_r')} AS train_r, {R('corr(a + b * x, y)')} AS oos_r, count(*) AS n_test FROM pairs JOIN s USING (cell) WHERE year >= 200 GROUP BY cell, train_r", "pw")
 def r36(spark, sf):
     f = regress.split_fit(pairs(spark, sf), ["cell"], F.col("year") < 200)
-    return f.groupBy("cell").agg(r4(F.corr(F.when(F.col("year") < 200, F.col("x")), F.col("y"))).alias("train_r"), r4(F.corr(F.when(F.col("year") >= 200, F.col("pred")), F.col("y"))).alias("oos_r"), F.count_if(F.col("year") >= 200).alias("n_test"))
+    return f.groupBy("cell").agg(r4(corr(F.when(F.col("year") < 200, F.col("x")), F.col("y"))).alias("train_r"), r4(corr(F.when(F.col("year") >= 200, F.col("pred")), F.col("y"))).alias("oos_r"), F.count_if(F.col("year") >= 200).alias("n_test"))
