@@ -4,7 +4,9 @@ Every document is cut into passages, whose TF-IDF rows span a space of hashed
 words. A randomised SVD of all those rows (one pass gathers the sketch) gives
 the leading right singular vectors. Benchmark items and windows of all
 documents meet in that latent space; windows whose cosine with an item is high
-enough are candidates. A candidate counts if the longest common subsequence of
+enough are candidates. So are all windows of a document that has enough of an
+item's words for a match anywhere, so that no match is lost to the space's low
+rank. A candidate counts if the longest common subsequence of
 words holds enough of the item and of its answer (its last words), which also
 finds paraphrases that keep most words in order.
 """
@@ -208,8 +210,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for k, c in enumerate(item_words):
             holds[k, np.array(c) % FEATURES] = True
         least = np.array([LCS_SHARE * len(c) for c in item_words])
+        used = np.flatnonzero(holds.any(axis=0))
+        column_of = np.full(FEATURES, -1)
+        column_of[used] = np.arange(len(used))
+        need = np.zeros((len(used), len(names)), np.float32)  # how many of an item's words have a feature
+        for k, c in enumerate(item_words):
+            np.add.at(need[:, k], column_of[np.array(c) % FEATURES], 1)
+        need_steps = np.array([-(-len(c) // STEP) for c in item_words])
         for ids, t, counts in _batches(it):
             f = (t % FEATURES).astype(np.int64)
+            column, doc_of = column_of[f], np.repeat(np.arange(len(ids)), counts)
+            doc_in, column = doc_of[column >= 0], column[column >= 0]
+            pairs = []
+            for at in range(0, len(ids), 256):  # bounded memory for many short texts
+                part = slice(*np.searchsorted(doc_in, (at, at + 256)))
+                present = np.zeros((min(256, len(ids) - at), len(used)), np.float32)
+                present[doc_in[part] - at, column[part]] = 1
+                d, k = np.nonzero(present @ need >= least - 1e-6)  # the others have too few of the item's words anywhere
+                pairs.append((d + at, k))
+            docs_at, items_at = (np.concatenate(x) for x in zip(*pairs))
+            if not len(docs_at):
+                continue
+            kept, docs_at = np.unique(docs_at, return_inverse=True)
+            inside = np.isin(doc_of, kept)
+            ids, t, f, counts = [ids[d] for d in kept], t[inside], f[inside], counts[kept]
             starts, many = _pieces(counts, STEP)
             sums = np.add.reduceat(latent[f], starts, axis=0)
             owner, first = np.repeat(np.arange(len(ids)), many), np.cumsum(many) - many
@@ -241,6 +265,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         share, ok = matches(item_words[k], t[left[r] : right[r]].tolist())
                         if ok and ((doc, k) not in best or best[doc, k][1] < share):
                             best[doc, k] = (float(cosine[r, c]), share, int(left[r] - begin[doc]))
+            turn = np.cumsum(counts[docs_at]) // (CHUNK * 8)
+            for cut in np.split(np.arange(len(docs_at)), np.flatnonzero(np.diff(turn)) + 1):  # all windows of these pairs, whatever their cosine
+                pair_doc, pair_item = docs_at[cut], items_at[cut]
+                sizes, steps = counts[pair_doc], need_steps[pair_item]
+                offset = np.cumsum(sizes) - sizes
+                spot = np.arange(sizes.sum()) + np.repeat(begin[pair_doc] - offset, sizes)
+                hit = holds[np.repeat(pair_item, sizes), f[spot]]
+                words_hit, before = t[spot[hit]].tolist(), np.append(0, np.cumsum(hit))  # a subsequence has no other words
+                windows = np.maximum(1, many[pair_doc] - steps + 1)
+                pair = np.repeat(np.arange(len(cut)), windows)
+                at = np.arange(len(pair)) - np.repeat(np.cumsum(windows) - windows, windows)
+                left = np.maximum(at - 1, 0) * STEP
+                right = np.minimum((at + steps[pair] + 1) * STEP, sizes[pair])
+                lo, hi = before[offset[pair] + left], before[offset[pair] + right]
+                enough = np.flatnonzero(hi - lo >= least[pair_item[pair]] - 1e-6)
+                for p, w, start, x, y in zip(*(v[enough].tolist() for v in (pair, at, left, lo, hi))):
+                    doc, k = int(pair_doc[p]), int(pair_item[p])
+                    share, ok = matches(item_words[k], words_hit[x:y])
+                    if ok and ((doc, k) not in best or best[doc, k][1] < share):
+                        v = sums[first[doc] + w : first[doc] + min(w + int(steps[p]), many[doc])].sum(axis=0)
+                        best[doc, k] = (1.0 if blind[k] else float(v @ vectors[k] / max(np.sqrt(v @ v), 1e-20)), share, start)
             rows = [(ids[d], names[k], *x) for (d, k), x in sorted(best.items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "cosine", "lcs_share", "at_word"])

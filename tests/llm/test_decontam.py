@@ -55,3 +55,24 @@ def test_odd_rows(spark, odd, empty):
 def test_lcs():
     assert decontam.lcs([1, 2, 3, 4], [2, 9, 3, 3, 1, 4]) == 3
     assert decontam.lcs([5] * 70, [5] * 66) == 66
+
+
+def test_no_match_is_lost_to_the_latent_space(spark):
+    sf = "/root/testdata/sf0.1"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in frame.where("doc_id % 25 = 0").collect()]
+    whole = [(r.doc_id, r.text) for r in frame.collect() if any(x in (r.text or "") for _, x in bench)]
+    rnd, planted = random.Random(4), []
+    for n, (k, item) in enumerate(bench):
+        words, host = item.split(), rows[n][1].split()
+        for j in rnd.sample(range(len(words)), int(0.3 * len(words))):
+            words[j] = rnd.choice(host)
+        at = rnd.randrange(len(host) + 1)
+        planted.append((10_000_000 + n, " ".join(host[:at] + words + host[at:])))
+    given = whole + planted
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows + given, "doc_id long, text string").dropDuplicates(["doc_id"]), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {(d, k) for d, t in whole for k, x in bench if x in t} <= got
+    near = [(d, t, bench[d - 10_000_000]) for d, t in planted]
+    want = {x for d, t, b in near for x in brute([(d, t)], [b])}
+    assert len(want) > 100 and want <= got
