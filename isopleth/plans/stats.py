@@ -172,6 +172,12 @@ def groc(spark, sf):
     return rounded(inference.groc(s, ["g"], "s", "c"), ["g"], ["groc"])
 
 
+@query("groc_all_orders")
+def groc_all(spark, sf):
+    s = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("s"), (F.col("o_orderkey") % 3).alias("c"))
+    return rounded(inference.groc(s, ["g"], "s", "c"), ["g"], ["groc"])
+
+
 P1, P2 = prob.normal_cdf_sql("((t33 - 0.9e0 * y) / s)"), prob.normal_cdf_sql("((t67 - 0.9e0 * y) / s)")
 EDGE = "e AS (SELECT cell, period, v AS y, quantile_cont(v, 1e0/3) OVER w AS t33, quantile_cont(v, 2e0/3) OVER w AS t67, stddev_pop(v) OVER w AS s FROM pw WINDOW w AS (PARTITION BY cell))"
 SCORED = f"""WITH {EDGE}, c AS (SELECT *, {P1} AS c1, {P2} AS c2 FROM e), q AS (SELECT *, least(1, greatest(1e-9, c1)) AS a, least(1, greatest(1e-9, c2 - c1)) AS b, least(1, greatest(1e-9, 1 - c2)) AS d, CASE WHEN t33 > y THEN 0 WHEN t67 > y THEN 1 ELSE 2 END AS obs FROM c),
