@@ -14,7 +14,7 @@ from isopleth.sources.panels import cells, day_panel, month_panel, table, week_p
 from isopleth.streaming import issuance
 
 from .base import R, query
-from .stats import DONOR, DRAWS, PAIRS, pairs, rounded
+from .stats import DONOR, DRAWS, PAIRS, pairs, places, rounded, whole_folds
 
 
 @query("s5_s8_k8_json_and_hash", "SELECT n_nationkey::INT AS k, n_name AS name FROM nation")
@@ -184,6 +184,14 @@ def r28(spark, sf):
     return rounded(inference.bootstrap_gap(rows, inference.resamples(spark, 60, 40), ["k"]), ["k"], ["p_not_better", "gap"])
 
 
+@query("r28_block_bootstrap_gap_all_weeks")
+def r28_all(spark, sf):
+    w = week_panel(spark, sf).withColumnRenamed("period", "place")
+    part = lambda k, n: w.where(f"cell = {k}").select("place", F.col("v").alias(n))
+    rows = part(0, "y").join(part(1, "x1"), "place").join(part(2, "x2"), "place").withColumn("k", F.lit(0))
+    return rounded(inference.bootstrap_gap(rows, inference.resamples(spark, places(spark, sf), 40), ["k"]), ["k"], ["p_not_better", "gap"])
+
+
 @query("r30_two_sided_shared_null", f"WITH {PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, abs(corr(x.x, y.y)) AS stat FROM pairs x JOIN don USING (year) JOIN pairs y ON y.cell = x.cell AND y.year = don.donor GROUP BY 1, 2), o AS (SELECT cell, stat AS observed FROM st WHERE replicate = 0) SELECT cell, {R('observed')} AS observed, {R('(1e0 + count(*) FILTER (replicate > 0 AND stat >= observed)) / 51')} AS p FROM st JOIN o USING (cell) GROUP BY cell, observed", "pw")
 def r30(spark, sf):
     p = pairs(spark, sf).withColumnRenamed("year", "place")
@@ -191,15 +199,29 @@ def r30(spark, sf):
     return rounded(inference.permutation_p(moved, ["cell"], two_sided=True), ["cell"], ["observed", "p"])
 
 
+@query("r30_two_sided_shared_null_all_weeks")
+def r30_all(spark, sf):
+    p = pairs(spark, sf).withColumnRenamed("year", "place")
+    moved = inference.permuted(p, inference.donors(spark, places(spark, sf), 50), ["cell"]).groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
+    return rounded(inference.permutation_p(moved, ["cell"], two_sided=True), ["cell"], ["observed", "p"])
+
+
 @query("r33_field_permutation", f"WITH {DONOR} SELECT replicate, cell, {R('sum(v)')} AS total FROM pw JOIN don ON pw.period = don.donor WHERE don.year < 30 AND replicate < 5 GROUP BY 1, 2", "pw")
 def r33(spark, sf):
     moves = inference.donors(spark, 60, 50).where("replicate < 5 AND place < 30").select("replicate", F.col("donor").alias("period"))
     return rounded(week_panel(spark, sf).join(F.broadcast(moves), "period").groupBy("replicate", "cell").agg(F.sum("v").alias("total")), ["replicate", "cell"], ["total"])
 
 
+@query("r33_field_permutation_all_weeks")
+def r33_all(spark, sf):
+    n = places(spark, sf)  # half of the places, as the total over all doesn't depend on their order
+    moves = inference.donors(spark, n, 50).where(f"replicate < 5 AND place < {n} / 2").select("replicate", F.col("donor").alias("period"))
+    return rounded(week_panel(spark, sf).join(F.broadcast(moves), "period").groupBy("replicate", "cell").agg(F.sum("v").alias("total")), ["replicate", "cell"], ["total"])
+
+
 @query("r41_arima_skill")
 def r41(spark, sf):
-    w = week_panel(spark, sf).where("cell < 3")
+    w = week_panel(spark, sf)
     f = regress.arima(w.where("period < 300").withColumnRenamed("period", "t"), ["cell"], 20)
     both = f.join(w.select("cell", (F.col("period") - 299).alias("lead"), F.col("v").alias("obs")), ["cell", "lead"])
     clim = w.where("period < 300").groupBy("cell").agg(F.avg("v").alias("clim"))
@@ -212,8 +234,8 @@ def r43(spark, sf):
     model = week_panel(spark, sf).where("cell = 1").select("period", F.col("v").alias("model"))
     parts = [rolling.running_mean(w, ["cell"], "period", d).select(F.lit(d).alias("days"), (F.col("period") + 1).alias("period"), F.col("mean").alias("anchor")) for d in (7, 14, 30)]
     anchors = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = w.select("period", F.col("v").alias("y")).join(model, "period").join(anchors, "period").where("period < 60").withColumnRenamed("period", "place")
-    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(spark, 60, 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
+    rows = w.select("period", F.col("v").alias("y")).join(model, "period").join(anchors, "period").withColumnRenamed("period", "place")
+    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(spark, places(spark, sf), 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
 
 
 @query("r47_planted_field")
@@ -231,15 +253,15 @@ def g16(spark, sf):
 
 @query("g20_fixed_mean")
 def g20(spark, sf):
-    full = pairs(spark, sf).where("cell < 4 AND year < 60")
+    full = pairs(spark, sf).groupBy((F.col("cell") % 4).alias("zone"), "year").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     ok = full.groupBy("year").agg(F.count("*").alias("n")).where("n = 4").select("year")
-    rows = full.join(ok, "year", "left_semi").join(F.broadcast(_folds(spark)), "year").select("fold", F.col("cell").alias("zone"), F.lit(1.0).alias("w"), "year", "is_train", "x", "y")
+    rows = full.join(ok, "year", "left_semi").join(F.broadcast(whole_folds(spark, places(spark, sf))), "year").select("fold", "zone", F.lit(1.0).alias("w"), "year", "is_train", "x", "y")
     return rounded(benchmarks.fixed_mean(rows), ["fold", "year"], ["pred", "sigma", "obs_mean"])
 
 
 @query("g21_gridded")
 def g21(spark, sf):
-    rows = pairs(spark, sf).where("year < 60").join(F.broadcast(_folds(spark)), "year").withColumn("zone", F.col("cell") % 3)
+    rows = pairs(spark, sf).join(F.broadcast(whole_folds(spark, places(spark, sf))), "year").withColumn("zone", F.col("cell") % 3)
     signal = rows.groupBy("fold", "zone", "year").agg(F.avg("x").alias("x"))
     return rounded(benchmarks.gridded(rows.select("fold", "cell", "zone", "year", "is_train", "y"), signal), ["fold", "n"], ["rpss"])
 
@@ -288,7 +310,7 @@ def t3(spark, sf):
 
 @query("u3_method_search")
 def u3(spark, sf):
-    p = pairs(spark, sf).where("cell < 5 AND year < 60")
+    p = pairs(spark, sf)
     out = downscale.left_out(p, ["cell"], sorted(downscale.METHODS)).groupBy("cell", "method").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
     return rounded(out.withColumn("r", clean(F.col("r"))), ["cell", "method", "n"], ["r"])
 

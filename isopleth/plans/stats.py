@@ -23,6 +23,17 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return w.join(x, ["cell", "period"]).select("cell", F.col("period").alias("year"), "x", F.col("v").alias("y"))
 
 
+def places(spark: SparkSession, sf: str) -> int:
+    """The number of places of the week panel, for draws and donors over all of it."""
+    last = week_panel(spark, sf).agg(F.max("period")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def whole_folds(spark: SparkSession, n: int) -> DataFrame:
+    """Walk-forward folds over all places: the first half trains only, then come blocks of ten, the last one cut by the end."""
+    return atlas.folds(spark, [(list(range(a)), list(range(a, min(a + 10, n)))) for a in range(max(1, n // 2), n, 10)])
+
+
 def rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.select(*keys, *[r4(F.col(v)).alias(v) for v in values])
 
@@ -67,6 +78,13 @@ def r7(spark, sf):
     return rounded(out, ["feature", "target", "n"], ["slope", "r"])
 
 
+@query("r7_batched_features_all_cells")
+def r7_all(spark, sf):
+    w = week_panel(spark, sf)
+    out = regress.batched(w.select(F.col("cell").alias("feature"), "period", F.col("v").alias("x")), w.select(F.col("cell").alias("target"), "period", F.col("v").alias("y")), ["period"])
+    return rounded(out, ["feature", "target", "n"], ["slope", "r"])
+
+
 @query("r8_detrend", f"WITH s AS (SELECT cell, regr_slope(v, period) AS b, regr_intercept(v, period) AS a FROM pw WHERE period < 200 GROUP BY cell) SELECT cell, period, {R('v - a - b * period')} AS detrended FROM pw JOIN s USING (cell)", "pw")
 def r8(spark, sf):
     return rounded(regress.detrend(week_panel(spark, sf).withColumn("t", F.col("period")), ["cell"], F.col("period") < 200), ["cell", "period"], ["detrended"])
@@ -132,7 +150,7 @@ def r15(spark, sf):
 
 @query("r16_top_combo")
 def r16(spark, sf):
-    w = week_panel(spark, sf).where("period < 60")
+    w = week_panel(spark, sf)
     x = w.where("cell BETWEEN 1 AND 5").select(F.col("period").alias("year"), F.col("cell").alias("feature"), F.col("v").alias("x"))
     y = w.where("cell = 0").select(F.col("period").alias("year"), F.col("v").alias("y"))
     return rounded(regress.top_combo(x.join(y, "year").withColumn("g", F.lit(0)), ["g"]), ["g", "n"], ["loo_r"])
@@ -245,13 +263,19 @@ def r26(spark, sf):
     return rounded(inference.bootstrap(p, inference.resamples(spark, 60, 40), ["cell"]), ["cell", "n_ok"], ["lo", "hi"])
 
 
+@query("r26_r27_bootstrap_interval_all_weeks")
+def r26_all(spark, sf):
+    p = pairs(spark, sf).withColumnRenamed("year", "place")
+    return rounded(inference.bootstrap(p, inference.resamples(spark, places(spark, sf), 40), ["cell"]), ["cell", "n_ok"], ["lo", "hi"])
+
+
 DONOR = "don AS (SELECT r::INT AS replicate, p::INT AS year, (CASE WHEN r = 0 THEN p ELSE (7 * p + 13 * r) % 60 END)::INT AS donor FROM range(0, 51) a(r), range(0, 60) b(p))"
 PERM = f"{PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, corr(x.x, y.y) AS stat FROM pairs x JOIN don USING (year) JOIN pairs y ON y.cell = x.cell AND y.year = don.donor GROUP BY 1, 2)"
 
 
-def null_stats(spark: SparkSession, sf: str) -> DataFrame:
+def null_stats(spark: SparkSession, sf: str, n: int = 60) -> DataFrame:
     p = pairs(spark, sf).withColumnRenamed("year", "place")
-    moved = inference.permuted(p, inference.donors(spark, 60, 50), ["cell"])
+    moved = inference.permuted(p, inference.donors(spark, n, 50), ["cell"])
     return moved.groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
 
 
@@ -260,12 +284,23 @@ def r29(spark, sf):
     return rounded(inference.permutation_p(null_stats(spark, sf), ["cell"]), ["cell", "n_null"], ["observed", "p"])
 
 
+@query("r29_j10_permutation_p_all_weeks")
+def r29_all(spark, sf):
+    return rounded(inference.permutation_p(null_stats(spark, sf, places(spark, sf)), ["cell"]), ["cell", "n_null"], ["observed", "p"])
+
+
 @query("r31_best_of_grid", f"WITH {PERM} SELECT replicate, cell % 2 AS a, CASE WHEN grouping(cell % 3) = 1 THEN NULL ELSE cell % 3 END AS b, {R('max(stat)')} AS best FROM st GROUP BY GROUPING SETS ((replicate, cell % 2), (replicate, cell % 2, cell % 3))", "pw")
 def r31(spark, sf):
     s = null_stats(spark, sf).withColumns({"a": F.col("cell") % 2, "b": F.col("cell") % 3})
     return rounded(inference.best_of_grid(s, ["a", "b"]), ["replicate", "a", "b"], ["best"])
 
 
+@query("r31_best_of_grid_all_weeks")
+def r31_all(spark, sf):
+    s = null_stats(spark, sf, places(spark, sf)).withColumns({"a": F.col("cell") % 2, "b": F.col("cell") % 3})
+    return rounded(inference.best_of_grid(s, ["a", "b"]), ["replicate", "a", "b"], ["best"])
+
+
 @query("r34_w9_benjamini_hochberg", f"""WITH {PERM}, pv AS (SELECT cell, replicate, cell % 4 AS fam, 1e0 / (1 + exp(10 * stat)) AS p FROM st WHERE replicate < 20), k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, cell * 100 + replicate) AS k, count(*) OVER (PARTITION BY fam) AS m FROM pv)
 SELECT cell, replicate, {R('least(1, min(p * m / k) OVER (PARTITION BY fam ORDER BY k DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM k""", "pw")
 def r34(spark, sf):
@@ -273,12 +308,24 @@ def r34(spark, sf):
     return rounded(inference.benjamini_hochberg(pv, ["fam"]), ["cell", "replicate"], ["q"])
 
 
+@query("r34_w9_benjamini_hochberg_all_weeks")
+def r34_all(spark, sf):
+    pv = null_stats(spark, sf, places(spark, sf)).where("replicate < 20").select("cell", "replicate", (F.col("cell") % 4).alias("fam"), (1 / (1 + F.exp(10 * F.col("stat")))).alias("p"), (F.col("cell") * 100 + F.col("replicate")).alias("id"))
+    return rounded(inference.benjamini_hochberg(pv, ["fam"]), ["cell", "replicate"], ["q"])
+
+
 @query("r35_dedup_family", f"WITH {PERM} SELECT replicate % 3 AS season, cell % 5 AS cluster, {R('min(stat)')} AS q FROM st WHERE cell NOT IN (3, 4) AND replicate <> 0 GROUP BY 1, 2", "pw")
 def r35(spark, sf):
     s = null_stats(spark, sf).select((F.col("replicate") % 3).alias("season"), F.col("replicate").cast("string").alias("band"), F.col("cell").cast("string").alias("predictor"), F.col("stat").alias("q"))
     return rounded(inference.dedup_family(s, ["3", "4"], ["0"], F.col("predictor").cast("int") % 5), ["season", "cluster"], ["q"])
 
 
+@query("r35_dedup_family_all_weeks")
+def r35_all(spark, sf):
+    s = null_stats(spark, sf, places(spark, sf)).select((F.col("replicate") % 3).alias("season"), F.col("replicate").cast("string").alias("band"), F.col("cell").cast("string").alias("predictor"), F.col("stat").alias("q"))
+    return rounded(inference.dedup_family(s, ["3", "4"], ["0"], F.col("predictor").cast("int") % 5), ["season", "cluster"], ["q"])
+
+
 @query("r38_r39_paired_verdict", f"""WITH {PERM}, d AS (SELECT replicate, max(stat) FILTER (cell = 0) - max(stat) FILTER (cell = 1) AS diff FROM st GROUP BY replicate)
 SELECT replicate, {R('diff')} AS diff, CASE WHEN diff > 0 AND replicate / 1e2 <= 0.05e0 THEN CASE WHEN replicate % 2 >= 0.5e0 THEN 'USEFUL' ELSE 'LOW COVERAGE' END ELSE 'NOT' END AS verdict FROM d""", "pw")
 def r38(spark, sf):
@@ -287,15 +334,22 @@ def r38(spark, sf):
     return rounded(out, ["replicate", "verdict"], ["diff"])
 
 
+@query("r38_r39_paired_verdict_all_weeks")
+def r38_all(spark, sf):
+    d = atlas.paired(null_stats(spark, sf, places(spark, sf)).select(F.concat(F.lit("c"), "cell").alias("arm"), "replicate", F.col("stat").alias("rpss")), "c0", "c1")
+    out = inference.verdict(d.select("replicate", "diff", F.col("diff").alias("rpss"), (F.col("replicate") / 100).alias("p"), (F.col("replicate") % 2).alias("coverage")))
+    return rounded(out, ["replicate", "verdict"], ["diff"])
+
+
 @query("r40_arima")
 def r40(spark, sf):
-    w = week_panel(spark, sf).where("cell < 3").withColumnRenamed("period", "t")
+    w = week_panel(spark, sf).withColumnRenamed("period", "t")
     return rounded(regress.arima(w, ["cell"], 5), ["cell", "lead"], ["forecast", "phi", "theta"])
 
 
 @query("r46_logit_terciles")
 def r46(spark, sf):
-    p = pairs(spark, sf).where("cell < 3 AND year < 60").join(scored(spark, sf).select("cell", F.col("period").alias("year"), "obs"), ["cell", "year"])
+    p = pairs(spark, sf).join(scored(spark, sf).select("cell", F.col("period").alias("year"), "obs"), ["cell", "year"])
     return rounded(regress.logit_terciles(p, ["cell"]), ["cell", "year"], ["p0", "p2"])
 
 
@@ -386,9 +440,10 @@ def j13(spark, sf):
 
 @query("g18_r32_atlas_null")
 def g18(spark, sf):
-    p = pairs(spark, sf).where("year < 60").withColumnRenamed("year", "place")
-    folds = atlas.folds(spark, [(list(range(a)), list(range(a, a + 10))) for a in (30, 40, 50)])
-    moved = inference.permuted(p, inference.donors(spark, 60, 4), ["cell"]).withColumnRenamed("place", "year")
+    n = places(spark, sf)
+    p = pairs(spark, sf).withColumnRenamed("year", "place")
+    folds = whole_folds(spark, n)
+    moved = inference.permuted(p, inference.donors(spark, n, 4), ["cell"]).withColumnRenamed("place", "year")
     rows = moved.join(F.broadcast(folds), "year").select("replicate", "fold", (F.col("cell") % 4).alias("zone"), F.lit("w").alias("window"), F.concat(F.lit("k"), "cell").alias("key"), "year", "is_train", "x", "y")
     target = rows.groupBy("replicate", "fold", "zone", "window", "year").agg(F.avg("y").alias("y"))
     chosen = atlas.select(rows.drop("y").join(target, ["replicate", "fold", "zone", "window", "year"]))
@@ -435,6 +490,11 @@ def a22(spark, sf):
     return null_stats(spark, sf).groupBy("cell").agg(F.count_if(F.col("stat") > 0.1).alias("n10"), F.count_if(F.col("stat") > 0.2).alias("n20"))
 
 
+@query("a22_survivor_counts_all_weeks")
+def a22_all(spark, sf):
+    return null_stats(spark, sf, places(spark, sf)).groupBy("cell").agg(F.count_if(F.col("stat") > 0.1).alias("n10"), F.count_if(F.col("stat") > 0.2).alias("n20"))
+
+
 @query("r36_holdout", f"WITH {PAIRS}, s AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, corr(x, y) AS train_r FROM pairs WHERE year < 200 GROUP BY cell) SELECT cell, {R('train_r')} AS train_r, {R('corr(a + b * x, y)')} AS oos_r, count(*) AS n_test FROM pairs JOIN s USING (cell) WHERE year >= 200 GROUP BY cell, train_r", "pw")
 def r36(spark, sf):
     f = regress.split_fit(pairs(spark, sf), ["cell"], F.col("year") < 200)

@@ -24,3 +24,55 @@ def test_groc_of_all_orders(spark):
                 right += (y > x).sum() + 0.5 * (y == x).sum()
                 total += x.size * y.size
         assert abs(got[g] - right / total) < 1e-4
+
+
+def panel(spark):
+    w = stats.pairs(spark, SF).toPandas()
+    return w, stats.week_panel(spark, SF).toPandas()["period"].max() + 1
+
+
+def test_permutation_p_over_all_weeks(spark):
+    p, n = panel(spark)
+    a = next(a for a in range(7, n + 8) if np.gcd(a, n) == 1)
+    got = {r.cell: (r.observed, r.p, r.n_null) for r in rows(spark, "r29_j10_permutation_p_all_weeks")}
+    assert n > 300 and set(got) == set(p["cell"])
+    for cell, part in list(p.groupby("cell"))[:5]:
+        x, y = np.full(n, np.nan), np.full(n, np.nan)
+        x[part["year"]], y[part["year"]] = part["x"], part["y"]
+        found = []
+        for r in range(51):
+            moved = y[(a * np.arange(n) + 13 * r) % n] if r else y
+            both = ~np.isnan(x) & ~np.isnan(moved)
+            found.append(np.corrcoef(x[both], moved[both])[0, 1])
+        want = (1 + sum(v >= found[0] for v in found[1:])) / 51
+        assert abs(got[cell][0] - found[0]) < 1e-4 and abs(got[cell][1] - want) < 1e-4 and got[cell][2] == 50
+
+
+def test_bootstrap_over_all_weeks(spark):
+    p, n = panel(spark)
+    got = {r.cell: (r.lo, r.hi) for r in rows(spark, "r26_r27_bootstrap_interval_all_weeks")}
+    place = lambda r, d: ((r * 7919 + d * 104729 + 17) * 1103515245 + 12345) % 2147483648 // 65536 % n
+    for cell, part in list(p.groupby("cell"))[:5]:
+        at = {int(y): k for k, y in enumerate(part["year"])}
+        x, y, found = part["x"].to_numpy(), part["y"].to_numpy(), []
+        for r in range(40):
+            k = [at[q] for q in (int(place(r, d)) for d in range(n)) if q in at]
+            found.append(np.corrcoef(x[k], y[k])[0, 1])
+        assert np.allclose(got[cell], np.percentile(found, (2.5, 97.5)), atol=1e-4)
+
+
+def test_no_week_or_cell_is_left_out(spark):
+    p, n = panel(spark)
+    assert {(r.cell, r.year) for r in rows(spark, "r46_logit_terciles")} == set(zip(p["cell"], p["year"]))
+    assert {(r.cell, r.n) for r in rows(spark, "u3_method_search")} == {(c, len(x)) for c, x in p.groupby("cell")}
+    assert len({r.cell for r in rows(spark, "r40_arima")}) == 25 == len({r.cell for r in rows(spark, "r41_arima_skill")})
+    assert max(r.year for r in rows(spark, "g20_fixed_mean")) == n - 1
+    assert [r.n for r in rows(spark, "r16_top_combo")][0] > 60
+    assert len(rows(spark, "g18_r32_atlas_null")) == 5 and rows(spark, "g21_gridded") and rows(spark, "r43_persistence_sensitivity")
+    assert len(rows(spark, "r7_batched_features_all_cells")) == 625
+
+
+def test_the_other_nulls_run_over_all_weeks(spark):
+    for name in "r28_block_bootstrap_gap r30_two_sided_shared_null r31_best_of_grid r33_field_permutation r34_w9_benjamini_hochberg r35_dedup_family r38_r39_paired_verdict a22_survivor_counts".split():
+        cut, whole = rows(spark, name), rows(spark, f"{name}_all_weeks")
+        assert len(whole) >= len(cut) > 0 and sorted(map(str, whole)) != sorted(map(str, cut)), name
