@@ -409,6 +409,12 @@ def g2(spark, sf):
     return rounded(discovery.gram(e), ["a", "b"], ["g"])
 
 
+@query("g2_gram_all_columns")
+def g2_all(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cell"), F.posexplode("embedding").alias("col", "v")).withColumn("v", F.col("v").cast("double"))
+    return rounded(discovery.gram(e), ["a", "b"], ["g"])
+
+
 @query("g6_g7_g17_stability")
 def g17(spark, sf):
     m = month_panel(spark, sf).select((F.col("month") % 2).cast("int").alias("fold"), "cell", (F.col("year") * 12 + F.col("month")).alias("col"), "v").where("cell < 24")

@@ -76,3 +76,11 @@ def test_the_other_nulls_run_over_all_weeks(spark):
     for name in "r28_block_bootstrap_gap r30_two_sided_shared_null r31_best_of_grid r33_field_permutation r34_w9_benjamini_hochberg r35_dedup_family r38_r39_paired_verdict a22_survivor_counts".split():
         cut, whole = rows(spark, name), rows(spark, f"{name}_all_weeks")
         assert len(whole) >= len(cut) > 0 and sorted(map(str, whole)) != sorted(map(str, cut)), name
+
+
+def test_gram_of_all_columns(spark):
+    e = np.array(pq.read_table(f"{SF}/embeddings.parquet")["embedding"].to_pylist(), float)
+    got = {(r.a, r.b): r.g for r in rows(spark, "g2_gram_all_columns")}
+    want = e.T @ e
+    assert len(got) == 64 * 65 // 2
+    assert all(abs(g - want[a, b]) < 1e-3 for (a, b), g in got.items())
