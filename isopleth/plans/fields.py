@@ -255,6 +255,11 @@ def f23(spark, sf):
     return table(spark, sf, "pages").select("page_id", slug(F.substring("url", 1, 40)).alias("slug"))
 
 
+@query("f23_slug_whole_url")
+def f23_whole(spark, sf):
+    return table(spark, sf, "pages").select("page_id", slug(F.col("url")).alias("slug"))
+
+
 @query("f24_scatter", f"SELECT dim.cell, {R('v')} AS v FROM dim LEFT JOIN (SELECT cell, sum(v) AS v FROM pm WHERE cell < 20 GROUP BY cell) USING (cell)", "dim pm")
 def f24(spark, sf):
     some = month_panel(spark, sf).where("cell < 20").groupBy("cell").agg(F.sum("v").alias("v"))

@@ -1,5 +1,7 @@
 """Queries over whole tables and panels, held against brute force."""
 
+import re
+
 import numpy as np
 import pyarrow.parquet as pq
 from isopleth.plans import base, fields, more, stats  # noqa: F401
@@ -84,3 +86,10 @@ def test_gram_of_all_columns(spark):
     want = e.T @ e
     assert len(got) == 64 * 65 // 2
     assert all(abs(g - want[a, b]) < 1e-3 for (a, b), g in got.items())
+
+
+def test_slug_of_the_whole_url(spark):
+    urls = dict(zip(*(pq.read_table(f"{SF}/pages.parquet")[c].to_pylist() for c in ("page_id", "url"))))
+    got = {r.page_id: r.slug for r in rows(spark, "f23_slug_whole_url")}
+    assert got == {k: re.sub("[^a-z0-9]+", "-", u.lower()).strip("-")[:80] for k, u in urls.items()}
+    assert any(len(u) > 40 and len(got[k]) > 40 for k, u in urls.items())
