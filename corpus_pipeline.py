@@ -46,8 +46,8 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training sequences, a row per piece."""
-    return packing.pack(docs)
+    """Packs what is left into training sequences, a row per piece with its token ids."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [

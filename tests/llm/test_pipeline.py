@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline as cp
 from test_decontam import brute as brute_leaks
 from test_line_dedup import brute as brute_lines
@@ -40,3 +42,8 @@ def test_odd_rows(spark, odd, empty):
 def test_rows_without_an_id_stay(spark):
     frame = spark.createDataFrame([(None, "One text without an id, unlike any other in here."), (None, "Und noch ein anderer Satz, der ganz alleine steht."), (3, "x")], "doc_id long, text string")
     assert cp.simhash_stage(spark, frame, SF).count() == 3
+
+
+def test_the_sequences_are_written(spark, docs):
+    rows = cp.packing_stage(spark, docs.limit(50), SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 % 2**32 for r in rows)
