@@ -71,17 +71,19 @@ class _Chunks(dict):
 class Encoder:
     """The ids of the lower-casing word tokenizer, by memory of the parts between white space.
 
-    Only texts below U+0250 go that way, where each code point stands for
-    itself under normalisation; the others go through the tokenizer whole.
+    Only texts below U+0250 go that way, whose code points stand for themselves
+    under normalisation and stay there in lower case; the others, and texts with
+    a literal special token, go through the tokenizer whole. The ids are those
+    of the tokenizer as loaded, so a literal special token is its own id.
     """
 
-    odd = re.compile("[\x1c-\x1fİɐ-\U0010ffff]").search
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        high = "".join(chr(c) for c in range(0x250) if any(ord(x) >= 0x250 for x in chr(c).lower()))
+        self.odd = re.compile("|".join([f"[\x1c-\x1f{high}ɐ-\U0010ffff]", *special])).search
         self.chunks = _Chunks(_Words(self.tokenizer.model))
 
     def __call__(self, text: str) -> np.ndarray:
@@ -212,8 +214,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     longest tier, so none is padded. ``tier`` is the sequence's length and
     ``step_group`` names a group of sequences with about group_tokens tokens.
 
-    Null and empty texts are the closing id alone. Null ids and repeated rows
-    are packed like others. An empty table gives an empty result. Other
+    Null and empty texts are the closing id alone. A text of any length is cut
+    into pieces of at most the longest tier. Null ids and repeated rows are
+    packed like others; equal lengths are taken in the order of the rows. An empty table gives an empty result. Other
     columns are ignored. sequence_id and step_group hold the partition's
     number above bit 36.
     """

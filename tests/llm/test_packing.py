@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,6 @@ from isopleth.llm import packing
 
 def check(frame):
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     want = sorted(tuple(tok.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in frame.select("text").collect())
     rows = packing.pack(frame, keep_ids=True, window_tokens=20_000).collect()
     docs, sequences = defaultdict(list), defaultdict(list)
@@ -53,3 +53,16 @@ def test_groups_are_balanced(docs):
         load[r.step_group] += r.tier
     full = sorted(load.values())[1:]
     assert max(full) <= 2 * packing.GROUP_TOKENS and min(full) >= packing.GROUP_TOKENS // 2
+
+
+def test_ids_are_the_tokenizers():
+    tok, enc = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    texts = [t for c in range(0x250) for t in (chr(c), f"a{chr(c)}b", f"1{chr(c)}2", f"A{chr(c)} {chr(c)}'S")]
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts += [t for x in special for t in (x, f"ab{x}cd", f"{x} {x}", x.upper(), x[:-1], f"Ɗan {x}")]
+    rnd = random.Random(11)
+    parts = [*map(chr, range(0x250)), *special, " ", "\n", "'s", "'LL", "e\u0301", "中", "😂", "the", "42"]
+    texts += ["".join(rnd.choices(parts, k=rnd.randrange(1, 12))) for _ in range(50_000)]
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want) if enc(t).tolist() != w.ids]
+    assert not wrong
