@@ -2,13 +2,15 @@
 
 Distinct fingerprints form a binary trie. Pairs of nodes are traversed
 together from the root: each step adds the bits in which they differ, and a
-pair is pruned when it exceeds its error budget. Two fingerprints within
-``max_bits`` differ in at most half of them in one of their 32-bit halves, so
-two tries are joined, one of each order of the halves, with that smaller
-budget down to depth 32. This keeps the visits near-linear in the input.
+pair is pruned when it exceeds its error budget.
+
+Each view of a fingerprint turns some of its bits to the front as a head with
+a small budget of its own, and of that head a piece first that may not differ
+at all: two heads with at most two differing bits agree in one of three
+pieces. Nodes below the piece are dealt to tasks without copies, and the
+visits of a trie stay near-linear in the input. Beyond the piece's length the
+nodes are dealt out under the head's budget.
 
-The top of the trie is dealt out: a task gets one pair of nodes at a depth
-that grows with the number of fingerprints, and joins the subtrees below.
 Inside a task, node pairs whose leaves are already in one component are
 pruned too, so that dense groups of near copies don't expand into all pairs;
 a task returns a spanning forest of the links that it found.
@@ -17,11 +19,12 @@ a task returns a spanning forest of the links that it found.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,60 +32,212 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Seeds of the fingerprint and of the second one that similar_documents() adds.
-SEED, SECOND = 42, 43
-#: Node pairs that a task holds in one step; leaves that a dealt node should have.
-FRONTIER, NODE_LEAVES = 1 << 17, 16384
-#: The same for wider budgets, whose nodes have many more neighbours to be dealt to.
-WIDE_LEAVES = 1 << 17
-
-
-def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = SEED) -> int:
-    """The 64-bit fingerprint (unsigned): a bit is set where over half of the shingles' hashes have it. No word: 0."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < words_per_shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = list(accumulate((len(w) + 1 for w in words), initial=-1))  # of word i: ends[i + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a + 1 : b], seed) for a, b in zip(ends, ends[words_per_shingle:])]
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp), with a second seed fp2 too: a row per input row, fingerprints as signed longs. Null and empty texts have 0."""
-    names = ["doc_id", "fp", "fp2"][: 1 + len(seeds)]
+SEED = 42
+#: Words of a wide fingerprint; bits of all its words in which linked ones may differ; its heads that are searched.
+WIDE_WORDS, WIDE_BITS, WIDE_HEADS = 8, 86, 12
+#: Node pairs that a task holds in one step; leaves that a dealt node should have; trie levels whose counts a task keeps.
+FRONTIER, NODE_LEAVES, LEVELS = 1 << 17, 16384, 96
+#: Shingles and bytes that a task hashes at a time.
+SHINGLES, PART_BYTES = 1 << 15, 1 << 22
+_BYTE_ONES = np.uint64(0x0101010101010101)
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+# --- fingerprints ------------------------------------------------------------------------------------------------------
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts that end where a word ends."""
+    at = 0
+    while len(raw) - at > PART_BYTES:
+        end = _SPACE.search(raw, at + PART_BYTES)
+        if end is None:
+            break
+        yield raw[at : end.start()]
+        at = end.start()
+    yield raw[at:] if at else raw
+
+
+def shingle_hashes(text: str | None, words_per_shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text in order, repeats included; of the whole sequence where it has fewer words, none without words."""
+    digest, carried, made = xxhash.xxh64_intdigest, [], []
+    for part in _parts((text or "").encode("utf-8").lower()):
+        words = carried + part.split()
+        if len(words) >= words_per_shingle:
+            joined = b" ".join(words)
+            ends = list(accumulate((len(w) + 1 for w in words), initial=-1))  # of word i: ends[i + 1]
+            made.append(np.fromiter((digest(joined[a + 1 : b], seed) for a, b in zip(ends, ends[words_per_shingle:])), np.uint64, len(words) - words_per_shingle + 1))
+            carried = words[len(words) - words_per_shingle + 1 :]
+        else:
+            carried = words
+    if not made:
+        return np.array([digest(b" ".join(carried), seed)] if carried else [], np.uint64)
+    return np.concatenate(made)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash; the hash itself for 0."""
+    if not k:
+        return h
+    z = h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majorities(h: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """(documents, words): the majority of each bit over each document's hashes; every document has at least one.
+
+    Eight bits lie in the eight bytes of a number and are counted together, at most 255 hashes at a time.
+    """
+    many = -(-counts // 255)
+    first = np.cumsum(many) - many
+    begin = np.repeat(np.cumsum(counts) - counts, many) + 255 * (np.arange(many.sum()) - np.repeat(first, many))
+    out = np.empty((len(counts), words), np.uint64)
+    for k in range(words):
+        x, sums = _mixed(h, k), np.empty((len(begin), 8, 8), np.uint8)
+        for b in range(8):
+            sums[:, :, b] = np.add.reduceat((x >> np.uint64(b)) & _BYTE_ONES, begin).astype("<u8").view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(sums.reshape(-1, 64), first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def prints(texts: list[str | None], words_per_shingle: int = 4, words: int = 1) -> np.ndarray:
+    """(texts, words): fingerprints of 64 bits a word: a bit is set where over half of the shingles' hashes have it. No word: 0."""
+    out = np.zeros((len(texts), words), np.uint64)
+    rows, hashes, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal rows, hashes, held
+        if rows:
+            out[rows] = _majorities(np.concatenate(hashes), np.array([len(h) for h in hashes]), words)
+        rows, hashes, held = [], [], 0
+
+    for k, text in enumerate(texts):
+        h = shingle_hashes(text, words_per_shingle)
+        if len(h):
+            rows.append(k)
+            hashes.append(h)
+            held += len(h)
+        if held >= SHINGLES:
+            flush()
+    flush()
+    return out
+
+
+def names(words: int) -> list[str]:
+    return [f"w{k}" for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, w0, ...): a row per input row, a fingerprint as signed longs. Null and empty texts have 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            made = [pa.array(np.array([fingerprint(x, words_per_shingle, seed) for x in texts], dtype=np.uint64).view(np.int64)) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], names)
+            made = prints(b.column(1).to_pylist(), words_per_shingle, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(words)]], ["doc_id", *names(words)])
+
+    schema = ", ".join(f"{n} long" for n in ["doc_id", *names(words)])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, schema)
+
+
+# --- the trie ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class View:
+    """A word of the fingerprint turned left by ``turn``; of its first ``head`` bits those from ``offset`` on come first, ``piece`` of them exact."""
+
+    word: int
+    turn: int
+    head: int
+    offset: int
+    piece: int
+
+    def seen(self, x: np.ndarray) -> np.ndarray:
+        turn, head, low = np.uint64(self.turn), np.uint64(self.head), np.uint64(64 - self.head)
+        x = (x << turn) | (x >> (np.uint64(64) - turn)) if self.turn else x
+        top, rest = x >> low, x & np.uint64((1 << (64 - self.head)) - 1)
+        if self.offset:
+            top = ((top << np.uint64(self.offset)) | (top >> (head - np.uint64(self.offset)))) & np.uint64((1 << self.head) - 1)
+        return (top << low) | rest
+
+    def prefix(self, depth: int) -> Column:
+        """The first ``depth`` bits (at most the head's) of the word as seen."""
+        x = F.col(f"w{self.word}")
+        x = F.shiftleft(x, self.turn).bitwiseOR(F.shiftrightunsigned(x, 64 - self.turn)) if self.turn else x
+        top = F.shiftrightunsigned(x, 64 - self.head)
+        if self.offset:
+            top = F.shiftleft(top, self.offset).bitwiseOR(F.shiftrightunsigned(top, self.head - self.offset)).bitwiseAND(F.lit((1 << self.head) - 1))
+        return F.shiftrightunsigned(top, self.head - depth).cast("int")
+
+
+def _cut(head: int) -> list[tuple[int, int]]:
+    """(offset, length) of the three pieces of a head."""
+    at = [round(head * k / 3) for k in range(4)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A search: views whose heads may differ in ``errors`` bits, of fingerprints that may differ in ``most`` bits in all."""
+
+    words: int
+    views: tuple[View, ...]
+    errors: int
+    most: int
+
+    def budgets(self, view: View) -> list[tuple[np.ndarray, int]]:
+        """Error budgets by depth and the bits of a link, from close pairs to all; what close pairs connect is pruned afterwards."""
+        out = []
+        for errors, most in ((0, self.most // 2), (self.errors, self.most)):
+            budget = np.full(64 * self.words + 1, most)
+            budget[: view.head + 1] = min(errors, most)
+            budget[: view.piece + 1] = 0
+            out.append((budget, most))
+        return out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
+
+def narrow(max_bits: int = 4) -> Plan:
+    """All pairs within max_bits (up to 5) of 64: one of the halves has at most two differing bits."""
+    if not 0 <= max_bits <= 5:
+        raise ValueError("two halves of a word with at most two differing bits each hold up to five")
+    return Plan(1, tuple(View(0, turn, 32, o, n) for turn in (0, 32) for o, n in _cut(32)), 2, max_bits)
+
+
+def wide(words: int = WIDE_WORDS, max_bits: int = WIDE_BITS, heads: int = WIDE_HEADS) -> Plan:
+    """Pairs within max_bits of all words whose distance in one of the heads of 24 bits (two in a word) is at most two."""
+    return Plan(words, tuple(View(k % words, 32 * (k // words), 24, o, n) for k in range(heads) for o, n in _cut(24)), 2, max_bits)
 
 
 class _Leaves:
-    """Sorted fingerprints of a task; ones[t] counts set bits at depth t before each place."""
+    """Sorted fingerprints of a task, by column; counts of set bits before each place, a level of the trie at a time."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
         self.ones: dict[int, np.ndarray] = {}
 
     def mid(self, depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if depth not in self.ones:
-            bit = (self.values >> np.uint64(63 - depth)) & np.uint64(1)
+            if len(self.ones) >= LEVELS:
+                self.ones.pop(next(iter(self.ones)))
+            bit = (self.columns[depth >> 6] >> np.uint64(63 - (depth & 63))) & np.uint64(1)
             self.ones[depth] = np.concatenate([[0], np.cumsum(bit.astype(np.int32))]).astype(np.int32)
         c = self.ones[depth]
         return hi - (c[hi] - c[lo])
 
+    def near(self, i: np.ndarray, j: np.ndarray, head: int, errors: int, most: int) -> np.ndarray:
+        d = self.columns[0][i] ^ self.columns[0][j]
+        total = np.bitwise_count(d).astype(np.int64)
+        ok = (np.bitwise_count(d >> np.uint64(64 - head)) <= errors) & (total <= most)
+        if len(self.columns) > 1 and ok.any():
+            k = np.flatnonzero(ok)
+            for c in self.columns[1:]:
+                total[k] += np.bitwise_count(c[i[k]] ^ c[j[k]])
+            ok = ok & (total <= most)
+        return ok
+
 
 def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Unites the components of i[k] and j[k]; parent points at roots before and after."""
@@ -98,31 +253,31 @@ def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth: int, err: int, max_bits: int, other: np.ndarray | None = None, both_bits: int = 0) -> np.ndarray:
-    """Joins the subtrees over values[a) and values[b) (sorted, equal or apart); returns each leaf's component as a place.
+def trie_links(columns: list[np.ndarray], a: tuple[int, int], b: tuple[int, int], depth: int, err: int, plan: Plan, view: View) -> np.ndarray:
+    """Joins the subtrees over places a and b (equal or apart) of sorted, distinct fingerprints; returns each leaf's component as a place.
 
-    values: sorted distinct uint64; ``depth`` bits of each subtree are common and ``err`` of those differ between the two.
-    With ``other``, each leaf's second fingerprint, a pair also has at most both_bits differing bits in the two together.
+    columns: the words, the view's as seen by it first. ``depth`` bits of each subtree are common and ``err`` of those differ between the two.
     """
-    n, half = len(values), max_bits // 2
-    leaves, parent = _Leaves(values), np.arange(n)
-    for total in sorted({1, 2, max_bits} & set(range(1, max_bits + 1)) | {max_bits}):
-        change = np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])]) if n else np.zeros(0)
-        one = lambda lo, hi: change[hi - 1] == change[lo]  # noqa: E731  all leaves in one component
-        stack = [(depth, np.array([a[0]]), np.array([a[1]]), np.array([b[0]]), np.array([b[1]]), np.array([err]))]
+    n, bits = len(columns[0]), 64 * len(columns)
+    leaves, parent = _Leaves(columns), np.arange(n)
+    for budget, most in plan.budgets(view):
+        errors, stale = int(budget[view.head]), True
+        stack = [(depth, *(np.array([v], np.int32) for v in (*a, *b, err)))]
         while stack:
             t, alo, ahi, blo, bhi, e = stack.pop()
-            alive = (alo < ahi) & (blo < bhi) & (e <= (min(half, total) if t <= 32 else total))
-            alive[alive] &= ~(one(alo[alive], ahi[alive]) & one(blo[alive], bhi[alive]) & (parent[alo[alive]] == parent[blo[alive]]))
+            if stale:
+                change, stale = np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])]) if n else np.zeros(0), False
+            alive = np.flatnonzero((alo < ahi) & (blo < bhi) & (e <= budget[t]))
+            x, y, u, v = alo[alive], ahi[alive] - 1, blo[alive], bhi[alive] - 1
+            alive = alive[(change[x] != change[y]) | (change[u] != change[v]) | (parent[x] != parent[u])]  # the others are in one component
             alo, ahi, blo, bhi, e = (x[alive] for x in (alo, ahi, blo, bhi, e))
-            single = (ahi - alo == 1) & (bhi - blo == 1) | (t == 64)
+            single = ((ahi - alo) * (bhi - blo) == 1) | (t == bits)
             if single.any():
                 i, j = alo[single], blo[single]
-                bits = np.bitwise_count(values[i] ^ values[j])
-                near = bits <= total
-                if other is not None:
-                    near &= bits + np.bitwise_count(other[i] ^ other[j]) <= both_bits
-                _united(parent, i[near], j[near])
+                near = leaves.near(i, j, view.head, errors, most)
+                if near.any():
+                    _united(parent, i[near], j[near])
+                    stale = True
                 alo, ahi, blo, bhi, e = (x[~single] for x in (alo, ahi, blo, bhi, e))
             if not len(alo):
                 continue
@@ -131,60 +286,51 @@ def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth
                     stack.append((t, *(x[at : at + FRONTIER] for x in (alo, ahi, blo, bhi, e))))
                 continue
             amid, bmid = leaves.mid(t, alo, ahi), leaves.mid(t, blo, bhi)
-            mixed = alo != blo  # a node paired with itself has its mixed pair once
-            parts = [(alo, amid, blo, bmid, e), (amid, ahi, bmid, bhi, e), (alo, amid, bmid, bhi, e + 1), (amid[mixed], ahi[mixed], blo[mixed], bmid[mixed], e[mixed] + 1)]
+            parts = [(alo, amid, blo, bmid, e), (amid, ahi, bmid, bhi, e)]
+            cross = np.flatnonzero(e < budget[t + 1])
+            if len(cross):
+                alo, ahi, blo, bhi, e, amid, bmid = (x[cross] for x in (alo, ahi, blo, bhi, e, amid, bmid))
+                mixed = alo != blo  # a node paired with itself has its mixed pair once
+                parts += [(alo, amid, bmid, bhi, e + 1), (amid[mixed], ahi[mixed], blo[mixed], bmid[mixed], e[mixed] + 1)]
             stack.append((t + 1, *(np.concatenate(x) for x in zip(*parts))))
     return parent
 
 
-def _turned(fp: Column) -> Column:
-    """The two halves of a fingerprint swapped."""
-    return F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
+def _masks(free: int, most: int) -> list[int]:
+    """Numbers of ``free`` bits with at most ``most`` (up to 2) set."""
+    one = [1 << k for k in range(free)] if most else []
+    return [0, *one, *(x | y for k, x in enumerate(one) for y in one[:k] if most > 1)]
 
 
-def _masks(depth: int, most: int) -> list[int]:
-    one = [1 << k for k in range(depth)]
-    return sorted({0, *(one if most else []), *(x | y for x in one for y in one if most > 1 and x != y)} if most < 3 else {m for m in range(1 << depth) if m.bit_count() <= most})
-
-
-def links(reps: DataFrame, max_bits: int = 4, node_leaves: int = NODE_LEAVES, both_bits: int = 0) -> DataFrame:
-    """(u, v) over distinct fingerprints ``fp``: enough links to connect all that are within max_bits, at most one per leaf and task.
-
-    With a column fp2 the tries of both fingerprints are joined: a link is within max_bits in one of them and within
-    both_bits in the two together (equal ones in either are linked).
-    """
-    two = "fp2" in reps.columns
+def links(reps: DataFrame, plan: Plan, node_leaves: int = NODE_LEAVES) -> DataFrame:
+    """(u, v) over ``node`` of distinct fingerprints (node, w0, ...): enough links to connect all that the plan finds, at most one per leaf and task."""
+    columns = names(plan.words)
     n = reps.count()
-    depth = min(16, max(4, math.ceil(math.log2(max(1, n / node_leaves)))))
-    masks = F.array(*[F.lit(m) for m in _masks(depth, max_bits // 2)])
-    y = F.col("fp2") if two else F.lit(0).cast("long")
-    kinds = [(0, F.col("fp"), y), (1, _turned(F.col("fp")), y)]
-    if two:
-        kinds += [(2, F.col("fp2"), F.col("fp")), (3, _turned(F.col("fp2")), F.col("fp"))]
-    turns = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), a.alias("x"), b.alias("y")) for k, a, b in kinds])).alias("t")).select("t.turn", "t.x", "t.y", F.col("fp").alias("node"))
-    nodes = turns.select("turn", "x", *(["y", "node"] if two else []), F.shiftrightunsigned("x", 64 - depth).cast("int").alias("p"), F.explode(masks).alias("m"))
+    depth = max(1, math.ceil(math.log2(max(1, n / node_leaves))))
+    seen = []
+    for k, view in enumerate(plan.views):
+        d = min(depth, view.head)
+        flips = F.array(*[F.lit(m) for m in _masks(max(0, d - view.piece), plan.errors)])
+        seen.append(F.struct(F.lit(k).alias("view"), view.prefix(d).alias("p"), flips.alias("flips")))
+    nodes = reps.select("node", *columns, F.explode(F.array(*seen)).alias("s")).select("node", *columns, "s.view", "s.p", F.explode("s.flips").alias("m"))
     q = F.col("p").bitwiseXOR(F.col("m"))
-    dealt = nodes.select("turn", F.least("p", q).alias("a"), F.greatest("p", q).alias("b"), "x", *(["y", "node"] if two else []))
-
-    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        turn, a, b = (int(k) for k in key)
-        x = rows["x"].to_numpy(np.int64).view(np.uint64)
-        values, first, group = np.unique(x, return_index=True, return_inverse=True)
-        cut = int(np.searchsorted(values, np.uint64(b << (64 - depth))))
-        ranges = ((0, len(values)),) * 2 if a == b else ((0, cut), (cut, len(values)))
-        other = rows["y"].to_numpy(np.int64).view(np.uint64)[first] if two else None
-        root = trie_links(values, *ranges, depth, (a ^ b).bit_count(), max_bits, other, both_bits)
-        if two:
-            node = rows["node"].to_numpy(np.int64)
-            u, v = node, node[first[root[group]]]
-            return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
-        moved = np.flatnonzero(root != np.arange(len(values)))
-        u, v = values[moved], values[root[moved]]
-        if turn:
-            u, v = ((x << np.uint64(32)) | (x >> np.uint64(32)) for x in (u, v))
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return dealt.groupBy("turn", "a", "b").applyInPandas(joined, "u long, v long")
+    dealt = nodes.select("view", F.least("p", q).alias("a"), F.greatest("p", q).alias("b"), "node", *columns)
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        k, a, b = (v.as_py() for v in key)
+        view = plan.views[k]
+        d = min(depth, view.head)
+        words = [rows.column(c).to_numpy().view(np.uint64) for c in columns]
+        ordered = [view.seen(words[view.word]), *(w for j, w in enumerate(words) if j != view.word)]
+        order = np.lexsort(ordered[::-1]) if len(ordered) > 1 else np.argsort(ordered[0])
+        ordered, node = [w[order] for w in ordered], rows.column("node").to_numpy()[order]
+        cut = int(np.searchsorted(ordered[0], np.uint64(b << (64 - d)))) if b else 0
+        ranges = ((0, len(node)),) * 2 if a == b else ((0, cut), (cut, len(node)))
+        root = trie_links(ordered, *ranges, d, (a ^ b).bit_count(), plan, view)
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"u": node[moved], "v": node[root[moved]]})
+
+    return dealt.groupBy("view", "a", "b").applyInArrow(joined, "u long, v long")
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -212,38 +358,38 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _classes(docs: DataFrame, plan: Plan, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, w0, ..., component_id): a row per row of docs."""
+    scratch, columns = Scratch(docs.sparkSession, "simhash"), names(plan.words)
+    marked = scratch.write(fingerprints(docs, words_per_shingle, plan.words, id_col, text_col), "fingerprints")
+    reps = marked.groupBy(*columns).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    reps = scratch.write(reps, "reps")  # a node's number holds from here on
+    roots = components(links(reps.drop("rep"), plan), scratch)
+    named = scratch.write(reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    classes = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return marked.join(named.join(classes, "root").select(*columns, "component_id"), columns).select("doc_id", *columns, "component_id")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: (doc_id, fp, component_id), the smallest doc_id that links of at most max_bits reach.
+    """A row per input row: (doc_id, fp, component_id), the smallest doc_id that links of at most max_bits (up to 5) of 64 reach.
 
     Null, empty and blank texts have fingerprint 0 and link like any other.
+    Very long texts are hashed in parts and give the fingerprint of the whole.
     Exact copies share a fingerprint and are joined once, whatever their
     number. Null ids take part and are never the smallest unless a component
     has no other (then component_id is null). Repeated rows are returned
-    again. An empty table gives an empty result. Other columns are ignored.
+    again. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, words_per_shingle, id_col, text_col), "fingerprints")
-    reps = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    return _classes(marked, reps, links(reps, max_bits), scratch)
-
-
-def _classes(marked: DataFrame, reps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row of marked (doc_id, fp) with the smallest id of its fingerprint's component."""
-    roots = components(edges, scratch)
-    named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = scratch.write(named, "roots")
-    classes = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return marked.join(named.join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, narrow(max_bits), words_per_shingle, id_col, text_col).select("doc_id", F.col("w0").alias("fp"), "component_id")
 
 
-def similar_documents(docs: DataFrame, max_bits: int = 8, both_bits: int = 20, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As near_duplicates, for shingles that overlap by about 0.8 or more: a second fingerprint widens the search and confirms what it finds.
+def similar_documents(docs: DataFrame, plan: Plan | None = None, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id), as near_duplicates, for texts whose shingles have a similarity of about 0.8 or more.
 
-    At that similarity about 15 % of a fingerprint's bits differ. A pair is found within max_bits of 64 in either
-    fingerprint, and counts within both_bits of 128, which unrelated texts don't reach by chance at any scale. The
-    budget of a trie stays small, which finds nearly all pairs from 0.9 on and most of those between 0.8 and 0.9.
+    A single 64-bit fingerprint can't tell such pairs: about 15 % of its bits differ, give or take 4.5 %. Here a
+    fingerprint has eight words; two are linked if they differ in at most 86 of the 512 bits (16.8 %) and in at most two
+    bits of one of twelve heads, which the tries find. README has the recall by similarity. The cases of
+    near_duplicates hold here too.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, words_per_shingle, id_col, text_col, (SEED, SECOND)), "fingerprints")
-    reps = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2")), "reps")
-    return _classes(marked, reps, links(reps, max_bits, WIDE_LEAVES, both_bits), scratch)
+    return _classes(docs, plan or wide(), words_per_shingle, id_col, text_col).select("doc_id", "component_id")
