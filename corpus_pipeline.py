@@ -31,7 +31,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (five-word shingles, a similarity of about 0.8 or more) the document with the smallest id."""
+    """Keeps of each group of near copies (five-word shingles, a similarity of about 0.8 or more) the document with the smallest id.
+
+    Rows without an id count as above all ids; of equal ones without an id one stays. Null, empty and wordless texts
+    are copies of each other. An empty table gives an empty result.
+    """
     keyed = _keyed(docs)
     found = simhash.similar_documents(keyed, id_col="_key")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
