@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.scalar import corr
 
+from .regress import loyo
+
 
 def average_rank(by: list[str], value: str) -> Column:
     """Rank from 1 with equals sharing the mean of their ranks."""
@@ -56,33 +61,51 @@ def benjamini_hochberg(rows: DataFrame, by: list[str], p: str = "p", tie: str =
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(down))).drop("_k", "_m")
 
 
-def donors(spark: SparkSession, n: int, replicates: int, a: int = 7, b: int = 13) -> DataFrame:
-    """(replicate, place, donor): arithmetic permutations of places 0 to n - 1, the same in any engine; replicate 0 is the identity.
+def ranked_places(places: DataFrame) -> DataFrame:
+    """(place, k, n): distinct places with their rank from 1 and their number. Places are years or weeks of a record: a small table."""
+    w = Window.partitionBy(F.lit(0))
+    return places.select("place").distinct().select("place", F.row_number().over(w.orderBy("place")).alias("k"), F.count("*").over(w).alias("n"))
+
+
+def _hash(*parts: str) -> Column:
+    return F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
 
-    a must share no factor with n (the next one that doesn't is taken).
-    """
-    while np.gcd(a, n) != 1:
-        a += 1
-    grid = spark.range(replicates + 1).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(spark.range(n).select(F.col("id").cast("int").alias("place"))))
-    return grid.select("replicate", "place", F.when(F.col("replicate") == 0, F.col("place")).otherwise(F.pmod(F.lit(a) * F.col("place") + F.lit(b) * F.col("replicate"), F.lit(n))).cast("int").alias("donor"))
 
+def donors(places: DataFrame, replicates: int) -> DataFrame:
+    """(replicate, k, place, donor): a random permutation of the (usable) places for each replicate, the same in any engine; replicate 0 is the identity.
 
-def drawn_donors(spark: SparkSession, n: int, replicates: int, seed: int, usable: list[int] | None = None) -> DataFrame:
-    """As donors(), drawn at random on the driver; only usable places move, among themselves."""
-    rng, places = np.random.default_rng(seed), np.array(usable if usable is not None else range(n))
-    rows = []
-    for k in range(replicates + 1):
-        moved = places if k == 0 else places[np.argsort(rng.permutation(n)[places], kind="stable")]
-        to = dict(zip(places.tolist(), moved.tolist()))
-        rows += [(k, i, to.get(i, i)) for i in range(n)]
-    return spark.createDataFrame(rows, "replicate int, place int, donor int")
+    A replicate's donors are the places in the order of the hash of replicate and place; the k-th of them gives to the k-th
+    place. One table serves all series, so that what they have in common stays. Rows: replicates times places.
+    """
+    ranked = ranked_places(places)
+    reps = ranked.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("replicate"))
+    given = reps.crossJoin(ranked.select(F.col("place").alias("donor")))
+    order = Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") == 0, F.col("donor")), _hash("replicate", "donor"))
+    return given.withColumn("k", F.row_number().over(order)).join(ranked.select("k", "place"), "k").select("replicate", "k", "place", "donor")
 
 
 def permuted(pairs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
-    """(by, replicate, place, x, y): y of each place taken from its donor; all replicates in one join. The table of moves is small."""
+    """(by, replicate, place, x, y): y of each place taken from its donor; all replicates in one join."""
     x = pairs.select(*by, "place", "x")
     y = pairs.select(*by, F.col("place").alias("donor"), "y")
-    return x.join(F.broadcast(moves), "place").join(y, [*by, "donor"])
+    return x.join(moves.select("replicate", "place", "donor"), "place").join(y, [*by, "donor"])
+
+
+def permutation_test(pairs: DataFrame, moves: DataFrame, by: list[str], statistic: Callable[[DataFrame, list[str]], DataFrame], two_sided: bool = False) -> DataFrame:
+    """permutation_p of any statistic: a function from rows (keys, place, x, y) and the names of the keys to rows (keys, stat)."""
+    return permutation_p(statistic(permuted(pairs, moves, by), [*by, "replicate"]), by, two_sided=two_sided)
+
+
+def correlation_stat(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stat): the correlation of x and y."""
+    return rows.groupBy(*by).agg(corr("x", "y").alias("stat"))
+
+
+def tail_auc_stat(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stat): how well a low x tells a y below its mean, as area under the curve less a half."""
+    mean = rows.groupBy(*by).agg(F.avg("y").alias("_m"))
+    marked = rows.join(mean, by).withColumn("_s", -F.col("x"))
+    return auc(marked, by, "_s", F.col("y") < F.col("_m")).select(*by, (F.col("auc") - 0.5).alias("stat"))
 
 
 def permutation_p(stats: DataFrame, by: list[str], stat: str = "stat", two_sided: bool = False) -> DataFrame:
@@ -96,30 +119,60 @@ def permutation_p(stats: DataFrame, by: list[str], stat: str = "stat", two_sided
 
 def best_of_grid(stats: DataFrame, family: list[str], stat: str = "stat") -> DataFrame:
     """(replicate, family..., best): the largest statistic of each replicate at the family's grains, finest and all but its last key, in one pass."""
-    grains = [family, family[:-1]]
-    sets = ", ".join("(" + ", ".join(["replicate", *g]) + ")" for g in grains)
-    stats.createOrReplaceTempView("_best_of_grid")
-    keys = ", ".join(["replicate", *family])
-    return stats.sparkSession.sql(f"SELECT {keys}, grouping({family[-1]}) AS coarse, max({stat}) AS best FROM _best_of_grid GROUP BY GROUPING SETS ({sets})")
+    keys = [F.col(c) for c in ("replicate", *family)]
+    return stats.groupingSets([keys, keys[:-1]], *keys).agg(F.max(stat).alias("best"))
+
 
+def resamples(places: DataFrame, reps: int) -> DataFrame:
+    """(rep, draw, place): as many draws with replacement as there are places, for each replicate, by a hash: the same in any engine."""
+    ranked = ranked_places(places)
+    grid = ranked.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep")).crossJoin(ranked.select((F.col("k") - 1).alias("draw"), "n"))
+    k = F.conv(F.substring(_hash("rep", "draw"), 1, 15), 16, 10).cast("long") % F.col("n") + 1
+    return grid.select("rep", "draw", k.cast("int").alias("k")).join(ranked.select("k", "place"), "k").select("rep", "draw", "place")
 
-def resamples(spark: SparkSession, n: int, reps: int, a: int = 1103515245, b: int = 12345) -> DataFrame:
-    """(rep, draw, place): n draws with replacement for each replicate by a fixed congruence, the same in any engine."""
-    grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
-    mixed = F.pmod((F.col("rep") * 7919 + F.col("draw") * 104729 + 17) * F.lit(a) + F.lit(b), F.lit(2147483648))
-    return grid.select("rep", "draw", F.pmod(F.floor(mixed / 65536), F.lit(n)).cast("int").alias("place"))
+
+def _usable(v: str) -> Column:
+    return F.col(v).isNotNull() & ~F.isnan(v)
 
 
 def bootstrap(pairs: DataFrame, draws: DataFrame, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(by, lo, hi, n_ok): percentile interval of the correlation of x and y; replicates without spread are left out. The table of draws is small."""
-    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg(corr("x", "y").alias("r")).where(~F.isnan("r") & F.col("r").isNotNull())
+    """(by, lo, hi, n_ok): percentile interval of the correlation of x and y; replicates without spread are left out."""
+    r = pairs.join(draws, "place").groupBy(*by, "rep").agg(corr("x", "y").alias("r")).where(_usable("r"))
     return r.groupBy(*by).agg(F.percentile("r", low).alias("lo"), F.percentile("r", high).alias("hi"), F.count("r").alias("n_ok"))
 
 
+def _gaps(rows: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rep, g): the correlation of x1 with y less that of x2, on shared draws."""
+    return rows.join(draws, "place").groupBy(*by, "rep").agg((corr("x1", "y") - corr("x2", "y")).alias("g")).where(_usable("g"))
+
+
 def bootstrap_gap(pairs: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
     """(by, p_not_better, gap): of two predictors x1 and x2 of y on shared draws: mean gain in correlation of x1, and how often there is none."""
-    r = pairs.join(F.broadcast(draws), "place").groupBy(*by, "rep").agg((corr("x1", "y") - corr("x2", "y")).alias("g")).where(~F.isnan("g") & F.col("g").isNotNull())
-    return r.groupBy(*by).agg(F.avg((F.col("g") <= 0).cast("double")).alias("p_not_better"), F.avg("g").alias("gap"))
+    return _gaps(pairs, draws, by).groupBy(*by).agg(F.avg((F.col("g") <= 0).cast("double")).alias("p_not_better"), F.avg("g").alias("gap"))
+
+
+def bootstrap_gain(rows: DataFrame, draws: DataFrame, by: list[str], level: float = 0.8) -> DataFrame:
+    """(by, lo, hi, n_ok): interval of the gain of x1 over x2 in the correlation of left-out predictions with y. rows: (by, place, x1, x2, y).
+
+    Predictions leave their own place out of the regression, so that the interval belongs to the same statistic as the skill.
+    """
+    ok = rows.where(F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("y").isNotNull())
+    one = loyo(ok.withColumnRenamed("x1", "x"), by).select(*by, "place", "x2", "y", F.col("loo").alias("x1"))
+    two = loyo(one.withColumnRenamed("x2", "x"), by).select(*by, "place", "x1", "y", F.col("loo").alias("x2"))
+    out = _gaps(two, draws, by).groupBy(*by)
+    return out.agg(F.percentile("g", (1 - level) / 2).alias("lo"), F.percentile("g", (1 + level) / 2).alias("hi"), F.count("g").alias("n_ok"))
+
+
+def bootstrap_groc_gap(rows: DataFrame, draws: DataFrame, by: list[str], score: str, other: str, category: str) -> DataFrame:
+    """(by, lo, hi, gap, p_not_better): of two scores' generalised areas under the curve on blocks (places) drawn together: interval and mean of their gap.
+
+    Blocks are drawn whole, so that rows of one place stay together.
+    """
+    drawn = rows.join(draws, "place")
+    keys = [*by, "rep"]
+    a, b = (groc(drawn, keys, s, category).withColumnRenamed("groc", n) for s, n in ((score, "a"), (other, "b")))
+    g = a.join(b, keys).select(*by, (F.col("a") - F.col("b")).alias("g"))
+    return g.groupBy(*by).agg(F.percentile("g", 0.025).alias("lo"), F.percentile("g", 0.975).alias("hi"), F.avg("g").alias("gap"), F.avg((F.col("g") <= 0).cast("double")).alias("p_not_better"))
 
 
 def williams(rows: DataFrame) -> DataFrame:
@@ -130,18 +183,36 @@ def williams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.when(F.col("n") >= 5, (F.col("r1") - F.col("r2")) * F.sqrt(F.try_divide((F.col("n") - 1) * (1 + F.col("r12")), under))))
 
 
+def _average_ranks(v: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
 def exact_spearman_p(x: list[float], y: list[float], most: int = 200_000, draws: int = 5000, seed: int = 0) -> tuple[float, float]:
-    """(rho, one-sided p), by all permutations where there are at most ``most``, else by draws (driver side)."""
-    ranks = lambda v: np.array([(np.sum(np.array(v) < a) + (np.sum(np.array(v) == a) + 1) / 2) for a in v])
-    rx, ry = ranks(x), ranks(y)
-    rho = float(np.corrcoef(rx, ry)[0, 1])
-    n = len(x)
-    if np.prod(np.arange(1, n + 1, dtype=float)) <= most:
-        null = [np.corrcoef(rx, ry[list(p)])[0, 1] for p in itertools.permutations(range(n))]
-        return rho, float(np.mean(np.array(null) >= rho - 1e-12))
+    """(rho, one-sided p), by all permutations where there are at most ``most``, else by draws. No spread in x or y: (nan, nan)."""
+    rx, ry = (_average_ranks(np.asarray(v, float)) for v in (x, y))
+    n = len(rx)
+    if n < 2 or rx.std() == 0 or ry.std() == 0:
+        return float("nan"), float("nan")
+    a, b = (rx - rx.mean()) / rx.std() / n, (ry - ry.mean()) / ry.std()
+    rho = float(a @ b)
+    if math.factorial(min(n, 20)) <= most:
+        return rho, float(np.mean([a @ b[list(p)] >= rho - 1e-12 for p in itertools.permutations(range(n))]))
     rng = np.random.default_rng(seed)
-    null = [np.corrcoef(rx, rng.permutation(ry))[0, 1] for _ in range(draws)]
-    return rho, float((1 + np.sum(np.array(null) >= rho - 1e-12)) / (1 + draws))
+    return rho, float((1 + sum(a @ rng.permutation(b) >= rho - 1e-12 for _ in range(draws))) / (1 + draws))
+
+
+def exact_spearman(rows: DataFrame, by: list[str], most: int = 200_000) -> DataFrame:
+    """(by, rho, p, n) of many small groups (x, y), a group a task's call; a group without spread has nulls."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok = pdf.dropna(subset=["x", "y"]).sort_values(["x", "y"])
+        rho, p = exact_spearman_p(ok["x"].tolist(), ok["y"].tolist(), most)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "rho": [rho], "p": [p], "n": [len(ok)]})
+
+    keys = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in by)
+    out = rows.groupBy(*by).applyInPandas(one, f"{keys}, rho double, p double, n long")
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("rho", "p")})
 
 
 def dedup_family(rows: DataFrame, derived: list[str], composite: list[str], cluster: Column) -> DataFrame:

@@ -190,8 +190,8 @@ def a20(spark, sf):
 
 @query("a26_two_grains", f"SELECT cell, CASE WHEN grouping(month) = 1 THEN NULL ELSE month END AS month, {R('max(v)')} AS best FROM pm GROUP BY GROUPING SETS ((cell), (cell, month))", "pm")
 def a26(spark, sf):
-    month_panel(spark, sf).createOrReplaceTempView("_month_panel")
-    return spark.sql("SELECT cell, month, round(max(v), 4) + 0.0 AS best FROM _month_panel GROUP BY GROUPING SETS ((cell), (cell, month))")
+    keys = [F.col("cell"), F.col("month")]
+    return month_panel(spark, sf).groupingSets([keys[:1], keys], *keys).agg(r4(F.max("v")).alias("best"))
 
 
 @query("f2_f3_wrapping_box", "SELECT cell, lon FROM dim WHERE lat BETWEEN -30 AND 40 AND (((lon - 720) % 360 + 360) % 360 >= 330 OR ((lon - 720) % 360 + 360) % 360 <= 10)", "dim")
@@ -250,13 +250,8 @@ def f22(spark, sf):
     return m.select("start", cal.month_initials(F.col("months")).alias("label"), cal.wraps_col(F.col("months")).alias("wraps"))
 
 
-@query("f23_slug", "SELECT page_id, trim(regexp_replace(lower(substr(url, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+@query("f23_slug", "SELECT page_id, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 80) AS slug FROM pages")
 def f23(spark, sf):
-    return table(spark, sf, "pages").select("page_id", slug(F.substring("url", 1, 40)).alias("slug"))
-
-
-@query("f23_slug_whole_url")
-def f23_whole(spark, sf):
     return table(spark, sf, "pages").select("page_id", slug(F.col("url")).alias("slug"))
 
 

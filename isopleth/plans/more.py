@@ -14,7 +14,7 @@ from isopleth.sources.panels import cells, day_panel, month_panel, table, week_p
 from isopleth.streaming import issuance
 
 from .base import R, query
-from .stats import DONOR, DRAWS, PAIRS, pairs, places, rounded, whole_folds
+from .stats import PAIRS, pairs, places, rounded, whole_folds
 
 
 @query("s5_s8_k8_json_and_hash", "SELECT n_nationkey::INT AS k, n_name AS name FROM nation")
@@ -41,12 +41,6 @@ def f9(spark, sf):
     return table(spark, sf, "events").select("event_id", r4(kelvin_to_celsius(k)).alias("c"))
 
 
-@query("f11_minimum_sample", f"WITH {PAIRS} SELECT cell, count(*) AS n, {R('corr(x, y)')} AS r FROM pairs WHERE year < 100 GROUP BY cell HAVING count(*) >= 25", "pw")
-def f11(spark, sf):
-    rows = pairs(spark, sf).where("year < 100").groupBy("cell").agg(F.count("*").alias("n"), r4(corr("x", "y")).alias("r"))
-    return rows.where("n >= 25")
-
-
 @query("f12_j1_j3_finite_pairs", f"WITH {PAIRS} SELECT cell, year, {R('x')} AS x, {R('y')} AS y FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL AND year IN (SELECT period FROM pw WHERE cell = 0)", "pw")
 def f12(spark, sf):
     have = week_panel(spark, sf).where("cell = 0").select(F.col("period").alias("year"))
@@ -131,8 +125,7 @@ def m18(spark, sf):
 @query("u8_sql_functions", f"SELECT l_orderkey, l_linenumber, {R('5e-1 * ((0.2e0 - (l_linenumber % 3 <= 0)::INT) ** 2 + (0.5e0 - (l_linenumber % 3 <= 1)::INT) ** 2)')} AS s, year(l_shipdate)::INT + (month(l_shipdate) > 2)::INT AS sy FROM lineitem")
 def u8(spark, sf):
     sqlnames.register(spark)
-    table(spark, sf, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("SELECT l_orderkey, l_linenumber, round(rps3(0.2D, 0.3D, l_linenumber % 3), 4) + 0.0D AS s, season_year(year(l_shipdate), month(l_shipdate), 2) AS sy FROM _lineitem")
+    return spark.sql("SELECT l_orderkey, l_linenumber, round(rps3(0.2D, 0.3D, l_linenumber % 3), 4) + 0.0D AS s, season_year(year(l_shipdate), month(l_shipdate), 2) AS sy FROM {lines}", lines=table(spark, sf, "lineitem"))
 
 
 FOLD3 = "fo AS (SELECT k::INT AS fold, p::INT AS year, p < 30 + 10 * k AS is_train FROM range(0, 3) a(k), range(0, 60) b(p) WHERE p < 40 + 10 * k)"
@@ -175,50 +168,6 @@ def r24(spark, sf):
     return q.groupBy("cell").agg(r4(corr((F.col("y") < F.col("q")).cast("double"), F.col("x"))).alias("r"))
 
 
-@query("r28_block_bootstrap_gap", f"""WITH t AS (SELECT a.period AS year, a.v AS y, b.v AS x1, c.v AS x2 FROM pw a JOIN pw b ON b.cell = 1 AND b.period = a.period JOIN pw c ON c.cell = 2 AND c.period = a.period WHERE a.cell = 0), {DRAWS},
-g AS (SELECT rep, corr(x1, y) - corr(x2, y) AS g FROM t JOIN draws USING (year) GROUP BY rep) SELECT 0 AS k, {R('avg((g <= 0)::INT::DOUBLE)')} AS p_not_better, {R('avg(g)')} AS gap FROM g""", "pw")
-def r28(spark, sf):
-    w = week_panel(spark, sf).withColumnRenamed("period", "place")
-    part = lambda k, n: w.where(f"cell = {k}").select("place", F.col("v").alias(n))
-    rows = part(0, "y").join(part(1, "x1"), "place").join(part(2, "x2"), "place").withColumn("k", F.lit(0))
-    return rounded(inference.bootstrap_gap(rows, inference.resamples(spark, 60, 40), ["k"]), ["k"], ["p_not_better", "gap"])
-
-
-@query("r28_block_bootstrap_gap_all_weeks")
-def r28_all(spark, sf):
-    w = week_panel(spark, sf).withColumnRenamed("period", "place")
-    part = lambda k, n: w.where(f"cell = {k}").select("place", F.col("v").alias(n))
-    rows = part(0, "y").join(part(1, "x1"), "place").join(part(2, "x2"), "place").withColumn("k", F.lit(0))
-    return rounded(inference.bootstrap_gap(rows, inference.resamples(spark, places(spark, sf), 40), ["k"]), ["k"], ["p_not_better", "gap"])
-
-
-@query("r30_two_sided_shared_null", f"WITH {PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, abs(corr(x.x, y.y)) AS stat FROM pairs x JOIN don USING (year) JOIN pairs y ON y.cell = x.cell AND y.year = don.donor GROUP BY 1, 2), o AS (SELECT cell, stat AS observed FROM st WHERE replicate = 0) SELECT cell, {R('observed')} AS observed, {R('(1e0 + count(*) FILTER (replicate > 0 AND stat >= observed)) / 51')} AS p FROM st JOIN o USING (cell) GROUP BY cell, observed", "pw")
-def r30(spark, sf):
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    moved = inference.permuted(p, inference.donors(spark, 60, 50), ["cell"]).groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
-    return rounded(inference.permutation_p(moved, ["cell"], two_sided=True), ["cell"], ["observed", "p"])
-
-
-@query("r30_two_sided_shared_null_all_weeks")
-def r30_all(spark, sf):
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    moved = inference.permuted(p, inference.donors(spark, places(spark, sf), 50), ["cell"]).groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
-    return rounded(inference.permutation_p(moved, ["cell"], two_sided=True), ["cell"], ["observed", "p"])
-
-
-@query("r33_field_permutation", f"WITH {DONOR} SELECT replicate, cell, {R('sum(v)')} AS total FROM pw JOIN don ON pw.period = don.donor WHERE don.year < 30 AND replicate < 5 GROUP BY 1, 2", "pw")
-def r33(spark, sf):
-    moves = inference.donors(spark, 60, 50).where("replicate < 5 AND place < 30").select("replicate", F.col("donor").alias("period"))
-    return rounded(week_panel(spark, sf).join(F.broadcast(moves), "period").groupBy("replicate", "cell").agg(F.sum("v").alias("total")), ["replicate", "cell"], ["total"])
-
-
-@query("r33_field_permutation_all_weeks")
-def r33_all(spark, sf):
-    n = places(spark, sf)  # half of the places, as the total over all doesn't depend on their order
-    moves = inference.donors(spark, n, 50).where(f"replicate < 5 AND place < {n} / 2").select("replicate", F.col("donor").alias("period"))
-    return rounded(week_panel(spark, sf).join(F.broadcast(moves), "period").groupBy("replicate", "cell").agg(F.sum("v").alias("total")), ["replicate", "cell"], ["total"])
-
-
 @query("r41_arima_skill")
 def r41(spark, sf):
     w = week_panel(spark, sf)
@@ -235,7 +184,7 @@ def r43(spark, sf):
     parts = [rolling.running_mean(w, ["cell"], "period", d).select(F.lit(d).alias("days"), (F.col("period") + 1).alias("period"), F.col("mean").alias("anchor")) for d in (7, 14, 30)]
     anchors = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = w.select("period", F.col("v").alias("y")).join(model, "period").join(anchors, "period").withColumnRenamed("period", "place")
-    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(spark, places(spark, sf), 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
+    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(places(spark, sf), 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
 
 
 @query("r47_planted_field")
@@ -255,13 +204,13 @@ def g16(spark, sf):
 def g20(spark, sf):
     full = pairs(spark, sf).groupBy((F.col("cell") % 4).alias("zone"), "year").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     ok = full.groupBy("year").agg(F.count("*").alias("n")).where("n = 4").select("year")
-    rows = full.join(ok, "year", "left_semi").join(F.broadcast(whole_folds(spark, places(spark, sf))), "year").select("fold", "zone", F.lit(1.0).alias("w"), "year", "is_train", "x", "y")
+    rows = full.join(ok, "year", "left_semi").join(F.broadcast(whole_folds(spark, sf)), "year").select("fold", "zone", F.lit(1.0).alias("w"), "year", "is_train", "x", "y")
     return rounded(benchmarks.fixed_mean(rows), ["fold", "year"], ["pred", "sigma", "obs_mean"])
 
 
 @query("g21_gridded")
 def g21(spark, sf):
-    rows = pairs(spark, sf).join(F.broadcast(whole_folds(spark, places(spark, sf))), "year").withColumn("zone", F.col("cell") % 3)
+    rows = pairs(spark, sf).join(F.broadcast(whole_folds(spark, sf)), "year").withColumn("zone", F.col("cell") % 3)
     signal = rows.groupBy("fold", "zone", "year").agg(F.avg("x").alias("x"))
     return rounded(benchmarks.gridded(rows.select("fold", "cell", "zone", "year", "is_train", "y"), signal), ["fold", "n"], ["rpss"])
 

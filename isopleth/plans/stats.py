@@ -23,14 +23,15 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return w.join(x, ["cell", "period"]).select("cell", F.col("period").alias("year"), "x", F.col("v").alias("y"))
 
 
-def places(spark: SparkSession, sf: str) -> int:
-    """The number of places of the week panel, for draws and donors over all of it."""
-    last = week_panel(spark, sf).agg(F.max("period")).first()[0]
-    return 0 if last is None else last + 1
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """(place): all weeks of the panel, for draws and donors over all of it."""
+    return week_panel(spark, sf).select(F.col("period").alias("place")).distinct()
 
 
-def whole_folds(spark: SparkSession, n: int) -> DataFrame:
-    """Walk-forward folds over all places: the first half trains only, then come blocks of ten, the last one cut by the end."""
+def whole_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Walk-forward folds over all weeks: the first half trains only, then come blocks of ten, the last one cut by the end."""
+    last = week_panel(spark, sf).agg(F.max("period")).first()[0]
+    n = 0 if last is None else last + 1
     return atlas.folds(spark, [(list(range(a)), list(range(a, min(a + 10, n)))) for a in range(max(1, n // 2), n, 10)])
 
 
@@ -71,18 +72,11 @@ def r6(spark, sf):
     return rounded(regress.grid_sigma(pairs(spark, sf), ["cell"], F.col("year") < 200), ["cell", "year"], ["pred", "sigma"])
 
 
-@query("r7_batched_features", f"SELECT a.cell AS feature, b.cell AS target, {R('regr_slope(b.v, a.v)')} AS slope, {R('corr(b.v, a.v)')} AS r, count(*) AS n FROM pw a JOIN pw b ON a.period = b.period WHERE a.cell < 8 AND b.cell >= 20 GROUP BY 1, 2", "pw")
+@query("r7_batched_features", f"SELECT a.cell AS feature, b.cell AS target, {R('regr_slope(b.v, a.v)')} AS slope, {R('corr(b.v, a.v)')} AS r, {R('(regr_syy(b.v, a.v) - regr_sxy(b.v, a.v) ** 2 / regr_sxx(b.v, a.v)) / count(*)')} AS resid_var, count(*) AS n FROM pw a JOIN pw b ON a.period = b.period GROUP BY 1, 2", "pw")
 def r7(spark, sf):
-    w = week_panel(spark, sf)
-    out = regress.batched(w.where("cell < 8").select(F.col("cell").alias("feature"), "period", F.col("v").alias("x")), w.where("cell >= 20").select(F.col("cell").alias("target"), "period", F.col("v").alias("y")), ["period"])
-    return rounded(out, ["feature", "target", "n"], ["slope", "r"])
-
-
-@query("r7_batched_features_all_cells")
-def r7_all(spark, sf):
     w = week_panel(spark, sf)
     out = regress.batched(w.select(F.col("cell").alias("feature"), "period", F.col("v").alias("x")), w.select(F.col("cell").alias("target"), "period", F.col("v").alias("y")), ["period"])
-    return rounded(out, ["feature", "target", "n"], ["slope", "r"])
+    return rounded(out, ["feature", "target", "n"], ["slope", "r", "resid_var"])
 
 
 @query("r8_detrend", f"WITH s AS (SELECT cell, regr_slope(v, period) AS b, regr_intercept(v, period) AS a FROM pw WHERE period < 200 GROUP BY cell) SELECT cell, period, {R('v - a - b * period')} AS detrended FROM pw JOIN s USING (cell)", "pw")
@@ -183,15 +177,12 @@ def r20b(spark, sf):
     return rounded(inference.auc(s, ["lang"], "n_chars", F.col("quality") == 1, "doc_id"), ["lang", "n_pos", "n_neg"], ["auc"])
 
 
-@query("groc_three_categories", f"""WITH s AS (SELECT o_orderpriority AS g, o_totalprice AS s, o_orderkey % 3 AS c FROM orders WHERE o_orderkey < 600)
-SELECT a.g, {R('avg(CASE WHEN b.s > a.s THEN 1e0 WHEN b.s = a.s THEN 5e-1 ELSE 0e0 END)')} AS groc FROM s a JOIN s b ON a.g = b.g AND a.c < b.c GROUP BY a.g""")
-def groc(spark, sf):
-    s = table(spark, sf, "orders").where("o_orderkey < 600").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("s"), (F.col("o_orderkey") % 3).alias("c"))
-    return rounded(inference.groc(s, ["g"], "s", "c"), ["g"], ["groc"])
+GROC = """{b}, k AS (SELECT b.*, p.lo, p.hi, (c = p.hi)::INT AS up, rank() OVER w + (count(*) OVER (PARTITION BY {g}, p.lo, p.hi, s) - 1) / 2e0 AS r FROM b JOIN (VALUES (0, 1), (0, 2), (1, 2)) p(lo, hi) ON c IN (p.lo, p.hi) WINDOW w AS (PARTITION BY {g}, p.lo, p.hi ORDER BY s)),
+a AS (SELECT {g}, sum(r) FILTER (up = 1) - sum(up) * (sum(up) + 1) / 2e0 AS u, sum(up) * sum(1 - up) AS n FROM k GROUP BY {g}, lo, hi), groc AS (SELECT {g}, sum(u) / sum(n) AS groc FROM a WHERE n > 0 GROUP BY {g})"""
 
 
-@query("groc_all_orders")
-def groc_all(spark, sf):
+@query("groc_three_categories", "WITH " + GROC.format(g="g", b="b AS (SELECT o_orderpriority AS g, o_totalprice AS s, (o_orderkey % 3)::INT AS c FROM orders)") + f" SELECT g, {R('groc')} AS groc FROM groc")
+def groc(spark, sf):
     s = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("s"), (F.col("o_orderkey") % 3).alias("c"))
     return rounded(inference.groc(s, ["g"], "s", "c"), ["g"], ["groc"])
 
@@ -254,93 +245,6 @@ def r25(spark, sf):
     return rounded(inference.williams(r), ["cell"], ["t"])
 
 
-DRAWS = "draws AS (SELECT r AS rep, (floor((((r * 7919 + d * 104729 + 17) * 1103515245 + 12345) % 2147483648) / 65536)::BIGINT % 60)::INT AS year FROM range(0, 40) a(r), range(0, 60) b(d))"
-
-
-@query("r26_r27_bootstrap_interval", f"WITH {PAIRS}, {DRAWS}, b AS (SELECT cell, rep, corr(x, y) AS r FROM pairs JOIN draws USING (year) GROUP BY 1, 2) SELECT cell, {R('quantile_cont(r, 0.025)')} AS lo, {R('quantile_cont(r, 0.975)')} AS hi, count(r) AS n_ok FROM b WHERE NOT isnan(r) GROUP BY cell", "pw")
-def r26(spark, sf):
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    return rounded(inference.bootstrap(p, inference.resamples(spark, 60, 40), ["cell"]), ["cell", "n_ok"], ["lo", "hi"])
-
-
-@query("r26_r27_bootstrap_interval_all_weeks")
-def r26_all(spark, sf):
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    return rounded(inference.bootstrap(p, inference.resamples(spark, places(spark, sf), 40), ["cell"]), ["cell", "n_ok"], ["lo", "hi"])
-
-
-DONOR = "don AS (SELECT r::INT AS replicate, p::INT AS year, (CASE WHEN r = 0 THEN p ELSE (7 * p + 13 * r) % 60 END)::INT AS donor FROM range(0, 51) a(r), range(0, 60) b(p))"
-PERM = f"{PAIRS}, {DONOR}, st AS (SELECT x.cell, don.replicate, corr(x.x, y.y) AS stat FROM pairs x JOIN don USING (year) JOIN pairs y ON y.cell = x.cell AND y.year = don.donor GROUP BY 1, 2)"
-
-
-def null_stats(spark: SparkSession, sf: str, n: int = 60) -> DataFrame:
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    moved = inference.permuted(p, inference.donors(spark, n, 50), ["cell"])
-    return moved.groupBy("cell", "replicate").agg(corr("x", "y").alias("stat"))
-
-
-@query("r29_j10_permutation_p", f"WITH {PERM}, o AS (SELECT cell, stat AS observed FROM st WHERE replicate = 0) SELECT cell, {R('observed')} AS observed, {R('(1e0 + count(*) FILTER (replicate > 0 AND stat >= observed)) / (1 + count(*) FILTER (replicate > 0))')} AS p, count(*) FILTER (replicate > 0) AS n_null FROM st JOIN o USING (cell) GROUP BY cell, observed", "pw")
-def r29(spark, sf):
-    return rounded(inference.permutation_p(null_stats(spark, sf), ["cell"]), ["cell", "n_null"], ["observed", "p"])
-
-
-@query("r29_j10_permutation_p_all_weeks")
-def r29_all(spark, sf):
-    return rounded(inference.permutation_p(null_stats(spark, sf, places(spark, sf)), ["cell"]), ["cell", "n_null"], ["observed", "p"])
-
-
-@query("r31_best_of_grid", f"WITH {PERM} SELECT replicate, cell % 2 AS a, CASE WHEN grouping(cell % 3) = 1 THEN NULL ELSE cell % 3 END AS b, {R('max(stat)')} AS best FROM st GROUP BY GROUPING SETS ((replicate, cell % 2), (replicate, cell % 2, cell % 3))", "pw")
-def r31(spark, sf):
-    s = null_stats(spark, sf).withColumns({"a": F.col("cell") % 2, "b": F.col("cell") % 3})
-    return rounded(inference.best_of_grid(s, ["a", "b"]), ["replicate", "a", "b"], ["best"])
-
-
-@query("r31_best_of_grid_all_weeks")
-def r31_all(spark, sf):
-    s = null_stats(spark, sf, places(spark, sf)).withColumns({"a": F.col("cell") % 2, "b": F.col("cell") % 3})
-    return rounded(inference.best_of_grid(s, ["a", "b"]), ["replicate", "a", "b"], ["best"])
-
-
-@query("r34_w9_benjamini_hochberg", f"""WITH {PERM}, pv AS (SELECT cell, replicate, cell % 4 AS fam, 1e0 / (1 + exp(10 * stat)) AS p FROM st WHERE replicate < 20), k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, cell * 100 + replicate) AS k, count(*) OVER (PARTITION BY fam) AS m FROM pv)
-SELECT cell, replicate, {R('least(1, min(p * m / k) OVER (PARTITION BY fam ORDER BY k DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM k""", "pw")
-def r34(spark, sf):
-    pv = null_stats(spark, sf).where("replicate < 20").select("cell", "replicate", (F.col("cell") % 4).alias("fam"), (1 / (1 + F.exp(10 * F.col("stat")))).alias("p"), (F.col("cell") * 100 + F.col("replicate")).alias("id"))
-    return rounded(inference.benjamini_hochberg(pv, ["fam"]), ["cell", "replicate"], ["q"])
-
-
-@query("r34_w9_benjamini_hochberg_all_weeks")
-def r34_all(spark, sf):
-    pv = null_stats(spark, sf, places(spark, sf)).where("replicate < 20").select("cell", "replicate", (F.col("cell") % 4).alias("fam"), (1 / (1 + F.exp(10 * F.col("stat")))).alias("p"), (F.col("cell") * 100 + F.col("replicate")).alias("id"))
-    return rounded(inference.benjamini_hochberg(pv, ["fam"]), ["cell", "replicate"], ["q"])
-
-
-@query("r35_dedup_family", f"WITH {PERM} SELECT replicate % 3 AS season, cell % 5 AS cluster, {R('min(stat)')} AS q FROM st WHERE cell NOT IN (3, 4) AND replicate <> 0 GROUP BY 1, 2", "pw")
-def r35(spark, sf):
-    s = null_stats(spark, sf).select((F.col("replicate") % 3).alias("season"), F.col("replicate").cast("string").alias("band"), F.col("cell").cast("string").alias("predictor"), F.col("stat").alias("q"))
-    return rounded(inference.dedup_family(s, ["3", "4"], ["0"], F.col("predictor").cast("int") % 5), ["season", "cluster"], ["q"])
-
-
-@query("r35_dedup_family_all_weeks")
-def r35_all(spark, sf):
-    s = null_stats(spark, sf, places(spark, sf)).select((F.col("replicate") % 3).alias("season"), F.col("replicate").cast("string").alias("band"), F.col("cell").cast("string").alias("predictor"), F.col("stat").alias("q"))
-    return rounded(inference.dedup_family(s, ["3", "4"], ["0"], F.col("predictor").cast("int") % 5), ["season", "cluster"], ["q"])
-
-
-@query("r38_r39_paired_verdict", f"""WITH {PERM}, d AS (SELECT replicate, max(stat) FILTER (cell = 0) - max(stat) FILTER (cell = 1) AS diff FROM st GROUP BY replicate)
-SELECT replicate, {R('diff')} AS diff, CASE WHEN diff > 0 AND replicate / 1e2 <= 0.05e0 THEN CASE WHEN replicate % 2 >= 0.5e0 THEN 'USEFUL' ELSE 'LOW COVERAGE' END ELSE 'NOT' END AS verdict FROM d""", "pw")
-def r38(spark, sf):
-    d = atlas.paired(null_stats(spark, sf).select(F.concat(F.lit("c"), "cell").alias("arm"), "replicate", F.col("stat").alias("rpss")), "c0", "c1")
-    out = inference.verdict(d.select("replicate", "diff", F.col("diff").alias("rpss"), (F.col("replicate") / 100).alias("p"), (F.col("replicate") % 2).alias("coverage")))
-    return rounded(out, ["replicate", "verdict"], ["diff"])
-
-
-@query("r38_r39_paired_verdict_all_weeks")
-def r38_all(spark, sf):
-    d = atlas.paired(null_stats(spark, sf, places(spark, sf)).select(F.concat(F.lit("c"), "cell").alias("arm"), "replicate", F.col("stat").alias("rpss")), "c0", "c1")
-    out = inference.verdict(d.select("replicate", "diff", F.col("diff").alias("rpss"), (F.col("replicate") / 100).alias("p"), (F.col("replicate") % 2).alias("coverage")))
-    return rounded(out, ["replicate", "verdict"], ["diff"])
-
-
 @query("r40_arima")
 def r40(spark, sf):
     w = week_panel(spark, sf).withColumnRenamed("period", "t")
@@ -403,14 +307,8 @@ def g15(spark, sf):
 
 
 @query("g2_gram", f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings)
-SELECT x.c::INT AS a, y.c::INT AS b, {R('sum(x.v * y.v)')} AS g FROM e x JOIN e y ON x.vec_id = y.vec_id AND x.c <= y.c WHERE x.c < 8 AND y.c < 8 GROUP BY 1, 2""")
+SELECT x.c::INT AS a, y.c::INT AS b, {R('sum(x.v * y.v)')} AS g FROM e x JOIN e y ON x.vec_id = y.vec_id AND x.c <= y.c GROUP BY 1, 2""")
 def g2(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cell"), F.posexplode("embedding").alias("col", "v")).where("col < 8").withColumn("v", F.col("v").cast("double"))
-    return rounded(discovery.gram(e), ["a", "b"], ["g"])
-
-
-@query("g2_gram_all_columns")
-def g2_all(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cell"), F.posexplode("embedding").alias("col", "v")).withColumn("v", F.col("v").cast("double"))
     return rounded(discovery.gram(e), ["a", "b"], ["g"])
 
@@ -446,10 +344,9 @@ def j13(spark, sf):
 
 @query("g18_r32_atlas_null")
 def g18(spark, sf):
-    n = places(spark, sf)
     p = pairs(spark, sf).withColumnRenamed("year", "place")
-    folds = whole_folds(spark, n)
-    moved = inference.permuted(p, inference.donors(spark, n, 4), ["cell"]).withColumnRenamed("place", "year")
+    folds = whole_folds(spark, sf)
+    moved = inference.permuted(p, inference.donors(places(spark, sf), 4), ["cell"]).withColumnRenamed("place", "year")
     rows = moved.join(F.broadcast(folds), "year").select("replicate", "fold", (F.col("cell") % 4).alias("zone"), F.lit("w").alias("window"), F.concat(F.lit("k"), "cell").alias("key"), "year", "is_train", "x", "y")
     target = rows.groupBy("replicate", "fold", "zone", "window", "year").agg(F.avg("y").alias("y"))
     chosen = atlas.select(rows.drop("y").join(target, ["replicate", "fold", "zone", "window", "year"]))
@@ -491,16 +388,6 @@ def t2(spark, sf):
     return rounded(out, ["cell", "day"], ["v"])
 
 
-@query("a22_survivor_counts", f"WITH {PERM} SELECT cell, count(*) FILTER (stat > 0.1e0) AS n10, count(*) FILTER (stat > 0.2e0) AS n20 FROM st GROUP BY cell", "pw")
-def a22(spark, sf):
-    return null_stats(spark, sf).groupBy("cell").agg(F.count_if(F.col("stat") > 0.1).alias("n10"), F.count_if(F.col("stat") > 0.2).alias("n20"))
-
-
-@query("a22_survivor_counts_all_weeks")
-def a22_all(spark, sf):
-    return null_stats(spark, sf, places(spark, sf)).groupBy("cell").agg(F.count_if(F.col("stat") > 0.1).alias("n10"), F.count_if(F.col("stat") > 0.2).alias("n20"))
-
-
 @query("r36_holdout", f"WITH {PAIRS}, s AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, corr(x, y) AS train_r FROM pairs WHERE year < 200 GROUP BY cell) SELECT cell, {R('train_r')} AS train_r, {R('corr(a + b * x, y)')} AS oos_r, count(*) AS n_test FROM pairs JOIN s USING (cell) WHERE year >= 200 GROUP BY cell, train_r", "pw")
 def r36(spark, sf):
     f = regress.split_fit(pairs(spark, sf), ["cell"], F.col("year") < 200)

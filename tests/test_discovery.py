@@ -49,7 +49,7 @@ def test_planted_signal_is_kept_and_shuffled_is_not(spark):
     n = 42
     x = rng.normal(size=(3, n))
     y = -1.2 * x[1] + 0.6 * rng.normal(size=n)
-    moves = inference.drawn_donors(spark, n, 8, 4242)
+    moves = inference.donors(spark.range(n).selectExpr("cast(id AS int) AS place"), 8)
     pairs = spark.createDataFrame([(k, i, float(x[k, i]), float(y[i])) for k in range(3) for i in range(n)], "cell int, place int, x double, y double")
     folds = atlas.folds(spark, [(list(range(a)), list(range(a, a + 7))) for a in (21, 28, 35)])
     from pyspark.sql import functions as F
