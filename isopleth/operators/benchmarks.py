@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.prob import normal_terciles, rps, tercile
@@ -85,18 +85,28 @@ def expert_overlap(parts: DataFrame, experts: DataFrame) -> DataFrame:
     return both.join(z, "zone").join(r, "region").select("zone", "region", (F.col("n") / F.col("nz")).alias("of_zone"), (F.col("n") / F.col("nr")).alias("of_region"))
 
 
-def two_zone_field(spark: SparkSession, years: int = 30, cells: int = 40, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A planted field (cell, lat, lon, year, month, v) of two zones with their drivers (index, year, x), made on the driver from a seed."""
-    rng = np.random.default_rng(seed)
-    m = np.arange(1, 13)
-    drive = {"a": rng.normal(size=years), "b": rng.normal(size=years)}
-    rows = []
-    for c in range(cells):
-        lon = 33 + 19 * c / cells
-        west = lon < 42.5
-        base = np.exp(-((m - 8) ** 2) / (2 * 1.2**2)) if west else np.exp(-((m - 4) ** 2) / (2 * 1.1**2)) + np.exp(-((m - 11) ** 2) / (2 * 1.1**2))
-        for y in range(years):
-            v = np.maximum(0.01, base * 100 * (1 + 0.55 * drive["a" if west else "b"][y]) * np.exp(0.25 * rng.normal(size=12)))
-            rows += [(c, 0.0, float(lon), 1981 + y, int(k), float(x)) for k, x in zip(m, v)]
-    index = [(k, 1981 + y, float(x)) for k, v in drive.items() for y, x in enumerate(v)]
-    return spark.createDataFrame(rows, "cell int, lat double, lon double, year int, month int, v double"), spark.createDataFrame(index, "index string, year int, x double")
+def _normal(*parts: Column) -> Column:
+    """A standard normal number made of a hash of the parts, the same whenever it is evaluated."""
+    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(k), *parts), 11) + 1) / 2.0**53
+    return F.sqrt(-2 * F.log(unit("radius"))) * F.cos(2 * F.pi() * unit("angle"))
+
+
+def two_zone_field(spark: SparkSession, years: int = 30, rows: int = 8, columns: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A planted field (cell, lat, lon, year, month, v) of two zones, and the box series (box, year, month, v) that drive them.
+
+    The western half has one rainy season (August) driven by box "a", the eastern two (April, November) driven by "b"; "c"
+    drives nothing. A box has one value a year and a little noise by month. Made by hashes in Spark, at any size.
+    """
+    seed_ = F.lit(seed)
+    month = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    year = spark.range(1981, 1981 + years).select(F.col("id").cast("int").alias("year"))
+    drive = lambda box: _normal(seed_, F.lit(box), F.col("year"))
+    cells = spark.range(rows * columns).select(F.col("id").cast("int").alias("cell"), (-5 + 17.0 * F.floor(F.col("id") / columns) / max(1, rows - 1)).alias("lat"), (33 + 19.0 * (F.col("id") % columns) / max(1, columns - 1)).alias("lon"))
+    grid = cells.crossJoin(F.broadcast(year.crossJoin(month)))  # the months of a record
+    bump = lambda at, width: F.exp(-F.pow(F.col("month") - at, F.lit(2)) / (2 * width * width))
+    west = F.col("lon") < 42.5
+    base = F.when(west, bump(8, 1.2)).otherwise(bump(4, 1.1) + bump(11, 1.1))
+    v = base * (1 + 0.55 * F.when(west, drive("a")).otherwise(drive("b"))) * 5 + 0.25 * _normal(seed_, F.col("cell"), F.col("year"), F.col("month"))
+    boxes = spark.createDataFrame([("a",), ("b",), ("c",)], "box string").crossJoin(year).crossJoin(month)
+    series = boxes.select("box", "year", "month", (_normal(seed_, F.col("box"), F.col("year")) + 0.05 * _normal(seed_, F.col("box"), F.col("year"), F.col("month"))).alias("v"))
+    return grid.select("cell", "lat", "lon", "year", "month", F.greatest(F.lit(0.01), v).alias("v")), series

@@ -65,10 +65,14 @@ def ensemble_mean(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "model").agg(F.avg("v").alias("v")).groupBy(*by).agg(F.avg("v").alias("v"))
 
 
-def coarsen(grid: DataFrame, factor: int) -> DataFrame:
-    """(i, j, v): block means of a grid (i, j, v) by index; ragged edge blocks are dropped by the grid's extent, not by missing values."""
-    extent = grid.agg((F.floor((F.max("i") + 1) / factor)).alias("ni"), F.floor((F.max("j") + 1) / factor).alias("nj"))
-    block = grid.groupBy(F.floor(F.col("i") / factor).cast("int").alias("i"), F.floor(F.col("j") / factor).cast("int").alias("j")).agg(F.avg("v").alias("v"))
+def coarsen(grid: DataFrame, rows: int, columns: int | None = None) -> DataFrame:
+    """(i, j, v): means of blocks of rows by columns (as many, if not said) of a grid (i, j, v) by index.
+
+    Ragged edge blocks are dropped by the grid's extent, not by missing values.
+    """
+    columns = columns or rows
+    extent = grid.agg((F.floor((F.max("i") + 1) / rows)).alias("ni"), F.floor((F.max("j") + 1) / columns).alias("nj"))
+    block = grid.groupBy(F.floor(F.col("i") / rows).cast("int").alias("i"), F.floor(F.col("j") / columns).cast("int").alias("j")).agg(F.avg("v").alias("v"))
     return block.join(F.broadcast(extent), (F.col("i") < F.col("ni")) & (F.col("j") < F.col("nj"))).select("i", "j", "v")
 
 

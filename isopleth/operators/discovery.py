@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import itertools
+import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isopleth.functions.calendar import month_initials, month_length
+from isopleth.sources.io import written
+
+from .cube import area_mean
+
 
 # --- seasons -----------------------------------------------------------------------------------------------------------
 
@@ -24,13 +32,24 @@ def _at(c: Column, m: Column) -> Column:
     return F.get(c, F.pmod(m, F.lit(12)))
 
 
-def peaks(c: Column) -> Column:
-    """Months (0 to 11) that are not below their neighbours round the year; of neighbouring peaks the higher stays, of equals the earlier."""
-    raw = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda m: (_at(c, m) >= _at(c, m - 1)) & (_at(c, m) >= _at(c, m + 1)) & (_at(c, m) > F.array_min(c)))
-    order = F.transform(F.array_sort(F.transform(raw, lambda m: F.struct((-_at(c, m)).alias("v"), m.alias("m")))), lambda s: s["m"])
-    near = lambda a, b: F.least(F.pmod(a - b, F.lit(12)), F.pmod(b - a, F.lit(12))) <= 1
-    kept = F.aggregate(order, F.array().cast("array<int>"), lambda acc, m: F.when(F.exists(acc, lambda k: near(k, m)), acc).otherwise(F.concat(acc, F.array(m))))
-    return F.array_sort(kept)
+def peaks(c: Column, floor: float = 0.15) -> Column:
+    """Months (0 to 11) that are not below their neighbours round the year and over a share of the largest value.
+
+    Of peaks in neighbouring months the higher stays, of equals the earlier; going through the year merges those, then its turn.
+    """
+    raw = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda m: (_at(c, m) >= _at(c, m - 1)) & (_at(c, m) >= _at(c, m + 1)) & (_at(c, m) > floor * F.array_max(c)))
+    next_to = lambda a, b: F.pmod(b - a, F.lit(12)) == 1
+    higher = lambda a, b: F.when(_at(c, a) >= _at(c, b), a).otherwise(b)
+
+    def step(kept: Column, m: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        merged = F.concat(F.slice(kept, 1, F.greatest(F.lit(0), F.size(kept) - 1)), F.array(higher(last, m)))
+        return F.when(F.coalesce(next_to(last, m), F.lit(False)), merged).otherwise(F.concat(kept, F.array(m)))
+
+    kept = F.aggregate(raw, F.array().cast("array<int>"), step)
+    first, last = F.get(kept, F.lit(0)), F.get(kept, F.size(kept) - 1)
+    turned = F.concat(F.slice(kept, 2, F.greatest(F.lit(0), F.size(kept) - 2)), F.array(higher(last, first)))
+    return F.array_sort(F.when((F.size(kept) > 1) & next_to(last, first), turned).otherwise(kept))
 
 
 def spaced_peaks(c: Column, share: float = 0.55, apart: int = 3) -> Column:
@@ -48,19 +67,37 @@ def window_sum(c: Column, start: Column, length: int) -> Column:
 
 
 def best_window(c: Column, starts: Column, length: int) -> Column:
-    """The first start (0 to 11) with the largest sum of ``length`` months round the year."""
-    scored = F.transform(starts, lambda s: F.struct((-window_sum(c, s, length)).alias("v"), s.alias("s")))
+    """The start (0 to 11) with the largest sum of ``length`` months round the year, the first of the given ones of equals."""
+    scored = F.transform(starts, lambda s, i: F.struct((-window_sum(c, s, length)).alias("v"), i.alias("i"), s.alias("s")))
     return F.array_min(scored)["s"]
 
 
+def window_months(start: Column, length: int) -> Column:
+    """The calendar months (1 to 12) of a window that starts at a month counted from 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.pmod(start + k, F.lit(12)) + 1)
+
+
 def seasons(cycles: DataFrame, by: list[str], most: int = 2) -> DataFrame:
-    """(by, start, months, total): for each peak the wettest three months that hold it, equal windows once, the ``most`` wettest."""
+    """(by, start, months, label, total): for each peak the wettest three months that hold it, equal windows once, the ``most`` wettest.
+
+    Of equally wet windows that of the earlier peak comes first.
+    """
     found = cycles.select(*by, "c", F.explode(peaks(F.col("c"))).alias("peak"))
-    placed = found.select(*by, "c", best_window(F.col("c"), F.transform(F.sequence(F.lit(-2), F.lit(0)), lambda k: F.pmod(F.col("peak") + k, F.lit(12))), 3).alias("start")).dropDuplicates([*by, "start"])
+    starts = F.transform(F.sequence(F.lit(-2), F.lit(0)), lambda k: F.pmod(F.col("peak") + k, F.lit(12)))
+    placed = found.withColumn("start", best_window(F.col("c"), starts, 3)).groupBy(*by, "start").agg(F.min("peak").alias("peak"), F.first("c").alias("c"))
     scored = placed.withColumn("total", window_sum(F.col("c"), F.col("start"), 3))
-    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "start"))).where(F.col("k") <= most)
-    months = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("start") + k, F.lit(12)) + 1)
-    return ranked.select(*by, "start", months.alias("months"), "total")
+    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "peak"))).where(F.col("k") <= most)
+    months = window_months(F.col("start"), 3)
+    return ranked.select(*by, "start", months.alias("months"), month_initials(months).alias("label"), "total")
+
+
+def target_windows(cycles: DataFrame, by: list[str], share: float = 0.55, apart: int = 3) -> DataFrame:
+    """(by, peak, start, months, label, total): the wettest three months that hold each of the spaced peaks."""
+    found = cycles.select(*by, "c", F.explode(spaced_peaks(F.col("c"), share, apart)).alias("peak"))
+    starts = F.transform(F.sequence(F.lit(-2), F.lit(0)), lambda k: F.pmod(F.col("peak") + k, F.lit(12)))
+    placed = found.withColumn("start", best_window(F.col("c"), starts, 3))
+    months = window_months(F.col("start"), 3)
+    return placed.select(*by, "peak", "start", months.alias("months"), month_initials(months).alias("label"), window_sum(F.col("c"), F.col("start"), 3).alias("total"))
 
 
 def rain_window(cycles: DataFrame, by: list[str], share: float = 0.7) -> DataFrame:
@@ -84,9 +121,28 @@ def row_z(c: Column) -> Column:
 
 
 def gram(field: DataFrame) -> DataFrame:
-    """(a, b, g): inner products of the columns of field (cell, col, v), summed over all cells; as many rows as columns squared."""
-    left, right = field.select("cell", F.col("col").alias("a"), F.col("v").alias("x")), field.select("cell", F.col("col").alias("b"), F.col("v").alias("y"))
-    return left.join(right, "cell").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    """(a, b, g): inner products of the columns of field (cell, col, v), a <= b, summed over all cells; missing values count as 0.
+
+    The columns (months of a record) are few. Each task adds up its own cells' products and gives one row per pair of columns.
+    """
+    names = np.array(sorted(r[0] for r in field.select("col").distinct().collect()), dtype=np.int64)
+    rows = field.where("v IS NOT NULL").groupBy("cell").agg(F.collect_list("col").alias("cols"), F.collect_list("v").alias("vs"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                cols, vs = part.column(0), part.column(1)
+                x = np.zeros((part.num_rows, len(names)))
+                owner = np.repeat(np.arange(part.num_rows), cols.value_lengths().to_numpy())
+                np.add.at(x, (owner, np.searchsorted(names, cols.flatten().to_numpy(zero_copy_only=False))), vs.flatten().to_numpy(zero_copy_only=False))
+                total += x.T @ x
+        i, j = np.triu_indices(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[i].astype(np.int32)), pa.array(names[j].astype(np.int32)), pa.array(total[i, j])], ["a", "b", "g"])
+
+    sums = rows.select(F.col("cols").cast("array<long>"), F.col("vs").cast("array<double>"))
+    return sums.mapInArrow(summed, "a int, b int, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
 
 
 def eof_scores(field: DataFrame, modes: int = 5) -> DataFrame:
@@ -99,22 +155,29 @@ def eof_scores(field: DataFrame, modes: int = 5) -> DataFrame:
         m[at[a], at[b]] = m[at[b], at[a]] = v
     values, vectors = np.linalg.eigh(m)
     order = np.argsort(values)[::-1][:modes]
-    load = [(c, k, float(vectors[at[c], j] / np.sqrt(max(values[j], 1e-300)))) for k, j in enumerate(order) for c in cols]
-    table = field.sparkSession.createDataFrame(load, "col int, mode int, w double")
+    load = [(int(c), k, float(vectors[at[c], j] / np.sqrt(max(values[j], 1e-300)))) for k, j in enumerate(order) for c in cols]
+    table = field.sparkSession.createDataFrame(load, "col int, mode int, w double")  # columns times modes
     return field.join(F.broadcast(table), "col").groupBy("cell", "mode").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x and y."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
+
+
 def lloyd(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, float]:
     """(labels, inertia) of the best of several k-means++ starts."""
     rng, best = np.random.default_rng(seed), (np.zeros(len(x), int), np.inf)
     for _ in range(starts):
         centres = x[[rng.integers(len(x))]]
         while len(centres) < k:
-            d = ((x[:, None] - centres) ** 2).sum(-1).min(1)
+            d = _distances(x, centres).min(1)
             centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
         for _ in range(rounds):
-            label = ((x[:, None] - centres) ** 2).sum(-1).argmin(1)
-            new = np.array([x[label == j].mean(0) if (label == j).any() else centres[j] for j in range(k)])
+            label = _distances(x, centres).argmin(1)
+            hot = np.eye(k)[label]
+            n = hot.sum(0)
+            new = np.where(n[:, None] > 0, hot.T @ x / np.maximum(n, 1)[:, None], centres)
             if np.allclose(new, centres):
                 break
             centres = new
@@ -134,62 +197,143 @@ def ari(a: np.ndarray, b: np.ndarray) -> float:
     return float((together - expected) / ((sa + sb) / 2 - expected)) if (sa + sb) / 2 != expected else 1.0
 
 
-def silhouette(x: np.ndarray, label: np.ndarray, most: int = 3000, seed: int = 0) -> float:
-    """Mean Euclidean silhouette, of a sample beyond ``most`` rows."""
-    if len(x) > most:
-        pick = np.random.default_rng(seed).choice(len(x), most, replace=False)
-        x, label = x[pick], label[pick]
-    d = np.sqrt(np.maximum(((x[:, None] - x) ** 2).sum(-1), 0))
-    out = []
-    for i in range(len(x)):
-        own = label == label[i]
-        if own.sum() < 2:
-            out.append(0.0)
-            continue
-        a = d[i, own].sum() / (own.sum() - 1)
-        b = min(d[i, label == j].mean() for j in set(label.tolist()) if j != label[i])
-        out.append((b - a) / max(a, b, 1e-300))
-    return float(np.mean(out))
-
-
-def stability(field: pd.DataFrame, ks: range, boots: int, seed: int) -> pd.DataFrame:
-    """(k, ari, ari_sd, silhouette) of one fold's field (cells by columns of years): k-means against those of resampled years, shared by all k."""
-    x = field.to_numpy()
-    rng = np.random.default_rng(seed)
-    draws = [rng.integers(0, x.shape[1], x.shape[1]) for _ in range(boots)]
-    z = lambda m: (m - m.mean(1, keepdims=True)) / (m.std(1, keepdims=True) + 1e-6)
-    rows = []
-    for k in ks:
-        label, _ = lloyd(z(x), k, seed=seed)
-        found = [ari(label, lloyd(z(x[:, d]), k, starts=3, seed=seed)[0]) for d in draws]
-        rows.append((k, float(np.mean(found)), float(np.std(found)), silhouette(z(x), label)))
-    return pd.DataFrame(rows, columns=["k", "ari", "ari_sd", "silhouette"])
-
-
-def discover(rows: DataFrame, ks: range = range(2, 6), boots: int = 5, seed: int = 4242) -> DataFrame:
-    """(fold, k, ari, ari_sd, silhouette): every fold's stability curve from rows (fold, cell, col, v), a task for each fold."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="cell", columns="col", values="v").dropna()
-        out = stability(wide, range(ks.start, min(ks.stop, len(wide))), boots, seed)
-        out.insert(0, "fold", pdf["fold"].iloc[0])
-        return out
-
-    return rows.groupBy("fold").applyInPandas(one, "fold int, k int, ari double, ari_sd double, silhouette double")
-
-
-def zones(rows: DataFrame, k: int, seed: int = 4242) -> DataFrame:
-    """(fold, cell, zone): k-means zones of rows (fold, cell, col, v, lon), numbered from west to east."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="cell", columns="col", values="v").dropna()
-        x = wide.to_numpy()
-        label, _ = lloyd((x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-6), k, seed=seed)
-        lon = pdf.groupby("cell")["lon"].first().reindex(wide.index).to_numpy()
-        order = np.argsort([lon[label == j].mean() if (label == j).any() else np.inf for j in range(k)])
-        return pd.DataFrame({"fold": pdf["fold"].iloc[0], "cell": wide.index, "zone": np.argsort(order)[label]})
-
-    return rows.groupBy("fold").applyInPandas(one, "fold int, cell int, zone int")
+def silhouettes(x: np.ndarray, labels: list[np.ndarray], block: int = 512) -> list[float]:
+    """Mean Euclidean silhouette of each labelling over all rows, a block of rows against all at a time; alone in its class: 0."""
+    hots = [np.eye(l.max() + 1)[l] for l in labels]  # noqa: E741
+    totals = np.zeros(len(labels))
+    for at in range(0, len(x), block):
+        d = np.sqrt(_distances(x[at : at + block], x))
+        d[np.arange(len(d)), at + np.arange(len(d))] = 0
+        for j, (label, hot) in enumerate(zip(labels, hots)):
+            own, n = label[at : at + block], hot.sum(0)
+            sums = d @ hot
+            rows = np.arange(len(own))
+            a = sums[rows, own] / np.maximum(n[own] - 1, 1)
+            means = np.where(n > 0, sums / np.maximum(n, 1), np.inf)
+            means[rows, own] = np.inf
+            b = means.min(1)
+            good = (n[own] > 1) & np.isfinite(b)
+            totals[j] += np.where(good, (np.where(good, b, 0) - a) / np.maximum(np.maximum(a, np.where(good, b, 0)), 1e-300), 0).sum()
+    return (totals / max(1, len(x))).tolist()
+
+
+def squared_silhouette(points: DataFrame, by: list[str], label: str, vector: str) -> DataFrame:
+    """(by, silhouette, n): mean silhouette over squared distances, from class sums: no pair of points is formed.
+
+    A point's mean squared distance to a class is |x|^2 - 2 x m + q, m the class's mean and q its mean of |y|^2. Alone in its
+    class: 0. The classes of a group are few.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    p = points.select(*by, F.col(label).alias("_l"), F.transform(vector, lambda v: v.cast("double")).alias("_x")).withColumn("_s", dot(F.col("_x"), F.col("_x"))).withColumn("_id", F.monotonically_increasing_id())
+    means = p.select(*by, "_l", F.posexplode("_x").alias("_d", "_v")).groupBy(*by, "_l", "_d").agg(F.avg("_v").alias("_v"))
+    m = means.groupBy(*by, "_l").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_v"))), lambda s: s["_v"]).alias("_m"))
+    q = p.groupBy(*by, "_l").agg(F.avg("_s").alias("_q"), F.count("*").alias("_n"))
+    classes = m.join(q, [*by, "_l"]).groupBy(*by).agg(F.collect_list(F.struct("_l", "_m", "_q", "_n")).alias("_c"))
+    far = F.transform("_c", lambda c: F.struct((c["_l"] == F.col("_l")).alias("own"), (F.col("_s") - 2 * dot(F.col("_x"), c["_m"]) + c["_q"]).alias("d"), c["_n"].alias("n")))
+    rows = (p.join(classes, by) if by else p.crossJoin(F.broadcast(classes))).withColumn("_f", far)  # without keys one row on the other side
+    own = F.get(F.filter("_f", lambda f: f["own"]), F.lit(0))
+    a = own["d"] * own["n"] / F.nullif(own["n"] - 1, F.lit(0))
+    b = F.array_min(F.transform(F.filter("_f", lambda f: ~f["own"]), lambda f: f["d"]))
+    return rows.groupBy(*by).agg(F.avg(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))).alias("silhouette"), F.count("*").alias("n"))
+
+
+def fold_features(m: np.ndarray, month: np.ndarray, modes: int = 5) -> np.ndarray:
+    """Features of the rows of m (cells by months of a record): the shape of the annual cycle, and the leading left singular
+    vectors of standardised anomalies; each block is standardised by column and weighs the same."""
+    with np.errstate(invalid="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # a month that isn't drawn
+        clim = np.stack([np.nanmean(m[:, month == k], axis=1) if (month == k).any() else np.full(len(m), np.nan) for k in range(1, 13)], axis=1)
+        shape = np.nan_to_num((clim - np.nanmean(clim, axis=1, keepdims=True)) / (np.nanstd(clim, axis=1, keepdims=True) + 1e-6))
+        rest = m - clim[:, month - 1]
+        rest = np.nan_to_num(rest / (np.nanstd(rest, axis=1, keepdims=True) + 1e-6))
+    if rest.shape[0] <= rest.shape[1]:
+        values, vectors = np.linalg.eigh(rest @ rest.T)
+        left = vectors[:, ::-1][:, :modes]
+    else:
+        values, vectors = np.linalg.eigh(rest.T @ rest)
+        left = rest @ vectors[:, ::-1][:, :modes] / np.sqrt(np.maximum(values[::-1][:modes], 1e-300))
+    block = lambda x: (x - x.mean(0)) / (x.std(0) + 1e-9) / np.sqrt(x.shape[1])
+    return np.hstack([block(shape), block(left)])
+
+
+@dataclass
+class Zoning:
+    """What discover() finds: curve (fold, k, ari, ari_sd, silhouette), chosen (fold, k) and parts (fold, cell, zone)."""
+
+    curve: DataFrame
+    chosen: DataFrame
+    parts: DataFrame
+
+
+def training(field: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of field (cell, lat, lon, year, month, v) in each fold's training years, of the cells valid in them (valid_cells)."""
+    rows = field.join(F.broadcast(folds.where("is_train").select("fold", "year")), "year")
+    clim = rows.groupBy("fold", "cell", "month").agg(F.avg("v").alias("clim"))
+    good = clim.where("clim IS NOT NULL").groupBy("fold", "cell").agg(F.count("*").alias("n"), F.sum("clim").alias("s")).where("n = 12 AND s > 1e-3")
+    return rows.join(good.select("fold", "cell"), ["fold", "cell"], "left_semi")
+
+
+def one_zone(field: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, cell, zone) of the pooled arm: all valid cells in one zone."""
+    return training(field, folds).select("fold", "cell").distinct().withColumn("zone", F.lit(0))
+
+
+def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots: int = 20, modes: int = 5, bar: float = 0.9, seed: int = 0) -> Zoning:
+    """Zones of each fold from its training years alone, their number the largest whose k-means is stable under resampled years.
+
+    A task clusters one fold's field, or one resample of its years that serves every k; its labels come back to be compared
+    by adjusted Rand index in one job. A task holds one field (cells by months of the training years). folds: (fold, year,
+    is_train). Zones are numbered from west to east.
+    """
+    rows = training(field, folds)
+    series = F.array_sort(F.collect_list(F.struct((F.col("year") * 12 + F.col("month") - 1).alias("am"), F.col("v").cast("double").alias("v"))))
+    packed = rows.groupBy("fold", "cell").agg(F.first("lon").alias("lon"), series.alias("s"))
+    packed = packed.select("fold", "cell", "lon", F.transform("s", lambda x: x["am"]).alias("am"), F.transform("s", lambda x: x["v"]).alias("v"))
+    dealt = packed.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots))))
+
+    def clustered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold, boot = (int(x) for x in key)
+        pdf = pdf.sort_values("cell")
+        at = np.unique(np.concatenate(pdf["am"].to_list()))
+        m = np.full((len(pdf), len(at)), np.nan)
+        for i, (am, v) in enumerate(zip(pdf["am"], pdf["v"])):
+            m[i, np.searchsorted(at, am)] = v
+        year, month = at // 12, at % 12 + 1
+        if boot:
+            years = np.unique(year)
+            drawn = np.random.default_rng([seed, boot]).choice(years, len(years))
+            take = np.concatenate([np.flatnonzero(year == y) for y in drawn])
+            m, month = m[:, take], month[take]
+        x = fold_features(m, month, modes)
+        labels = {k: lloyd(x, k, seed=boot)[0] for k in ks if k < len(x)}
+        shapes = dict(zip(labels, silhouettes(x, list(labels.values())))) if not boot else {}
+        return pd.concat([pd.DataFrame({"fold": fold, "boot": boot, "k": k, "cell": pdf["cell"], "lon": pdf["lon"], "zone": z, "silhouette": shapes.get(k, np.nan)}) for k, z in labels.items()] or [pd.DataFrame({c: [] for c in LABELS})])
+
+    labels = written(dealt.groupBy("fold", "boot").applyInPandas(clustered, ", ".join(f"{c} {t}" for c, t in LABELS.items())), "zoning")
+    first = labels.where("boot = 0")
+    pairs = labels.where("boot > 0").select("fold", "k", "boot", "cell", F.col("zone").alias("b")).join(first.select("fold", "k", "cell", F.col("zone").alias("a")), ["fold", "k", "cell"])
+    curve = adjusted_rand(pairs, ["fold", "k", "boot"]).groupBy("fold", "k").agg(F.avg("ari").alias("ari"), F.stddev_pop("ari").alias("ari_sd"))
+    curve = curve.join(first.groupBy("fold", "k").agg(F.first("silhouette").alias("silhouette")), ["fold", "k"])
+    chosen = select_k(curve, ["fold"], bar)
+    parts = first.join(chosen, ["fold", "k"])
+    place = parts.groupBy("fold", "zone").agg(F.avg("lon").alias("m")).select("fold", "zone", (F.row_number().over(Window.partitionBy("fold").orderBy("m", "zone")) - 1).alias("place"))
+    return Zoning(curve, chosen, parts.join(place, ["fold", "zone"]).select("fold", "cell", F.col("place").alias("zone")))
+
+
+#: Columns of the labels that discover() keeps.
+LABELS = {"fold": "int", "boot": "int", "k": "int", "cell": "int", "lon": "double", "zone": "int", "silhouette": "double"}
+
+
+def zone_cycles(field: DataFrame, parts: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, zone, month, clim): the annual cycle of each zone's area mean over its fold's training years, as totals of the month."""
+    rows = training(field, folds).join(parts, ["fold", "cell"])
+    mean = area_mean(rows, ["fold", "zone", "year", "month"])
+    return mean.groupBy("fold", "zone", "month").agg((F.avg("mean") * F.first(month_length(F.col("month")))).alias("clim"))
+
+
+def zone_windows(field: DataFrame, parts: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, zone, start, months, label, total): the seasons of each zone's cycle."""
+    return seasons(cycle(zone_cycles(field, parts, folds), ["fold", "zone"]), ["fold", "zone"])
 
 
 def select_k(curve: DataFrame, by: list[str], bar: float = 0.9) -> DataFrame:
@@ -209,43 +353,117 @@ def adjusted_rand(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def eta_squared(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """(by, eta2): between-group over total sum of squares."""
-    w, g = Window.partitionBy(*by), Window.partitionBy(*by, group)
-    m = rows.select(*by, F.col(value).alias("v"), F.avg(value).over(w).alias("m"), F.avg(value).over(g).alias("gm"))
-    return m.groupBy(*by).agg(F.try_divide(F.sum(F.pow(F.col("gm") - F.col("m"), F.lit(2))), F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2)))).alias("eta2"))
+    """(by, eta2): between-group over total sum of squares, from the groups' sums: no group's rows are gathered."""
+    g = rows.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    total = F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) - F.sum("n") * mean * mean
+    within = F.sum(F.col("n") * F.col("v"))
+    return g.groupBy(*by).agg(F.try_divide(total - within, total).alias("eta2"))
 
 
 # --- matching ----------------------------------------------------------------------------------------------------------
 
 
-def overlap(parts: DataFrame, fold: int, ref: int) -> DataFrame:
-    """(zone, ref_zone, n): cells that a fold's zone and a reference fold's zone share."""
-    a, b = parts.where(F.col("fold") == fold).select("cell", "zone"), parts.where(F.col("fold") == ref).select("cell", F.col("zone").alias("ref_zone"))
-    return a.join(b, "cell").groupBy("zone", "ref_zone").agg(F.count("*").alias("n"))
-
-
-def assign(table: list[tuple[int, int, int]]) -> dict[int, int]:
-    """The one-to-one assignment (zone to reference zone) with the most shared cells, by trying all; zones are at most eight."""
-    zones_, refs = sorted({t[0] for t in table}), sorted({t[1] for t in table})
-    n = {(a, b): c for a, b, c in table}
-    wide = refs + [None] * max(0, len(zones_) - len(refs))
-    best = max(itertools.permutations(wide, len(zones_)), key=lambda p: sum(n.get((z, r), 0) for z, r in zip(zones_, p)))
-    return {z: r for z, r in zip(zones_, best) if r is not None}
+def hungarian(cost: np.ndarray) -> dict[int, int]:
+    """The one-to-one assignment of rows to columns of least cost, by shortest augmenting paths over potentials."""
+    if cost.shape[0] > cost.shape[1]:
+        return {r: c for c, r in hungarian(cost.T).items()}
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)  # column m stands for the row being placed
+    for row in range(n):
+        owner[m], at = row, m
+        least, came, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while owner[at] >= 0:
+            done[at] = True
+            r = owner[at]
+            gain = cost[r] - u[r] - v[:m]
+            better = ~done[:m] & (gain < least)
+            least[better], came[better] = gain[better], at
+            to = int(np.where(done[:m], np.inf, least).argmin())
+            step = least[to]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done[:m]] -= step
+            at = to
+        while at != m:
+            owner[at], at = owner[came[at]], came[at]
+        owner[m] = -1
+    return {int(owner[c]): c for c in range(m) if owner[c] >= 0}
+
+
+def overlap(parts: DataFrame, ref: int) -> DataFrame:
+    """(fold, zone, ref_zone, n): cells that each fold's zones share with those of a reference fold, 0 included."""
+    refs = parts.where(F.col("fold") == ref).select("cell", F.col("zone").alias("ref_zone"))
+    n = parts.join(refs, "cell").groupBy("fold", "zone", "ref_zone").agg(F.count("*").alias("n"))
+    every = parts.select("fold", "zone").distinct().crossJoin(F.broadcast(refs.select("ref_zone").distinct()))  # zones: a handful
+    return every.join(n, ["fold", "zone", "ref_zone"], "left").fillna(0, ["n"])
 
 
 def tracks(parts: DataFrame, ref: int) -> DataFrame:
-    """(ref_zone, fold, zone): each fold's zones matched to the reference fold's."""
-    spark = parts.sparkSession
-    rows = []
-    for (fold,) in sorted(parts.select("fold").distinct().collect()):
-        found = [(r.zone, r.ref_zone, r.n) for r in overlap(parts, fold, ref).collect()]  # zones squared
-        rows += [(r, fold, z) for z, r in assign(found).items()]
-    return spark.createDataFrame(rows, "ref_zone int, fold int, zone int")
-
-
-def orphans(parts: DataFrame, matched: DataFrame) -> DataFrame:
-    """(fold, zone, n): zones without a track, and their size."""
-    return parts.groupBy("fold", "zone").agg(F.count("*").alias("n")).join(matched, ["fold", "zone"], "left_anti")
+    """(ref_zone, fold, zone): each fold's zones matched one to one to the reference fold's by the most shared cells, a fold a call."""
+
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="zone", columns="ref_zone", values="n")
+        found = hungarian(-table.to_numpy(float))
+        return pd.DataFrame({"ref_zone": [table.columns[c] for c in found.values()], "fold": pdf["fold"].iloc[0], "zone": [table.index[r] for r in found]})
+
+    return overlap(parts, ref).groupBy("fold").applyInPandas(matched, "ref_zone int, fold int, zone int")
+
+
+def orphans(parts: DataFrame, matched: DataFrame, cells: DataFrame) -> DataFrame:
+    """(fold, zone, n, area): zones without a track, their cells and their share of the fold's area. cells: (cell, w)."""
+    area = parts.join(cells, "cell").groupBy("fold", "zone").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    area = area.withColumn("area", F.col("w") / F.sum("w").over(Window.partitionBy("fold"))).drop("w")
+    return area.join(matched, ["fold", "zone"], "left_anti")
+
+
+def stability_metrics(parts: DataFrame, matched: DataFrame, cells: DataFrame, ref: int) -> DataFrame:
+    """(fold, orphan_area, absence_share): area of a fold's unmatched zones, and the share of reference zones that it lacks."""
+    lost = orphans(parts, matched, cells).groupBy("fold").agg(F.sum("area").alias("orphan_area"))
+    have = matched.groupBy("fold").agg(F.count("*").alias("k"))
+    k = parts.where(F.col("fold") == ref).agg(F.count_distinct("zone").alias("k_ref"))
+    rows = parts.select("fold").distinct().join(lost, "fold", "left").join(have, "fold", "left").crossJoin(F.broadcast(k))  # one row
+    return rows.select("fold", F.coalesce("orphan_area", F.lit(0.0)).alias("orphan_area"), (1 - F.coalesce("k", F.lit(0)) / F.col("k_ref")).alias("absence_share"))
+
+
+def aligned(parts: DataFrame, matched: DataFrame) -> DataFrame:
+    """(fold, cell, zone): parts with the names of their tracks; orphans are left out."""
+    return parts.join(matched, ["fold", "zone"]).select("fold", "cell", F.col("ref_zone").alias("zone"))
+
+
+def track_stability(parts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(zone, n_folds, agreement, boundary_variation, lat_sd, lon_sd) of aligned parts: mean Jaccard of its cells in pairs of
+    folds, the mean share of cells that change, and how far its (plain) centroid moves. cells: (cell, lat, lon)."""
+    pairs = jaccard(parts).groupBy("zone").agg(F.avg("jaccard").alias("agreement"), F.avg(1 - F.col("jaccard")).alias("boundary_variation"))
+    centre = parts.join(cells, "cell").groupBy("zone", "fold").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    moved = centre.groupBy("zone").agg(F.count("*").alias("n_folds"), F.when(F.count("*") > 1, F.stddev_pop("lat")).alias("lat_sd"), F.when(F.count("*") > 1, F.stddev_pop("lon")).alias("lon_sd"))
+    return moved.join(pairs, "zone", "left").select("zone", "n_folds", "agreement", "boundary_variation", "lat_sd", "lon_sd")
+
+
+def recipe_agreement(recipes: DataFrame, matched: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """(zone, window_exact, window_jaccard, predictor, predictor_group, lead, lead_diff) of each track over pairs of its folds.
+
+    recipes: (fold, zone, window, index, lead), a row for each discovered window; groups names each index's group. A pair of
+    folds counts for the predictors where both have the window; a window's mean comes before that over windows.
+    """
+    named = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
+    r = recipes.join(matched, ["fold", "zone"]).select("ref_zone", "fold", "window", "index", "lead", F.try_element_at(named, F.col("index")).alias("grp"))
+    sets = r.groupBy("ref_zone", "fold").agg(F.array_sort(F.collect_set("window")).alias("ws"))
+    a, b = (sets.select("ref_zone", F.col("fold").alias(f"f{k}"), F.col("ws").alias(f"w{k}")) for k in "ab")
+    size = lambda f: F.size(f(F.col("wa"), F.col("wb")))
+    wins = a.join(b, "ref_zone").where("fa < fb").groupBy("ref_zone").agg(F.avg((F.col("wa") == F.col("wb")).cast("double")).alias("window_exact"), F.avg(size(F.array_intersect) / size(F.array_union)).alias("window_jaccard"))
+    x, y = (r.select("ref_zone", "window", *[F.col(c).alias(f"{c}_{k}") for c in ("fold", "index", "grp", "lead")]) for k in "ab")
+    both = x.join(y, ["ref_zone", "window"]).where("fold_a < fold_b")
+    same = lambda c: F.avg((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("double")).alias(c)
+    each = both.groupBy("ref_zone", "window").agg(same("index"), same("grp"), same("lead"), F.avg(F.abs(F.col("lead_a") - F.col("lead_b"))).alias("diff"))
+    picks = each.groupBy("ref_zone").agg(F.avg("index").alias("predictor"), F.avg("grp").alias("predictor_group"), F.avg("lead").alias("lead"), F.avg("diff").alias("lead_diff"))
+    return wins.join(picks, "ref_zone", "left").withColumnRenamed("ref_zone", "zone")
+
+
+def track_skill(scores: DataFrame, matched: DataFrame) -> DataFrame:
+    """(zone, rpss, n): each track's held-out skill over its discovered windows, sums before the ratio. scores: (fold, zone, rps_f, rps_c)."""
+    rows = scores.join(matched, ["fold", "zone"]).groupBy("ref_zone")
+    return rows.agg((1 - F.try_divide(F.sum("rps_f"), F.sum("rps_c"))).alias("rpss"), F.count("*").alias("n")).withColumnRenamed("ref_zone", "zone")
 
 
 def switch_map(parts: DataFrame) -> DataFrame:

@@ -61,27 +61,28 @@ def benjamini_hochberg(rows: DataFrame, by: list[str], p: str = "p", tie: str =
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(down))).drop("_k", "_m")
 
 
-def ranked_places(places: DataFrame) -> DataFrame:
-    """(place, k, n): distinct places with their rank from 1 and their number. Places are years or weeks of a record: a small table."""
-    w = Window.partitionBy(F.lit(0))
-    return places.select("place").distinct().select("place", F.row_number().over(w.orderBy("place")).alias("k"), F.count("*").over(w).alias("n"))
+def ranked_places(places: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, place, k, n): distinct places with their rank from 1 and their number. Places are years or weeks of a record: a small table."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    return places.select(*by, "place").distinct().select(*by, "place", F.row_number().over(w.orderBy("place")).alias("k"), F.count("*").over(w).alias("n"))
 
 
 def _hash(*parts: str) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
 
 
-def donors(places: DataFrame, replicates: int) -> DataFrame:
-    """(replicate, k, place, donor): a random permutation of the (usable) places for each replicate, the same in any engine; replicate 0 is the identity.
+def donors(places: DataFrame, replicates: int, by: list[str] = ()) -> DataFrame:
+    """(by, replicate, k, place, donor): a random permutation of the (usable) places for each replicate, the same in any engine; replicate 0 is the identity.
 
     A replicate's donors are the places in the order of the hash of replicate and place; the k-th of them gives to the k-th
-    place. One table serves all series, so that what they have in common stays. Rows: replicates times places.
+    place. One table serves all series, so that what they have in common stays; with keys (folds), each has the same order
+    cut down to its own places. Rows: replicates times places.
     """
-    ranked = ranked_places(places)
+    ranked = ranked_places(places, by)
     reps = ranked.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("replicate"))
-    given = reps.crossJoin(ranked.select(F.col("place").alias("donor")))
-    order = Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") == 0, F.col("donor")), _hash("replicate", "donor"))
-    return given.withColumn("k", F.row_number().over(order)).join(ranked.select("k", "place"), "k").select("replicate", "k", "place", "donor")
+    given = reps.crossJoin(ranked.select(*by, F.col("place").alias("donor")))
+    order = Window.partitionBy("replicate", *by).orderBy(F.when(F.col("replicate") == 0, F.col("donor")), _hash("replicate", "donor"))
+    return given.withColumn("k", F.row_number().over(order)).join(ranked.select(*by, "k", "place"), [*by, "k"]).select(*by, "replicate", "k", "place", "donor")
 
 
 def permuted(pairs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:

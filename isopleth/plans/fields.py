@@ -350,14 +350,6 @@ def m11(spark, sf):
     return cube.bimodality(cube.climatology(month_panel(spark, sf), 0, 9999)).select("cell", *[r4(F.col(c)).alias(c) for c in ("a1", "a2", "ratio")])
 
 
-@query("g3_coarsen", f"SELECT cell // 3 AS i, (month - 1) // 5 AS j, {R('avg(v)')} AS v FROM pm WHERE cell // 3 < 8 AND (month - 1) // 5 < 2 GROUP BY 1, 2", "pm")
-def g3(spark, sf):
-    grid = month_panel(spark, sf).select(F.col("cell").alias("i"), (F.col("month") - 1).alias("j"), "v")
-    factored = grid.groupBy("i", F.floor(F.col("j") / 5).cast("int").alias("j")).agg(F.sum("v").alias("s"), F.count("v").alias("n")).where("j < 2")
-    out = factored.groupBy(F.floor(F.col("i") / 3).cast("int").alias("i"), "j").agg((F.sum("s") / F.sum("n")).alias("v")).where("i < 8")
-    return out.select("i", "j", r4(F.col("v")).alias("v"))
-
-
 @query("g4_g5_bilinear", f"""WITH g AS (SELECT cell AS i, month - 1 AS j, avg(v) AS v FROM pm GROUP BY 1, 2)
 SELECT a.i AS id, {R('0.75e0 * (0.5e0 * a.v + 0.5e0 * b.v) + 0.25e0 * (0.5e0 * c.v + 0.5e0 * d.v)')} AS v FROM g a JOIN g b ON b.i = a.i AND b.j = 4 JOIN g c ON c.i = a.i + 1 AND c.j = 3 JOIN g d ON d.i = a.i + 1 AND d.j = 4 WHERE a.j = 3""", "pm")
 def g4(spark, sf):
@@ -366,12 +358,6 @@ def g4(spark, sf):
     return cube.bilinear(grid, points).where("v IS NOT NULL").select("id", r4(F.col("v")).alias("v"))
 
 
-@query("g11_w4_w7_seasons")
-def g11(spark, sf):
-    c = discovery.cycle(cube.climatology(month_panel(spark, sf), 0, 9999), ["cell"])
-    return discovery.seasons(c, ["cell"]).select("cell", "start", "months", r4(F.col("total")).alias("total"))
-
-
 @query("g23_rain_window", f"""WITH c AS (SELECT cell, month - 1 AS m, avg(v) AS v FROM pm GROUP BY 1, 2), d AS (SELECT cell, m + s AS m, v FROM c, (SELECT unnest([0, 12]) AS s)),
 w AS (SELECT a.cell, a.m AS start, n AS length, sum(b.v) AS total FROM c a, range(3, 7) l(n), d b WHERE b.cell = a.cell AND b.m >= a.m AND b.m < a.m + n GROUP BY 1, 2, 3),
 b AS (SELECT *, total / (SELECT sum(v) FROM c WHERE c.cell = w.cell) AS captured FROM w QUALIFY row_number() OVER (PARTITION BY cell, length ORDER BY total DESC, start) = 1)
@@ -381,12 +367,6 @@ def g23(spark, sf):
     return discovery.rain_window(c, ["cell"], 0.5).select("cell", "start", "length", r4(F.col("captured")).alias("captured"))
 
 
-@query("g24_target_peaks")
-def g24(spark, sf):
-    c = discovery.cycle(cube.climatology(month_panel(spark, sf), 0, 9999), ["cell"])
-    return c.select("cell", F.explode(discovery.spaced_peaks(F.col("c"))).alias("peak"))
-
-
 @query("g1_cycle_features", f"WITH c AS (SELECT cell, month, avg(v) AS v FROM pm GROUP BY 1, 2) SELECT cell, month, {R('(v - avg(v) OVER (PARTITION BY cell)) / (stddev_pop(v) OVER (PARTITION BY cell) + 1e-6)')} AS z FROM c", "pm")
 def g1(spark, sf):
     c = discovery.cycle(cube.climatology(month_panel(spark, sf), 0, 9999), ["cell"])

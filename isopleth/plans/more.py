@@ -100,12 +100,6 @@ def w10(spark, sf):
     return two.select("cell", "win", r4(F.col("v")).alias("v"), F.row_number().over(Window.partitionBy("cell").orderBy("win")).alias("place"))
 
 
-@query("m7_box_gradients", f"WITH x AS (SELECT period, max(v) FILTER (cell = 0) AS a, max(v) FILTER (cell = 1) AS b, max(v) FILTER (cell = 2) AS c FROM pw GROUP BY 1) SELECT period, {R('a - b')} AS grad, {R('a - (b + c) / 2')} AS two FROM x", "pw")
-def m7(spark, sf):
-    x = week_panel(spark, sf).groupBy("period").agg(*[F.max(F.when(F.col("cell") == k, F.col("v"))).alias(n) for k, n in enumerate("abc")])
-    return x.select("period", r4(F.col("a") - F.col("b")).alias("grad"), r4(F.col("a") - (F.col("b") + F.col("c")) / 2).alias("two"))
-
-
 @query("m12_m17_group_map", "SELECT event_type, CASE event_type WHEN 'click' THEN 'act' WHEN 'purchase' THEN 'act' WHEN 'view' THEN 'see' ELSE 'other' END AS grp, count(*) AS n FROM events GROUP BY 1, 2")
 def m12(spark, sf):
     names = F.create_map(*[F.lit(x) for x in ("click", "act", "purchase", "act", "view", "see")])
@@ -187,12 +181,6 @@ def r43(spark, sf):
     return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(places(spark, sf), 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
 
 
-@query("r47_planted_field")
-def r47(spark, sf):
-    field, _ = benchmarks.two_zone_field(spark, 10, 20)
-    return rounded(cube.climatology(field, 1981, 1990), ["cell", "month"], ["clim"])
-
-
 @query("g16_expert_overlap", f"WITH p AS (SELECT cell, cell // 9 AS zone, CASE WHEN lat < 0 THEN 's' ELSE 'n' END AS region FROM dim) SELECT zone, region, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.zone = p.zone)')} AS of_zone, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.region = p.region)')} AS of_region FROM p GROUP BY zone, region", "dim")
 def g16(spark, sf):
     c = cells(spark)
@@ -223,20 +211,6 @@ def g22(spark, sf):
     return rounded(benchmarks.zones_against_bands(s.select("kind", "unit", "predictor", "r"), sizes, 60, 0.98), ["kind", "unit"], ["best"])
 
 
-@query("g10_silhouette_by_label")
-def g10(spark, sf):
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), float)
-        label = pdf.sort_values("vec_id")["label"].to_numpy()
-        return pd.DataFrame({"g": [0], "silhouette": [discovery.silhouette(x, label)]})
-
-    return rounded(table(spark, sf, "embeddings").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "g int, silhouette double"), ["g"], ["silhouette"])
-
-
 @query("t1_t4_issuance_stream", "SELECT strftime(o_orderdate, '%Y-%m') AS init, o_orderpriority AS key, max(o_orderkey) AS v FROM orders GROUP BY 1, 2")
 def t1(spark, sf):
     source, out = io.shared_folder(spark, "stream-in"), io.shared_folder(spark, "stream-out")

@@ -270,15 +270,6 @@ def r45(spark, sf):
     return search.useful_lead(c, ["cell"], 2.0)
 
 
-@query("a23_zone_weights", f"""WITH a AS (SELECT cell % 3 AS zone, sum(w) AS a FROM dim GROUP BY 1), n AS (SELECT zone, unnest(range(0, zone + 1)) AS k FROM a)
-SELECT 0 AS fold, zone::INT AS zone, k::INT AS "window", {R('a / (SELECT sum(a) FROM a) / (zone + 1)')} AS weight FROM n JOIN a USING (zone)""", "dim")
-def a23(spark, sf):
-    c = cells(spark)
-    parts = c.select(F.lit(0).alias("fold"), "cell", (F.col("cell") % 3).alias("zone"))
-    windows = parts.select("fold", "zone").distinct().select("fold", "zone", F.explode(F.sequence(F.lit(0), F.col("zone"))).alias("window"))
-    return rounded(atlas.zone_weights(parts, windows, c), ["fold", "zone", "window"], ["weight"])
-
-
 @query("a15_coverage", f"SELECT month % 2 AS fam, {R('count(DISTINCT (year, cell)) * 0.5e0 / 7')} AS coverage FROM pm GROUP BY 1", "pm")
 def a15(spark, sf):
     s = month_panel(spark, sf).select((F.col("month") % 2).alias("fam"), F.col("year").alias("fold"), F.col("cell").alias("zone"), F.lit("w").alias("window"), F.lit(0.5).alias("weight"))
@@ -313,12 +304,6 @@ def g2(spark, sf):
     return rounded(discovery.gram(e), ["a", "b"], ["g"])
 
 
-@query("g6_g7_g17_stability")
-def g17(spark, sf):
-    m = month_panel(spark, sf).select((F.col("month") % 2).cast("int").alias("fold"), "cell", (F.col("year") * 12 + F.col("month")).alias("col"), "v").where("cell < 24")
-    return rounded(discovery.discover(m, range(2, 5), 3), ["fold", "k"], ["ari", "ari_sd", "silhouette"])
-
-
 def _parts(spark: SparkSession) -> DataFrame:
     f = spark.range(4).select(F.col("id").cast("int").alias("fold"))
     return f.crossJoin(cells(spark)).select("fold", "cell", F.pmod(F.floor((F.col("cell") + F.col("fold")) / 5), F.lit(4)).cast("int").alias("zone"))
@@ -337,22 +322,6 @@ def g14(spark, sf):
     return rounded(discovery.jaccard(_parts(spark)), ["zone", "fold_a", "fold_b"], ["jaccard"])
 
 
-@query("j13_g13_tracks")
-def j13(spark, sf):
-    return discovery.tracks(_parts(spark), 0)
-
-
-@query("g18_r32_atlas_null")
-def g18(spark, sf):
-    p = pairs(spark, sf).withColumnRenamed("year", "place")
-    folds = whole_folds(spark, sf)
-    moved = inference.permuted(p, inference.donors(places(spark, sf), 4), ["cell"]).withColumnRenamed("place", "year")
-    rows = moved.join(F.broadcast(folds), "year").select("replicate", "fold", (F.col("cell") % 4).alias("zone"), F.lit("w").alias("window"), F.concat(F.lit("k"), "cell").alias("key"), "year", "is_train", "x", "y")
-    target = rows.groupBy("replicate", "fold", "zone", "window", "year").agg(F.avg("y").alias("y"))
-    chosen = atlas.select(rows.drop("y").join(target, ["replicate", "fold", "zone", "window", "year"]))
-    return rounded(atlas.pooled_skill(atlas.score(chosen).withColumn("weight", F.lit(0.25)), ["replicate"]), ["replicate", "n"], ["rpss"])
-
-
 LINKS = r"""regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""
 
 

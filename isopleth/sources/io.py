@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once to a new shared folder and read back: what several branches of a plan start from."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_field(spark: SparkSession, path: str, schema: T.StructType, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """A field (cell, lat, lon, year, month, v) with a fixed schema, NaN as null, cut to a box (south, north, west, east) in the scan.
 
