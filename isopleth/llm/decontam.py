@@ -4,18 +4,20 @@ Every document is cut into passages, whose TF-IDF rows span a space of hashed
 words. A randomised SVD of all those rows (one pass gathers the sketch) gives
 the leading right singular vectors. Benchmark items and windows of all
 documents meet in that latent space; windows whose cosine with an item is high
-enough are candidates. So are all windows of a document that has enough of an
-item's words for a match anywhere, so that no match is lost to the space's low
-rank. A candidate counts if the longest common subsequence of
+enough are candidates. So are, after them, all other windows with enough of an
+item's words for a match, so that no match is lost to the space's low rank. A candidate counts if the longest common subsequence of
 words holds enough of the item and of its answer (its last words), which also
 finds paraphrases that keep most words in order.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +32,31 @@ FEATURES, RANK, SPARE, PASSAGE, STEP = 1 << 14, 48, 8, 64, 8
 COSINE, LCS_SHARE, ANSWER_SHARE, ANSWER = 0.6, 0.6, 0.5, 0.25
 #: Features in more than this share of the passages (and in so many of them) say nothing about a passage and have no weight.
 STOP_SHARE, STOP_LEAST = 0.02, 30
-#: Tokens that a task handles at a time.
-CHUNK = 1 << 15
+#: Tokens that a task handles at a time; benchmark items of a job.
+CHUNK, BLOCK = 1 << 15, 512
 
 
 class _Codes(dict):
-    """32-bit code of a word without punctuation at its ends, 0 if nothing is left; the memory starts anew when it is full."""
+    """32-bit code of a word without punctuation at its ends, in four bytes, or none if nothing is left; the memory starts anew when it is full."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 400_000:
             self.clear()
         bare = word.strip("\"'.,;:!?()[]{}<>|*%&$#+=~^_/\\-«»„“”¿¡…")
-        out = self[word] = max(1, zlib.crc32(bare.encode("utf-8", "surrogatepass"))) if bare else 0
+        out = self[word] = struct.pack("<I", max(1, zlib.crc32(bare.encode("utf-8", "surrogatepass")))) if bare else b""
         return out
 
 
 _CODES = _Codes()
 
 
+def word_codes(text: str | None) -> bytes:
+    """Codes of a text's words, lower-cased, four bytes each."""
+    return b"".join(map(_CODES.__getitem__, (text or "").lower().split()))
+
+
 def codes(text: str | None) -> np.ndarray:
-    """Codes of a text's words, lower-cased."""
-    out = np.fromiter(map(_CODES.__getitem__, (text or "").lower().split()), np.uint32)
-    return out[out != 0]
+    return np.frombuffer(word_codes(text), "<u4")
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -91,6 +96,19 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, n
         yield ids, np.concatenate(parts), np.array([len(p) for p in parts])
 
 
+def _sections(it: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """As _batches, with (id, first word) for ids: long documents come in sections that share ``overlap`` words, so that every window lies whole in one."""
+    for ids, t, counts in _batches(it):
+        if len(t) <= 2 * CHUNK:
+            yield [(i, 0) for i in ids], t, counts
+            continue
+        step = max(STEP, (CHUNK - overlap) // STEP * STEP) if overlap < CHUNK // 2 else -(-overlap // STEP) * STEP
+        for i, end, n in zip(ids, np.cumsum(counts), counts):
+            for at in range(0, max(1, n - overlap), step):
+                part = t[end - n + at : min(end, end - n + at + step + overlap)]
+                yield [(i, at)], part, np.array([len(part)])
+
+
 def _pieces(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pieces of ``size`` tokens that each document is cut into, and each document's number of pieces."""
     many = -(-counts // size)
@@ -103,7 +121,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_codes(t.as_py()) for t in b.column(1)], pa.binary())], ["doc_id", "words"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, words binary")
 
@@ -182,114 +200,151 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-20)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+class Items:
+    """A block of benchmark items (name, codes), as a task's search needs them.
+
+    A match needs LCS_SHARE of an item's words, so it needs that many less the
+    item's common words (features without weight) of its rare ones. Where that
+    is one at least, an item is looked up by its rare words, else by all of
+    its words: where no stretch of a window's length has so many of them,
+    there is no match.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], weights: np.ndarray, latent: np.ndarray):
+        self.names = [k for k, _ in items]
+        self.words = [c.tolist() for _, c in items]
+        self.latent = latent
+        self.steps = np.array([-(-len(c) // STEP) for _, c in items])
+        self.least = np.array([math.ceil(LCS_SHARE * len(c) - 1e-9) for _, c in items])  # words in common that a match needs
+        self.vectors = _unit(np.stack([latent[c % FEATURES].sum(axis=0) for _, c in items]))
+        self.blind = ~self.vectors.any(axis=1)
+        self.kinds = [np.unique(c, return_counts=True) for _, c in items]
+        rare = [weights[c % FEATURES] > 0 for _, c in items]
+        some = np.array([n - int((~r).sum()) for n, r in zip(self.least, rare)])
+        self.need = np.where(some >= 1, some, self.least)
+        asked = [np.unique(c[r] if n >= 1 else c) for (_, c), r, n in zip(items, rare, some)]
+        codes_, owner = np.concatenate(asked), np.repeat(np.arange(len(items)), [len(x) for x in asked])
+        order = np.argsort(codes_, kind="stable")
+        self.codes, self.first = np.unique(codes_[order], return_index=True)
+        self.first, self.owner = np.append(self.first, len(order)), owner[order]
+        self.flag = np.zeros(FEATURES, bool)
+        self.flag[self.codes % FEATURES] = True
+
+    def stretches(self, t: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(document, item, first, end), a row for each pair that may match: where in t the stretches lie that have enough of the words that the item is looked up by."""
+        at = np.flatnonzero(self.flag[t % FEATURES])
+        place = np.searchsorted(self.codes, t[at])
+        ok = self.codes[np.minimum(place, len(self.codes) - 1)] == t[at]
+        at, place = at[ok], place[ok]
+        many = self.first[place + 1] - self.first[place]
+        item = self.owner[np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        at = np.repeat(at, many)
+        key = np.searchsorted(ends, at, "right") * len(self.names) + item
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        last = np.arange(len(key)) + self.need[key % len(self.names)] - 1
+        i = np.flatnonzero(last < len(key))
+        i = i[(key[last[i]] == key[i])]
+        i = i[at[last[i]] - at[i] < (self.steps[key[i] % len(self.names)] + 2) * STEP]
+        if not len(i):
+            return np.zeros((0, 4), np.int64)
+        new = np.flatnonzero(np.diff(key[i], prepend=-1))
+        span = (self.steps[key[i[new]] % len(self.names)] + 3) * STEP
+        return np.stack([key[i[new]] // len(self.names), key[i[new]] % len(self.names), at[i[new]] - span, np.maximum.reduceat(at[last[i]], new) + span], axis=1)
+
+    def search(self, t: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, int]]:
+        """(document, item): (cosine, share, first word) of the best matching window; documents of counts[d] words each lie in t one after another.
+
+        A window spans as many steps as its item, and a step more on either side is searched for the subsequence.
+        """
+        ends = np.cumsum(counts)
+        best: dict[tuple[int, int], tuple[float, float, int]] = {}
+        for d, k, first, end in self.stretches(t, ends).tolist():
+            begin = int(ends[d] - counts[d])
+            first = max(0, (first - begin) // STEP * STEP)  # windows start at the document's steps
+            words = t[begin + first : min(end, int(ends[d]))]
+            at, left, right, held = self._windows(words, k)
+            if not len(at):
+                continue
+            f = words % FEATURES
+            step = np.add.reduceat(self.latent[f], np.arange(0, len(f), STEP), axis=0)
+            sums = np.concatenate([np.zeros((1, step.shape[1])), np.cumsum(step, axis=0, dtype=np.float64)])
+            v = sums[np.minimum(at + self.steps[k], len(sums) - 1)] - sums[at]
+            cosine = v @ self.vectors[k] / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-20)
+            near = self.blind[k] | (cosine >= COSINE)  # candidates of the latent space first, then all others
+            for p in (*np.flatnonzero(near).tolist(), *np.flatnonzero(~near).tolist()):
+                inside = slice(left[p], right[p])
+                share, ok = matches(self.words[k], words[inside][held[inside]].tolist())  # a subsequence has no other words
+                if ok:
+                    found = (1.0 if self.blind[k] else float(cosine[p]), share, int(first + left[p]))
+                    if (d, k) not in best or (found[1], found[0], -found[2]) > (best[d, k][1], best[d, k][0], -best[d, k][2]):
+                        best[d, k] = found
+        return best
+
+    def _windows(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First step, first word and end of the windows with enough of an item's words, each counted as often as the item has it; and which words are the item's."""
+        kinds, n = self.kinds[k]
+        place = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
+        held = kinds[place] == words
+        upto = np.concatenate([[0], np.cumsum(held)])
+        at = np.arange(max(1, -(-len(words) // STEP) - int(self.steps[k]) + 1))  # windows that the end cuts are in the one before
+        keep = np.zeros(len(at), bool)
+        left, right = np.maximum(at - 1, 0) * STEP, np.minimum((at + self.steps[k] + 1) * STEP, len(words))
+        for some in np.array_split(np.arange(len(at)), -(-len(at) // 1024)):
+            at_ = some[upto[right[some]] - upto[left[some]] >= self.least[k]]
+            if len(at_):
+                spot = left[at_][:, None] + np.arange(int((right[at_] - left[at_]).max()))
+                ok = spot < right[at_][:, None]
+                spot = np.minimum(spot, len(words) - 1)
+                ok &= held[spot]
+                seen = np.bincount(np.nonzero(ok)[0] * len(kinds) + place[spot[ok]], minlength=len(at_) * len(kinds)).reshape(len(at_), -1)
+                keep[at_] = np.minimum(seen, n).sum(axis=1) >= self.least[k]
+        return at[keep], left[keep], right[keep], held
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row per document and benchmark item found in it: (doc_id, item_id, cosine, lcs_share, at_word), the best window's.
 
-    The benchmark is a stated query set and is held by every task. Null,
-    empty and wordless texts and items match nothing; items of fewer than
-    three words are left out. Null ids are returned as they are; repeated rows
-    count as one document. An empty table on either side gives an empty
-    result. Other columns are ignored.
+    The benchmark is a stated query set: it is searched for in blocks of
+    about ``block`` items, a job each, so that what a task holds is bounded.
+    Null, empty and wordless texts and items match nothing; items of fewer
+    than three words are left out. Very long texts are searched whole. Null
+    ids are returned as they are; repeated rows count as one document, and
+    repeated items as one. Item ids may be of any type that a string can be
+    cast to. Of equally good windows the first is taken. An empty table on
+    either side gives an empty result. Other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
-    words = Scratch(spark, "decontam").write(tokens(docs, id_col, text_col), "words")
-    items = [(r[0], codes(r[1])) for r in benchmark.select(item_col, item_text_col).orderBy(item_col).collect()]
-    items = [(k, c) for k, c in items if len(c) >= 3]
+    scratch = Scratch(spark, "decontam")
+    words = scratch.write(tokens(docs, id_col, text_col), "words")
+    kind = benchmark.schema[item_col].dataType
+    asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
+    blocks = max(1, math.ceil(asked.count() / block))
+    asked = scratch.write(asked.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")), "items", ["block"])
     weights = idf(words)
     latent = singular_vectors(words, weights)
-    by: dict[int, list[int]] = defaultdict(list)
-    for k, (_, c) in enumerate(items):
-        by[-(-len(c) // STEP)].append(k)
-    vectors = _unit(np.array([latent[c % FEATURES].sum(axis=0) for _, c in items]).reshape(-1, RANK)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((latent, vectors, [c.tolist() for _, c in items], [k for k, _ in items], dict(by)))
+    parts = [_found(words, asked.where(F.col("block") == b), weights, latent) for b in range(blocks)]
+    hits = reduce(DataFrame.unionByName, parts)
+    best = F.max_by(F.struct("cosine", "lcs_share", "at_word"), F.struct("lcs_share", "cosine", -F.col("at_word")))
+    return hits.groupBy("doc_id", "item").agg(best.alias("b")).select("doc_id", F.col("item").cast(kind).alias("item_id"), "b.cosine", "b.lcs_share", "b.at_word")
+
+
+def _found(words: DataFrame, asked: DataFrame, weights: np.ndarray, latent: np.ndarray) -> DataFrame:
+    """(doc_id, item, cosine, lcs_share, at_word) of one block of items."""
+    schema = "doc_id long, item string, cosine double, lcs_share double, at_word long"
+    rows = asked.select("item", "text").orderBy("item", "text").collect()  # a block of items
+    items = [(r.item, c) for r in rows if len(c := codes(r.text)) >= 3]
+    if not items:
+        return words.sparkSession.createDataFrame([], schema)
+    shared = words.sparkSession.sparkContext.broadcast((items, weights, latent))
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, vectors, item_words, names, by = shared.value
-        blind = ~vectors.any(axis=1)
-        holds = np.zeros((len(names), FEATURES), bool)
-        for k, c in enumerate(item_words):
-            holds[k, np.array(c) % FEATURES] = True
-        least = np.array([LCS_SHARE * len(c) for c in item_words])
-        used = np.flatnonzero(holds.any(axis=0))
-        column_of = np.full(FEATURES, -1)
-        column_of[used] = np.arange(len(used))
-        need = np.zeros((len(used), len(names)), np.float32)  # how many of an item's words have a feature
-        for k, c in enumerate(item_words):
-            np.add.at(need[:, k], column_of[np.array(c) % FEATURES], 1)
-        need_steps = np.array([-(-len(c) // STEP) for c in item_words])
-        for ids, t, counts in _batches(it):
-            f = (t % FEATURES).astype(np.int64)
-            column, doc_of = column_of[f], np.repeat(np.arange(len(ids)), counts)
-            doc_in, column = doc_of[column >= 0], column[column >= 0]
-            pairs = []
-            for at in range(0, len(ids), 256):  # bounded memory for many short texts
-                part = slice(*np.searchsorted(doc_in, (at, at + 256)))
-                present = np.zeros((min(256, len(ids) - at), len(used)), np.float32)
-                present[doc_in[part] - at, column[part]] = 1
-                d, k = np.nonzero(present @ need >= least - 1e-6)  # the others have too few of the item's words anywhere
-                pairs.append((d + at, k))
-            docs_at, items_at = (np.concatenate(x) for x in zip(*pairs))
-            if not len(docs_at):
-                continue
-            kept, docs_at = np.unique(docs_at, return_inverse=True)
-            inside = np.isin(doc_of, kept)
-            ids, t, f, counts = [ids[d] for d in kept], t[inside], f[inside], counts[kept]
-            starts, many = _pieces(counts, STEP)
-            sums = np.add.reduceat(latent[f], starts, axis=0)
-            owner, first = np.repeat(np.arange(len(ids)), many), np.cumsum(many) - many
-            stop = (first + many)[owner]  # where the document of each step ends
-            place, window = np.arange(len(starts)), np.zeros_like(sums)
-            begin = np.cumsum(counts) - counts
-            best: dict[tuple[int, int], tuple] = {}
-            for steps in range(1, max(by, default=0) + 1):
-                more = len(starts) - steps + 1  # windows grow by a step, but not over their document's end
-                if more > 0:
-                    window[:more] += np.where((place[:more] + steps <= stop[:more])[:, None], sums[steps - 1 :], 0)
-                if steps not in by:
-                    continue
-                members, at = by[steps], np.flatnonzero((place + steps <= stop) | (place == first[owner]))  # windows that the end cuts are in the one before, but for the first
-                part = window if len(at) == len(window) else window[at]
-                cosine = part @ vectors[members].T
-                cosine /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-20)[:, None]
-                cosine[:, blind[members]] = 1  # every window is a candidate for what the latent space can't see
-                left = np.maximum(starts[at] - STEP, begin[owner[at]])
-                right = np.minimum(starts[at] + (steps + 1) * STEP, (begin + counts)[owner[at]])
-                rows, columns = np.nonzero(cosine >= COSINE)
-                for cut in range(0, len(rows), CHUNK):  # a subsequence isn't longer than the number of words in common
-                    row, column = rows[cut : cut + CHUNK], columns[cut : cut + CHUNK]
-                    spot = left[row][:, None] + np.arange((steps + 2) * STEP)
-                    inside = spot < right[row][:, None]
-                    common = holds[np.array(members)[column][:, None], f[np.minimum(spot, len(t) - 1)]] & inside
-                    for r, c in zip(*(x[common.sum(axis=1) >= least[np.array(members)[column]]].tolist() for x in (row, column))):
-                        doc, k = int(owner[at[r]]), members[c]
-                        share, ok = matches(item_words[k], t[left[r] : right[r]].tolist())
-                        if ok and ((doc, k) not in best or best[doc, k][1] < share):
-                            best[doc, k] = (float(cosine[r, c]), share, int(left[r] - begin[doc]))
-            turn = np.cumsum(counts[docs_at]) // (CHUNK * 8)
-            for cut in np.split(np.arange(len(docs_at)), np.flatnonzero(np.diff(turn)) + 1):  # all windows of these pairs, whatever their cosine
-                pair_doc, pair_item = docs_at[cut], items_at[cut]
-                sizes, steps = counts[pair_doc], need_steps[pair_item]
-                offset = np.cumsum(sizes) - sizes
-                spot = np.arange(sizes.sum()) + np.repeat(begin[pair_doc] - offset, sizes)
-                hit = holds[np.repeat(pair_item, sizes), f[spot]]
-                words_hit, before = t[spot[hit]].tolist(), np.append(0, np.cumsum(hit))  # a subsequence has no other words
-                windows = np.maximum(1, many[pair_doc] - steps + 1)
-                pair = np.repeat(np.arange(len(cut)), windows)
-                at = np.arange(len(pair)) - np.repeat(np.cumsum(windows) - windows, windows)
-                left = np.maximum(at - 1, 0) * STEP
-                right = np.minimum((at + steps[pair] + 1) * STEP, sizes[pair])
-                lo, hi = before[offset[pair] + left], before[offset[pair] + right]
-                enough = np.flatnonzero(hi - lo >= least[pair_item[pair]] - 1e-6)
-                for p, w, start, x, y in zip(*(v[enough].tolist() for v in (pair, at, left, lo, hi))):
-                    doc, k = int(pair_doc[p]), int(pair_item[p])
-                    share, ok = matches(item_words[k], words_hit[x:y])
-                    if ok and ((doc, k) not in best or best[doc, k][1] < share):
-                        v = sums[first[doc] + w : first[doc] + min(w + int(steps[p]), many[doc])].sum(axis=0)
-                        best[doc, k] = (1.0 if blind[k] else float(v @ vectors[k] / max(np.sqrt(v @ v), 1e-20)), share, start)
-            rows = [(ids[d], names[k], *x) for (d, k), x in sorted(best.items())]
+        search = Items(*shared.value)
+        for owner, t, counts in _sections(it, (int(search.steps.max()) + 2) * STEP):
+            rows = [(*owner[d][:1], search.names[k], cosine, share, at + owner[d][1]) for (d, k), (cosine, share, at) in sorted(search.search(t, counts).items())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "cosine", "lcs_share", "at_word"])
+                kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "item", "cosine", "lcs_share", "at_word"])
 
-    hits = words.mapInArrow(found, "doc_id long, item_id long, cosine double, lcs_share double, at_word long")
-    best = F.max_by(F.struct("cosine", "lcs_share", "at_word"), F.struct("lcs_share", "cosine", -F.col("at_word")))
-    return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.cosine", "b.lcs_share", "b.at_word")
+    return words.mapInArrow(found, schema)
