@@ -14,11 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import hash_sample
+from .sampling import hash_sample, unused
 
 #: Rows to fit on, a language; times that a word must occur in them to be known; longest n-gram.
 SAMPLE, LEAST_COUNT, LONGEST = 2000, 3, 5
@@ -116,18 +117,18 @@ def learn(docs: DataFrame, rows: Column, lang_col: str = "lang", text_col: str =
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``lang_score`` (0 to 1), by whole texts.
 
-    A null text or one without a letter is ``und`` with score 0. Ties go to
-    the first language in order. Repeated rows stay; columns of those names
-    are replaced. An empty table gives an empty result.
+    A null text or one without a letter is ``und`` with score 0. Very long
+    texts are summed up in parts. Ties go to the first language in order.
+    Repeated rows stay; columns of those names are replaced, others stay. An
+    empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, lang_score: double>")
     def predicted(texts):
-        import pandas as pd
-
         memory = shared.value.__dict__.setdefault("memory", {})
         return pd.DataFrame([shared.value.predict(t, memory) for t in texts], columns=["lang_pred", "lang_score"])
 
-    out = docs.withColumn("_lang", predicted(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_lang.lang_pred"), "lang_score": F.col("_lang.lang_score")}).drop("_lang")
+    made = unused(docs, "_lang")
+    out = docs.withColumn(made, predicted(F.col(text_col)))
+    return out.withColumns({c: F.col(made)[c] for c in ("lang_pred", "lang_score")}).drop(made)

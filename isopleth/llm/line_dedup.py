@@ -37,12 +37,22 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
+#: Bytes of documents for each bucket of a run and for each batch, beyond the least number of either; most buckets that Spark allows.
+BUCKET_BYTES, BATCH_BYTES, MOST_BUCKETS, LEAST_BATCHES = 1 << 30, 4 << 40, 100_000, 4
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size, from its files' sizes; no job runs. 0 where it knows nothing (rows that aren't from files)."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 class LineRuns:
     """The levelled runs. ``add`` takes a batch of (h1, h2, id), later batches having the smaller ids."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 2, n_bytes: int = 0):
         self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES)))
         self.scratch = Scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
         self._tag = uuid.uuid4().hex[:12]
@@ -94,6 +104,12 @@ class LineRuns:
                 self._forget(name)
             level += 1
 
+    def close(self) -> None:
+        """Drops all runs."""
+        for name in self.runs():
+            self._forget(name)
+        self.levels = []
+
     def keys(self) -> DataFrame:
         """(h1, h2, n, top): over all batches, the number of documents with the key and the largest id among them."""
         if not self.runs():
@@ -101,7 +117,7 @@ class LineRuns:
         return self._merged(self.runs())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int | None = None, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Drops repeated lines. A row per input row: (doc_id, n_lines, n_dropped, kept_text), with ``carry`` a struct ``carried`` of the row's other columns too.
 
     A key (see ``line_key``) of at least ``min_chars`` code points that at
@@ -112,10 +128,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
     one document whose id is below all others. Rows with one id are one
     document for the count; each such row is returned. Lines that repeat in
     one document alone stay. A document that loses every line keeps the empty
-    text. An empty table gives an empty result. Other columns are ignored.
+    text. Very long texts are split whole, by the JVM. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
+
+    The number of buckets of a run and, unless said, of batches grows with the
+    size of the table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
+    n_bytes = plan_bytes(docs)
+    n_batches = n_batches or max(LEAST_BATCHES, min(64, -(-n_bytes // BATCH_BYTES)))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("carried")] if carry else []))
     more = ["carried"] if carry else []
     base = base.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("rid"))
@@ -126,11 +148,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
     lines = base.select("id", "rid", batch.alias("batch"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("id", "rid", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     keys = scratch.write(keys.select("id", "rid", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "batch"), "keys", ["batch"])
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, n_bytes)
     for k in range(len(cuts) + 1):
         runs.add(keys.where(F.col("batch") == k))
     # a plain table, not the runs' buckets: adaptive execution splits a very common line's rows only where both sides are shuffled
     common = scratch.write(runs.keys().where(F.col("n") >= min_docs), "common")
+    runs.close()
     dropped = keys.join(common, HASH).where(F.col("id") != F.col("top")).groupBy("id", "rid").agg(F.collect_set("pos").alias("lost"))
     split = base.join(dropped, ["id", "rid"], "left").select(*more, "doc_id", "text", "lost", F.split("text", "\n", -1).alias("lines"))
     # "lines" is used more than once in the next step, so the optimizer doesn't fold the split into the function over the kept positions

@@ -18,7 +18,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of a restart interval; payload bytes that a task encodes or decodes at a time (one text at least).
-INTERVAL, BATCH_BYTES = 16, 5 << 20
+#: Blocks of a restart interval; payload bytes of an image; bytes that a task encodes or decodes at a time.
+INTERVAL, TILE, BATCH_BYTES = 16, 1 << 20, 4 << 20
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: Integer basis of the inverse transform, in units of 2**-12.
 BASIS = np.rint(np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)]) * 4096)
@@ -430,68 +430,150 @@ def rgb(image: Image, coef: np.ndarray) -> np.ndarray:
     return np.floor(out + 0.5).clip(0, 255).astype(np.uint8)
 
 
-def payload(image: Image, coef: np.ndarray) -> bytes:
-    """The payload that encode() stored."""
+def payload(image: Image, coef: np.ndarray) -> bytes | None:
+    """The payload that encode() stored; None for an image from elsewhere."""
+    if image.payload is None:
+        return None
     order = np.concatenate([np.concatenate([image.first[c] + np.arange(h)[:, None] * image.rows[c][0] + np.arange(w)]).ravel() for c, (w, h) in enumerate(image.real)])
     v = coef[order[: image.payload // 64]]
     return np.where(v > 0, v, v + 255).astype(np.uint8).tobytes()
 
 
-def feature(tensor: np.ndarray) -> str:
-    """Size, mean of each channel and the counts of eight ranges of green."""
-    h, w, _ = tensor.shape
-    means = ",".join(f"{x / (h * w):.3f}" for x in tensor.sum(axis=(0, 1), dtype=np.int64).tolist())
-    return f"{w}x{h};{means};" + "-".join(map(str, np.bincount((tensor[:, :, 1] >> 5).ravel(), minlength=8).tolist()))
+def images(media: bytes) -> list[bytes]:
+    """The JPEGs of a stored form, one after another: an end marker with a start marker behind it lies only between two of them."""
+    out, at = [], 0
+    while (end := media.find(b"\xff\xd9\xff\xd8", at)) >= 0:
+        out.append(media[at : end + 2])
+        at = end + 2
+    return [*out, media[at:]]
+
+
+class _Row:
+    """What is read back of a row, an image at a time."""
+
+    def __init__(self, doc_id, n_bytes, media: bytes | None, keep_rgb: bool):
+        self.doc_id, self.n_bytes, self.keep_rgb = doc_id, n_bytes, keep_rgb
+        self.media = media if media is None else (len(media), hashlib.sha256(media).hexdigest())
+        self.left = images(media)[::-1] if media is not None else []
+        self.waiting, self.sha, self.size, self.tail, self.whole = len(self.left), hashlib.sha256(), 0, b"", True
+        self.sums, self.greens, self.pixels, self.shape, self.tensors = np.zeros(3, np.int64), np.zeros(8, np.int64), 0, None, []
+
+    def add(self, image: Image, coef: np.ndarray) -> None:
+        body, tensor = payload(image, coef), rgb(image, coef)
+        if body is None:
+            self.whole = False
+        else:
+            self.sha.update(body)
+            self.size, self.tail = self.size + len(body), (self.tail + body)[-64:]
+        h, w, _ = tensor.shape
+        self.shape = self.shape or (w, h)
+        self.pixels += h * w
+        self.sums += tensor.sum(axis=(0, 1), dtype=np.int64)
+        self.greens += np.bincount((tensor[:, :, 1] >> 5).ravel(), minlength=8)
+        if self.keep_rgb:
+            self.tensors.append({"height": h, "width": w, "rgb": tensor.tobytes()})
+        self.waiting -= 1
+
+    def result(self) -> tuple:
+        if self.media is None:
+            return (self.doc_id, self.n_bytes, *[None] * 6, None)
+        held = (self.size, self.sha.hexdigest(), zlib.crc32(self.tail)) if self.whole else (None, None, None)
+        return (self.doc_id, self.n_bytes, *held, *self.media, feature(self.shape, self.pixels, self.sums, self.greens), self.tensors)
+
+
+def feature(shape: tuple[int, int], pixels: int, sums: np.ndarray, greens: np.ndarray) -> str:
+    """Size of the (first) image, mean of each channel and the counts of eight ranges of green over all its images' pixels."""
+    means = ",".join(f"{x / pixels:.3f}" for x in sums.tolist())
+    return f"{shape[0]}x{shape[1]};{means};" + "-".join(map(str, greens.tolist()))
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a progressive JPEG. Null and empty texts are one block of zeros.
 
-    Null ids and repeated rows are stored like others, other columns are
-    ignored, and an empty table gives an empty result.
+    A payload of over ``TILE`` bytes is several images, one after another, so
+    that no task ever works on more than ``BATCH_BYTES`` of a very long text
+    at a time. Equal texts have equal media. Null ids and repeated rows are
+    stored like others, other columns are ignored, whatever their names, and
+    an empty table gives an empty result.
     """
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(encode([r[2] for r in rows]), pa.binary())], ["doc_id", "n_bytes", "media"])
-
+        rows: deque[tuple] = deque()  # (doc_id, n_bytes, number of images, images)
+        tiles: list[tuple[tuple, bytes]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (row, _), image in zip(tiles, encode([t for _, t in tiles])):
+                row[3].append(image)
+            tiles.clear()
+            done = []
+            while rows and len(rows[0][3]) == rows[0][2]:
+                done.append(rows.popleft())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int64()), pa.array([b"".join(r[3]) for r in done], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+        size = 0
         for b in batches:
-            rows, size = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                rows.append((doc_id, *padded(text.as_py())))
-                size += len(rows[-1][2])
-                if size >= BATCH_BYTES:
-                    yield out(rows)
-                    rows, size = [], 0
-            if rows:
-                yield out(rows)
+                n, body = padded(text.as_py())
+                row = (doc_id, n, -(-len(body) // TILE), [])
+                rows.append(row)
+                for at in range(0, len(body), TILE):
+                    tiles.append((row, body[at : at + TILE]))
+                    size += len(tiles[-1][1])
+                    if size >= BATCH_BYTES:
+                        yield from flush()
+                        size = 0
+        if tiles:
+            yield from flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
+#: Columns that read() returns, and the tensors that it adds: one of each image, full-resolution RGB by row, column and channel.
+READ = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+TENSORS = "array<struct<height: int, width: int, rgb: binary>>"
+
+
 def read(media: DataFrame, keep_rgb: bool = False) -> DataFrame:
-    """Reads store()'s column back: payload size, digests and feature of each image, with keep_rgb its tensor (height, width, rgb) too."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Reads store()'s column back: payload size, digests and feature of each row, with keep_rgb its RGB ``tensors`` too.
+
+    A null media has nulls but for the id and n_bytes. JPEGs from elsewhere,
+    without a payload, have no payload columns but a feature. Null ids and
+    repeated rows are returned like others, other columns are ignored, and an
+    empty table gives an empty result. Very long media are decoded an image
+    at a time.
+    """
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    schema = ", ".join(f"{c} {t}" for c, t in READ.items()) + (f", tensors {TENSORS}" if keep_rgb else "")
+    tensors = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: deque[_Row] = deque()
+        group: list[tuple[_Row, Image]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (row, image), coef in zip(group, coefficients([i for _, i in group]) if group else []):
+                row.add(image, coef)
+            group.clear()
+            done = []
+            while rows and not rows[0].waiting:
+                done.append(rows.popleft().result())
+            if done:
+                arrays = [pa.array([r[k] for r in done], kinds[t]) for k, t in enumerate(READ.values())]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array([r[8] for r in done], tensors)] if keep_rgb else []), [*READ, *(["tensors"] if keep_rgb else [])])
+
+        size = 0
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                group, size = [], 0
-                while at < b.num_rows and (not group or size < BATCH_BYTES):
-                    raw = b.column(2)[at].as_py()
-                    group.append((b.column(0)[at].as_py(), b.column(1)[at].as_py(), raw, Image(raw)))
-                    size, at = size + len(raw), at + 1
-                rows, tensors = [], []
-                for (doc_id, n, raw, image), coef in zip(group, coefficients([g[3] for g in group])):
-                    body, tensor = payload(image, coef), rgb(image, coef)
-                    rows.append((doc_id, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(tensor)))
-                    if keep_rgb:
-                        tensors.append((image.height, image.width, tensor.tobytes()))
-                arrays = [pa.array([r[k] for r in rows], pa.string() if k in (3, 6, 7) else pa.int64()) for k in range(8)]
-                if keep_rgb:
-                    arrays += [pa.array([t[0] for t in tensors], pa.int32()), pa.array([t[1] for t in tensors], pa.int32()), pa.array([t[2] for t in tensors], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names + (["height", "width", "rgb"] if keep_rgb else []))
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(decoded, schema + (", height int, width int, rgb binary" if keep_rgb else ""))
+            for doc_id, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                row = _Row(doc_id, n, raw.as_py(), keep_rgb)
+                rows.append(row)
+                while row.left:
+                    part = row.left.pop()
+                    group.append((row, Image(part)))
+                    size += len(part)
+                    if size >= BATCH_BYTES:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(decoded, schema)

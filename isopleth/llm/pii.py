@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds in their order, and the pattern that proposes each.
-KINDS = ("email", "ip", "card", "phone", "iban")
+#: Kinds in their order, and the pattern that proposes each. Access keys have a published prefix and length.
+KINDS = ("email", "ip", "card", "phone", "iban", "access_key", "secret", "ssn")
 BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
@@ -23,18 +23,26 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
+    "access_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: What a text must contain for a kind to be looked for at all.
-NEEDS = {"email": "@", "phone": "+"}
-#: A span's score before context, what a context word adds, and the words (lower case) of each kind.
-PRIOR, CONTEXT = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9}, 0.1
+#: A span's score before context, what a context word adds, and the words (lower case) of each kind. Alone, a run of letters
+#: and digits or three groups of digits say too little: it is the words nearby that make them a secret or a number of a person.
+PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "access_key": 0.9, "secret": 0.3, "ssn": 0.4}
+CONTEXT = {"email": 0.1, "ip": 0.3, "card": 0.2, "phone": 0.2, "iban": 0.1, "access_key": 0.1, "secret": 0.4, "ssn": 0.4}
 WORDS = {
     "email": "mail|contact|write|reply",
     "ip": "ip|host|server|address|login",
     "card": "card|visa|credit|debit|payment|karte|tarjeta|carte",
     "phone": "phone|tel|call|mobile|fax|telefon|llame|appel",
     "iban": "iban|bank|account|konto|cuenta|compte",
+    "access_key": "aws|access|key|credential|credentials",
+    "secret": "password|passwd|pwd|passwort|token|secret|api key|apikey|api_key|credential|credentials|bearer",
+    "ssn": "ssn|social security|taxpayer|tax id",
 }
+#: What a text must contain for a kind to be looked for at all; without its words a kind whose prior is too low is never kept.
+NEEDS = {"email": "@", "phone": "+", "access_key": "IA"}
 #: Code points before and after a span that are its context; least score of a span that the method adds to the base kinds.
 NEARBY, ADDED_LEAST = 40, 0.5
 #: Matches whose places are summed up at a time.
@@ -77,6 +85,11 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & mod97(value)
+    if kind == "secret":  # letters and digits mixed, and not few of them over and over
+        letters, digits = F.length(F.regexp_replace(value, "[^A-Za-z]", "")), F.length(_digits(value))
+        return (letters >= 2) & (digits >= 2) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+    if kind == "ssn":
+        return ~(F.substring(value, 1, 3).isin("000", "666") | value.startswith("9") | (F.substring(value, 5, 2) == "00") | (F.substring(value, 8, 4) == "0000"))
     return F.lit(True)
 
 
@@ -120,13 +133,19 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A proposed match that its validator refuses is dropped and not tried
     again in part. Spans of the base kinds always stay; the others only with
-    a score of at least ``ADDED_LEAST``. Null and empty texts have no span.
-    Null ids and repeated rows are returned like others. An empty table gives
-    an empty result. Other columns are ignored.
+    a score of at least ``ADDED_LEAST``, which secrets and numbers of persons
+    reach by a context word alone. Spans of different kinds may overlap; of
+    equal starts the kind listed first comes first. Null and empty texts have
+    no span; the places in very long texts are summed up in chunks. Null ids
+    and repeated rows are returned like others. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
     wanted = {k: F.col("text").contains(NEEDS[k]) if k in NEEDS else digit for k in KINDS}
+    for k in KINDS:
+        if k not in BASE and PRIOR[k] < ADDED_LEAST:
+            wanted[k] = wanted[k] & F.col("text").rlike(rf"(?i)\b(?:{WORDS[k]})\b")
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
     # Steps of their own, so that the patterns run once: the next step uses each column more than once. Sums run over
     # chunks of matches, then over chunks, so that very many matches in one text don't take quadratic time.
@@ -141,7 +160,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         near = F.lower(F.concat(F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - NEARBY), F.least(s["start"], F.lit(NEARBY))), F.lit(" "), F.substring(F.col("text"), s["end"] + 1, F.lit(NEARBY))))
         score = F.lit(0.0)
         for k in KINDS:
-            score = F.when(s["kind"] == k, F.when(near.rlike(rf"\b(?:{WORDS[k]})\b"), PRIOR[k] + CONTEXT).otherwise(PRIOR[k])).otherwise(score)
+            score = F.when(s["kind"] == k, F.when(near.rlike(rf"\b(?:{WORDS[k]})\b"), round(PRIOR[k] + CONTEXT[k], 6)).otherwise(PRIOR[k])).otherwise(score)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["rank"].alias("rank"), s["value"].alias("value"), score.alias("score"))
 
     kept = F.filter(F.transform("_all", scored), lambda s: s["kind"].isin(*BASE) | (s["score"] >= ADDED_LEAST))

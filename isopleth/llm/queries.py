@@ -63,11 +63,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.spans(table(spark, sf_dir, "documents"))
     n = [pii.number("spans", k).alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return out.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    added = [pii.number("spans", k).alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE]
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    return out.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), *added, F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read(media.store(table(spark, sf_dir, "documents")))
+    return media.read(media.store(table(spark, sf_dir, "documents")), keep_rgb=True)
 
 
 OP1_SQL = r"""

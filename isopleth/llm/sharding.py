@@ -61,8 +61,10 @@ def shard(docs: DataFrame, limit: int = LIMIT, key_col: str = "doc_id", id_col:
 
     Every shard holds at most ``limit`` bytes of text, save where one row or
     rows with one key and id exceed it. Null and empty texts have 0 bytes;
-    null keys and ids hash like empty ones. Repeated rows share a shard. An
-    empty table gives an empty result. Other columns are ignored.
+    null keys and ids hash like empty ones. Repeated rows share a shard; rows of
+    equal sizes lie where their hashes say. A very long text over the limit
+    lies in a shard of its own and rows with its hash. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = docs.select(F.col(id_col).alias("doc_id"), row_hash(F.col(key_col), F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

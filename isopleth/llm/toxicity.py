@@ -14,11 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import labelled
+from .sampling import labelled, unused
 
 BUCKETS = 1 << 17
 #: Labelled rows to fit on, a class. A bucket gets a weight if it occurs in so many documents of that sample and
@@ -110,26 +111,26 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic"
             yield pa.RecordBatch.from_arrays([pa.array([x[0].tobytes() for x in bags], pa.binary()), pa.array([x[1].tobytes() for x in bags], pa.binary()), b.column(1), b.column(2)], ["ids", "sizes", "label", "doc_id"])
 
     share = labels.where(rows & F.col(label).isNotNull()).agg(F.avg((F.col(label) != 0).cast("double"))).first()[0] or 0.0
-    got = labelled(docs, labels, label, rows, sample).select("text", "label", "doc_id").mapInArrow(made, "ids binary, sizes binary, label int, doc_id long").toArrow().sort_by("doc_id")
-    bags = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int64)) for a, b in zip(got["ids"].to_pylist(), got["sizes"].to_pylist())]
-    return fit(bags, (got["label"].to_numpy() != 0).astype(int), share)
+    got = labelled(docs, labels, label, rows, sample).select("text", "label", "doc_id").mapInArrow(made, "ids binary, sizes binary, label int, doc_id long").toArrow()
+    ordered = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "label", "ids", "sizes"))))  # the same whatever order the rows come in
+    bags = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int64)) for _, _, a, b in ordered]
+    return fit(bags, np.array([int(y != 0) for _, y, _, _ in ordered], dtype=int), share)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", locate: float = 0.5) -> DataFrame:
     """docs with ``toxic_score`` (0 to 1, never null), ``n_sentences`` and ``offending``, an array of (start, end, score).
 
     ``offending`` holds the sentences of at least ``locate``, in code points.
-    Null, empty and wordless texts have no sentence and score 0. Ties and
-    repeated rows stay; columns of those names are replaced. An empty table
-    gives an empty result.
+    Null, empty and wordless texts have no sentence and score 0. Very long
+    texts are scored whole, a sentence at a time. Ties and repeated rows stay;
+    columns of those names are replaced, others stay. An empty table gives an
+    empty result.
     """
     w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     @F.pandas_udf("struct<toxic_score: double, n_sentences: int, offending: array<struct<start: int, end: int, score: double>>>")
     def scored(texts):
-        import pandas as pd
-
         rows = []
         for t in texts:
             ids, sizes, spans = bag(t)
@@ -138,5 +139,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             rows.append((noisy_or(z), len(sizes), [{"start": spans[k][0], "end": spans[k][1], "score": float(p[k])} for k in np.flatnonzero(p >= locate)]))
         return pd.DataFrame(rows, columns=["toxic_score", "n_sentences", "offending"])
 
-    out = docs.withColumn("_toxic", scored(F.col(text_col)))
-    return out.withColumns({k: F.col(f"_toxic.{k}") for k in ("toxic_score", "n_sentences", "offending")}).drop("_toxic")
+    made = unused(docs, "_toxic")
+    out = docs.withColumn(made, scored(F.col(text_col)))
+    return out.withColumns({k: F.col(made)[k] for k in ("toxic_score", "n_sentences", "offending")}).drop(made)

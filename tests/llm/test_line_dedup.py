@@ -36,8 +36,18 @@ def test_empty(empty):
 
 
 def test_runs_are_levelled(spark):
-    runs = LineRuns(spark, fanout=2, buckets=2)
+    runs = LineRuns(spark, fanout=2, n_bytes=9 << 30)
     for k in range(5):
         runs.add(spark.createDataFrame([(1, 1, 100 - k), (2 + k, 0, 100 - k)], "h1 long, h2 long, id long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {(r.h1, r.n, r.top) for r in runs.keys().collect()} == {(1, 5, 100), *((2 + k, 1, 100 - k) for k in range(5))}
+
+
+def test_buckets_and_batches_grow_with_the_table(spark, docs):
+    from isopleth.llm import line_dedup
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert LineRuns(spark).buckets == parts and LineRuns(spark, n_bytes=50 << 30).buckets == max(parts, 50)
+    assert LineRuns(spark, n_bytes=1 << 50).buckets == 100_000
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert 0 < line_dedup.plan_bytes(whole) < 1 << 30 and line_dedup.plan_bytes(spark.createDataFrame([(1,)], "a int")) < 1 << 60

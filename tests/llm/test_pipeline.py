@@ -34,10 +34,41 @@ def test_stages_against_brute_force(spark, docs):
 
 
 def test_odd_rows(spark, odd, empty):
-    for frame in (odd, empty):
-        for _, stage in cp.STAGES[:-1]:
-            frame = stage(spark, frame, SF)
-        assert cp.packing_stage(spark, frame, SF).count() >= 0
+    """What each stage makes of null, empty, long, repeated and tied rows, and of columns with its own names."""
+    given = odd.columns
+    good = cp.quality_stage(spark, odd, SF)
+    assert good.columns == given and good.count() <= odd.count()
+    mine = [c for c in odd.columns if odd.schema[c].dataType.simpleString() == "string" and c not in ("text", "lang", "source", "h1")]
+    assert len(mine) > 20 and all(r[c] == "mine" for r in good.select(mine).collect() for c in mine)
+    lines = cp.line_dedup_stage(spark, odd, SF)
+    assert lines.columns == given and lines.count() == odd.count()
+    text = {}
+    for r in lines.collect():
+        assert all(r[c] == "mine" for c in mine)
+        text.setdefault(r.doc_id, []).append(r.text)
+    assert text[1] == text[2] == [""] and text[4] == ["A", "A"] and text[5] == ["B"] and text[6] == ["  THE same long line in all of these. \nB"]
+    single = cp.simhash_stage(spark, odd, SF)
+    rows = single.collect()
+    assert single.columns == given and all(r[c] == "mine" for r in rows for c in mine)
+    ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in rows)
+    assert [k for k in ids if k in (1, 2, 3)] == [1] and -1 in ids and 7 in ids and ids.count(4) == 2
+    clean = cp.decontam_stage(spark, odd, SF)
+    assert clean.columns == given and clean.count() == odd.count() and all(r[c] == "mine" for r in clean.collect() for c in mine)
+    packed = cp.packing_stage(spark, odd, SF)
+    assert packed.agg({"length": "sum"}).first()[0] == sum(r.n for r in packed.where("start = 0").selectExpr("doc_tokens AS n").collect())
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_run_sweeps_what_it_wrote(spark, tmp_path, monkeypatch):
+    from isopleth.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert cp.run(spark, SF).count() > 0
+    left = [p for p in tmp_path.iterdir() if p.is_dir()]
+    assert [p.name.split("-")[0] for p in left] == ["pipeline"]
+    assert [p.name.split("-")[1] for p in left[0].iterdir() if p.is_dir()] == ["packing"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")] and scratch._OPEN == []
 
 
 def test_rows_without_an_id_stay(spark):
