@@ -13,12 +13,21 @@ from isopleth.functions.scalar import clean, number
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: under spark.checkpoint.dir, else the local default, else the warehouse."""
+    """The name of a new folder that the driver and all executors share, deleted at the session's end.
+
+    It lies under spark.checkpoint.dir; where that is unset, a local session has a default and any other one is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local")
-        base = "file:///tmp/checkpoints/isopleth" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints/isopleth"
+    parent = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{parent}/{name}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
