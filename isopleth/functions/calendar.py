@@ -64,6 +64,13 @@ def valid_days(start: Column, first_day: Column, last_day: Column) -> Column:
     return F.sequence(F.date_add(start, first_day - 1), F.date_add(start, last_day - 1))
 
 
+def span_text(first: Column, last: Column) -> Column:
+    """Two dates as "3 – 9 Oct" or "28 Sep – 4 Oct", a month that both share once."""
+    name = lambda d: F.date_format(d, "MMM")
+    head = F.when(F.month(first) == F.month(last), F.dayofmonth(first).cast("string")).otherwise(F.concat(F.dayofmonth(first).cast("string"), F.lit(" "), name(first)))
+    return F.concat(head, F.lit(" \u2013 "), F.dayofmonth(last).cast("string"), F.lit(" "), name(last))
+
+
 def month_length(month: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(x)) for x in MONTH_DAYS]), month)
 

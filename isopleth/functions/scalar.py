@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,30 @@ def number(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "[−–]", "-"), "[,%+ ]", "").try_cast("double")
 
 
+def with_stats(rows: DataFrame, by: list[str], **stats: Column) -> DataFrame:
+    """rows with statistics of their group as columns: aggregated (partly before the shuffle) and joined back.
+
+    No task holds a whole group, as a window's would; the optimizer broadcasts the statistics while they are small. Null keys are a group.
+    """
+    made = rows.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
+    if not by:
+        return rows.crossJoin(F.broadcast(made))  # one row
+    keys = {k: f"_key_{k}" for k in by}
+    made = made.withColumnsRenamed(keys)
+    return rows.join(made, reduce(lambda a, b: a & b, [rows[k].eqNullSafe(made[n]) for k, n in keys.items()])).drop(*keys.values())
+
+
+def signed(v: Column, digits: int = 2) -> Column:
+    """A number with its sign always written, minus as U+2212."""
+    plus = F.when(F.round(v, digits) >= 0, "+").otherwise("")
+    return F.replace(F.concat(plus, F.format_string(f"%.{digits}f", v)), F.lit("-"), F.lit("\u2212"))
+
+
+def percent(v: Column, digits: int = 0) -> Column:
+    """A share as per cent."""
+    return F.concat(F.format_string(f"%.{digits}f", v * 100), F.lit("%"))
+
+
 def r4(v: Column, digits: int = 4) -> Column:
     """Rounded, and never minus zero."""
     return F.round(v, digits) + F.lit(0.0)

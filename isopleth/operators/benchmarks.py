@@ -69,13 +69,14 @@ def zones_against_bands(scores: DataFrame, sizes: DataFrame, least: int, share:
     return scores.join(ok, ["kind", "unit"], "left_semi").groupBy("kind", "unit").agg(F.max(F.abs("r")).alias("best"))
 
 
-def persistence_sensitivity(rows: DataFrame, draws: DataFrame) -> DataFrame:
-    """(days, model_r, anchor_r, gain, t, p_not_better): model against persistence of several lengths. rows: (days, place, model, anchor, y)."""
-    a = loyo_skill(rows.select("days", F.col("model").alias("x"), "y"), ["days"]).select("days", F.col("loo_r").alias("model_r"))
-    b = loyo_skill(rows.select("days", F.col("anchor").alias("x"), "y"), ["days"]).select("days", F.col("loo_r").alias("anchor_r"))
-    t = williams(rows.groupBy("days").agg(corr("model", "y").alias("r1"), corr("anchor", "y").alias("r2"), corr("model", "anchor").alias("r12"), F.count("*").alias("n"))).select("days", "t")
-    g = bootstrap_gap(rows.select("days", "place", F.col("model").alias("x1"), F.col("anchor").alias("x2"), "y"), draws, ["days"]).select("days", "p_not_better")
-    return a.join(b, "days").join(t, "days").join(g, "days").withColumn("gain", F.col("model_r") - F.col("anchor_r"))
+def persistence_sensitivity(rows: DataFrame, draws: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, days, model_r, anchor_r, gain, t, p_not_better): model against persistence of several lengths. rows: (by, days, place, model, anchor, y)."""
+    keys = [*by, "days"]
+    a = loyo_skill(rows.select(*keys, F.col("model").alias("x"), "y"), keys).select(*keys, F.col("loo_r").alias("model_r"))
+    b = loyo_skill(rows.select(*keys, F.col("anchor").alias("x"), "y"), keys).select(*keys, F.col("loo_r").alias("anchor_r"))
+    t = williams(rows.groupBy(*keys).agg(corr("model", "y").alias("r1"), corr("anchor", "y").alias("r2"), corr("model", "anchor").alias("r12"), F.count("*").alias("n"))).select(*keys, "t")
+    g = bootstrap_gap(rows.select(*keys, "place", F.col("model").alias("x1"), F.col("anchor").alias("x2"), "y"), draws, keys).select(*keys, "p_not_better")
+    return a.join(b, keys).join(t, keys).join(g, keys).withColumn("gain", F.col("model_r") - F.col("anchor_r"))
 
 
 def expert_overlap(parts: DataFrame, experts: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _regression(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def evaluate(rows: DataFrame, name: str) -> DataFrame:
     """(fold, year, p, obs, rps_f, rps_c) of a candidate over rows (fold, year, is_train, x, y).
 
-    A task sees a fold's training rows and the test rows' predictors; the test targets are joined to its answers afterwards. Answers of
+    A fold without training or without test rows has no row. A task sees a fold's training rows and the test rows' predictors; the test targets are joined to its answers afterwards. Answers of
     another shape, or whose rows don't sum to 1 within 1e-6, fail the job.
     """
     predict = CANDIDATES[name]
@@ -66,6 +66,8 @@ def evaluate(rows: DataFrame, name: str) -> DataFrame:
     test = rows.where("NOT is_train").select(F.col("fold").alias("test_fold"), F.col("year").alias("test_year"), F.col("x").alias("test_x"))
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"fold": b["test_fold"][:0], "year": b["test_year"][:0], "p": pd.Series(dtype=object)})
         p = np.asarray(predict(a["x"].to_numpy(), a["y"].to_numpy(), b["test_x"].to_numpy()), float)
         if p.shape != (len(b), 3) or not np.allclose(p.sum(axis=1), 1, atol=1e-6):
             raise ValueError(f"{name} must return rows of three probabilities")

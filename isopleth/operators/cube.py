@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.calendar import abs_month, month_length, preseason, season_year
-from isopleth.functions.scalar import area_weight
+from isopleth.functions.scalar import area_weight, with_stats
 
 
 def climatology(field: DataFrame, first: int, last: int) -> DataFrame:
@@ -107,13 +107,16 @@ def bimodality(clim: DataFrame) -> DataFrame:
 
 def zscore(rows: DataFrame, by: list[str], value: str = "v", train: Column | None = None) -> DataFrame:
     """rows with ``z``: over the whole group, or by the mean and deviation of its training rows. A deviation of 0 gives null."""
-    w = Window.partitionBy(*by)
     v = F.col(value) if train is None else F.when(train, F.col(value))
-    return rows.withColumn("z", (F.col(value) - F.avg(v).over(w)) / F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)))
+    out = with_stats(rows, by, _m=F.avg(v), _s=F.nullif(F.stddev_pop(v), F.lit(0.0)))
+    return out.withColumn("z", (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def composites(series: DataFrame, field: DataFrame, least: int = 3) -> DataFrame:
-    """(cell, low, high, diff): means of field (cell, year, v) over the lowest and the highest third of the years of series (year, y)."""
+    """(cell, low, high, diff): means of field (cell, year, v) over the lowest and the highest third of the years of series (year, y).
+
+    The series is one value a year, so that ranking it in one task and broadcasting the marks are bounded by the record's length.
+    """
     w = Window.partitionBy(F.lit(1))
     ranked = series.select("year", F.row_number().over(w.orderBy("y", "year")).alias("r"), F.count("*").over(w).alias("n"))
     third = F.greatest(F.lit(least), F.floor(F.col("n") / 3))

@@ -5,39 +5,63 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isopleth.functions.scalar import corr
+from isopleth.functions.scalar import corr, with_stats
 
 from .regress import loyo
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1 with equals sharing the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+def running_sums(table: DataFrame, by: list[str], order: str, cols: list[str], tie: str | None = None, bins: int = 64) -> DataFrame:
+    """table with ``<col>_before``: sums over the rows of the group that come earlier by ``order`` (then ``tie``; equal rows in any order).
+
+    Each group is cut at quantiles of its order, so that a task sorts a part of a group; the parts' own sums are few.
+    """
+    cut = with_stats(table, by, _edges=F.percentile_approx(order, [k / bins for k in range(1, bins)], 1000))
+    cut = cut.withColumn("_bin", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(order)))).drop("_edges")
+    part = cut.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*[F.col(k).alias(f"_key_{k}") for k in by], F.col("_bin").alias("_part"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_from_{c}") for c in cols])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by], F.col("_bin") == F.col("_part"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(*[c for c in (order, tie) if c]).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(part, same)
+    return out.select(*table.columns, *[(F.col(f"_from_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in cols])
 
 
-def ordinal_rank(by: list[str], value: str, tie: str, descending: bool = True) -> Column:
-    """Rank from 1 with equals in the order of a key."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value), tie))
+def average_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, rank): the mean rank from 1 of each distinct value of a group."""
+    t = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return running_sums(t, by, value, ["_n"]).select(*by, value, (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", least: int = 4) -> DataFrame:
-    """(by, rho, n): correlation of average ranks; null below ``least`` rows."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
+    """(by, rho, n): correlation of average ranks; null below ``least`` rows. Rows without both values are left out."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = both.join(average_ranks(both, by, "_x").withColumnRenamed("rank", "rx"), [*by, "_x"]).join(average_ranks(both, by, "_y").withColumnRenamed("rank", "ry"), [*by, "_y"])
     return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, corr("rx", "ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, positive: Column, tie: str | None = None) -> DataFrame:
-    """(by, auc, n_pos, n_neg): Mann-Whitney from average ranks, or from ordinal ranks where a tie-breaking key is named."""
-    rank = average_rank(by, score) if tie is None else ordinal_rank(by, score, tie, descending=False)
-    ranked = rows.select(*by, rank.alias("r"), positive.cast("int").alias("p"))
-    out = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("n_pos"), F.sum(1 - F.col("p")).alias("n_neg"))
-    return out.select(*by, F.try_divide(F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    """(by, auc, n_pos, n_neg): Mann-Whitney from average ranks, or from ordinal ranks where a tie-breaking key is named.
+
+    Counts of each score stand in for its rows; rows without a score are left out.
+    """
+    marked = rows.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_s"), *([F.col(tie).alias("_t")] if tie else []), positive.cast("long").alias("_p"))
+    marked = marked.where("_p IS NOT NULL")
+    if tie:
+        t = marked.withColumns({"pos": F.col("_p"), "neg": 1 - F.col("_p")})
+        below = F.col("neg_before")
+    else:
+        t = marked.groupBy(*by, "_s").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg"))
+        below = F.col("neg_before") + F.col("neg") / 2.0
+    sums = running_sums(t, by, "_s", ["neg"], "_t" if tie else None)
+    out = sums.groupBy(*by).agg(F.sum(F.col("pos") * below).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return out.select(*by, (F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"), "n_pos", "n_neg")
 
 
 def groc(rows: DataFrame, by: list[str], score: str, category: str) -> DataFrame:

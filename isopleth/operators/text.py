@@ -45,6 +45,41 @@ def long_date(text: Column) -> Column:
     return F.to_date(F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(2), 2, "0")))
 
 
+def plain(html: Column) -> Column:
+    """The text of markup: no tags, the five entities read, white space joined."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
+
+
+def classed(html: Column, names: str) -> Column:
+    """The text of the first element one of whose classes holds one of the names (a|b); null without one."""
+    return F.nullif(plain(F.regexp_extract(html, rf'(?is)<(\w+)\b[^>]*\bclass="[^"]*(?:{names})[^"]*"[^>]*>(.*?)</\1>', 2)), F.lit(""))
+
+
+#: The pattern of a date in words.
+DATE_WORDS = r"[A-Z][a-z]+ \d{1,2}, \d{4}"
+
+
+def posts(pages: DataFrame, at_most: int = 200) -> DataFrame:
+    """(page_id, title, iso_date, date, author, categories) of blog posts (page_id, html); a part that isn't there is an empty text.
+
+    The title is the entry's, else the first heading's, else made of the id. The date is the first one in words of what the
+    page says about its posting, else all of that. Categories are the texts of links to categories, each once, sorted. The
+    author is the by-line, else what follows "Author:" or "Authors:" in the text up to a full stop.
+    """
+    html, none = F.coalesce("html", F.lit("")), F.lit("")
+    h1 = F.nullif(plain(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), none)
+    said = F.coalesce(classed(html, "posted-on|entry-date"), F.nullif(plain(F.regexp_extract(html, r"(?is)<time\b[^>]*>(.*?)</time>", 1)), none), none)
+    dated = F.coalesce(F.nullif(F.regexp_extract(said, DATE_WORDS, 0), none), F.trim(F.regexp_replace(said, r"^Posted on\s*", "")))
+    links_ = F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*\bhref="[^"]*(?:\?cat=|/category/)[^"]*"[^>]*>(.*?)</a>'), F.lit(1))
+    byline = F.substring(F.trim(F.regexp_replace(classed(html, "author|byline"), r"^(?:Author|By)\s*", "")), 1, 120)
+    named = F.substring(F.trim(F.regexp_extract(unescape(F.regexp_replace(html, r"(?i)<br\s*/?>|</p>|<[^>]*>", "\n")), r"Authors?:\s*([^\n.]+)", 1)), 1, at_most)
+    return pages.select(
+        "page_id", F.coalesce(classed(html, "entry-title"), h1, F.concat(F.lit("post-"), F.col("page_id").cast("string"))).alias("title"),
+        F.regexp_extract(html, r'(?is)<time\b[^>]*\bdatetime="(\d{4}-\d{2}-\d{2})', 1).alias("iso_date"), dated.alias("date"),
+        F.coalesce(F.nullif(byline, none), named).alias("author"), F.array_sort(F.array_distinct(F.transform(links_, plain))).alias("categories"),
+    )
+
+
 def words(text: Column) -> Column:
     """How many words a text has."""
     t = F.trim(text)

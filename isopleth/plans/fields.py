@@ -159,12 +159,6 @@ def a12(spark, sf):
     return rolling.anchor(day_panel(spark, sf), 20, 7, ["cell"]).select("cell", r4(F.col("anchor")).alias("anchor"))
 
 
-@query("a13_doy_climatology", f"""WITH m AS (SELECT cell, day AS doy, avg(v) AS v FROM pd WHERE day <= 30 GROUP BY 1, 2), e AS (SELECT cell, doy, doy + s AS pos, s, v FROM m, (SELECT unnest([-30, 0, 30]) AS s)),
-f AS (SELECT *, avg(v) OVER (PARTITION BY cell ORDER BY pos RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS clim FROM e) SELECT cell, doy, {R('clim')} AS clim FROM f WHERE s = 0""", "pd")
-def a13(spark, sf):
-    return cube.doy_climatology(day_panel(spark, sf).where("day <= 30").withColumnRenamed("day", "doy"), 7, 30).select("cell", "doy", r4(F.col("clim")).alias("clim"))
-
-
 @query("a18_pivot_leads", "SELECT o_orderstatus AS s, max(CASE WHEN month(o_orderdate) = 1 THEN o_totalprice END) AS lead1, max(CASE WHEN month(o_orderdate) = 2 THEN o_totalprice END) AS lead2 FROM orders GROUP BY 1")
 def a18(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("s"), F.month("o_orderdate").alias("lead"), "o_totalprice")
@@ -324,11 +318,6 @@ def w12(spark, sf):
     return m.select("g", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).cast("int").alias("zone"))
 
 
-@query("w14_fold_edges", "SELECT (ntile(6) OVER (ORDER BY y) - 1)::INT AS fold, y::INT AS year FROM range(1981, 2024) t(y)")
-def w14(spark, sf):
-    return spark.createDataFrame([(k, 1981 + i) for k, (_, test) in enumerate(cal.k_fold(43, 6)) for i in test], "fold int, year int")
-
-
 @query("m1_m9_cell_geometry", f"SELECT cell, {R('cos(radians(lat))')} AS w, {R('111.32e0 * cos(radians(lat)) * 0.5e0')} AS km FROM dim", "dim")
 def m1(spark, sf):
     return cells(spark).select("cell", r4(area_weight(F.col("lat"))).alias("w"), r4(km_per_degree(F.col("lat"), 0.5)).alias("km"))

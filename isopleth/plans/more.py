@@ -17,17 +17,6 @@ from .base import R, query
 from .stats import PAIRS, pairs, places, rounded, whole_folds
 
 
-@query("s5_s8_k8_json_and_hash", "SELECT n_nationkey::INT AS k, n_name AS name FROM nation")
-def s8(spark, sf):
-    path = io.shared_folder(spark, "json")
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name"))
-    n.coalesce(1).write.json(path)
-    back = spark.read.json(path, schema="k int, name string")
-    if io.content_hash(back) != io.content_hash(n):
-        raise ValueError("the content changed on its way")
-    return back
-
-
 @query("f4_f5_f7_filters", f"SELECT cell, year, {R('sum(v)')} AS v FROM pm WHERE month IN (3, 4, 5) AND year BETWEEN 1996 AND 1999 AND cell IN (SELECT cell FROM dim WHERE lat > 0) GROUP BY 1, 2", "dim pm")
 def f4(spark, sf):
     zone = cells(spark).where("lat > 0").select("cell")
@@ -47,14 +36,6 @@ def f12(spark, sf):
     return rounded(pairs(spark, sf).where("x IS NOT NULL AND y IS NOT NULL").join(have, "year", "left_semi"), ["cell", "year"], ["x", "y"])
 
 
-@query("f13_condition_mask", f"""WITH f AS (SELECT k::INT AS fold, period AS year, v, period < 100 + 50 * k AS is_train FROM pw, range(0, 3) t(k) WHERE cell = 0 AND period < 150 + 50 * k), s AS (SELECT fold, avg(v) FILTER (is_train) AS m, stddev_pop(v) FILTER (is_train) AS s FROM f GROUP BY fold)
-SELECT fold, year, {R('v')} AS v FROM f JOIN s USING (fold) WHERE NOT is_train AND v < m - 0.5e0 * s""", "pw")
-def f13(spark, sf):
-    k = spark.range(3).select(F.col("id").cast("int").alias("fold"))
-    f = week_panel(spark, sf).where("cell = 0").crossJoin(F.broadcast(k)).where("period < 150 + 50 * fold").select("fold", F.col("period").alias("year"), "v", F.expr("period < 100 + 50 * fold").alias("is_train"))
-    return rounded(atlas.condition(f.where("NOT is_train").select("fold", "year", "v"), f, lambda m, s: m - 0.5 * s), ["fold", "year"], ["v"])
-
-
 @query("f14_flags", f"""WITH z AS (SELECT cell, period, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z, quantile_cont(v, 2e0/3) OVER w AS q, v FROM pw WINDOW w AS (PARTITION BY cell))
 SELECT cell, count(*) FILTER (z < -0.5e0) AS cold, count(*) FILTER (v > q) AS strong, CASE WHEN count(*) FILTER (z < 0 AND v > q - 0.01e0) >= 3 THEN count(*) FILTER (z < 0 AND v > q - 0.01e0) END AS joint FROM z GROUP BY cell""", "pw")
 def f14(spark, sf):
@@ -122,32 +103,6 @@ def u8(spark, sf):
     return spark.sql("SELECT l_orderkey, l_linenumber, round(rps3(0.2D, 0.3D, l_linenumber % 3), 4) + 0.0D AS s, season_year(year(l_shipdate), month(l_shipdate), 2) AS sy FROM {lines}", lines=table(spark, sf, "lineitem"))
 
 
-FOLD3 = "fo AS (SELECT k::INT AS fold, p::INT AS year, p < 30 + 10 * k AS is_train FROM range(0, 3) a(k), range(0, 60) b(p) WHERE p < 40 + 10 * k)"
-
-
-def _folds(spark):
-    return atlas.folds(spark, [(list(range(a)), list(range(a, a + 10))) for a in (30, 40, 50)])
-
-
-@query("u1_s12_candidate_climatology", f"WITH {PAIRS}, {FOLD3} SELECT fold, {R('0e0')} AS rpss, count(*) AS n FROM pairs JOIN fo USING (year) WHERE cell = 0 AND NOT is_train GROUP BY fold", "pw")
-def u1(spark, sf):
-    rows = pairs(spark, sf).where("cell = 0").join(F.broadcast(_folds(spark)), "year")
-    s = candidates.evaluate(rows, "climatology")
-    return rounded(s.groupBy("fold").agg((1 - F.sum("rps_f") / F.sum("rps_c")).alias("rpss"), F.count("*").alias("n")), ["fold", "n"], ["rpss"])
-
-
-@query("u1_candidate_regression")
-def u1b(spark, sf):
-    rows = pairs(spark, sf).where("cell = 0").join(F.broadcast(_folds(spark)), "year")
-    return rounded(candidates.evaluate(rows, "regression"), ["fold", "year", "obs"], ["rps_f", "rps_c"])
-
-
-@query("r13_cell_calibration", f"WITH {PAIRS} SELECT cell, year % 4 AS \"window\", {R('regr_slope(y, x)')} AS slope, {R('regr_intercept(y, x)')} AS intercept, count(*) AS n FROM pairs GROUP BY 1, 2 HAVING count(*) >= 3", "pw")
-def r13(spark, sf):
-    p = pairs(spark, sf).withColumn("window", F.col("year") % 4)
-    return rounded(regress.ols(p, ["cell", "window"]), ["cell", "window", "n"], ["slope", "intercept"])
-
-
 @query("r14_scalar_to_field", f"""WITH t AS (SELECT period, sum(v) AS x FROM pw GROUP BY 1), p AS (SELECT cell, period, x, v AS y FROM pw JOIN t USING (period)), s AS (SELECT cell, count(*) AS n, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx FROM p GROUP BY cell)
 SELECT cell, {R('corr(y, y - (y - a - b * x) / greatest(1 - 1e0 / n - (x - mx) * (x - mx) / sxx, 1e-12))')} AS loo_r FROM p JOIN s USING (cell) WHERE n >= 5 GROUP BY cell""", "pw")
 def r14(spark, sf):
@@ -162,25 +117,6 @@ def r24(spark, sf):
     return q.groupBy("cell").agg(r4(corr((F.col("y") < F.col("q")).cast("double"), F.col("x"))).alias("r"))
 
 
-@query("r41_arima_skill")
-def r41(spark, sf):
-    w = week_panel(spark, sf)
-    f = regress.arima(w.where("period < 300").withColumnRenamed("period", "t"), ["cell"], 20)
-    both = f.join(w.select("cell", (F.col("period") - 299).alias("lead"), F.col("v").alias("obs")), ["cell", "lead"])
-    clim = w.where("period < 300").groupBy("cell").agg(F.avg("v").alias("clim"))
-    return rounded(both.join(clim, "cell").groupBy("cell").agg((1 - F.sum(F.pow(F.col("forecast") - F.col("obs"), F.lit(2))) / F.sum(F.pow(F.col("clim") - F.col("obs"), F.lit(2)))).alias("skill"), F.count("*").alias("n")), ["cell", "n"], ["skill"])
-
-
-@query("r43_persistence_sensitivity")
-def r43(spark, sf):
-    w = week_panel(spark, sf).where("cell = 0")
-    model = week_panel(spark, sf).where("cell = 1").select("period", F.col("v").alias("model"))
-    parts = [rolling.running_mean(w, ["cell"], "period", d).select(F.lit(d).alias("days"), (F.col("period") + 1).alias("period"), F.col("mean").alias("anchor")) for d in (7, 14, 30)]
-    anchors = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = w.select("period", F.col("v").alias("y")).join(model, "period").join(anchors, "period").withColumnRenamed("period", "place")
-    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(places(spark, sf), 40)), ["days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
-
-
 @query("g16_expert_overlap", f"WITH p AS (SELECT cell, cell // 9 AS zone, CASE WHEN lat < 0 THEN 's' ELSE 'n' END AS region FROM dim) SELECT zone, region, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.zone = p.zone)')} AS of_zone, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.region = p.region)')} AS of_region FROM p GROUP BY zone, region", "dim")
 def g16(spark, sf):
     c = cells(spark)
@@ -221,25 +157,8 @@ def t1(spark, sf):
     return spark.read.schema("key string, v bigint, init string").parquet(out).select("init", "key", "v")
 
 
-@query("t3_t5_complete_windows_stream")
-def t3(spark, sf):
-    source, out = io.shared_folder(spark, "stream-in"), io.shared_folder(spark, "stream-out")
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("cell"), F.col("value").alias("v"))
-    rows.write.parquet(source)
-    means = issuance.window_means(spark.readStream.schema(rows.schema).parquet(source), "7 days", 7, "1 day")
-    means.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("cell string, start timestamp, v double").parquet(out).select("cell", F.col("start").cast("string").alias("start"), r4(F.col("v")).alias("v"))
-
-
 @query("u3_method_search")
 def u3(spark, sf):
     p = pairs(spark, sf)
     out = downscale.left_out(p, ["cell"], sorted(downscale.METHODS)).groupBy("cell", "method").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
     return rounded(out.withColumn("r", clean(F.col("r"))), ["cell", "method", "n"], ["r"])
-
-
-@query("u3_cca_left_out")
-def u3b(spark, sf):
-    w = month_panel(spark, sf).where("cell < 10").select(F.lit(0).alias("g"), F.when(F.col("cell") < 5, "x").otherwise("y").alias("side"), "cell", (F.col("year") * 12 + F.col("month")).alias("year"), "v")
-    out = downscale.cca_left_out(w).groupBy("cell").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
-    return rounded(out, ["cell", "n"], ["r"])

@@ -44,11 +44,6 @@ def r1(spark, sf):
     return rounded(regress.ols(pairs(spark, sf), ["cell"]), ["cell", "n"], ["slope", "intercept", "r", "resid_sd"])
 
 
-@query("r2_m3_interval")
-def r2(spark, sf):
-    return rounded(regress.interval(regress.ols(pairs(spark, sf), ["cell"]), F.col("xbar") * 1.5), ["cell", "n"], ["pred", "leverage", "half_width"])
-
-
 @query("r3_loyo_predictions", f"WITH {LOO} SELECT cell, year, {R('loo')} AS loo FROM loo", "pw")
 def r3(spark, sf):
     return rounded(regress.loyo(pairs(spark, sf), ["cell"]), ["cell", "year"], ["loo"])
@@ -84,41 +79,9 @@ def r8(spark, sf):
     return rounded(regress.detrend(week_panel(spark, sf).withColumn("t", F.col("period")), ["cell"], F.col("period") < 200), ["cell", "period"], ["detrended"])
 
 
-@query("r9_two_predictors", f"""WITH t AS (SELECT a.cell, a.v AS y, b.v AS x1, c.v AS x2 FROM pw a JOIN pw b ON b.cell = (a.cell + 1) % 25 AND b.period = a.period JOIN pw c ON c.cell = (a.cell + 2) % 25 AND c.period = a.period),
-s AS (SELECT cell, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, count(*) AS n FROM t GROUP BY cell)
-SELECT cell, {R('(s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12)')} AS b1, {R('(s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12)')} AS b2, n FROM s""", "pw")
-def r9(spark, sf):
-    w = week_panel(spark, sf)
-    shifted = lambda k, name: w.select(F.pmod(F.col("cell") - k, F.lit(25)).alias("cell"), "period", F.col("v").alias(name))
-    rows = w.withColumnRenamed("v", "y").join(shifted(1, "x1"), ["cell", "period"]).join(shifted(2, "x2"), ["cell", "period"])
-    return rounded(regress.two_predictor(rows, ["cell"]), ["cell", "n"], ["b1", "b2"])
-
-
-@query("r10_tendency")
-def r10(spark, sf):
-    p = pairs(spark, sf).withColumns({"x1": F.col("x"), "x2": F.col("x") * F.col("x")})
-    return rounded(regress.tendency(p, ["cell"]), ["cell", "year"], ["loo"])
-
-
 HIND = "hind AS (SELECT cell, day AS year, avg(v) FILTER (member < 5) AS x, avg(v) FILTER (member >= 5) AS y FROM pd WHERE day <= 25 GROUP BY 1, 2 HAVING x IS NOT NULL AND y IS NOT NULL)"
 
 
-@query("r11_calibration")
-def r11(spark, sf):
-    d = day_panel(spark, sf)
-    halves = d.groupBy("cell", F.col("day").alias("year")).agg(F.avg(F.when(F.col("member") < 5, F.col("v"))).alias("x"), F.avg(F.when(F.col("member") >= 5, F.col("v"))).alias("y"))
-    hind = halves.where("year <= 25 AND x IS NOT NULL AND y IS NOT NULL")
-    now = d.where("day = 26 AND member < 5").groupBy("cell").agg(F.avg("v").alias("raw"))
-    return rounded(rolling.calibrate(hind, now, ["cell"]), ["cell", "n"], ["raw", "calibrated", "lo", "hi", "loyo_r", "loyo_rmse"])
-
-
-@query("r12_dipole")
-def r12(spark, sf):
-    w = pairs(spark, sf).where("cell < 2").select(F.concat(F.lit("p"), "cell").alias("pole"), F.lit("w").alias("window"), "year", "x", "y")
-    now = w.groupBy("pole", "window").agg(F.avg("x").alias("raw"))
-    return rounded(rolling.dipole(w, now, "p0", "p1"), ["window", "n"], ["dipole", "half_width"])
-
-
 @query("r42_dispersion", f"WITH {HIND} SELECT cell, {R('stddev_samp(x) / nullif(stddev_samp(y), 0)')} AS sd_ratio, {R('corr(x, y) * stddev_samp(y) / nullif(stddev_samp(x), 0)')} AS implied_slope FROM hind GROUP BY cell", "pd")
 def r42(spark, sf):
     halves = day_panel(spark, sf).where("day <= 25").groupBy("cell", "day").agg(F.avg(F.when(F.col("member") < 5, F.col("v"))).alias("x"), F.avg(F.when(F.col("member") >= 5, F.col("v"))).alias("y")).dropna()
@@ -142,14 +105,6 @@ def r15(spark, sf):
     return rounded(regress.projection(f, f.groupBy("year").agg(F.sum("v").alias("y"))), ["year"], ["index"])
 
 
-@query("r16_top_combo")
-def r16(spark, sf):
-    w = week_panel(spark, sf)
-    x = w.where("cell BETWEEN 1 AND 5").select(F.col("period").alias("year"), F.col("cell").alias("feature"), F.col("v").alias("x"))
-    y = w.where("cell = 0").select(F.col("period").alias("year"), F.col("v").alias("y"))
-    return rounded(regress.top_combo(x.join(y, "year").withColumn("g", F.lit(0)), ["g"]), ["g", "n"], ["loo_r"])
-
-
 @query("r17_r18_correlation_map", f"WITH t AS (SELECT period, sum(v) AS y FROM pw GROUP BY 1) SELECT cell, CASE WHEN count(*) >= 8 THEN {R('corr(v, y)')} END AS r FROM pw JOIN t USING (period) GROUP BY cell", "pw")
 def r17(spark, sf):
     w = week_panel(spark, sf)
@@ -245,25 +200,12 @@ def r25(spark, sf):
     return rounded(inference.williams(r), ["cell"], ["t"])
 
 
-@query("r40_arima")
-def r40(spark, sf):
-    w = week_panel(spark, sf).withColumnRenamed("period", "t")
-    return rounded(regress.arima(w, ["cell"], 5), ["cell", "lead"], ["forecast", "phi", "theta"])
-
-
 @query("r46_logit_terciles")
 def r46(spark, sf):
     p = pairs(spark, sf).join(scored(spark, sf).select("cell", F.col("period").alias("year"), "obs"), ["cell", "year"])
     return rounded(regress.logit_terciles(p, ["cell"]), ["cell", "year"], ["p0", "p2"])
 
 
-@query("r44_metric_choice")
-def r44(spark, sf):
-    p = pairs(spark, sf).select(F.concat_ws("-", "cell", "year").alias("key"), "x", "y")
-    long = p.select("key", F.expr("stack(2, 'x', x, 'y', y) AS (metric, v)"))
-    return rounded(search.choose_metric(long, "y"), ["metric"], ["agreement", "value", "total"])
-
-
 @query("r45_useful_lead", f"WITH c AS (SELECT cell, month AS lead, max(v) AS best FROM pm WHERE month <= 5 GROUP BY 1, 2) SELECT cell, max(lead) FILTER (best >= 2) AS useful_lead FROM c GROUP BY cell", "pm")
 def r45(spark, sf):
     c = search.lead_curve(month_panel(spark, sf).where("month <= 5").withColumnRenamed("month", "lead"), ["cell"], "v")
@@ -345,11 +287,6 @@ def x4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.words(F.coalesce("text", F.lit(""))).cast("int").alias("words"))
 
 
-@query("x4_front_matter")
-def x4b(spark, sf):
-    return text.front_matter(table(spark, sf, "pages"))
-
-
 @query("t2_revision_overlay", f"SELECT cell, day, {R('avg(v) + CASE WHEN day > 16 THEN 1 ELSE 0 END')} AS v FROM pd GROUP BY cell, day", "pd")
 def t2(spark, sf):
     d = day_panel(spark, sf).groupBy("cell", "day").agg(F.avg("v").alias("v"))

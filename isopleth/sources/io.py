@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,16 +41,21 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 def read_field(spark: SparkSession, path: str, schema: T.StructType, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """A field (cell, lat, lon, year, month, v) with a fixed schema, NaN as null, cut to a box (south, north, west, east) in the scan.
 
-    An empty selection fails the job that reads it, rather than giving nothing.
+    An empty selection fails the job that reads it, rather than giving nothing: one that counts a column's values is part of the plan.
     """
     rows = spark.read.schema(schema).parquet(path)
     if box:
         rows = rows.where(F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3]))
-        if rows.isEmpty():
-            raise ValueError(f"no cell of {path} lies in {box}")
+        rows = _only_if(rows, rows.agg(F.count("lat").alias("n")), F.col("n") == 0, f"no cell of {path} lies in {box}")
     return rows.withColumn("v", clean(F.col("v")))
 
 
+def _only_if(rows: DataFrame, facts: DataFrame, bad: Column, message: str) -> DataFrame:
+    """rows, the job failing where ``bad`` holds for the one row of facts."""
+    ok = facts.select(F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
+    return rows.crossJoin(F.broadcast(ok)).where("_ok").drop("_ok")  # one row on the other side
+
+
 def read_family(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """All files of a folder that match a pattern, with ``member`` from the file's stem."""
     rows = spark.read.option("pathGlobFilter", pattern).parquet(folder)
@@ -134,8 +140,22 @@ def guarded(rows: DataFrame, value: str, least_share: float = 0.01) -> DataFrame
     v = clean(F.col(value))
     s = rows.agg(F.try_divide(F.count(v), F.count("*")).alias("share"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     bad = (F.coalesce("share", F.lit(0.0)) < least_share) | F.coalesce(F.col("lo") == F.col("hi"), F.lit(True))
-    ok = s.select(F.when(bad, F.raise_error(F.lit("degenerate table refused")).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
-    return rows.crossJoin(F.broadcast(ok)).where("_ok").drop("_ok")  # one row on the other side
+    return _only_if(rows, s, bad, "degenerate table refused")
+
+
+def covering(rows: DataFrame, boxes: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+    """rows (lat, lon), refused unless some latitude and some longitude lie in every box (south, north, west, east)."""
+    facts = rows.agg(*[F.coalesce(F.max(c.between(a, b).cast("int")), F.lit(0)).alias(f"{axis}_{k}") for k, (s, n, w, e) in enumerate(boxes.values()) for axis, c, a, b in (("lat", F.col("lat"), s, n), ("lon", F.col("lon"), w, e))])
+    bad = reduce(lambda x, y: x | y, [F.col(c) == 0 for c in facts.columns])
+    return _only_if(rows, facts, bad, f"a box of {', '.join(boxes)} isn't covered: refused")
+
+
+def exact_months(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """rows (year, month), refused unless their distinct months are all of first to last, no more and no fewer."""
+    at = (F.col("year") * 12 + F.col("month") - 1).alias("at")
+    facts = rows.select(at).distinct().agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    good = (F.col("n") == (last - first + 1) * 12) & (F.col("lo") == first * 12) & (F.col("hi") == last * 12 + 11)
+    return _only_if(rows, facts, ~F.coalesce(good, F.lit(False)), f"months aren't those of {first} to {last}: refused")
 
 
 def complete(rows: DataFrame, replicates: int, arms: int) -> DataFrame:
@@ -145,7 +165,14 @@ def complete(rows: DataFrame, replicates: int, arms: int) -> DataFrame:
     return s.withColumn("ok", (F.col("n") == want) & (F.col("n_keys") == want) & (F.col("n_errors") == 0))
 
 
-def markdown_table(rows: list[tuple], header: list[str]) -> str:
-    """A Markdown table of collected rows (driver side)."""
-    line = lambda r: "| " + " | ".join(map(str, r)) + " |"
-    return "\n".join([line(header), line(["---"] * len(header)), *map(line, rows)])
+def markdown_lines(rows: DataFrame, order: str) -> DataFrame:
+    """(pos, value): the lines of a Markdown table of rows in the order of a column, its head and its rule first; null cells are empty."""
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) + 1).cast("long").alias("pos"), line([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("value"))
+    head = [(0, "| " + " | ".join(rows.columns) + " |"), (1, "| " + " | ".join(["---"] * len(rows.columns)) + " |")]
+    return rows.sparkSession.createDataFrame(head, "pos long, value string").unionByName(body)
+
+
+def write_markdown(rows: DataFrame, path: str, order: str) -> None:
+    """Writes a (small) table as one Markdown file."""
+    markdown_lines(rows, order).coalesce(1).sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)

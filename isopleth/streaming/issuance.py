@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,13 +23,15 @@ def issue(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> Str
 
 
 def window_means(daily: DataFrame, span: str, n_days: int, late: str = "14 days") -> DataFrame:
-    """(cell, window, v): means of tumbling windows of a stream (ts, cell, v), given once the watermark has passed them and only if every day is there."""
-    rows = daily.withWatermark("ts", late).groupBy("cell", F.window("ts", span)).agg(F.avg("v").alias("v"), F.approx_count_distinct(F.to_date("ts"), 0.01).alias("days"))
+    """(cell, window, v): means of tumbling windows of a stream (ts, cell, v), given once the watermark has passed them and only if every day is there.
+
+    The days of a window that have come are kept as a set, of at most as many dates as the span has.
+    """
+    rows = daily.withWatermark("ts", late).groupBy("cell", F.window("ts", span)).agg(F.avg("v").alias("v"), F.size(F.collect_set(F.to_date("ts"))).alias("days"))
     return rows.where(F.col("days") == n_days).select("cell", F.col("window.start").alias("start"), "v")
 
 
-def rescore(spark: SparkSession, path: str, fresh: DataFrame, day: str, last: str, days: int = 14) -> None:
+def rescore(path: str, fresh: DataFrame, day: str, last: str, days: int = 14) -> None:
     """Overwrites the partitions of the last ``days`` days with fresh rows: revisions replace, where a watermark would drop them."""
     recent = fresh.where(F.col(day) > F.date_sub(F.lit(last).cast("date"), days))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    recent.write.mode("overwrite").partitionBy(day).parquet(path)
+    recent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
