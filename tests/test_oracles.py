@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from isopleth.plans import base, fields, more, nulls, stats  # noqa: F401
+from isopleth.plans import base, fields, models, more, nulls, stats, zones  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-SAMPLE = ["flagship_mam", "a4_season_totals_wrap", "a10_j8_lead_windows", "a26_two_grains", "r3_loyo_predictions", "r34_w9_benjamini_hochberg", "m2_m4_m5_tercile_probabilities", "g9_adjusted_rand", "x1_links"]
+SAMPLE = ["flagship_mam", "a4_season_totals_wrap", "a10_j8_lead_windows", "a26_two_grains", "r3_loyo_predictions", "r34_w9_benjamini_hochberg", "m2_m4_m5_tercile_probabilities", "g9_adjusted_rand", "x1_links", "g11_w4_w7_seasons", "r10_tendency", "r38_verdict", "u6_m6_fold_predictors", "t3_t5_complete_windows_stream"]
 
 
 @pytest.fixture(scope="module")
