@@ -78,7 +78,7 @@ def test_trie_equals_brute_force(spark):
     for most in (4, 5, 1):
         rows = near_copies(rnd, 1, 200, 8)
         want = groups(enumerate(classes([x for x, in rows], most)))
-        assert all(found(spark, rows, simhash.narrow(most), leaves) == want for leaves in ((16384, 8, 0.02) if most == 4 else (64,)))
+        assert all(found(spark, rows, simhash.narrow(most), leaves) == want for leaves in ((16384, 8, 1e-4) if most == 4 else (64,)))
 
 
 def similar_classes(prints, plan):
@@ -98,7 +98,7 @@ def similar_classes(prints, plan):
 
 def test_wide_trie_equals_brute_force(spark):
     rnd = random.Random(6)
-    for plan, leaves in ((simhash.wide(), 16384), (simhash.wide(3, 20, 5), 8), (simhash.wide(2, 40, 4), 0.2)):
+    for plan, leaves in ((simhash.wide(), 16384), (simhash.wide(3, 20, 5), 8), (simhash.wide(2, 40, 4), 2e-4), (simhash.wide(2, 40, 4, 32, 3), 16), (simhash.wide(2, 40, 4, 30, 1), 1e-4)):
         rows = near_copies(rnd, plan.words, 120, plan.most * 3 // 2)
         assert found(spark, rows, plan, leaves) == groups(enumerate(similar_classes(rows, plan)))
 
