@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: W. J. Cody's rational approximations of erf and erfc (Math. Comp. 23, 1969), the last coefficient of A, C and P leads.
@@ -52,11 +52,14 @@ def tercile_closed(y: Column, q33: Column, q67: Column) -> Column:
     return F.when(y <= q33, 0).when(y >= q67, 2).otherwise(1)
 
 
-def normal_terciles(mean: Column, sigma: Column, t33: Column, t67: Column) -> list[Column]:
-    """Probabilities of the three categories under a normal forecast."""
+def with_terciles(rows: DataFrame, mean: Column, sigma: Column, t33: Column, t67: Column, name: str = "p") -> DataFrame:
+    """rows with the three probabilities of a normal forecast as an array.
+
+    The cumulative ones are columns of a step of their own, so that each is generated once however often the next steps use it.
+    """
     sigma = F.greatest(sigma, F.lit(1e-9))
-    low, high = normal_cdf((t33 - mean) / sigma), normal_cdf((t67 - mean) / sigma)
-    return renormalised([low, high - low, 1 - high])
+    rows = rows.withColumns({"_lo": normal_cdf((t33 - mean) / sigma), "_hi": normal_cdf((t67 - mean) / sigma)})
+    return rows.withColumn(name, F.array(*renormalised([F.col("_lo"), F.col("_hi") - F.col("_lo"), 1 - F.col("_hi")]))).drop("_lo", "_hi")
 
 
 def renormalised(p: list[Column], floor: float = 1e-9) -> list[Column]:

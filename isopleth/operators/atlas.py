@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions.calendar import abs_month, month_length, wraps_col
-from isopleth.functions.prob import normal_cdf, renormalised, rps, tercile
-from isopleth.functions.scalar import area_weight
+from isopleth.functions.prob import rps, tercile, with_terciles
+from isopleth.functions.scalar import area_weight, with_stats
 from isopleth.sources.io import written
 
-from .cube import area_mean
-from .discovery import one_zone, zone_windows
+from .discovery import zone_means, zone_windows
 from .inference import donors
 
 KEYS = ["replicate", "fold", "zone", "window"]
@@ -43,9 +42,8 @@ def folds(spark: SparkSession, splits: list[tuple[list[int], list[int]]]) -> Dat
 
 def edges(rows: DataFrame, by: list[str], train: Column) -> DataFrame:
     """rows with t33 and t67, linear-interpolated thirds of the training values of y."""
-    w = Window.partitionBy(*by)
     y = F.when(train, F.col("y"))
-    return rows.withColumns({"t33": F.percentile(y, F.lit(1 / 3)).over(w), "t67": F.percentile(y, F.lit(2 / 3)).over(w)})
+    return with_stats(rows, by, t33=F.percentile(y, F.lit(1 / 3)), t67=F.percentile(y, F.lit(2 / 3)))
 
 
 def supported(rows: DataFrame, least: int = 10) -> DataFrame:
@@ -94,10 +92,8 @@ def score(chosen: DataFrame) -> DataFrame:
     """(KEYS, year, key, n_train, loyo_mse, p, obs, rps_f, rps_c) of the test years of select()'s rows; no fit has equal thirds."""
     rows = edges(chosen, KEYS, F.col("is_train")).where("NOT is_train")
     third = F.lit(1 / 3)
-    mean, sigma = F.col("icpt") + F.col("slope") * F.col("x"), F.greatest("sigma", F.lit(1e-9))
-    # Steps of their own, so that each is generated once: the next one uses its columns several times.
-    rows = rows.withColumns({"_lo": normal_cdf((F.col("t33") - mean) / sigma), "_hi": normal_cdf((F.col("t67") - mean) / sigma)})
-    rows = rows.withColumn("_p", F.array(*renormalised([F.col("_lo"), F.col("_hi") - F.col("_lo"), 1 - F.col("_hi")])))
+    mean, sigma = F.col("icpt") + F.col("slope") * F.col("x"), F.col("sigma")
+    rows = with_terciles(rows, mean, sigma, F.col("t33"), F.col("t67"), "_p")
     rows = rows.withColumn("p", F.when(F.col("loyo_mse") < float("inf"), F.col("_p")).otherwise(F.array(third, third, third)))
     rows = rows.withColumn("obs", tercile(F.col("y"), F.col("t33"), F.col("t67")))
     return rows.select(*KEYS, "year", "key", "n_train", "loyo_mse", "p", "obs", rps(F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.col("obs")).alias("rps_f"), rps(third, third, F.col("obs")).alias("rps_c"))
@@ -135,10 +131,9 @@ def window_weights(parts: DataFrame, windows: DataFrame, cells: DataFrame, rule:
     return out.withColumn("weight", F.col("zone_share") * F.col("_part")).drop("_part")
 
 
-def season_targets(field: DataFrame, parts: DataFrame, windows: DataFrame) -> DataFrame:
-    """(fold, zone, window, year, y): area-weighted totals over each window's months, labelled by its last month's year; complete seasons only."""
-    mean = area_mean(field.join(parts, "cell"), ["fold", "zone", "year", "month"])
-    rows = mean.join(windows.select("fold", "zone", "window", "months"), ["fold", "zone"]).where(F.array_contains("months", F.col("month")))
+def season_targets(means: DataFrame, windows: DataFrame) -> DataFrame:
+    """(fold, zone, window, year, y): totals of discovery.zone_means() over each window's months, labelled by its last month's year; complete seasons only."""
+    rows = means.join(windows.select("fold", "zone", "window", "months"), ["fold", "zone"]).where(F.array_contains("months", F.col("month")))
     late = wraps_col(F.col("months")) & (F.col("month") >= F.element_at("months", 1))
     season = rows.withColumn("season", F.col("year") + late.cast("int")).groupBy("fold", "zone", "window", "season")
     out = season.agg(F.sum(F.col("mean") * month_length(F.col("month"))).alias("y"), F.count("mean").alias("n"), F.first(F.size("months")).alias("size")).where("n = size")
@@ -201,10 +196,11 @@ def run_atlas(field: DataFrame, series: DataFrame, folds: DataFrame, parts: Data
     cells = field.select("cell", "lat").distinct().select("cell", area_weight(F.col("lat")).alias("w"))
     out = []
     for pooled in sorted({a.pooled for a in arms}):
-        zones = one_zone(field, folds) if pooled else parts
-        windows = window_weights(zones, forecast_windows(zone_windows(field, zones, folds), zones, forced or {}), cells)
+        zones = parts.withColumn("zone", F.lit(0)) if pooled else parts
+        means = written(zone_means(field, zones), "atlas-means")
+        windows = window_weights(zones, forecast_windows(zone_windows(means, folds), zones, forced or {}), cells)
         windows = written(windows, "atlas-windows")
-        y = written(season_targets(field, zones, windows), "atlas-targets")
+        y = season_targets(means, windows)
         parts_x = components(series, windows, list(gaps))
         for leak in sorted({a.leak for a in arms if a.pooled == pooled}):
             x = fold_predictors(parts_x, folds, compose, boxes, leak)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isopleth.functions.prob import normal_terciles, rps, tercile
-from isopleth.functions.scalar import corr
+from isopleth.functions.prob import rps, tercile, with_terciles
+from isopleth.functions.scalar import corr, with_stats
 
 from .inference import bootstrap_gap, williams
 from .regress import loyo_skill, split_fit
@@ -50,12 +50,11 @@ def gridded(cells: DataFrame, signal: DataFrame) -> DataFrame:
     """(fold, rpss, n): every cell scored on its own terciles with its zone's predictor. cells: (fold, cell, zone, year, is_train, y); signal: (fold, zone, year, x)."""
     by = ["fold", "cell"]
     rows = split_fit(cells.join(signal, ["fold", "zone", "year"]), by, F.col("is_train"))
-    w = Window.partitionBy(*by)
     y = F.when(F.col("is_train"), F.col("y"))
-    rows = rows.withColumns({"t33": F.percentile(y, F.lit(1 / 3)).over(w), "t67": F.percentile(y, F.lit(2 / 3)).over(w)}).where("NOT is_train AND pred IS NOT NULL")
-    p = normal_terciles(F.col("pred"), F.col("sigma"), F.col("t33"), F.col("t67"))
+    rows = with_stats(rows, by, t33=F.percentile(y, F.lit(1 / 3)), t67=F.percentile(y, F.lit(2 / 3))).where("NOT is_train AND pred IS NOT NULL")
+    rows = with_terciles(rows, F.col("pred"), F.col("sigma"), F.col("t33"), F.col("t67"))
     obs, third = tercile(F.col("y"), F.col("t33"), F.col("t67")), F.lit(1 / 3)
-    s = rows.select("fold", rps(p[0], p[1], obs).alias("f"), rps(third, third, obs).alias("c"))
+    s = rows.select("fold", rps(F.get("p", F.lit(0)), F.get("p", F.lit(1)), obs).alias("f"), rps(third, third, obs).alias("c"))
     return s.groupBy("fold").agg((1 - F.try_divide(F.sum("f"), F.sum("c"))).alias("rpss"), F.count("*").alias("n"))
 
 

@@ -273,11 +273,6 @@ def training(field: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(good.select("fold", "cell"), ["fold", "cell"], "left_semi")
 
 
-def one_zone(field: DataFrame, folds: DataFrame) -> DataFrame:
-    """(fold, cell, zone) of the pooled arm: all valid cells in one zone."""
-    return training(field, folds).select("fold", "cell").distinct().withColumn("zone", F.lit(0))
-
-
 def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots: int = 20, modes: int = 5, bar: float = 0.9, seed: int = 0) -> Zoning:
     """Zones of each fold from its training years alone, their number the largest whose k-means is stable under resampled years.
 
@@ -324,16 +319,20 @@ def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots:
 LABELS = {"fold": "int", "boot": "int", "k": "int", "cell": "int", "lon": "double", "zone": "int", "silhouette": "double"}
 
 
-def zone_cycles(field: DataFrame, parts: DataFrame, folds: DataFrame) -> DataFrame:
-    """(fold, zone, month, clim): the annual cycle of each zone's area mean over its fold's training years, as totals of the month."""
-    rows = training(field, folds).join(parts, ["fold", "cell"])
-    mean = area_mean(rows, ["fold", "zone", "year", "month"])
-    return mean.groupBy("fold", "zone", "month").agg((F.avg("mean") * F.first(month_length(F.col("month")))).alias("clim"))
+def zone_means(field: DataFrame, parts: DataFrame) -> DataFrame:
+    """(fold, zone, year, month, mean): area means of each fold's zones, of all years; one pass over the field."""
+    return area_mean(field.join(parts, "cell"), ["fold", "zone", "year", "month"])
+
+
+def zone_cycles(means: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, zone, month, clim): the annual cycle of each zone of zone_means() over its fold's training years, as totals of the month."""
+    train = means.join(F.broadcast(folds.where("is_train").select("fold", "year")), ["fold", "year"])  # folds times years
+    return train.groupBy("fold", "zone", "month").agg((F.avg("mean") * F.first(month_length(F.col("month")))).alias("clim"))
 
 
-def zone_windows(field: DataFrame, parts: DataFrame, folds: DataFrame) -> DataFrame:
+def zone_windows(means: DataFrame, folds: DataFrame) -> DataFrame:
     """(fold, zone, start, months, label, total): the seasons of each zone's cycle."""
-    return seasons(cycle(zone_cycles(field, parts, folds), ["fold", "zone"]), ["fold", "zone"])
+    return seasons(cycle(zone_cycles(means, folds), ["fold", "zone"]), ["fold", "zone"])
 
 
 def select_k(curve: DataFrame, by: list[str], bar: float = 0.9) -> DataFrame:

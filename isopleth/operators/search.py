@@ -17,7 +17,7 @@ def tensor(spark: SparkSession, targets: list[str]) -> DataFrame:
     """One row per configuration of each target: 26 predictor settings by leads by transforms, with its key."""
     kinds = spark.createDataFrame(SCALARS + FIELDS, "source string, domain string, method string, modes int")
     cross = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    rows = cross("target", "string", targets).crossJoin(kinds).crossJoin(cross("lead", "int", LEADS)).crossJoin(cross("transform", "string", TRANSFORMS))
+    rows = cross_all([cross("target", "string", targets), kinds, cross("lead", "int", LEADS), cross("transform", "string", TRANSFORMS)])
     return rows.withColumn("key", F.concat_ws("|", "target", "source", "domain", "method", F.concat(F.lit("m"), "modes"), F.concat(F.lit("L"), "lead"), "transform"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions import prob
-from isopleth.functions.scalar import corr, r4
+from isopleth.functions.scalar import corr, r4, with_stats
 from isopleth.operators import atlas, cube, discovery, inference, regress, rolling, search, text
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
 
@@ -149,10 +149,10 @@ n AS (SELECT cell, period, obs, a / (a + b + d) AS p0, b / (a + b + d) AS p1 FRO
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("cell")
-    e = week_panel(spark, sf).select("cell", "period", F.col("v").alias("y"), F.percentile("v", F.lit(1 / 3)).over(w).alias("t33"), F.percentile("v", F.lit(2 / 3)).over(w).alias("t67"), F.stddev_pop("v").over(w).alias("s"))
-    p = prob.normal_terciles(0.9 * F.col("y"), F.col("s"), F.col("t33"), F.col("t67"))
-    q = e.select("cell", "period", F.array(*p).alias("p"), prob.tercile(F.col("y"), F.col("t33"), F.col("t67")).alias("obs"))
+    e = week_panel(spark, sf).select("cell", "period", F.col("v").alias("y"))
+    e = with_stats(e, ["cell"], t33=F.percentile("y", F.lit(1 / 3)), t67=F.percentile("y", F.lit(2 / 3)), s=F.stddev_pop("y"))
+    e = prob.with_terciles(e, 0.9 * F.col("y"), F.col("s"), F.col("t33"), F.col("t67"))
+    q = e.select("cell", "period", "p", prob.tercile(F.col("y"), F.col("t33"), F.col("t67")).alias("obs"))
     third = F.lit(1 / 3)
     return q.select("*", prob.rps(F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.col("obs")).alias("rps_f"), prob.rps(third, third, F.col("obs")).alias("rps_c"), F.lit(1.0).alias("weight"))
 

@@ -112,7 +112,8 @@ def g17(spark, sf):
 @query("g17_fold_windows")
 def g17_windows(spark, sf):
     field, _, folds = prepared(spark, sf)
-    return rounded(discovery.zone_windows(field, discovery.discover(field, folds).parts, folds), ["fold", "zone", "start", "label"], ["total"])
+    means = discovery.zone_means(field, discovery.discover(field, folds).parts)
+    return rounded(discovery.zone_windows(means, folds), ["fold", "zone", "start", "label"], ["total"])
 
 
 def atlas_scores(spark: SparkSession, sf: str, replicates: int, arms=atlas.ARMS) -> DataFrame:

@@ -103,7 +103,7 @@ def test_the_planted_zones_are_found(planted):
     curve = {(r.fold, r.k): r for r in found.curve.collect()}
     assert len(curve) == 6 and all(curve[f, 2].ari > 0.99 for f in (0, 1)) and curve[0, 2].silhouette > curve[0, 4].silhouette
     labels = {(r.fold, r.zone): set() for r in parts.itertuples()}
-    for r in discovery.zone_windows(field, found.parts, folds).collect():
+    for r in discovery.zone_windows(discovery.zone_means(field, found.parts), folds).collect():
         labels[r.fold, r.zone].add(tuple(r.months))
     assert all((8 in w and len(ws) == 1) for (f, z), ws in labels.items() if z == 0 for w in ws)
     assert all(len(ws) == 2 for (f, z), ws in labels.items() if z == 1)
