@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .regress import logistic
+
 METHODS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {}
 
 
@@ -69,6 +71,18 @@ def _rank_analog(x, y, at):
     return y[near].mean(axis=0)
 
 
+@method("logit")
+def _logit(x, y, at):
+    """The thirds' mean observations, weighted by logistic probabilities of the outer thirds."""
+    edges = np.quantile(y, [1 / 3, 2 / 3])
+    third = np.searchsorted(edges, y, "right")
+    means = np.array([y[third == k].mean() if (third == k).any() else y.mean() for k in range(3)])
+    m, sd = x.mean(), x.std() or 1.0
+    outer = [1 / (1 + np.exp(-np.column_stack([np.ones(len(at)), (at - m) / sd]) @ logistic((x - m) / sd, (third == k).astype(float)))) for k in (0, 2)]
+    p = np.clip(np.stack([outer[0], 1 - outer[0] - outer[1], outer[1]]), 1e-9, 1)
+    return means @ (p / p.sum(axis=0))
+
+
 def left_out(pairs: DataFrame, by: list[str], names: list[str], least: int = 8) -> DataFrame:
     """(by, method, year, y, pred): predictions of each year (year, x, y) by every named method without that year; short groups give none."""
     chosen = {n: METHODS[n] for n in names}

@@ -175,15 +175,20 @@ def top_combo(rows: DataFrame, by: list[str], k: int = 2) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(fit, f"{keys}, loo_r double, n int")
 
 
-def logit_terciles(rows: DataFrame, by: list[str], rounds: int = 25) -> DataFrame:
-    """(by, year, p0, p2): left-out logistic probabilities of the outer categories (obs 0 to 2) from x, by reweighted least squares."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Intercept and slope of y (0 or 1) on x by reweighted least squares, with a little shrinkage so that separable rows have a fit too."""
+    a, b = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * b)
+        b += step
+        if np.abs(step).max() < 1e-10:
+            break
+    return b
 
-    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-            b += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * b)
-        return b
+
+def logit_terciles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, year, p0, p2): left-out logistic probabilities of the outer categories (obs 0 to 2) from x."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["x"].to_numpy()
@@ -191,7 +196,7 @@ def logit_terciles(rows: DataFrame, by: list[str], rounds: int = 25) -> DataFram
         out = pdf[[*by, "year"]].copy()
         for name, category in (("p0", 0), ("p2", 2)):
             y = (pdf["obs"].to_numpy() == category).astype(float)
-            p = [1 / (1 + np.exp(-np.r_[1, x[i]] @ one(np.delete(x, i), np.delete(y, i)))) for i in range(len(x))]
+            p = [1 / (1 + np.exp(-np.r_[1, x[i]] @ logistic(np.delete(x, i), np.delete(y, i)))) for i in range(len(x))]
             out[name] = p
         return out
 

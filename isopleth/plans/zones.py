@@ -71,16 +71,8 @@ def g2_scores(spark, sf):
 
 # --- folds of the week panel -------------------------------------------------------------------------------------------
 
-#: Boxes of the week panel that stand for the index boxes, by cell; the indices made of them; groups of the indices.
+#: Boxes of the week panel that stand for the index boxes, by cell.
 BOX_CELLS = {"nino34": 20, "iod_w": 21, "iod_e": 22, "wpac": 23, "wv": 24}
-COMPOSE = {
-    "nino34": lambda v, z: v["nino34"],
-    "iod": lambda v, z: indices.iod(v["iod_w"], v["iod_e"]),
-    "wpg": lambda v, z: indices.gradient(z["wpac"], z["nino34"]),
-    "wvg": lambda v, z: indices.gradient(z["nino34"], z["wv"]),
-    "iwhg": lambda v, z: indices.composite(indices.iod(v["iod_w"], v["iod_e"]), v["wpac"], v["nino34"]),
-}
-GROUPS = {"nino34": "one box", "iod": "dipole", "wpg": "gradient", "wvg": "gradient", "iwhg": "composite"}
 
 
 def year_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +111,7 @@ def g17_windows(spark, sf):
 def atlas_scores(spark: SparkSession, sf: str, replicates: int, arms=atlas.ARMS) -> DataFrame:
     field, series, folds = prepared(spark, sf)
     parts = written(discovery.discover(field, folds).parts, "parts")
-    return atlas.run_atlas(field, series, folds, parts, COMPOSE, list(BOX_CELLS), arms, replicates, {"MAM": [3, 4, 5]})
+    return atlas.run_atlas(field, series, folds, parts, indices.INDICES, list(BOX_CELLS), arms, replicates, {"MAM": [3, 4, 5]})
 
 
 @query("g18_atlas_arms")
@@ -174,9 +166,9 @@ def g14_recipes(spark, sf):
     field, series, folds = prepared(spark, sf)
     parts = written(discovery.discover(field, folds).parts, "parts")
     matched = written(discovery.tracks(parts, 2), "tracks")
-    s = written(atlas.run_atlas(field, series, folds, parts, COMPOSE, list(BOX_CELLS), atlas.ARMS[:1]).where("discovered"), "scores")
+    s = written(atlas.run_atlas(field, series, folds, parts, indices.INDICES, list(BOX_CELLS), atlas.ARMS[:1]).where("discovered"), "scores")
     recipes = s.select("fold", "zone", "window", F.substring_index("key", "|", 1).alias("index"), F.substring_index("key", "|", -1).cast("int").alias("lead")).distinct()
-    out = discovery.recipe_agreement(recipes, matched, GROUPS).join(discovery.track_skill(s, matched), "zone", "full")
+    out = discovery.recipe_agreement(recipes, matched, indices.GROUPS).join(discovery.track_skill(s, matched), "zone", "full")
     return rounded(out, ["zone", "n"], ["window_exact", "window_jaccard", "predictor", "predictor_group", "lead", "lead_diff", "rpss"])
 
 
@@ -217,6 +209,16 @@ def m7(spark, sf):
     return x.select("period", r4(indices.gradient(p, n)).alias("wpg"), r4(indices.gradient(n, w)).alias("wvg"), r4(indices.gradient(n, (p + w) / 2)).alias("two"))
 
 
+BOXES = "bx AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {s}e0, {n}e0, {w}e0, {e}e0)" for k, (s, n, w, e) in indices.BOXES.items()) + ") t(box, s, n, w, e))"
+
+
+@query("m6_box_series", f"""WITH {BOXES}, r AS (SELECT box, year, month, sum(dim.w * v) / sum(dim.w) AS m FROM pm JOIN dim USING (cell) JOIN bx ON lat BETWEEN bx.s AND bx.n AND (CASE WHEN bx.e > 360 THEN lon >= bx.w OR lon <= bx.e - 360 ELSE lon BETWEEN bx.w AND bx.e END) GROUP BY 1, 2, 3)
+SELECT box, year, month, {R('m - avg(m) FILTER (year BETWEEN 1995 AND 1999) OVER (PARTITION BY box, month)')} AS v FROM r""", "dim pm")
+def m6_boxes(spark, sf):
+    grid = month_panel(spark, sf).join(F.broadcast(cells(spark)), "cell")
+    return rounded(indices.box_series(grid, indices.BOXES, 1995, 1999), ["box", "year", "month"], ["v"])
+
+
 def _standard(b: str) -> str:
     return f"(({b} - avg({b}) FILTER (year < 20) OVER ()) / nullif(stddev_pop({b}) FILTER (year < 20) OVER (), 0))"
 
@@ -230,9 +232,9 @@ def u6(spark, sf):
     series = field.join(F.broadcast(named), "cell").select("box", "year", "month", "v")
     windows = spark.createDataFrame([("JAS", [7, 8, 9])], "window string, months array<int>")
     folds = field.select("year").distinct().select(F.lit(0).alias("fold"), "year", (F.col("year") < 20).alias("is_train"))
-    x = atlas.fold_predictors(atlas.components(series, windows, [0]), folds, COMPOSE, list(BOX_CELLS))
-    wide = x.groupBy("year").pivot("key", [f"{k}|0" for k in COMPOSE]).agg(F.first("x"))
-    return wide.select("year", *[r4(F.col(f"`{k}|0`")).alias(k) for k in COMPOSE])
+    x = atlas.fold_predictors(atlas.components(series, windows, [0]), folds, indices.INDICES, list(BOX_CELLS))
+    wide = x.groupBy("year").pivot("key", [f"{k}|0" for k in indices.INDICES]).agg(F.first("x"))
+    return wide.select("year", *[r4(F.col(f"`{k}|0`")).alias(k) for k in indices.INDICES])
 
 
 @query("a8_area_weighted_seasons", f"WITH a AS (SELECT cell % 3 AS zone, year, month, sum(w * v) / sum(w) AS v FROM pm JOIN dim USING (cell) GROUP BY 1, 2, 3) SELECT zone, year, {R('avg(v)')} AS total FROM a WHERE month IN (6, 7, 8) GROUP BY 1, 2", "dim pm")

@@ -14,6 +14,9 @@ def test_methods_on_a_linear_model():
     assert abs(downscale.METHODS["qm"](x, y, at)[0] - 3.6) < 0.5
     assert abs(downscale.METHODS["delta"](x, y, at)[0] - (y.mean() + 0.3 - x.mean())) < 1e-12
     assert abs(downscale.METHODS["rank_analog"](x, y, at)[0] - 3.6) < 0.5
+    low, mid, high = downscale.METHODS["logit"](x, y, np.array([-3.0, 0.3, 3.0]))
+    thirds = [part.mean() for part in np.array_split(np.sort(y), 3)]
+    assert abs(low - thirds[0]) < 0.6 and abs(high - thirds[2]) < 0.6 and low < mid < high
 
 
 def test_cca_recovers_a_shared_pattern():

@@ -19,6 +19,13 @@ def test_partial_window_is_refused(spark):
     assert [r.day for r in rolling.missing_days(daily, windows).collect()] == [4]
 
 
+def test_required_rows_pass_and_bad_ones_fail_the_job(spark):
+    rows = spark.range(5)
+    assert rolling.require(rows, F.col("id") > 9, "too large").count() == 5
+    with pytest.raises(Exception, match="too large"):
+        rolling.require(rows, F.col("id") > 3, "too large").collect()
+
+
 def test_content_hash_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "k int, s string")
     assert io.content_hash(a) == io.content_hash(a.orderBy(F.desc("k"))) != io.content_hash(a.limit(1))
