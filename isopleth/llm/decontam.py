@@ -79,8 +79,8 @@ def matches(item: list[int], window: list[int]) -> tuple[float, bool]:
     return share, share >= LCS_SHARE and lcs(answer, window) >= ANSWER_SHARE * len(answer)
 
 
-def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Ids, tokens and token counts of documents, about CHUNK tokens at a time and at least one document."""
+def _batches(it: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, tokens and token counts of documents, about ``chunk`` tokens at a time and at least one document."""
     ids, parts, size = [], [], 0
     for b in it:
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1)):
@@ -89,7 +89,7 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, n
                 ids.append(doc_id)
                 parts.append(part)
                 size += len(part)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield ids, np.concatenate(parts), np.array([len(p) for p in parts])
                 ids, parts, size = [], [], 0
     if ids:
@@ -133,8 +133,13 @@ def idf(words: DataFrame) -> np.ndarray:
         total, n = np.zeros(FEATURES, np.int64), 0
         for _, t, counts in _batches(it):
             starts, _ = _pieces(counts, PASSAGE)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
-            total += np.bincount(np.unique(passage * FEATURES + t % FEATURES) % FEATURES, minlength=FEATURES)
+            ends = np.append(starts[1:], len(t))
+            spot = starts[:, None] + np.arange(PASSAGE)
+            rows = np.where(spot < ends[:, None], (t % FEATURES).astype(np.uint16)[np.minimum(spot, len(t) - 1)], np.uint16(FEATURES))
+            rows.sort(axis=1)  # a feature counts once a passage
+            once = rows < FEATURES
+            once[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+            total += np.bincount(rows[once], minlength=FEATURES)
             n += len(starts)
         keys = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(np.append(total[keys[:-1]], n))], ["feature", "n"])
@@ -161,7 +166,7 @@ def singular_vectors(words: DataFrame, weights: np.ndarray, rank: int = RANK, se
         w, s = shared.value
         s = s * w[:, None]
         total = np.zeros((width, FEATURES))
-        for _, t, counts in _batches(it):
+        for _, t, counts in _batches(it, 2 * CHUNK):
             starts, _ = _pieces(counts, PASSAGE)
             sizes = np.diff(np.append(starts, len(t)))
             f = (t % FEATURES).astype(np.int64)
@@ -231,7 +236,7 @@ class Items:
         self.flag[self.codes % FEATURES] = True
 
     def stretches(self, t: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(document, item, first, end), a row for each pair that may match: where in t the stretches lie that have enough of the words that the item is looked up by."""
+        """(document, item, first, end): where in t the stretches lie that have enough of the words that the item is looked up by, and a match may be."""
         at = np.flatnonzero(self.flag[t % FEATURES])
         place = np.searchsorted(self.codes, t[at])
         ok = self.codes[np.minimum(place, len(self.codes) - 1)] == t[at]
@@ -248,8 +253,10 @@ class Items:
         i = i[at[last[i]] - at[i] < (self.steps[key[i] % len(self.names)] + 2) * STEP]
         if not len(i):
             return np.zeros((0, 4), np.int64)
-        new = np.flatnonzero(np.diff(key[i], prepend=-1))
-        span = (self.steps[key[i[new]] % len(self.names)] + 3) * STEP
+        span = (self.steps[key[i] % len(self.names)] + 3) * STEP
+        apart = at[i[1:]] - at[last[i[:-1]]] > 2 * span[1:]  # stretches far from each other are searched one by one
+        new = np.flatnonzero(np.concatenate([[True], (key[i[1:]] != key[i[:-1]]) | apart]))
+        span = span[new]
         return np.stack([key[i[new]] // len(self.names), key[i[new]] % len(self.names), at[i[new]] - span, np.maximum.reduceat(at[last[i]], new) + span], axis=1)
 
     def search(self, t: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, int]]:
@@ -288,17 +295,18 @@ class Items:
         held = kinds[place] == words
         upto = np.concatenate([[0], np.cumsum(held)])
         at = np.arange(max(1, -(-len(words) // STEP) - int(self.steps[k]) + 1))  # windows that the end cuts are in the one before
-        keep = np.zeros(len(at), bool)
         left, right = np.maximum(at - 1, 0) * STEP, np.minimum((at + self.steps[k] + 1) * STEP, len(words))
-        for some in np.array_split(np.arange(len(at)), -(-len(at) // 1024)):
-            at_ = some[upto[right[some]] - upto[left[some]] >= self.least[k]]
-            if len(at_):
-                spot = left[at_][:, None] + np.arange(int((right[at_] - left[at_]).max()))
-                ok = spot < right[at_][:, None]
-                spot = np.minimum(spot, len(words) - 1)
-                ok &= held[spot]
-                seen = np.bincount(np.nonzero(ok)[0] * len(kinds) + place[spot[ok]], minlength=len(at_) * len(kinds)).reshape(len(at_), -1)
-                keep[at_] = np.minimum(seen, n).sum(axis=1) >= self.least[k]
+        enough = np.flatnonzero(upto[right] - upto[left] >= self.least[k])
+        keep = [enough[:0]]
+        for cut in range(0, len(enough), 1024):
+            some = enough[cut : cut + 1024]
+            spot = left[some][:, None] + np.arange(int((right[some] - left[some]).max()))
+            ok = spot < right[some][:, None]
+            spot = np.minimum(spot, len(words) - 1)
+            ok &= held[spot]
+            seen = np.bincount(np.nonzero(ok)[0] * len(kinds) + place[spot[ok]], minlength=len(some) * len(kinds)).reshape(len(some), -1)
+            keep.append(some[np.minimum(seen, n).sum(axis=1) >= self.least[k]])
+        keep = np.concatenate(keep)
         return at[keep], left[keep], right[keep], held
 
 
