@@ -41,6 +41,9 @@ def test_runs_are_levelled(spark):
         runs.add(spark.createDataFrame([(1, 1, 100 - k), (2 + k, 0, 100 - k)], "h1 long, h2 long, id long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {(r.h1, r.n, r.top) for r in runs.keys().collect()} == {(1, 5, 100), *((2 + k, 1, 100 - k) for k in range(5))}
+    kept = runs.runs()
+    runs.close()
+    assert kept and not [t for t in kept if spark.catalog.tableExists(t)]
 
 
 def test_buckets_and_batches_grow_with_the_table(spark, docs):

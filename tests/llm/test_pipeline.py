@@ -64,11 +64,12 @@ def test_run_sweeps_what_it_wrote(spark, tmp_path, monkeypatch):
     from isopleth.llm import scratch
 
     monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    tables = {t.name for t in spark.catalog.listTables()}
     assert cp.run(spark, SF).count() > 0
     left = [p for p in tmp_path.iterdir() if p.is_dir()]
     assert [p.name.split("-")[0] for p in left] == ["pipeline"]
     assert [p.name.split("-")[1] for p in left[0].iterdir() if p.is_dir()] == ["packing"]
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")] and scratch._OPEN == []
+    assert {t.name for t in spark.catalog.listTables()} == tables and scratch._OPEN == []
 
 
 def test_rows_without_an_id_stay(spark):
