@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, media, packing, pii, quality, sharding, simhash, toxicity
+from . import decontam, langid, line_dedup, media, mixing, packing, pii, prefix_trie, quality, sharding, simhash, toxicity
 from .sampling import remainder
 
 
@@ -72,6 +72,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(table(spark, sf_dir, "documents")), keep_rgb=True)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -95,6 +104,25 @@ SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth
        depth AS shard_depth, shard_bytes::BIGINT AS shard_bytes, shard_rows::BIGINT AS shard_rows FROM f WHERE k = 1
 """
 
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations),
+n AS (SELECT conv_id, max(pos) AS own, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END) AS r FROM t GROUP BY conv_id),
+c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS source, xor(n.r, 4294967295) % 9 AS h, least(xor(n.r, 4294967295) % 9, coalesce(s.own, 0)) AS k FROM n LEFT JOIN n s ON s.conv_id = n.conv_id - n.conv_id % 5),
+u AS (SELECT c.conv_id, t.pos AS i, t.role, t.text FROM c JOIN t ON t.conv_id = c.source AND t.pos <= c.k
+      UNION ALL SELECT c.conv_id, t.pos - c.h + c.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+w AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY i) AS turns, list(strlen(text) ORDER BY i) AS sizes FROM u GROUP BY conv_id),
+p AS (SELECT c.conv_id, d AS depth, array_to_string(turns[1:d], '') AS path, CASE WHEN d > 0 THEN array_to_string(turns[1:d - 1], '') END AS up, coalesce(sizes[d], 0) AS nb, d = coalesce(len(turns), 0) AS last
+      FROM c LEFT JOIN w USING (conv_id), unnest(range(0, coalesce(len(turns), 0) + 1)) AS r(d)),
+node AS (SELECT depth, path, any_value(up) AS up, any_value(nb) AS nb, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM p GROUP BY depth, path),
+kids AS (SELECT up, count(*) AS n FROM node WHERE depth > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.up = node.path),
+sums AS (SELECT a.depth, a.path, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.nb) AS saved
+         FROM full_node f JOIN p a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.path)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN sums s USING (depth, path) LEFT JOIN node q ON q.depth = f.depth - 1 AND q.path = f.up
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -106,5 +134,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_media": op10_media,
+    "op12_mixing": op12_mixing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op5_sharding": OP5_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op5_sharding": OP5_SQL, "op13_prefix_trie": OP13_SQL}
