@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, media, mixing, packing, pii, prefix_trie, quality, sharding, simhash, toxicity
+from . import collocations, decontam, langid, line_dedup, media, mixing, packing, pii, prefix_trie, quality, sharding, simhash, toxicity
 from .sampling import remainder
 
 
@@ -72,6 +72,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(table(spark, sf_dir, "documents")), keep_rgb=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -134,6 +138,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_media": op10_media,
+    "op11_collocations": op11_collocations,
     "op12_mixing": op12_mixing,
     "op13_prefix_trie": op13_prefix_trie,
 }
