@@ -16,6 +16,7 @@ from isopleth.functions.calendar import month_initials, month_length
 from isopleth.sources.io import written
 
 from .cube import area_mean
+from .kmeans import PAYLOAD, SCHEMA, Blocks, as_list, distances, fitted, gathered, joined, lloyd  # noqa: F401  lloyd is the plain form
 
 
 # --- seasons -----------------------------------------------------------------------------------------------------------
@@ -160,33 +161,6 @@ def eof_scores(field: DataFrame, modes: int = 5) -> DataFrame:
     return field.join(F.broadcast(table), "col").groupBy("cell", "mode").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of the rows of x and y."""
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
-
-
-def lloyd(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """(labels, inertia) of the best of several k-means++ starts."""
-    rng, best = np.random.default_rng(seed), (np.zeros(len(x), int), np.inf)
-    for _ in range(starts):
-        centres = x[[rng.integers(len(x))]]
-        while len(centres) < k:
-            d = _distances(x, centres).min(1)
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
-        for _ in range(rounds):
-            label = _distances(x, centres).argmin(1)
-            hot = np.eye(k)[label]
-            n = hot.sum(0)
-            new = np.where(n[:, None] > 0, hot.T @ x / np.maximum(n, 1)[:, None], centres)
-            if np.allclose(new, centres):
-                break
-            centres = new
-        inertia = ((x - centres[label]) ** 2).sum()
-        if inertia < best[1]:
-            best = (label, inertia)
-    return best
-
-
 def ari(a: np.ndarray, b: np.ndarray) -> float:
     """Adjusted Rand index of two labellings."""
     t = np.zeros((a.max() + 1, b.max() + 1))
@@ -202,7 +176,7 @@ def silhouettes(x: np.ndarray, labels: list[np.ndarray], block: int = 512) -> li
     hots = [np.eye(l.max() + 1)[l] for l in labels]  # noqa: E741
     totals = np.zeros(len(labels))
     for at in range(0, len(x), block):
-        d = np.sqrt(_distances(x[at : at + block], x))
+        d = np.sqrt(distances(x[at : at + block], x))
         d[np.arange(len(d)), at + np.arange(len(d))] = 0
         for j, (label, hot) in enumerate(zip(labels, hots)):
             own, n = label[at : at + block], hot.sum(0)
@@ -237,21 +211,35 @@ def squared_silhouette(points: DataFrame, by: list[str], label: str, vector: str
     return rows.groupBy(*by).agg(F.avg(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))).alias("silhouette"), F.count("*").alias("n"))
 
 
-def fold_features(m: np.ndarray, month: np.ndarray, modes: int = 5) -> np.ndarray:
-    """Features of the rows of m (cells by months of a record): the shape of the annual cycle, and the leading left singular
-    vectors of standardised anomalies; each block is standardised by column and weighs the same."""
-    with np.errstate(invalid="ignore"), warnings.catch_warnings():
+def year_features(m: np.ndarray, month: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shape, rest) of the rows of m (cells by months of a record), each month counted ``weight`` times: the shape of the annual cycle, and standardised anomalies times the roots of the weights."""
+    w = np.where(np.isnan(m), 0.0, weight)
+    filled = np.nan_to_num(m)
+    hot = month[:, None] == np.arange(1, 13)
+    n = w @ hot
+    clim = np.where(n > 0, (w * filled) @ hot / np.where(n > 0, n, 1), np.nan)
+    with warnings.catch_warnings():
         warnings.simplefilter("ignore", RuntimeWarning)  # a month that isn't drawn
-        clim = np.stack([np.nanmean(m[:, month == k], axis=1) if (month == k).any() else np.full(len(m), np.nan) for k in range(1, 13)], axis=1)
         shape = np.nan_to_num((clim - np.nanmean(clim, axis=1, keepdims=True)) / (np.nanstd(clim, axis=1, keepdims=True) + 1e-6))
-        rest = m - clim[:, month - 1]
-        rest = np.nan_to_num(rest / (np.nanstd(rest, axis=1, keepdims=True) + 1e-6))
-    if rest.shape[0] <= rest.shape[1]:
-        values, vectors = np.linalg.eigh(rest @ rest.T)
-        left = vectors[:, ::-1][:, :modes]
-    else:
-        values, vectors = np.linalg.eigh(rest.T @ rest)
-        left = rest @ vectors[:, ::-1][:, :modes] / np.sqrt(np.maximum(values[::-1][:modes], 1e-300))
+    rest = np.where(w > 0, filled - np.nan_to_num(clim)[:, month - 1], 0.0)
+    total = np.maximum(w.sum(1, keepdims=True), 1)
+    mean = (w * rest).sum(1, keepdims=True) / total
+    sd = np.sqrt((w * (rest - mean) ** 2).sum(1, keepdims=True) / total)
+    return shape, rest / (sd + 1e-6) * np.sqrt(weight)
+
+
+def loadings(g: np.ndarray, modes: int) -> np.ndarray:
+    """Columns that turn rows of a matrix into its leading left singular vectors, from its Gram matrix; modes without variance give zeros."""
+    values, vectors = np.linalg.eigh(g)
+    values, vectors = values[::-1][:modes], vectors[:, ::-1][:, :modes]
+    return np.where(values > 1e-12 * max(values[0], 1e-300), vectors / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+
+
+def fold_features(m: np.ndarray, month: np.ndarray, modes: int = 5, weight: np.ndarray | None = None) -> np.ndarray:
+    """Features of the rows of m (cells by months of a record): the shape of the annual cycle, and the leading left singular
+    vectors of standardised anomalies; each block is standardised by column and weighs the same. The plain form of what discover() makes over blocks."""
+    shape, rest = year_features(m, month, np.ones(len(month)) if weight is None else weight)
+    left = rest @ loadings(rest.T @ rest, modes)
     block = lambda x: (x - x.mean(0)) / (x.std(0) + 1e-9) / np.sqrt(x.shape[1])
     return np.hstack([block(shape), block(left)])
 
@@ -273,50 +261,158 @@ def training(field: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(good.select("fold", "cell"), ["fold", "cell"], "left_semi")
 
 
+#: Cells of a block of a field.
+BLOCK = 2048
+
+
+def field_blocks(packed: DataFrame, months: dict[int, np.ndarray], block: int = BLOCK) -> DataFrame:
+    """(fold, block, ids array<long>, m array<double>): the cells of packed (fold, cell, am, v) dealt to blocks, each a matrix of cells by the fold's months, NaN where a value is missing."""
+    n = packed.groupBy("fold").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = packed.join(F.broadcast(n), "fold").withColumn("block", F.pmod(F.xxhash64("cell"), "n").cast("long"))  # a row a fold
+
+    def matrix(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
+        at = months[table.column("fold")[0].as_py()]
+        am, v = table.column("am").combine_chunks(), table.column("v").combine_chunks()
+        m = np.full((table.num_rows, len(at)), np.nan)
+        owner = np.repeat(np.arange(table.num_rows), am.value_lengths().to_numpy())
+        m[owner, np.searchsorted(at, am.flatten().to_numpy())] = v.flatten().to_numpy(zero_copy_only=False)
+        return pa.table([table.column("fold").slice(0, 1), table.column("block").slice(0, 1), as_list(table.column("cell").to_numpy(), pa.int64()), as_list(m.ravel())], ["fold", "block", "ids", "m"])
+
+    dealt = dealt.select("fold", F.col("cell").cast("long").alias("cell"), "block", "am", "v")
+    return dealt.groupBy("fold", "block").applyInArrow(matrix, "fold int, block long, ids array<long>, m array<double>")
+
+
 def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots: int = 20, modes: int = 5, bar: float = 0.9, seed: int = 0) -> Zoning:
     """Zones of each fold from its training years alone, their number the largest whose k-means is stable under resampled years.
 
-    A task clusters one fold's field, or one resample of its years that serves every k; its labels come back to be compared
-    by adjusted Rand index in one job. A task holds one field (cells by months of the training years). folds: (fold, year,
-    is_train). Zones are numbered from west to east.
+    A resample of years is a weight of each year, so the field is dealt to blocks of cells once a fold and never copied: a
+    block's task makes the features of all resamples. Singular vectors come from Gram matrices of months by months, summed
+    over blocks; k-means is seeded and moved by sums over blocks for all folds, resamples and k at once. No task holds
+    more than a block of a field, or two blocks of its features. folds: (fold, year, is_train). Zones are numbered from west to east.
     """
     rows = training(field, folds)
     series = F.array_sort(F.collect_list(F.struct((F.col("year") * 12 + F.col("month") - 1).alias("am"), F.col("v").cast("double").alias("v"))))
     packed = rows.groupBy("fold", "cell").agg(F.first("lon").alias("lon"), series.alias("s"))
-    packed = packed.select("fold", "cell", "lon", F.transform("s", lambda x: x["am"]).alias("am"), F.transform("s", lambda x: x["v"]).alias("v"))
-    dealt = packed.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots))))
-
-    def clustered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, boot = (int(x) for x in key)
-        pdf = pdf.sort_values("cell")
-        at = np.unique(np.concatenate(pdf["am"].to_list()))
-        m = np.full((len(pdf), len(at)), np.nan)
-        for i, (am, v) in enumerate(zip(pdf["am"], pdf["v"])):
-            m[i, np.searchsorted(at, am)] = v
-        year, month = at // 12, at % 12 + 1
-        if boot:
-            years = np.unique(year)
-            drawn = np.random.default_rng([seed, boot]).choice(years, len(years))
-            take = np.concatenate([np.flatnonzero(year == y) for y in drawn])
-            m, month = m[:, take], month[take]
-        x = fold_features(m, month, modes)
-        labels = {k: lloyd(x, k, seed=boot)[0] for k in ks if k < len(x)}
-        shapes = dict(zip(labels, silhouettes(x, list(labels.values())))) if not boot else {}
-        return pd.concat([pd.DataFrame({"fold": fold, "boot": boot, "k": k, "cell": pdf["cell"], "lon": pdf["lon"], "zone": z, "silhouette": shapes.get(k, np.nan)}) for k, z in labels.items()] or [pd.DataFrame({c: [] for c in LABELS})])
-
-    labels = written(dealt.groupBy("fold", "boot").applyInPandas(clustered, ", ".join(f"{c} {t}" for c, t in LABELS.items())), "zoning")
+    packed = written(packed.select(F.col("fold").cast("int").alias("fold"), "cell", "lon", F.transform("s", lambda x: x["am"]).alias("am"), F.transform("s", lambda x: x["v"]).alias("v")), "packed")
+    months: dict[int, list[int]] = {}
+    for r in packed.select("fold", F.explode("am").alias("am")).distinct().collect():  # folds by months of a record
+        months.setdefault(r.fold, []).append(r.am)
+    months = {f: np.array(sorted(at)) for f, at in months.items()}
+    blocks = written(field_blocks(packed, months), "blocks")
+    size, each = {r.fold: r.n for r in packed.groupBy("fold").agg(F.count("*").alias("n")).collect()}, boots + 1
+
+    def weight(fold: int, boot: int) -> np.ndarray:
+        year = months[fold] // 12
+        years = np.unique(year)
+        if not boot:
+            return np.ones(len(year))
+        drawn = np.random.default_rng([seed, boot]).choice(years, len(years))
+        return (drawn == year[:, None]).sum(1).astype(float)
+
+    def matrices(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for fold, block, ids, m in zip(batch.column("fold").to_pylist(), batch.column("block").to_pylist(), batch.column("ids"), batch.column("m"), strict=True):
+            m = m.values.to_numpy().reshape(-1, len(months[fold]))
+            for boot in range(each):
+                yield fold * each + boot, block, ids, *year_features(m, months[fold] % 12 + 1, weight(fold, boot))
+
+    def upper(n: int) -> tuple:
+        return np.triu_indices(n)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, _, _, rest in matrices(batch):
+                g = (rest.T @ rest)[upper(rest.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0]), pa.array([block]), as_list(g)], PAYLOAD)
+
+    def solved(name: int, g: np.ndarray) -> np.ndarray:
+        n = len(months[name // each])
+        whole = np.zeros((n, n))
+        whole[upper(n)] = g
+        return loadings(np.triu(whole) + np.triu(whole, 1).T, modes).ravel()
+
+    sums = blocks.mapInArrow(grams, SCHEMA)
+    load = field.sparkSession.sparkContext.broadcast(gathered(joined(sums, np.add, solved)))  # folds by resamples by months by modes
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, ids, shape, rest in matrices(batch):
+                x = np.hstack([shape, rest @ load.value[name].reshape(rest.shape[1], -1)])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), as_list(ids.values.to_numpy(), pa.int64()), as_list(x.ravel())], ["set", "block", "ids", "x"])
+
+    width = 12 + modes
+    points = Blocks(written(blocks.mapInArrow(features, "set long, block long, ids array<long>, x array<double>"), "features"), width, {name: (np.zeros(width), np.ones(width)) for f in months for name in range(f * each, f * each + each)})
+    totals = points.folded(lambda name, ids, x: np.r_[len(x), x.sum(0), (x * x).sum(0)], np.add)
+    for name, t in totals.items():
+        mean = t[1 : 1 + width] / t[0]
+        sd = np.sqrt(np.maximum(t[1 + width :] / t[0] - mean * mean, 0))
+        points.scale[name] = (mean, 1 / (sd + 1e-9) / np.sqrt(np.r_[np.full(12, 12), np.full(modes, modes)]))
+    centres = fitted(points, {name: name % each for name in points.scale}, list(ks))
+    centres = {name: {k: c for k, c in by.items() if k < size[name // each]} for name, by in centres.items()}
+
+    scaled = points.scaler()
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, ids, x in zip(batch.column("set").to_pylist(), batch.column("ids"), batch.column("x"), strict=True):
+                ids, x = ids.values.to_numpy(), scaled(name, x.values.to_numpy())
+                for k, c in centres[name].items():
+                    cols = [np.full(len(ids), name // each), np.full(len(ids), name % each), np.full(len(ids), k), ids, distances(x, c).argmin(1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)) for a in cols], list(LABELS))
+
+    labels = written(points.rows.mapInArrow(labelled, ", ".join(f"{c} {t}" for c, t in LABELS.items())), "zoning")
     first = labels.where("boot = 0")
     pairs = labels.where("boot > 0").select("fold", "k", "boot", "cell", F.col("zone").alias("b")).join(first.select("fold", "k", "cell", F.col("zone").alias("a")), ["fold", "k", "cell"])
     curve = adjusted_rand(pairs, ["fold", "k", "boot"]).groupBy("fold", "k").agg(F.avg("ari").alias("ari"), F.stddev_pop("ari").alias("ari_sd"))
-    curve = curve.join(first.groupBy("fold", "k").agg(F.first("silhouette").alias("silhouette")), ["fold", "k"])
+    real = {name: by for name, by in centres.items() if name % each == 0 and by}
+    curve = curve.join(F.broadcast(block_silhouettes(points, real).withColumn("fold", (F.col("set") / each).cast("int")).drop("set")), ["fold", "k"])  # folds by k
     chosen = select_k(curve, ["fold"], bar)
-    parts = first.join(chosen, ["fold", "k"])
+    parts = first.join(chosen, ["fold", "k"]).join(packed.select("fold", "cell", "lon"), ["fold", "cell"])
     place = parts.groupBy("fold", "zone").agg(F.avg("lon").alias("m")).select("fold", "zone", (F.row_number().over(Window.partitionBy("fold").orderBy("m", "zone")) - 1).alias("place"))
     return Zoning(curve, chosen, parts.join(place, ["fold", "zone"]).select("fold", "cell", F.col("place").alias("zone")))
 
 
+def block_silhouettes(points: Blocks, centres: dict[int, dict[int, np.ndarray]]) -> DataFrame:
+    """(set, k, silhouette): mean Euclidean silhouettes over all points, from the distances of pairs of blocks: a task holds two blocks."""
+    ks = {name: list(by) for name, by in centres.items()}
+    scaled = points.scaler()
+    hots = lambda name, x: np.hstack([np.eye(k)[distances(x, c).argmin(1)] for k, c in centres[name].items()])
+    held = Blocks(points.rows.where(F.col("set").isin(list(centres))), points.width, points.scale)
+    n = held.folded(lambda name, ids, x: hots(name, x).sum(0), np.add)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("set", "a", "b")], batch.column("x"), batch.column("y"), strict=True):
+                x, y = scaled(name, x.values.to_numpy()), scaled(name, y.values.to_numpy())
+                d = np.sqrt(distances(x, y))
+                if a == b:
+                    np.fill_diagonal(d, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([a]), pa.array([b]), as_list(np.hstack([d @ hots(name, y), hots(name, x)]).ravel())], PAYLOAD)
+
+    def scored(name: int, payload: np.ndarray) -> np.ndarray:
+        total = n[name]
+        both = payload.reshape(-1, 2 * len(total))
+        out, at = [len(both)], 0
+        for k in ks[name]:
+            s, hot, size = both[:, at : at + k], both[:, len(total) + at : len(total) + at + k] > 0, total[at : at + k]
+            own = (hot * size).sum(1)
+            a = (s * hot).sum(1) / np.maximum(own - 1, 1)
+            b = np.where(hot | (size == 0), np.inf, s / np.maximum(size, 1)).min(1)
+            good = (own > 1) & np.isfinite(b)
+            b = np.where(good, b, 0)
+            out.append(np.where(good, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum())
+            at += k
+        return np.array(out, float)
+
+    left, right = (held.rows.select("set", F.col("block").alias(b), F.col("x").alias(x)) for b, x in (("a", "x"), ("b", "y")))
+    rows = left.join(right, "set").mapInArrow(sums, SCHEMA)
+    blocks = joined(rows, np.add, scored)  # what a point's classes are is added up too: over 0 in its own
+    found = gathered(joined(blocks.select("set", F.lit(0).cast("long").alias("part"), F.col("part").alias("block"), "payload"), np.add))
+    return points.rows.sparkSession.createDataFrame([(s, k, float(p[1 + i] / p[0])) for s, p in found.items() for i, k in enumerate(ks[s])], "set long, k int, silhouette double")
+
+
 #: Columns of the labels that discover() keeps.
-LABELS = {"fold": "int", "boot": "int", "k": "int", "cell": "int", "lon": "double", "zone": "int", "silhouette": "double"}
+LABELS = {"fold": "int", "boot": "int", "k": "int", "cell": "int", "zone": "int"}
 
 
 def zone_means(field: DataFrame, parts: DataFrame) -> DataFrame:

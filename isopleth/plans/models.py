@@ -10,7 +10,7 @@ from isopleth.functions import prob
 from isopleth.functions.scalar import clean, corr, percent, r4, signed
 from isopleth.operators import atlas, benchmarks, candidates, cube, downscale, inference, regress, rolling, search, text
 from isopleth.sources import io
-from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
+from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel, whole_cents
 from isopleth.streaming import issuance
 
 from .base import R, query
@@ -112,7 +112,7 @@ def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
     """(cell, date, v): order value in millions by market segment and day."""
     o = table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), "o_totalprice")
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("cell"))
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy("cell", "date").agg((F.sum("o_totalprice") / 1e6).alias("v"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("cell", "date").agg(whole_cents("o_totalprice").alias("v"))
 
 
 def prior_cycle(past: DataFrame, by: list[str]) -> DataFrame:

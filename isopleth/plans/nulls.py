@@ -129,12 +129,12 @@ def r31_p(spark, sf):
     return rounded(inference.permutation_p(best, ["a"], "best"), ["a"], ["observed", "p"])
 
 
-@query("r33_field_permutation", f"WITH {DONOR} SELECT replicate, cell, {R('sum(v)')} AS total FROM pw JOIN don ON pw.period = don.donor WHERE don.k <= (SELECT max(n) FROM pl) / 2 GROUP BY 1, 2", "pw")
+@query("r33_field_permutation", f"WITH {DONOR} SELECT replicate, cell, {R('sum(round(v * 1e8)::BIGINT) / 1e8')} AS total FROM pw JOIN don ON pw.period = don.donor WHERE don.k <= (SELECT max(n) FROM pl) / 2 GROUP BY 1, 2", "pw")
 def r33(spark, sf):
     m = moves(spark, sf)  # totals over the first half of the places, which the permutation fills from all of them
     half = m.agg((F.max("k") / 2).alias("half"))
     given = m.crossJoin(F.broadcast(half)).where("k <= half").select("replicate", F.col("donor").alias("period"))  # one row on the other side
-    return rounded(week_panel(spark, sf).join(given, "period").groupBy("replicate", "cell").agg(F.sum("v").alias("total")), ["replicate", "cell"], ["total"])
+    return rounded(week_panel(spark, sf).join(given, "period").groupBy("replicate", "cell").agg((F.sum(F.round(F.col("v") * 1e8).cast("long")) / 1e8).alias("total")), ["replicate", "cell"], ["total"])
 
 
 @query("r34_w9_benjamini_hochberg", f"WITH {QV} SELECT cell, {R('p')} AS p, {R('q')} AS q FROM qv", "pw")

@@ -19,12 +19,17 @@ def cells(spark: SparkSession) -> DataFrame:
     return c.withColumn("w", F.cos(F.radians("lat")))
 
 
+def whole_cents(v: str):
+    """Millions of a sum of amounts, added up as whole cents: the same in any order of the rows."""
+    return F.sum(F.round(F.col(v) * 100).cast("long")) / 1e8
+
+
 def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, year, month, v): order value in millions by customers' nation and month."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("cell"))
     rows = o.join(c, o.o_custkey == c.c_custkey)
-    return rows.groupBy("cell", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg((F.sum("o_totalprice") / 1e6).alias("v"))
+    return rows.groupBy("cell", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(whole_cents("o_totalprice").alias("v"))
 
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("cell"))
     week = F.floor(F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) / 7).cast("int")
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy("cell", week.alias("period")).agg((F.sum("o_totalprice") / 1e6).alias("v"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("cell", week.alias("period")).agg(whole_cents("o_totalprice").alias("v"))
 
 
 def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +49,8 @@ def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL of the same panels, as common table expressions.
 CELLS_SQL = "dim AS (SELECT cell, 2.5e0 * (cell - 12) AS lat, 14.4e0 * cell AS lon, cos(radians(2.5e0 * (cell - 12))) AS w FROM (SELECT unnest(range(0, 25))::INT AS cell))"
-MONTH_SQL = "pm AS (SELECT c_nationkey::INT AS cell, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, sum(o_totalprice) / 1e6 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"
-WEEK_SQL = "pw AS (SELECT c_nationkey::INT AS cell, floor(date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 7)::INT AS period, sum(o_totalprice) / 1e6 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+MONTH_SQL = "pm AS (SELECT c_nationkey::INT AS cell, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, sum(round(o_totalprice * 100)::BIGINT) / 1e8 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"
+WEEK_SQL = "pw AS (SELECT c_nationkey::INT AS cell, floor(date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 7)::INT AS period, sum(round(o_totalprice * 100)::BIGINT) / 1e8 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 DAY_SQL = "pd AS (SELECT event_type AS cell, (user_id % 10)::INT AS member, (date_diff('day', DATE '2024-01-01', ts::DATE) + 1)::INT AS day, avg(value) AS v FROM events GROUP BY 1, 2, 3)"
 
 
