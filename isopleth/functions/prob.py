@@ -95,6 +95,20 @@ def t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
+def t_two_sided(t: Column, df: Column) -> Column:
+    """The two-sided p of Student's t for whole degrees of freedom, from the finite sum of its distribution; null below one degree."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    c2, odd = F.pow(F.cos(angle), F.lit(2)), F.pmod(df, F.lit(2)) == 1
+    terms = F.greatest(F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2), F.lit(0)).cast("int")
+    steps = F.slice(F.sequence(F.lit(1), terms + 1), F.lit(1), terms)
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1.0)).otherwise((2 * j - 1) / (2.0 * j))
+    first = F.when(odd, F.cos(angle)).otherwise(F.lit(1.0))
+    pair = F.array(first, first)  # the last term and the sum
+    total = F.aggregate(steps, pair, lambda made, j: F.array(made[0] * c2 * ratio(j), made[1] + made[0] * c2 * ratio(j)))[1]
+    inside = F.when(df == 1, 2 * angle / F.pi()).when(odd, 2 / F.pi() * (angle + F.sin(angle) * total)).otherwise(F.sin(angle) * total)
+    return F.when(df >= 1, F.greatest(1 - inside, F.lit(0.0)))
+
+
 def t_cdf(t: float, df: float) -> float:
     """Distribution function of Student's t, by the incomplete beta's continued fraction."""
     x = df / (df + t * t)

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isopleth.functions.prob import rps, tercile, with_terciles
+from isopleth.functions.prob import rps, t_two_sided, tercile, with_terciles
 from isopleth.functions.scalar import corr, with_stats
 
-from .inference import bootstrap_gap, williams
-from .regress import loyo_skill, split_fit
+from .inference import gap_interval, williams
+from .regress import loyo, loyo_skill, split_fit
 
 
 def fixed_mean(rows: DataFrame) -> DataFrame:
@@ -68,14 +68,33 @@ def zones_against_bands(scores: DataFrame, sizes: DataFrame, least: int, share:
     return scores.join(ok, ["kind", "unit"], "left_semi").groupBy("kind", "unit").agg(F.max(F.abs("r")).alias("best"))
 
 
-def persistence_sensitivity(rows: DataFrame, draws: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, days, model_r, anchor_r, gain, t, p_not_better): model against persistence of several lengths. rows: (by, days, place, model, anchor, y)."""
+def persistence_sensitivity(rows: DataFrame, draws: DataFrame, by: list[str], level: float = 0.8) -> DataFrame:
+    """(by, days, model_r, model_rmse, persist_r, gain, t, p, lo, hi, n): a model against persistence over several lengths, all by left-out predictions.
+
+    rows: (by, days, place, model, anchor, y). The correlations, the test of their difference (Williams, n - 3 degrees,
+    two-sided) and the interval of the gain on shared draws belong to one statistic: predictions that leave their own
+    place out. A length whose anchor is missing at a place does without it; under five places there is no p.
+    """
     keys = [*by, "days"]
-    a = loyo_skill(rows.select(*keys, F.col("model").alias("x"), "y"), keys).select(*keys, F.col("loo_r").alias("model_r"))
-    b = loyo_skill(rows.select(*keys, F.col("anchor").alias("x"), "y"), keys).select(*keys, F.col("loo_r").alias("anchor_r"))
-    t = williams(rows.groupBy(*keys).agg(corr("model", "y").alias("r1"), corr("anchor", "y").alias("r2"), corr("model", "anchor").alias("r12"), F.count("*").alias("n"))).select(*keys, "t")
-    g = bootstrap_gap(rows.select(*keys, "place", F.col("model").alias("x1"), F.col("anchor").alias("x2"), "y"), draws, keys).select(*keys, "p_not_better")
-    return a.join(b, keys).join(t, keys).join(g, keys).withColumn("gain", F.col("model_r") - F.col("anchor_r"))
+    base = rows.groupBy(*by, "place").agg(F.first("model").alias("x"), F.first("y").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    model = loyo(base, by).select(*by, "place", F.col("loo").alias("m"))
+    skill = loyo_skill(base, by).select(*by, F.col("loo_r").alias("model_r"), F.col("loo_rmse").alias("model_rmse"))
+    anchored = rows.where("anchor IS NOT NULL AND y IS NOT NULL").select(*keys, "place", F.col("anchor").alias("x"), "y")
+    both = loyo(anchored, keys).select(*keys, "place", "y", F.col("loo").alias("p")).join(model, [*by, "place"])
+    found = both.groupBy(*keys).agg(corr("m", "p").alias("r12"), F.count(F.col("m") + F.col("p")).alias("n"))
+    found = found.join(loyo_skill(anchored, keys).select(*keys, F.col("loo_r").alias("r2")), keys).join(skill, by).withColumn("r1", F.col("model_r"))
+    tested = williams(found).withColumn("p", F.when(F.col("t").isNotNull(), t_two_sided(F.col("t"), F.col("n") - 3)))
+    interval = gap_interval(both.select(*keys, "place", F.col("m").alias("x1"), F.col("p").alias("x2"), "y"), draws, keys, level)
+    out = tested.join(interval, keys, "left")
+    return out.select(*keys, "model_r", "model_rmse", F.col("r2").alias("persist_r"), (F.col("model_r") - F.col("r2")).alias("gain"), "t", "p", "lo", "hi", "n")
+
+
+def persistence_table(rows: DataFrame, draws: DataFrame, by: list[str], days: tuple[int, ...] = (7, 14, 30), level: float = 0.8) -> DataFrame:
+    """persistence_sensitivity() with a row a group: (by, model_r, model_rmse, and persist{d}_r, gain{d}, p{d}, gain{d}_lo, gain{d}_hi of each length)."""
+    long = persistence_sensitivity(rows, draws, by, level)
+    of = lambda d, c, name: F.max(F.when(F.col("days") == d, F.col(c))).alias(name)
+    wide = [of(d, c, n) for d in days for c, n in (("persist_r", f"persist{d}_r"), ("gain", f"gain{d}"), ("p", f"p{d}"), ("lo", f"gain{d}_lo"), ("hi", f"gain{d}_hi"))]
+    return long.groupBy(*by).agg(F.max("model_r").alias("model_r"), F.max("model_rmse").alias("model_rmse"), *wide)
 
 
 def expert_overlap(parts: DataFrame, experts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +87,12 @@ def bilinear(grid: DataFrame, points: DataFrame) -> DataFrame:
     return got.agg(F.when(F.count_if(F.col("v").isNull()) == 0, F.sum(F.col("w") * F.col("v"))).alias("v"))
 
 
-def doy_climatology(daily: DataFrame, width: int = 31, days: int = 366) -> DataFrame:
-    """(cell, doy, clim): day-of-year means (cell, doy, v) smoothed by a centred window that wraps round the year."""
-    mean = daily.groupBy("cell", "doy").agg(F.avg("v").alias("v"))
-    three = mean.select("cell", "doy", "v", F.explode(F.array(F.lit(-days), F.lit(0), F.lit(days))).alias("shift")).withColumn("at", F.col("doy") + F.col("shift"))
-    w = Window.partitionBy("cell").orderBy("at").rangeBetween(-(width // 2), width // 2)
-    return three.withColumn("clim", F.avg("v").over(w)).where("shift = 0").select("cell", "doy", "clim")
+def doy_climatology(daily: DataFrame, width: int = 31, days: int = 366, by: Sequence[str] = ("cell",)) -> DataFrame:
+    """(by, doy, clim): day-of-year means (by, doy, v) smoothed by a centred window that wraps round the year."""
+    mean = daily.groupBy(*by, "doy").agg(F.avg("v").alias("v"))
+    three = mean.select(*by, "doy", "v", F.explode(F.array(F.lit(-days), F.lit(0), F.lit(days))).alias("shift")).withColumn("at", F.col("doy") + F.col("shift"))
+    w = Window.partitionBy(*by).orderBy("at").rangeBetween(-(width // 2), width // 2)
+    return three.withColumn("clim", F.avg("v").over(w)).where("shift = 0").select(*by, "doy", "clim")
 
 
 def bimodality(clim: DataFrame) -> DataFrame:

@@ -184,7 +184,12 @@ def bootstrap_gain(rows: DataFrame, draws: DataFrame, by: list[str], level: floa
     ok = rows.where(F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("y").isNotNull())
     one = loyo(ok.withColumnRenamed("x1", "x"), by).select(*by, "place", "x2", "y", F.col("loo").alias("x1"))
     two = loyo(one.withColumnRenamed("x2", "x"), by).select(*by, "place", "x1", "y", F.col("loo").alias("x2"))
-    out = _gaps(two, draws, by).groupBy(*by)
+    return gap_interval(two, draws, by, level)
+
+
+def gap_interval(rows: DataFrame, draws: DataFrame, by: list[str], level: float = 0.8) -> DataFrame:
+    """(by, lo, hi, n_ok): interval of the correlation of x1 with y less that of x2, on shared draws."""
+    out = _gaps(rows, draws, by).groupBy(*by)
     return out.agg(F.percentile("g", (1 - level) / 2).alias("lo"), F.percentile("g", (1 + level) / 2).alias("hi"), F.count("g").alias("n_ok"))
 
 

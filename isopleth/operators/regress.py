@@ -269,18 +269,22 @@ def arima(rows: DataFrame, by: list[str], horizon: int, least: int = 100) -> Dat
     return rows.groupBy(*by).applyInPandas(fit, f"{keys}, lead int, forecast double, phi double, theta double, sigma double, converged boolean")
 
 
-def arima_windows(daily: DataFrame, inits: DataFrame, windows: DataFrame, by: list[str], cycle: Callable[[DataFrame, list[str]], DataFrame], least: int = 400, least_cycle: int = 3 * 365) -> DataFrame:
+def arima_windows(daily: DataFrame, inits: DataFrame, windows: DataFrame, by: list[str], cycle: Callable[[DataFrame, list[str]], DataFrame], least: int = 400, least_cycle: int = 3 * 365, prior_only: bool = True) -> DataFrame:
     """(by, init, window, pred, n, converged): statistical forecasts of lead windows from the observed series alone, day 1 being the init itself.
 
     daily: (by, date, v); inits: (init), a few dates; windows: (window, first_day, last_day). Each init sees only the days
-    before it: its cycle (by, init, doy, clim), made by ``cycle`` from rows (by, init, date, doy, v) and put back on the
-    forecast, and its fit, of the anomalies. Inits with fewer days than the two bars are left out.
+    before it: its fit, of the anomalies, and its cycle (by, init, doy, clim), made by ``cycle`` from rows (by, init, date,
+    doy, v) and put back on the forecast. With ``prior_only`` off the cycle is that of the whole record, which forecasts
+    of past inits must not know. Inits with fewer days than the two bars are left out: arima_report() counts them.
     """
     keys = [*by, "init"]
     past = daily.join(F.broadcast(inits), F.col("date") < F.col("init")).withColumn("doy", F.dayofyear("date"))  # a few dates
-    enough = past.where("v IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max(least, least_cycle))
+    enough = past.where("v IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= (max(least, least_cycle) if prior_only else least))
     past = past.join(enough.select(*keys), keys, "left_semi")
-    clim = cycle(past, keys)
+    if prior_only:
+        clim = cycle(past, keys)
+    else:
+        clim = cycle(daily.withColumn("doy", F.dayofyear("date")), by).join(enough.select(*keys), by)
     anomalies = past.join(clim, [*keys, "doy"]).select(*keys, F.datediff("date", F.lit("1970-01-01")).alias("t"), (F.col("v") - F.col("clim")).alias("v"))
     last = windows.agg(F.max("last_day")).first()[0]
     days = arima(anomalies, keys, last, least).withColumn("doy", F.dayofyear(F.date_add("init", F.col("lead") - 1)))
@@ -290,6 +294,48 @@ def arima_windows(daily: DataFrame, inits: DataFrame, windows: DataFrame, by: li
     return out.join(enough, keys).select(*keys, "window", "pred", "n", "converged")
 
 
+def arima_report(daily: DataFrame, inits: DataFrame, pred: DataFrame, obs: DataFrame, by: list[str], least: int = 400, least_cycle: int = 3 * 365, prior_only: bool = True) -> DataFrame:
+    """(by, init, status, converged): what became of each init of each series: scored, unobserved (no whole window), or why it was skipped.
+
+    pred: of arima_windows(); obs: (by, init, window, obs).
+    """
+    keys = [*by, "init"]
+    asked = daily.select(*by).distinct().crossJoin(F.broadcast(inits))  # a few dates
+    past = daily.where("v IS NOT NULL").join(F.broadcast(inits), F.col("date") < F.col("init")).groupBy(*keys).agg(F.count("*").alias("n"))
+    met = pred.join(obs, [*keys, "window"]).where("obs IS NOT NULL").select(*keys).distinct().withColumn("met", F.lit(True))
+    fits = pred.groupBy(*keys).agg(F.bool_and("converged").alias("converged"))
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(F.col("met"), "scored").when(n < least, "short series").when(F.lit(prior_only) & (n < least_cycle), "short cycle").when(F.col("converged").isNull(), "no forecast").otherwise("unobserved")
+    return asked.join(past, keys, "left").join(fits, keys, "left").join(met, keys, "left").select(*keys, status.alias("status"), "converged")
+
+
+def arima_against_model(pred: DataFrame, obs: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
+    """(by, window, n, model_r, model_rmse, arima_r, arima_rmse, rmse_diff): both methods scored on the inits that both have.
+
+    model: (by, window, init, x, y), all inits of the standing calibration: its fit leaves one init out of all of them, as in the
+    forecast, but only the common ones are scored. pred and obs: as for arima_report().
+    """
+    keys = [*by, "window"]
+    scored = pred.join(obs, [*keys, "init"]).where("pred IS NOT NULL AND obs IS NOT NULL").select(*keys, "init", "pred", "obs")
+    left = loyo(model.where("x IS NOT NULL AND y IS NOT NULL"), keys).select(*keys, "init", F.col("loo").alias("m"), "y")
+    rmse = lambda a, b: F.sqrt(F.avg(F.pow(F.col(a) - F.col(b), F.lit(2))))
+    out = scored.join(left, [*keys, "init"]).groupBy(*keys).agg(F.count("*").alias("n"), corr("m", "y").alias("model_r"), rmse("m", "y").alias("model_rmse"), corr("pred", "obs").alias("arima_r"), rmse("pred", "obs").alias("arima_rmse"))
+    return out.withColumn("rmse_diff", F.col("arima_rmse") - F.col("model_rmse"))
+
+
+def arima_dipole(pred: DataFrame, obs: DataFrame, west: str, east: str, by: str = "cell") -> DataFrame:
+    """(init, window, west, east, dipole): forecasts as departures from the mean of the same calendar window of the other inits' years, and the difference of two series.
+
+    The cycle that arima_windows() puts back is smoothed over days; the tables' anomalies are against the window's own mean,
+    so both poles are put on that baseline before they are subtracted.
+    """
+    clim = obs.where("obs IS NOT NULL").groupBy(by, "window").agg(F.avg("obs").alias("clim"))
+    rows = pred.join(clim, [by, "window"]).select(by, "init", "window", (F.col("pred") - F.col("clim")).alias("a"))
+    w, e = (F.max(F.when(F.col(by) == pole, F.col("a"))) for pole in (west, east))
+    out = rows.where(F.col(by).isin(west, east)).groupBy("init", "window").agg(w.alias("west"), e.alias("east"))
+    return out.where("west IS NOT NULL AND east IS NOT NULL").withColumn("dipole", F.col("west") - F.col("east"))
+
+
 def window_skill(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, r, rmse, bias, n) of pred against obs."""
     e = F.col("pred") - F.col("obs")

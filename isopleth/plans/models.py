@@ -117,9 +117,7 @@ def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def prior_cycle(past: DataFrame, by: list[str]) -> DataFrame:
     """The smoothed day-of-year cycle of each key's own past."""
-    keyed = past.withColumn("cell", F.concat_ws("|", *[F.col(k).cast("string") for k in by]))
-    clim = cube.doy_climatology(keyed.select("cell", "doy", "v")).join(keyed.select("cell", *[F.col(k) for k in by if k != "cell"]).distinct(), "cell")
-    return clim.select(*[F.substring_index("cell", "|", 1).alias("cell") if k == "cell" else F.col(k) for k in by], "doy", "clim")
+    return cube.doy_climatology(past.select(*by, "doy", "v"), by=by)
 
 
 def issues(spark: SparkSession) -> DataFrame:
@@ -132,15 +130,45 @@ def r40(spark, sf):
     return rounded(regress.arima_windows(daily_orders(spark, sf), issues(spark), cal.lead_windows(spark), ["cell"], prior_cycle), ["cell", "init", "window", "n", "converged"], ["pred"]).withColumn("init", F.col("init").cast("string"))
 
 
-@query("r41_arima_skill")
-def r41(spark, sf):
-    """Forecasts of whole windows against what came; windows with a missing day are refused."""
+def arima_tables(spark: SparkSession, sf: str, prior_only: bool = True):
+    """(daily, pred, obs): the daily series, forecasts of whole windows and what came; windows with a missing day are refused."""
     d = io.written(daily_orders(spark, sf), "daily")
-    pred = regress.arima_windows(d, issues(spark), cal.lead_windows(spark), ["cell"], prior_cycle)
+    pred = io.written(regress.arima_windows(d, issues(spark), cal.lead_windows(spark), ["cell"], prior_cycle, prior_only=prior_only), "arima")
     after = d.join(F.broadcast(issues(spark)), F.col("date").between(F.col("init"), F.date_add("init", 40)))  # a few dates
     days = after.select("cell", "init", (F.datediff("date", "init") + 1).alias("day"), "v")
-    obs = rolling.lead_window_mean(days, cal.lead_windows(spark), ["cell", "init"]).withColumnRenamed("v", "obs")
-    return rounded(regress.window_skill(pred.join(obs, ["cell", "init", "window"]), ["window"]), ["window", "n"], ["r", "rmse", "bias"])
+    return d, pred, rolling.lead_window_mean(days, cal.lead_windows(spark), ["cell", "init"]).withColumnRenamed("v", "obs")
+
+
+@query("r41_arima_skill")
+def r41(spark, sf):
+    """Skill with the cycle of each init's past, and with that of the whole record."""
+    out = None
+    for prior in (True, False):
+        _, pred, obs = arima_tables(spark, sf, prior)
+        rows = rounded(regress.window_skill(pred.join(obs, ["cell", "init", "window"]), ["window"]), ["window", "n"], ["r", "rmse", "bias"]).withColumn("prior_only", F.lit(prior))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("r41_arima_report")
+def r41_report(spark, sf):
+    d, pred, obs = arima_tables(spark, sf)
+    return regress.arima_report(d, issues(spark), pred, obs, ["cell"]).withColumn("init", F.col("init").cast("string"))
+
+
+@query("r41_arima_against_model")
+def r41_against(spark, sf):
+    """ARMA against the regression on the mean of the thirty days before the init, on the same inits."""
+    d, pred, obs = arima_tables(spark, sf)
+    before = d.join(F.broadcast(issues(spark)), F.col("date").between(F.date_add("init", -30), F.date_add("init", -1))).groupBy("cell", "init").agg(F.avg("v").alias("x"))  # a few dates
+    model = obs.join(before, ["cell", "init"]).select("cell", "window", "init", "x", F.col("obs").alias("y"))
+    return rounded(regress.arima_against_model(pred, obs, model, ["cell"]), ["cell", "window", "n"], ["model_r", "model_rmse", "arima_r", "arima_rmse", "rmse_diff"])
+
+
+@query("r41_arima_dipole")
+def r41_dipole(spark, sf):
+    _, pred, obs = arima_tables(spark, sf)
+    return rounded(regress.arima_dipole(pred, obs, "BUILDING", "MACHINERY").withColumn("init", F.col("init").cast("string")), ["init", "window"], ["west", "east", "dipole"])
 
 
 @query("r43_persistence_sensitivity")
@@ -150,7 +178,8 @@ def r43(spark, sf):
     parts = [rolling.running_mean(w, ["cell"], "period", d).select("cell", F.lit(d).alias("days"), (F.col("period") + 1).alias("period"), F.col("mean").alias("anchor")) for d in (7, 14, 30)]
     anchors = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = w.withColumnRenamed("v", "y").join(model, ["cell", "period"]).join(anchors, ["cell", "period"]).withColumnRenamed("period", "place")
-    return rounded(benchmarks.persistence_sensitivity(rows, inference.resamples(places(spark, sf), 40), ["cell"]), ["cell", "days"], ["model_r", "anchor_r", "gain", "t", "p_not_better"])
+    out = benchmarks.persistence_table(rows, inference.resamples(places(spark, sf), 40), ["cell"])
+    return rounded(out, ["cell"], [c for c in out.columns if c != "cell"])
 
 
 @query("a13_doy_climatology", f"""WITH m AS (SELECT cell, day AS doy, avg(v) AS v FROM pd GROUP BY 1, 2), e AS (SELECT cell, doy, doy + s AS pos, s, v FROM m, (SELECT unnest([-366, 0, 366]) AS s)),

@@ -136,18 +136,62 @@ def test_candidates(spark, tmp_path):
     assert len(got) == 4 and all(r.p == pytest.approx([0.2, 0.3, 0.5]) for r in got)
 
 
-def test_persistence_sensitivity_equals_its_parts(spark):
+def test_persistence_is_tested_by_left_out_predictions(spark):
+    """Skill, test and interval of each length, from refits without the year, as the definition says."""
     rng = np.random.default_rng(5)
-    n = 30
+    n, days = 30, (7, 14, 30)
     y = rng.normal(size=n)
-    model, anchor = y + rng.normal(size=n), 0.5 * y + rng.normal(size=n)
-    rows = spark.createDataFrame([(0, 7, k, float(model[k]), float(anchor[k]), float(y[k])) for k in range(n)], "cell int, days int, place int, model double, anchor double, y double")
-    draws = inference.resamples(rows.select("place"), 50)
-    r = benchmarks.persistence_sensitivity(rows, draws, ["cell"]).first()
-    left = lambda x: np.corrcoef(y, [np.polyval(np.polyfit(np.delete(x, i), np.delete(y, i), 1), x[i]) for i in range(n)])[0, 1]
-    assert (r.model_r, r.anchor_r) == pytest.approx((left(model), left(anchor)))
-    gains = [np.corrcoef(model[k], y[k])[0, 1] - np.corrcoef(anchor[k], y[k])[0, 1] for k in (g["place"].to_numpy() for _, g in draws.toPandas().groupby("rep"))]
-    assert r.p_not_better == pytest.approx(np.mean(np.array(gains) <= 0))
+    model = y + rng.normal(size=n)
+    anchors = {d: 0.5 * y + rng.normal(size=n) for d in days}
+    rows = spark.createDataFrame([(0, d, k, float(model[k]), float(anchors[d][k]), float(y[k])) for d in days for k in range(n)], "cell int, days int, place int, model double, anchor double, y double")
+    draws = inference.resamples(rows.select("place").distinct(), 50)
+    r = benchmarks.persistence_table(rows, draws, ["cell"]).first()
+    left = lambda x: np.array([np.polyval(np.polyfit(np.delete(x, i), np.delete(y, i), 1), x[i]) for i in range(n)])
+    pm = left(model)
+    rm = np.corrcoef(pm, y)[0, 1]
+    assert (r.model_r, r.model_rmse) == pytest.approx((rm, np.sqrt(np.mean((pm - y) ** 2))))
+    for d in days:
+        pp = left(anchors[d])
+        rp, rmp = np.corrcoef(pp, y)[0, 1], np.corrcoef(pm, pp)[0, 1]
+        det = np.linalg.det(np.array([[1, rm, rp], [rm, 1, rmp], [rp, rmp, 1]]))
+        t = (rm - rp) * np.sqrt((n - 1) * (1 + rmp) / (2 * (n - 1) / (n - 3) * det + (rm + rp) ** 2 / 4 * (1 - rmp) ** 3))
+        gains = [np.corrcoef(pm[k], y[k])[0, 1] - np.corrcoef(pp[k], y[k])[0, 1] for k in (g["place"].to_numpy() for _, g in draws.toPandas().groupby("rep"))]
+        lo, hi = np.quantile(gains, [0.1, 0.9])
+        got = (r[f"persist{d}_r"], r[f"gain{d}"], r[f"p{d}"], r[f"gain{d}_lo"], r[f"gain{d}_hi"])
+        assert got == pytest.approx((rp, rm - rp, 2 * (1 - prob.t_cdf(abs(t), n - 3)), lo, hi))
+
+
+def test_arima_comparison_on_common_inits(spark):
+    """Skip reasons, the comparison and the dipole, from loops over made tables."""
+    rng = np.random.default_rng(11)
+    inits = [dt.date(2000 + k, 6, 1) for k in range(9)]
+    pred = {(c, i): float(rng.normal()) for c in "ab" for i in inits[3:]}
+    obs = {(c, i): float(rng.normal()) for c in "ab" for i in inits[:8]}
+    x = {(c, i): obs[c, i] + float(rng.normal()) for c, i in obs}
+    p = spark.createDataFrame([(c, i, "w", v, i.year % 2 == 0) for (c, i), v in pred.items()], "cell string, init date, window string, pred double, converged boolean")
+    o = spark.createDataFrame([(c, i, "w", v) for (c, i), v in obs.items()], "cell string, init date, window string, obs double")
+    m = spark.createDataFrame([(c, "w", i, x[c, i], obs[c, i]) for c, i in obs], "cell string, window string, init date, x double, y double")
+    for r in regress.arima_against_model(p, o, m, ["cell"]).collect():
+        own = [i for i in inits[:8]]
+        xs, ys = np.array([x[r.cell, i] for i in own]), np.array([obs[r.cell, i] for i in own])
+        left = np.array([np.polyval(np.polyfit(np.delete(xs, k), np.delete(ys, k), 1), xs[k]) for k in range(len(own))])[3:]
+        ap, ao = np.array([pred[r.cell, i] for i in own[3:]]), ys[3:]
+        want = (np.corrcoef(left, ao)[0, 1], np.sqrt(np.mean((left - ao) ** 2)), np.corrcoef(ap, ao)[0, 1], np.sqrt(np.mean((ap - ao) ** 2)))
+        assert r.n == 5 and (r.model_r, r.model_rmse, r.arima_r, r.arima_rmse) == pytest.approx(want) and r.rmse_diff == pytest.approx(want[3] - want[1])
+    clim = {c: np.mean([obs[c, i] for i in inits[:8]]) for c in "ab"}
+    got = {r.init: r.dipole for r in regress.arima_dipole(p, o, "a", "b").collect()}
+    assert got == pytest.approx({i: pred["a", i] - clim["a"] - (pred["b", i] - clim["b"]) for i in inits[3:]})
+    days = [("a", dt.date(2000, 1, 1) + dt.timedelta(k), 1.0) for k in range(1500)] + [("b", dt.date(2007, 1, 1) + dt.timedelta(k), 1.0) for k in range(900)]
+    daily = spark.createDataFrame(days, "cell string, date date, v double")
+    status = {(r.cell, r.init.year): r.status for r in regress.arima_report(daily, spark.createDataFrame([(i,) for i in inits], "init date"), p, o, ["cell"]).collect()}
+    assert status["a", 2000] == "short series" and status["a", 2002] == "short cycle" and status["a", 2005] == "scored" and status["a", 2008] == "unobserved" and status["b", 2003] == "scored"
+
+
+def test_two_sided_p_of_t(spark):
+    cases = [(t, df) for t in (-3.2, -0.4, 0.0, 0.7, 2.1, 12.0) for df in (1, 2, 3, 4, 5, 17, 100)]
+    frame = spark.createDataFrame(cases, "t double, df int")
+    for r in frame.withColumn("p", prob.t_two_sided(F.col("t"), F.col("df"))).collect():
+        assert r.p == pytest.approx(2 * (1 - prob.t_cdf(abs(r.t), r.df)), abs=1e-12)
 
 
 def test_logit_and_gridded(spark):
