@@ -1,7 +1,7 @@
 """Downscaling methods by name, left-out by year; published definitions, not verified against any hidden library.
 
 A method maps training model values x, training observations y and new model values to predictions. Per-cell methods run as one task a
-cell; canonical correlation needs whole fields and runs as one task a group of fields.
+cell; canonical correlation of whole fields is in multimodel.py, ``cca`` here is its plain form.
 """
 
 from __future__ import annotations
@@ -109,22 +109,3 @@ def cca(x: np.ndarray, y: np.ndarray, at: np.ndarray, modes: int = 3) -> np.ndar
     left, r, right = np.linalg.svd(ux[:, :kx].T @ uy[:, :ky], full_matrices=False)
     score = (at - mx) @ vx[:kx].T / sx[:kx]
     return my + (score @ left * np.clip(r, 0, 1)) @ right * sy[:ky] @ vy[:ky]
-
-
-def cca_left_out(fields: DataFrame, modes: int = 3) -> DataFrame:
-    """(g, cell, year, y, pred): a group's observed field predicted from its model field, each year without itself.
-
-    fields: (g, side 'x' or 'y', cell, year, v); cells with gaps are left out; without any left, or below eight years, there is no row.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = {s: p.pivot_table(index="year", columns="cell", values="v") for s, p in pdf.groupby("side")}
-        years = np.intersect1d(wide["x"].index, wide["y"].index)
-        x, y = (wide[s].loc[years].dropna(axis=1) for s in ("x", "y"))
-        a, b = x.to_numpy(), y.to_numpy()
-        if not a.size or not b.size or len(years) < 8:
-            return pd.DataFrame({c: [] for c in ("g", "cell", "year", "y", "pred")})
-        pred = np.array([cca(np.delete(a, i, 0), np.delete(b, i, 0), a[i : i + 1], modes)[0] for i in range(len(years))])
-        return pd.DataFrame({"g": int(pdf["g"].iloc[0]), "cell": np.tile(y.columns.to_numpy(), len(years)), "year": np.repeat(years, b.shape[1]), "y": b.ravel(), "pred": pred.ravel()})
-
-    return fields.groupBy("g").applyInPandas(one, "g int, cell int, year int, y double, pred double")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.functions import calendar as cal
 from isopleth.functions import prob
 from isopleth.functions.scalar import clean, corr, percent, r4, signed
-from isopleth.operators import atlas, benchmarks, candidates, cube, downscale, inference, regress, rolling, search, text
+from isopleth.operators import atlas, benchmarks, candidates, cube, downscale, inference, multimodel, regress, rolling, search, text
 from isopleth.sources import io
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel, whole_cents
 from isopleth.streaming import issuance
@@ -238,10 +240,23 @@ def w14(spark, sf):
 def u3b(spark, sf):
     """Odd cells from even ones, every week left out once."""
     w = year_panel(spark, sf).select(F.lit(0).alias("g"), F.when(F.col("cell") % 2 == 0, "x").otherwise("y").alias("side"), "cell", (F.col("year") * 12 + F.col("month")).cast("int").alias("year"), "v")
-    out = downscale.cca_left_out(w).groupBy("cell").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
+    out = multimodel.cca_left_out(w).groupBy("cell").agg(corr("pred", "y").alias("r"), F.count("*").alias("n"))
     return rounded(out.withColumn("r", clean(F.col("r"))), ["cell", "n"], ["r"])
 
 
+@query("u3_mme_terciles")
+def u3_mme(spark, sf):
+    """Odd cells from even ones of the same week, of the week before, and from their sums, each model by canonical correlation with every week left out once, and the mean of all."""
+    w = year_panel(spark, sf).select("cell", (F.col("year") * 12 + F.col("month")).cast("int").alias("year"), "v")
+    even, odd = w.where("cell % 2 = 0"), w.where("cell % 2 = 1")
+    before = even.withColumn("year", F.col("year") + 1)
+    both = even.unionByName(before).groupBy("cell", "year").agg(F.sum("v").alias("v"), F.count("*").alias("k")).where("k = 2").drop("k")
+    sides = [x.select(F.lit(g).alias("g"), F.lit(side).alias("side"), "cell", "year", "v") for g, m in enumerate((even, before, both)) for side, x in (("x", m), ("y", odd))]
+    preds = multimodel.cca_left_out(reduce(DataFrame.unionByName, sides))
+    table = multimodel.model_table(multimodel.tercile_forecasts(multimodel.with_model_mean(io.written(preds, "preds"))))
+    return rounded(table, ["g", "n"], ["pearson", "rmse", "rpss", "hit_rate"])
+
+
 @query("j7_cross_all", "SELECT n_name AS target, p AS priority, l::INT AS lead FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders), range(0, 5) t(l) WHERE n_regionkey >= l")
 def j7(spark, sf):
     """Nations by priorities by leads, those whose region number reaches the lead."""
