@@ -12,6 +12,7 @@ fewest tokens. At the end of a partition the rest is cut at powers of two.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import unicodedata
@@ -68,10 +69,33 @@ class _Chunks(dict):
         return out
 
 
+#: The normaliser, the splitter and the settings of the model that the memory of words stands for, as the tokenizer's file gives them.
+IMITATED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def imitated(tokenizer) -> bool:
+    """Whether a tokenizer splits words as the memory of words does and has ids of 16 bits."""
+    file = json.loads(tokenizer.to_str())
+    return all(file.get(k) == v for k, v in IMITATED.items()) and file["model"]["type"] == "BPE" and not file["model"].get("dropout") and tokenizer.get_vocab_size() <= 1 << 16
+
+
 class Encoder:
-    """The ids of the lower-casing word tokenizer, by memory of the parts between white space.
+    """The ids of any tokenizer; those of the lower-casing word tokenizer by memory of the parts between white space.
 
-    Only texts below U+0250 go that way, whose code points stand for themselves
+    A tokenizer with another normaliser or splitter, or with ids of over 16
+    bits, encodes every text itself (``imitated``). Of the others only texts below U+0250 go that way, whose code points stand for themselves
     under normalisation and stay there in lower case; the others, and texts with
     a literal special token, go through the tokenizer whole. The ids are those
     of the tokenizer as loaded, so a literal special token is its own id.
@@ -81,13 +105,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = imitated(self.tokenizer)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         high = "".join(chr(c) for c in range(0x250) if any(ord(x) >= 0x250 for x in chr(c).lower()))
         self.odd = re.compile("|".join([f"[\x1c-\x1f{high}ɐ-\U0010ffff]", *special])).search
         self.chunks = _Chunks(_Words(self.tokenizer.model))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd(text):
+        if not self.fast or self.odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.chunks) > MEMO or len(self.chunks.words) > MEMO:
             self.chunks.clear()

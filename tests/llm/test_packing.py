@@ -66,3 +66,18 @@ def test_ids_are_the_tokenizers():
     want = tok.encode_batch(texts, add_special_tokens=False)
     wrong = [t for t, w in zip(texts, want) if enc(t).tolist() != w.ids]
     assert not wrong
+
+
+def test_ids_of_another_tokenizer_are_its_own(spark):
+    """Case, white space and contractions as that tokenizer has them, in single texts and in packed pieces."""
+    path = packing.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    tok, enc = Tokenizer.from_file(path), packing.encoder(path)
+    texts = ["The quick Brown fox's 12 tests", "  two  spaces\nand\tlines ", "", "ÄÖ 中文 😂", "x" * 3000]
+    assert not enc.fast and packing.encoder(packing.default_tokenizer()).fast
+    want = {k: tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+    assert all(enc(t).tolist() == want[k] for k, t in enumerate(texts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = {}
+    for r in packing.pack(frame, tokenizer=path, keep_ids=True).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {k: [i for _, ids in sorted(p) for i in ids] for k, p in pieces.items()} == {k: [*ids, packing.END_ID] for k, ids in want.items()}
