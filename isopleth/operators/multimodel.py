@@ -68,9 +68,9 @@ def _without(s: np.ndarray, z: np.ndarray, i: int, modes: int) -> tuple[np.ndarr
     return -z[i] / (n - 1), np.sqrt(values[keep]), vectors[:, keep]
 
 
-def left_out_weights(x: np.ndarray, y: np.ndarray, i: int, modes: int) -> np.ndarray:
-    """Weights of the observed years' anomalies in the prediction of year i, from both sides' inner products of years."""
-    (sx, ux), (sy, uy) = scores(x), scores(y)
+def left_out_weights(x: tuple, y: tuple, i: int, modes: int) -> np.ndarray:
+    """Weights of the observed years' anomalies in the prediction of year i, from both sides' scores()."""
+    (sx, ux), (sy, uy) = x, y
     zx, zy = ux * sx, uy * sy
     mx, dx, wx = _without(sx, zx, i, modes)
     my, dy, wy = _without(sy, zy, i, modes)
@@ -91,7 +91,7 @@ def cca_left_out(fields: DataFrame, modes: int = 3, least: int = 8) -> DataFrame
     grams = {name: g for name, g in year_grams(packed).items() if g.size >= least * least}
     groups = sorted(name // 2 for name in grams if name % 2 == 0 and name + 1 in grams)
     spark = fields.sparkSession
-    held = spark.sparkContext.broadcast(grams)
+    held = spark.sparkContext.broadcast({name: scores(g) for name, g in grams.items()})
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
