@@ -188,15 +188,16 @@ def a26(spark, sf):
     return month_panel(spark, sf).groupingSets([keys[:1], keys], *keys).agg(r4(F.max("v")).alias("best"))
 
 
-@query("f2_f3_wrapping_box", "SELECT cell, lon FROM dim WHERE lat BETWEEN -30 AND 40 AND (((lon - 720) % 360 + 360) % 360 >= 330 OR ((lon - 720) % 360 + 360) % 360 <= 10)", "dim")
+@query("f2_f3_wrapping_box", f"SELECT cell, lon, count(*) AS n, {R('avg(v)')} AS v FROM pm JOIN dim USING (cell) WHERE lat BETWEEN -30 AND 40 AND (((lon - 720) % 360 + 360) % 360 >= 330 OR ((lon - 720) % 360 + 360) % 360 <= 10) GROUP BY cell, lon", "dim pm")
 def f2(spark, sf):
-    return cells(spark).where(in_box(F.col("lat"), lon360(F.col("lon") - 720), -30, 40, 330, 370)).select("cell", "lon")
+    rows = month_panel(spark, sf).join(cells(spark), "cell").where(in_box(F.col("lat"), lon360(F.col("lon") - 720), -30, 40, 330, 370))
+    return rows.groupBy("cell", "lon").agg(F.count("*").alias("n"), r4(F.avg("v")).alias("v"))
 
 
-@query("f6_bands", "SELECT band, cell FROM dim JOIN (VALUES ('all', -90, 90), ('north', 0, 90), ('south', -90, 0)) b(band, s, n) ON lat BETWEEN s AND n", "dim")
+@query("f6_bands", f"SELECT band, year, count(*) AS n, {R('avg(v)')} AS v FROM pm JOIN dim USING (cell) JOIN (VALUES ('all', -90, 90), ('north', 0, 90), ('south', -90, 0)) b(band, s, n) ON lat BETWEEN s AND n GROUP BY band, year", "dim pm")
 def f6(spark, sf):
     dim = spark.createDataFrame([("all", -90.0, 90.0), ("north", 0.0, 90.0), ("south", -90.0, 0.0)], "band string, lat_s double, lat_n double")
-    return cube.bands(cells(spark), dim).select("band", "cell")
+    return cube.bands(month_panel(spark, sf).join(cells(spark), "cell"), dim).groupBy("band", "year").agg(F.count("*").alias("n"), r4(F.avg("v")).alias("v"))
 
 
 @query("f8_valid_cells", "WITH c AS (SELECT cell, month, avg(v) AS clim FROM pm GROUP BY 1, 2) SELECT cell FROM c GROUP BY cell HAVING count(clim) = 12 AND sum(clim) > 1e-3", "pm")
@@ -221,27 +222,32 @@ def f17(spark, sf):
     return rolling.missing_days(day_panel(spark, sf), wider)
 
 
-@query("f18_f19_season_calendar", "SELECT m::INT AS start, l::INT AS lead, (((m - l - 1) % 12 + 12) % 12 + 1)::INT AS init, (2000 * 12 + m - 1 - (l + 1))::INT AS am FROM range(1, 13) a(m), range(0, 6) b(l)")
+@query("f18_f19_season_calendar", "SELECT DISTINCT year, month::INT AS start, l::INT AS lead, (((month - l - 1) % 12 + 12) % 12 + 1)::INT AS init, (year * 12 + month - 1 - (l + 1))::INT AS am FROM pm, range(0, 6) b(l)", "pm")
 def f18(spark, sf):
-    rows = [(m, lead, cal.init_month(m, lead)) for m in range(1, 13) for lead in range(6)]
-    out = spark.createDataFrame(rows, "start int, lead int, init int")
-    one = F.lit(0)
+    """For every month of the panel as a season's start: the month of issue at each lead, and the absolute month before which predictors end."""
+    starts = month_panel(spark, sf).select("year", F.col("month").alias("start")).distinct()
+    leads = spark.createDataFrame([(m, lead, cal.init_month(m, lead)) for m in range(1, 13) for lead in range(6)], "start int, lead int, init int")
+    out = starts.join(F.broadcast(leads), "start")  # months by leads
+    am = F.lit(0)
     for m in range(1, 13):
-        one = F.when(F.col("start") == m, cal.preseason(F.lit(2000), [m], 0) - F.col("lead")).otherwise(one)
-    return out.withColumn("am", one.cast("int"))
+        am = F.when(F.col("start") == m, cal.preseason(F.col("year"), [m], 0) - F.col("lead")).otherwise(am)
+    return out.select("year", "start", "lead", "init", am.cast("int").alias("am"))
 
 
-@query("f20_valid_dates", "SELECT y::INT AS year, (make_date(y, 2, CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END) + d::INT)::VARCHAR AS day FROM range(2019, 2026) a(y), range(7, 14) b(d)")
+@query("f20_valid_dates", "SELECT y::INT AS year, (make_date(y, 2, CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END) + d::INT)::VARCHAR AS day FROM (SELECT DISTINCT year AS y FROM pm), range(7, 14) b(d)", "pm")
 def f20(spark, sf):
-    years = spark.range(2019, 2026).select(F.col("id").cast("int").alias("year"))
+    """The second week after 29 February in every year of the panel."""
+    years = month_panel(spark, sf).select("year").distinct()
     start = years.select("year", cal.moved_to_year(F.lit("2024-02-29").cast("date"), F.col("year")).alias("init"))
     return start.select("year", F.explode(cal.valid_days(F.col("init"), F.lit(8), F.lit(14))).alias("day")).select("year", F.col("day").cast("string").alias("day"))
 
 
-@query("f21_f22_month_labels", "SELECT m::INT AS start, substr('JFMAMJJASOND', m::INT, 1) || substr('JFMAMJJASOND', (m % 12 + 1)::INT, 1) || substr('JFMAMJJASOND', ((m + 1) % 12 + 1)::INT, 1) AS label, m > (m + 1) % 12 + 1 AS wraps FROM range(1, 13) t(m)")
+@query("f21_f22_month_labels", f"SELECT m.month AS start, substr('JFMAMJJASOND', m.month, 1) || substr('JFMAMJJASOND', m.month % 12 + 1, 1) || substr('JFMAMJJASOND', (m.month + 1) % 12 + 1, 1) AS label, m.month > (m.month + 1) % 12 + 1 AS wraps, {R('avg(x.v)')} AS v FROM (SELECT DISTINCT month::INT AS month FROM pm) m JOIN pm x ON (x.month - m.month + 12) % 12 < 3 GROUP BY m.month", "pm")
 def f22(spark, sf):
-    m = spark.range(1, 13).select(F.col("id").cast("int").alias("start")).withColumn("months", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("start") - 1 + k, F.lit(12)) + 1))
-    return m.select("start", cal.month_initials(F.col("months")).alias("label"), cal.wraps_col(F.col("months")).alias("wraps"))
+    """Mean values of all three-month windows of the panel, with their labels and whether they wrap."""
+    rows = month_panel(spark, sf).select("v", F.explode(F.sequence(F.col("month") - 2, F.col("month"))).alias("m")).select("v", (F.pmod(F.col("m") - 1, F.lit(12)) + 1).alias("start"))
+    months = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("start") - 1 + k, F.lit(12)) + 1)
+    return rows.groupBy("start").agg(r4(F.avg("v")).alias("v")).select("start", cal.month_initials(months).alias("label"), cal.wraps_col(months).alias("wraps"), "v")
 
 
 @query("f23_slug", "SELECT page_id, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 80) AS slug FROM pages")
@@ -261,9 +267,10 @@ def j5(spark, sf):
     return a.join(b, ["cell", "month"], "left_anti").unionByName(b.join(a, ["cell", "month"], "left_anti"))
 
 
-@query("j7_design_tensor", "SELECT t AS target, (26 * 5 * 2)::BIGINT AS n FROM (VALUES ('a'), ('b'), ('c'), ('d')) x(t)")
+@query("j7_design_tensor", "SELECT n_name AS target, (26 * 5 * 2)::BIGINT AS n FROM nation")
 def j7(spark, sf):
-    return search.tensor(spark, ["a", "b", "c", "d"]).groupBy("target").agg(F.count_distinct("key").alias("n"))
+    names = [r[0] for r in table(spark, sf, "nation").select("n_name").collect()]  # a small dimension
+    return search.tensor(spark, names).groupBy("target").agg(F.count_distinct("key").alias("n"))
 
 
 @query("j11_l7_pool_models", f"WITH q AS (SELECT cell FROM pd GROUP BY cell HAVING count(DISTINCT day) >= 20) SELECT cell AS model, member, {R('avg(v)')} AS v FROM pd WHERE cell IN (SELECT cell FROM q) GROUP BY 1, 2", "pd")
@@ -312,15 +319,17 @@ def w1b(spark, sf):
     return cube.zscore(week_panel(spark, sf), ["cell"], train=F.col("period") < 200).select("cell", "period", r4(F.col("z")).alias("z"))
 
 
-@query("w12_centroid_order", "SELECT g, (dense_rank() OVER (ORDER BY m) - 1)::INT AS zone FROM (SELECT cell % 4 AS g, avg(-lon) AS m FROM dim GROUP BY 1)", "dim")
+@query("w12_centroid_order", f"SELECT g, {R('m')} AS m, (dense_rank() OVER (ORDER BY m) - 1)::INT AS zone FROM (SELECT month % 4 AS g, sum(-lon * v) / sum(v) AS m FROM pm JOIN dim USING (cell) GROUP BY 1)", "dim pm")
 def w12(spark, sf):
-    m = cells(spark).groupBy((F.col("cell") % 4).alias("g")).agg(F.avg(-F.col("lon")).alias("m"))
-    return m.select("g", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).cast("int").alias("zone"))
+    """Groups of months in the order of the centroid of their values."""
+    m = month_panel(spark, sf).join(cells(spark), "cell").groupBy((F.col("month") % 4).alias("g")).agg((F.sum(-F.col("lon") * F.col("v")) / F.sum("v")).alias("m"))
+    return m.select("g", r4(F.col("m")).alias("m"), (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1).cast("int").alias("zone"))
 
 
-@query("m1_m9_cell_geometry", f"SELECT cell, {R('cos(radians(lat))')} AS w, {R('111.32e0 * cos(radians(lat)) * 0.5e0')} AS km FROM dim", "dim")
+@query("m1_m9_cell_geometry", f"SELECT cell, {R('cos(radians(lat))')} AS w, {R('111.32e0 * cos(radians(lat)) * 0.5e0')} AS km, {R('avg(v) * cos(radians(lat))')} AS wv FROM pm JOIN dim USING (cell) GROUP BY cell, lat", "dim pm")
 def m1(spark, sf):
-    return cells(spark).select("cell", r4(area_weight(F.col("lat"))).alias("w"), r4(km_per_degree(F.col("lat"), 0.5)).alias("km"))
+    means = month_panel(spark, sf).groupBy("cell").agg(F.avg("v").alias("v")).join(cells(spark), "cell")
+    return means.select("cell", r4(area_weight(F.col("lat"))).alias("w"), r4(km_per_degree(F.col("lat"), 0.5)).alias("km"), r4(F.col("v") * area_weight(F.col("lat"))).alias("wv"))
 
 
 @query("m6_m8_index_composition", f"""WITH z AS (SELECT cell, period, (v - avg(v) OVER (PARTITION BY cell)) / nullif(stddev_pop(v) OVER (PARTITION BY cell), 0) AS z FROM pw WHERE cell < 4),
