@@ -134,10 +134,10 @@ def a5(spark, sf):
     return cube.calendar_totals(month_panel(spark, sf), [10, 11, 12], ["cell"]).select("cell", "year", r4(F.col("total")).alias("total"))
 
 
-@query("a6_j9_preseason_mean", f"""WITH s AS (SELECT unnest(range(1995, 2003))::INT AS season_year), k AS (SELECT season_year, (season_year - 1) * 12 + 11 - 1 - g AS am FROM s, (SELECT unnest(range(0, 3))::INT AS g))
+@query("a6_j9_preseason_mean", f"""WITH s AS (SELECT DISTINCT year AS season_year FROM pm), k AS (SELECT season_year, (season_year - 1) * 12 + 11 - 1 - g AS am FROM s, (SELECT unnest(range(0, 3))::INT AS g))
 SELECT cell, season_year, CASE WHEN count(v) = 3 THEN {R('avg(v)')} END AS x FROM pm JOIN k ON pm.year * 12 + pm.month - 1 = k.am GROUP BY cell, season_year""", "pm")
 def a6(spark, sf):
-    years = spark.range(1995, 2003).select(F.col("id").cast("int").alias("season_year"))
+    years = month_panel(spark, sf).select(F.col("year").alias("season_year")).distinct()
     return cube.preseason_mean(month_panel(spark, sf), years, [12, 1, 2], 0, 3, ["cell"]).select("cell", "season_year", r4(F.col("x")).alias("x"))
 
 
@@ -159,10 +159,10 @@ def a12(spark, sf):
     return rolling.anchor(day_panel(spark, sf), 20, 7, ["cell"]).select("cell", r4(F.col("anchor")).alias("anchor"))
 
 
-@query("a18_pivot_leads", "SELECT o_orderstatus AS s, max(CASE WHEN month(o_orderdate) = 1 THEN o_totalprice END) AS lead1, max(CASE WHEN month(o_orderdate) = 2 THEN o_totalprice END) AS lead2 FROM orders GROUP BY 1")
+@query("a18_pivot_leads", "SELECT o_orderstatus AS s, " + ", ".join(f"max(CASE WHEN month(o_orderdate) = {m} THEN o_totalprice END) AS lead{m}" for m in range(1, 13)) + " FROM orders GROUP BY 1")
 def a18(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("s"), F.month("o_orderdate").alias("lead"), "o_totalprice")
-    return search.leads_wide(o, "s", "o_totalprice", [1, 2])
+    return search.leads_wide(o, "s", "o_totalprice", list(range(1, 13)))
 
 
 @query("a19_conditional_probability", f"""WITH t AS (SELECT cell, period, v, quantile_cont(v, 1e0/3) OVER (PARTITION BY cell) AS q, avg(v) OVER (PARTITION BY cell) AS m FROM pw)
@@ -261,10 +261,15 @@ def f24(spark, sf):
     return cells(spark).select("cell").join(some, "cell", "left").select("cell", r4(F.col("v")).alias("v"))
 
 
-@query("j5_symmetric_difference", "(SELECT cell, month FROM pm WHERE year = 1995 EXCEPT SELECT cell, month FROM pm WHERE year = 2001) UNION ALL (SELECT cell, month FROM pm WHERE year = 2001 EXCEPT SELECT cell, month FROM pm WHERE year = 1995)", "pm")
+@query("j5_symmetric_difference", "WITH k AS (SELECT DISTINCT cell, year, month FROM pm), b AS (SELECT cell, year + 1 AS year, month FROM k), y AS (SELECT min(year) + 1 AS lo, max(year) AS hi FROM k) SELECT coalesce(k.cell, b.cell) AS cell, coalesce(k.year, b.year) AS year, coalesce(k.month, b.month) AS month FROM k FULL JOIN b USING (cell, year, month), y WHERE (k.cell IS NULL OR b.cell IS NULL) AND coalesce(k.year, b.year) BETWEEN lo AND hi", "pm")
 def j5(spark, sf):
-    a, b = (month_panel(spark, sf).where(F.col("year") == y).select("cell", "month") for y in (1995, 2001))
-    return a.join(b, ["cell", "month"], "left_anti").unionByName(b.join(a, ["cell", "month"], "left_anti"))
+    """Months of a cell that a year has and the year before has not, or the other way round."""
+    keys = ["cell", "year", "month"]
+    now = month_panel(spark, sf).select(*keys)
+    before = now.withColumn("year", F.col("year") + 1)
+    span = now.agg((F.min("year") + 1).alias("lo"), F.max("year").alias("hi"))
+    both = now.join(before, keys, "left_anti").unionByName(before.join(now, keys, "left_anti"))
+    return both.crossJoin(F.broadcast(span)).where("year BETWEEN lo AND hi").select(*keys)  # one row on the other side
 
 
 @query("j7_design_tensor", "SELECT n_name AS target, (26 * 5 * 2)::BIGINT AS n FROM nation")

@@ -307,11 +307,11 @@ def k4(spark, sf):
     return rows.select(io.cell_number(F.col("cells"), 0).cast("int").alias("k"), F.get("cells", F.lit(1)).alias("name"))
 
 
-@query("k6_field_guards", f"SELECT cell, {R('sum(v)')} AS v FROM pm WHERE year BETWEEN 1996 AND 1997 GROUP BY cell", "pm")
+@query("k6_field_guards", f"SELECT cell, {R('sum(v)')} AS v FROM pm WHERE year BETWEEN 1995 AND 2000 GROUP BY cell", "pm")
 def k6(spark, sf):
-    """A field that covers its boxes, has all months of its years and enough finite values; else the job fails."""
-    f = month_panel(spark, sf).where("year BETWEEN 1996 AND 1997").join(F.broadcast(cells(spark)), "cell")
-    held = io.exact_months(io.covering(io.guarded(f, "v", 0.3), {"north": (0, 30, 0, 360), "south": (-30, 0, 0, 360)}), 1996, 1997)
+    """A field that covers its boxes, has all months of the record's whole years and enough finite values; else the job fails."""
+    f = month_panel(spark, sf).where("year BETWEEN 1995 AND 2000").join(F.broadcast(cells(spark)), "cell")
+    held = io.exact_months(io.covering(io.guarded(f, "v", 0.3), {"north": (0, 30, 0, 360), "south": (-30, 0, 0, 360)}), 1995, 2000)
     return rounded(held.groupBy("cell").agg(F.sum("v").alias("v")), ["cell"], ["v"])
 
 

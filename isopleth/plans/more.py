@@ -45,9 +45,9 @@ def f14(spark, sf):
     return z.groupBy("cell").agg(F.count_if(F.col("z") < -0.5).alias("cold"), F.count_if(F.col("v") > F.col("q")).alias("strong"), F.when(joint >= 3, joint).alias("joint"))
 
 
-@query("a7_preseason_field", f"SELECT cell, year AS season_year, {R('avg(v)')} AS x FROM pm WHERE month IN (7, 8, 9) AND year BETWEEN 1995 AND 2001 GROUP BY 1, 2", "pm")
+@query("a7_preseason_field", f"SELECT cell, year AS season_year, {R('avg(v)')} AS x FROM pm WHERE month IN (7, 8, 9) GROUP BY 1, 2", "pm")
 def a7(spark, sf):
-    years = spark.range(1995, 2002).select(F.col("id").cast("int").alias("season_year"))
+    years = month_panel(spark, sf).select(F.col("year").alias("season_year")).distinct()
     return rounded(cube.preseason_mean(month_panel(spark, sf), years, [10, 11, 12], 0, 3, ["cell"], strict=False), ["cell", "season_year"], ["x"])
 
 
@@ -117,11 +117,13 @@ def r24(spark, sf):
     return q.groupBy("cell").agg(r4(corr((F.col("y") < F.col("q")).cast("double"), F.col("x"))).alias("r"))
 
 
-@query("g16_expert_overlap", f"WITH p AS (SELECT cell, cell // 9 AS zone, CASE WHEN lat < 0 THEN 's' ELSE 'n' END AS region FROM dim) SELECT zone, region, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.zone = p.zone)')} AS of_zone, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.region = p.region)')} AS of_region FROM p GROUP BY zone, region", "dim")
+@query("g16_expert_overlap", f"WITH p AS (SELECT cell, ((month - 1) // 3)::INT AS zone, CASE WHEN lat < 0 THEN 's' ELSE 'n' END AS region FROM (SELECT cell, month, sum(v) AS v FROM pm GROUP BY 1, 2) JOIN dim USING (cell) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY v DESC, month) = 1) SELECT zone, region, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.zone = p.zone)')} AS of_zone, {R('count(*)::DOUBLE / (SELECT count(*) FROM p a WHERE a.region = p.region)')} AS of_region FROM p GROUP BY zone, region", "dim pm")
 def g16(spark, sf):
-    c = cells(spark)
-    parts = c.select("cell", F.floor(F.col("cell") / 9).cast("int").alias("zone"))
-    return rounded(benchmarks.expert_overlap(parts, c.select("cell", F.when(F.col("lat") < 0, "s").otherwise("n").alias("region"))), ["zone", "region"], ["of_zone", "of_region"])
+    """Zones are the quarters of the cells' largest months, regions the hemispheres."""
+    month = month_panel(spark, sf).groupBy("cell", "month").agg(F.sum("v").alias("v"))
+    parts = month.groupBy("cell").agg(F.floor((F.max_by("month", F.struct("v", -F.col("month"))) - 1) / 3).cast("int").alias("zone"))
+    regions = cells(spark).join(parts, "cell", "left_semi").select("cell", F.when(F.col("lat") < 0, "s").otherwise("n").alias("region"))
+    return rounded(benchmarks.expert_overlap(parts, regions), ["zone", "region"], ["of_zone", "of_region"])
 
 
 @query("g20_fixed_mean")

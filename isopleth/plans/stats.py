@@ -206,9 +206,9 @@ def r46(spark, sf):
     return rounded(regress.logit_terciles(p, ["cell"]), ["cell", "year"], ["p0", "p2"])
 
 
-@query("r45_useful_lead", f"WITH c AS (SELECT cell, month AS lead, max(v) AS best FROM pm WHERE month <= 5 GROUP BY 1, 2) SELECT cell, max(lead) FILTER (best >= 2) AS useful_lead FROM c GROUP BY cell", "pm")
+@query("r45_useful_lead", f"WITH c AS (SELECT cell, month AS lead, max(v) AS best FROM pm GROUP BY 1, 2) SELECT cell, max(lead) FILTER (best >= 2) AS useful_lead FROM c GROUP BY cell", "pm")
 def r45(spark, sf):
-    c = search.lead_curve(month_panel(spark, sf).where("month <= 5").withColumnRenamed("month", "lead"), ["cell"], "v")
+    c = search.lead_curve(month_panel(spark, sf).withColumnRenamed("month", "lead"), ["cell"], "v")
     return search.useful_lead(c, ["cell"], 2.0)
 
 
@@ -246,22 +246,22 @@ def g2(spark, sf):
     return rounded(discovery.gram(e), ["a", "b"], ["g"])
 
 
-def _parts(spark: SparkSession) -> DataFrame:
-    f = spark.range(4).select(F.col("id").cast("int").alias("fold"))
-    return f.crossJoin(cells(spark)).select("fold", "cell", F.pmod(F.floor((F.col("cell") + F.col("fold")) / 5), F.lit(4)).cast("int").alias("zone"))
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(fold, cell, zone): the quarter of each cell's largest month, a fold a year."""
+    return month_panel(spark, sf).groupBy(F.col("year").alias("fold"), "cell").agg(F.floor((F.max_by("month", F.struct("v", -F.col("month"))) - 1) / 3).cast("int").alias("zone"))
 
 
-PARTS = "parts AS (SELECT f::INT AS fold, cell, (((cell + f) // 5) % 4)::INT AS zone FROM dim, range(0, 4) t(f))"
+PARTS = "parts AS (SELECT year AS fold, cell, ((month - 1) // 3)::INT AS zone FROM pm QUALIFY row_number() OVER (PARTITION BY year, cell ORDER BY v DESC, month) = 1)"
 
 
-@query("g12_switch_map", f"WITH {PARTS} SELECT a.cell, {R('avg((a.zone <> b.zone)::INT::DOUBLE)')} AS share FROM parts a JOIN parts b ON a.cell = b.cell AND a.fold < b.fold GROUP BY 1", "dim")
+@query("g12_switch_map", f"WITH {PARTS} SELECT a.cell, {R('avg((a.zone <> b.zone)::INT::DOUBLE)')} AS share FROM parts a JOIN parts b ON a.cell = b.cell AND a.fold < b.fold GROUP BY 1", "pm")
 def g12(spark, sf):
-    return rounded(discovery.switch_map(_parts(spark)), ["cell"], ["share"])
+    return rounded(discovery.switch_map(_parts(spark, sf)), ["cell"], ["share"])
 
 
-@query("g14_jaccard", f"WITH {PARTS}, b AS (SELECT x.zone, x.fold AS fold_a, y.fold AS fold_b, count(*) AS n FROM parts x JOIN parts y ON x.zone = y.zone AND x.cell = y.cell AND x.fold < y.fold GROUP BY 1, 2, 3), s AS (SELECT fold, zone, count(*) AS n FROM parts GROUP BY 1, 2) SELECT b.zone, fold_a, fold_b, {R('b.n / (p.n + q.n - b.n)::DOUBLE')} AS jaccard FROM b JOIN s p ON p.fold = fold_a AND p.zone = b.zone JOIN s q ON q.fold = fold_b AND q.zone = b.zone", "dim")
+@query("g14_jaccard", f"WITH {PARTS}, b AS (SELECT x.zone, x.fold AS fold_a, y.fold AS fold_b, count(*) AS n FROM parts x JOIN parts y ON x.zone = y.zone AND x.cell = y.cell AND x.fold < y.fold GROUP BY 1, 2, 3), s AS (SELECT fold, zone, count(*) AS n FROM parts GROUP BY 1, 2) SELECT b.zone, fold_a, fold_b, {R('b.n / (p.n + q.n - b.n)::DOUBLE')} AS jaccard FROM b JOIN s p ON p.fold = fold_a AND p.zone = b.zone JOIN s q ON q.fold = fold_b AND q.zone = b.zone", "pm")
 def g14(spark, sf):
-    return rounded(discovery.jaccard(_parts(spark)), ["zone", "fold_a", "fold_b"], ["jaccard"])
+    return rounded(discovery.jaccard(_parts(spark, sf)), ["zone", "fold_a", "fold_b"], ["jaccard"])
 
 
 LINKS = r"""regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""
