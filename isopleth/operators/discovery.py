@@ -16,7 +16,7 @@ from isopleth.functions.calendar import month_initials, month_length
 from isopleth.sources.io import written
 
 from .cube import area_mean
-from .kmeans import PAYLOAD, SCHEMA, Blocks, as_list, distances, fitted, gathered, joined, lloyd  # noqa: F401  lloyd is the plain form
+from .kmeans import LOCAL, PAYLOAD, SCHEMA, Blocks, as_list, distances, fitted, fitted_apart, gathered, joined, lloyd  # noqa: F401  lloyd is the plain form
 
 
 # --- seasons -----------------------------------------------------------------------------------------------------------
@@ -288,8 +288,9 @@ def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots:
 
     A resample of years is a weight of each year, so the field is dealt to blocks of cells once a fold and never copied: a
     block's task makes the features of all resamples. Singular vectors come from Gram matrices of months by months, summed
-    over blocks; k-means is seeded and moved by sums over blocks for all folds, resamples and k at once. No task holds
-    more than a block of a field, or two blocks of its features. folds: (fold, year, is_train). Zones are numbered from west to east.
+    over blocks. k-means of up to ``LOCAL`` cells is one task a fold and resample, on its features alone; of more it is seeded
+    and moved by sums over blocks for all folds, resamples and k at once. No task holds more than a block of a field, or
+    two blocks of its features (LOCAL cells' features in k-means). folds: (fold, year, is_train). Zones are numbered from west to east.
     """
     rows = training(field, folds)
     series = F.array_sort(F.collect_list(F.struct((F.col("year") * 12 + F.col("month") - 1).alias("am"), F.col("v").cast("double").alias("v"))))
@@ -347,7 +348,8 @@ def discover(field: DataFrame, folds: DataFrame, ks: range = range(2, 9), boots:
         mean = t[1 : 1 + width] / t[0]
         sd = np.sqrt(np.maximum(t[1 + width :] / t[0] - mean * mean, 0))
         points.scale[name] = (mean, 1 / (sd + 1e-9) / np.sqrt(np.r_[np.full(12, 12), np.full(modes, modes)]))
-    centres = fitted(points, {name: name % each for name in points.scale}, list(ks))
+    fit = fitted_apart if max(size.values(), default=0) <= LOCAL else fitted  # the same centres: features of few cells fit into one task, a step of many is a job
+    centres = fit(points, {name: name % each for name in points.scale}, list(ks))
     centres = {name: {k: c for k, c in by.items() if k < size[name // each]} for name, by in centres.items()}
 
     scaled = points.scaler()

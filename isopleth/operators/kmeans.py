@@ -32,29 +32,34 @@ def race(ids: np.ndarray, weight: np.ndarray, *key: int) -> np.ndarray:
         return np.where(weight > 0, np.log(unit) / np.where(weight > 0, weight, 1), -np.inf)
 
 
-def lloyd(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100, ids: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """(labels, inertia) of the best of several k-means++ starts, for points that fit into one place; ``fitted`` gives the same over blocks."""
+def best_centres(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100, ids: np.ndarray | None = None) -> np.ndarray:
+    """The centres with the least inertia of several k-means++ starts, for points that fit into one place."""
     ids = np.arange(len(x)) if ids is None else ids
-    best = (np.zeros(len(x), int), np.inf)
+    best, least = None, np.inf
     for start in range(starts):
         centres = x[[race(ids, np.ones(len(x)), seed, start, 0).argmax()]]
         while len(centres) < k:
             keys = race(ids, distances(x, centres).min(1), seed, start, len(centres))
             centres = np.vstack([centres, x[keys.argmax()]])
         for _ in range(rounds):
-            label = distances(x, centres).argmin(1)
-            hot = np.eye(k)[label]
+            hot = np.eye(k)[distances(x, centres).argmin(1)]
             n = hot.sum(0)
             new = np.where(n[:, None] > 0, hot.T @ x / np.maximum(n, 1)[:, None], centres)
             if np.allclose(new, centres):
                 break
             centres = new
-        d = distances(x, centres)
-        if not start or d.min(1).sum() < best[1] * (1 - 1e-9):
-            best = (d.argmin(1), d.min(1).sum())
+        inertia = distances(x, centres).min(1).sum()
+        if not start or inertia < least * (1 - 1e-9):
+            best, least = centres, inertia
     return best
 
 
+def lloyd(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100, ids: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(labels, inertia) of best_centres(); ``fitted`` gives the same over blocks."""
+    d = distances(x, best_centres(x, k, starts, seed, rounds, ids))
+    return d.argmin(1), d.min(1).sum()
+
+
 def as_list(values: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
     """An Arrow array of one list."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(np.ascontiguousarray(values), kind))
@@ -128,6 +133,29 @@ class Blocks:
         return gathered(joined(self.each(made), join))
 
 
+#: Points of a set that one task fits on its own.
+LOCAL = 1 << 16
+
+
+def fitted_apart(blocks: Blocks, seeds: dict[int, int], ks: list[int], starts: int = 10, rounds: int = 100) -> dict[int, dict[int, np.ndarray]]:
+    """fitted(), a set a task: for sets of at most ``LOCAL`` points."""
+    points, width = blocks.scaler(), blocks.width
+
+    def one(table: pa.Table) -> pa.Table:
+        name = table.column("set")[0].as_py()
+        ids, x = table.column("ids").combine_chunks().flatten().to_numpy(), points(name, table.column("x").combine_chunks().flatten().to_numpy())
+        order = np.argsort(ids)
+        found = [best_centres(x[order], k, starts, seeds[name], rounds, ids[order]).ravel() for k in ks]
+        return pa.table([table.column("set").slice(0, 1), as_list(np.concatenate(found))], ["set", "payload"])
+
+    rows = blocks.rows.select("set", "ids", "x").repartition(max(8, min(len(seeds), 1024)), "set")
+    best = {}
+    for name, got in gathered(rows.groupBy("set").applyInArrow(one, "set long, payload array<double>")).items():
+        cuts = np.cumsum([k * width for k in ks])[:-1]
+        best[name] = {k: c.reshape(k, width) for k, c in zip(ks, np.split(got, cuts), strict=True)}
+    return best
+
+
 def fitted(blocks: Blocks, seeds: dict[int, int], ks: list[int], starts: int = 10, rounds: int = 100) -> dict[int, dict[int, np.ndarray]]:
     """The best centres by set and k. Seeding draws each next centre by squared distance, one job a centre for all sets, k and starts; a job is one Lloyd step of all that still move.
 
