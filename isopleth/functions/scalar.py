@@ -79,6 +79,11 @@ def r4(v: Column, digits: int = 4) -> Column:
     return F.round(v, digits) + F.lit(0.0)
 
 
+def settled(v: Column, digits: int = 10) -> Column:
+    """v without the last bits that hang on the order of a sum's rows, so that a tie is rounded alike, and as the exact value is, in any order."""
+    return F.round(v, digits)
+
+
 def corr(x: Column | str, y: Column | str) -> Column:
     """Correlation over rows that have both values; null, and no error, where either doesn't vary."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))

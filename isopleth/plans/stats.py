@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isopleth.functions import prob
-from isopleth.functions.scalar import corr, r4, with_stats
+from isopleth.functions.scalar import corr, r4, settled, with_stats
 from isopleth.operators import atlas, cube, discovery, inference, regress, rolling, search, text
 from isopleth.sources.panels import cells, day_panel, month_panel, table, week_panel
 
@@ -291,7 +291,7 @@ def x4(spark, sf):
 def t2(spark, sf):
     d = day_panel(spark, sf).groupBy("cell", "day").agg(F.avg("v").alias("v"))
     out = rolling.revised(d, d.withColumn("v", F.col("v") + 1), ["cell", "day"], F.col("day") > 16)
-    return rounded(out, ["cell", "day"], ["v"])
+    return out.select("cell", "day", r4(settled(F.col("v"))).alias("v"))
 
 
 @query("r36_holdout", f"WITH {PAIRS}, s AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, corr(x, y) AS train_r FROM pairs WHERE year < 200 GROUP BY cell) SELECT cell, {R('train_r')} AS train_r, {R('corr(a + b * x, y)')} AS oos_r, count(*) AS n_test FROM pairs JOIN s USING (cell) WHERE year >= 200 GROUP BY cell, train_r", "pw")
