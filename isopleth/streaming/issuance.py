@@ -22,12 +22,13 @@ def issue(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> Str
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def window_means(daily: DataFrame, span: str, n_days: int, late: str = "14 days") -> DataFrame:
+def window_means(daily: DataFrame, span: str, n_days: int, late: str = "14 days", day: str | None = None) -> DataFrame:
     """(cell, window, v): means of tumbling windows of a stream (ts, cell, v), given once the watermark has passed them and only if every day is there.
 
-    The days of a window that have come are kept as a set, of at most as many dates as the span has.
+    The days of a window that have come are kept as a set, of at most as many dates as the span has; they are the dates
+    of ts, or of another column where ts is not the time itself.
     """
-    rows = daily.withWatermark("ts", late).groupBy("cell", F.window("ts", span)).agg(F.avg("v").alias("v"), F.size(F.collect_set(F.to_date("ts"))).alias("days"))
+    rows = daily.withWatermark("ts", late).groupBy("cell", F.window("ts", span)).agg(F.avg("v").alias("v"), F.size(F.collect_set(F.to_date(day or "ts"))).alias("days"))
     return rows.where(F.col("days") == n_days).select("cell", F.col("window.start").alias("start"), "v")
 
 
