@@ -4,13 +4,16 @@ A document's strength is linear in features of its whole text: how often each
 byte and each (hashed) pair of bytes occurs, and measures of its words and
 lines. Strengths are learnt from preference pairs, each a document labelled 1
 over one labelled 0, by logistic loss on the difference of their features.
+All labelled documents are learnt from: they are dealt to blocks by a hash of
+the id, pairs are made within a block, and in each round all blocks go on from
+the mean of the last round's weights (iterative parameter mixing).
 The threshold is the quantile of the strengths at the labels' share of 0, and
 a score is the probability that the document beats one on that threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled
+from .scratch import Scratch
 
 PAIR_BUCKETS, MEASURES = 1024, 12
 SIZE = 256 + PAIR_BUCKETS + MEASURES
-#: Labelled rows to fit on, a class; preference pairs for each preferred document.
-SAMPLE, RIVALS = 3000, 8
+#: Preference pairs for each preferred document; labelled rows of a block; steps of a block in a round; learning rate of each round.
+RIVALS, BLOCK, STEPS, RATES = 8, 4096, 40, (0.03, 0.03, 0.02, 0.02, 0.01, 0.01, 0.005, 0.005)
+#: Strengths that the driver takes at once to find the threshold.
+FEW = 10_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -87,11 +93,104 @@ def fit(x: np.ndarray, y: np.ndarray, zero_share: float, rivals: int = RIVALS, e
     return (w / sd).astype(np.float32), float((s[order[at]] + s[order[at + 1]]) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fits on about ``sample`` labelled documents a class (a documented bound), out of those that ``rows`` admits.
-
-    The same rows give the same model in whatever order they come. Null labels
-    and ids are left out; without labels the model scores all alike.
+def _advanced(z: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float, seed: int, rivals: int = RIVALS) -> tuple[np.ndarray, int]:
+    """A block's weights after some steps of Adam on the loss of its pairs, and its number of pairs; z: scaled features."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return w, 0
+    a, b = np.repeat(good, rivals), np.random.default_rng(seed).choice(bad, len(good) * rivals)
+    w, m, v = w.copy(), np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, STEPS + 1):
+        s = z @ w.astype(np.float32)
+        p = 1 / (1 + np.exp(np.clip(s[a] - s[b], -30, 30)))
+        pull = np.bincount(a, p, len(y)) - np.bincount(b, p, len(y))
+        g = -(pull.astype(np.float32) @ z) / len(a) + 1e-3 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w, len(a)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, labels, features) of each row of a table of blocks."""
+    for batch in batches:
+        for block, y, x in zip(*batch.columns, strict=True):
+            y = np.frombuffer(y.as_py(), np.int8)
+            yield block.as_py(), y, np.frombuffer(pa.decompress(x.as_py(), len(y) * SIZE * 4, codec="zstd"), np.float32).reshape(-1, SIZE)
+
+
+def _by_block(blocks: DataFrame, made: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``made`` gives for each block, in the order of blocks: as many rows as blocks, each of a model's size."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, y, x in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([made(block, y, x).astype(np.float64).tobytes()], pa.binary())], ["block", "v"])
+
+    found = blocks.mapInArrow(mapper, "block long, v binary").toArrow().sort_by("block")
+    return np.stack([np.frombuffer(x, np.float64) for x in found["v"].to_pylist()])
+
+
+def fit_blocks(blocks: DataFrame, zero_share: float, scratch: Scratch) -> tuple[np.ndarray, float]:
+    """Weights and threshold from all blocks, (block, y, x); the same for the same blocks, wherever they lie."""
+    context = blocks.sparkSession.sparkContext
+    sums = _by_block(blocks, lambda _, y, x: np.concatenate([[len(y), (y == 0).sum()], x.sum(axis=0, dtype=float), np.square(x, dtype=float).sum(axis=0)])).sum(axis=0)
+    n, zeros, mean = sums[0], sums[1], sums[2 : 2 + SIZE] / sums[0]
+    if zeros in (0, n):
+        return np.zeros(SIZE, np.float32), 0.0 if zeros else -1.0
+    sd = np.sqrt(np.maximum(sums[2 + SIZE :] / n - mean**2, 0)) + 1e-3
+    w = np.zeros(SIZE)
+    for turn, rate in enumerate(RATES):
+        held = context.broadcast((w, sd.astype(np.float32)))
+
+        def moved(block: int, y: np.ndarray, x: np.ndarray, held=held, turn=turn, rate=rate) -> np.ndarray:
+            w, pairs = _advanced(x / held.value[1], y, held.value[0], rate, block * len(RATES) + turn)
+            return np.append(w * pairs, pairs)
+
+        total = _by_block(blocks, moved).sum(axis=0)
+        w = total[:-1] / total[-1] if total[-1] else w
+    weights = (w / sd).astype(np.float32)
+    shared = context.broadcast(weights)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, y, x in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array((x @ shared.value).astype(np.float64)), pa.array(y.astype(np.int64))], ["s", "y"])
+
+    s = blocks.mapInArrow(strengths, "s double, y long").groupBy("s").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    return weights, crossing(scratch.write(s, "strengths"), zero_share / zeros, (1 - zero_share) / (n - zeros), zero_share)
+
+
+def crossing(values: DataFrame, w0: float, w1: float, share: float, few: int = FEW) -> float:
+    """Halfway between the least value up to which the weights reach ``share`` and the next one. values: (s, n0, n1), distinct s with rows of weight w0 and w1.
+
+    Ranges that the driver holds are narrowed, a count of 1,024 of them at a time, until few values are left.
+    """
+    lo, hi, n = values.agg(F.min("s"), F.max("s"), F.count("*")).first()
+    least, before0, before1 = lo, 0, 0
+    while n > few:
+        bin_ = F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit((hi - lo) / 1024)), F.lit(1023)).alias("bin")
+        bins = values.where(F.col("s").between(lo, hi)).groupBy(bin_).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n")).orderBy("bin").collect()
+        for r in bins:
+            if (before0 + r.n0) * w0 + (before1 + r.n1) * w1 >= share - 1e-9 or r is bins[-1]:
+                lo, hi, n = r.lo, r.hi, r.n
+                break
+            before0, before1 = before0 + r.n0, before1 + r.n1
+    at = lo
+    for r in values.where(F.col("s").between(lo, hi)).orderBy("s").collect():
+        at, before0, before1 = r.s, before0 + r.n0, before1 + r.n1
+        if before0 * w0 + before1 * w1 >= share - 1e-9:
+            break
+    following = values.where(F.col("s") > at).agg(F.min("s")).first()[0]
+    if following is None:  # the last value: halfway to the one before
+        following = values.where(F.col("s") < at).agg(F.max("s")).first()[0] if at > least else at
+    return float((at + following) / 2)
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", sample: int | None = None) -> tuple[np.ndarray, float]:
+    """Fits on all labelled documents that ``rows`` admits, or on about ``sample`` a class where that is asked for.
+
+    Up to ``BLOCK`` of them are one fit; more are fitted block by block. The
+    same rows give the same model in whatever order they come. An id with
+    several label rows has the largest of them. Null labels and ids are left
+    out; without labels the model scores all alike.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +198,27 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "qualit
             x = [features(t.as_py()).tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("x", "ascending")])  # rows that are alike in all are the same
+        x = pa.compress(b"".join(table["x"].to_pylist()), codec="zstd", asbytes=True)
+        return pa.table([table["block"].slice(0, 1), pa.array([table["label"].to_numpy().astype(np.int8).tobytes()], pa.binary()), pa.array([x], pa.binary())], ["block", "y", "x"])
+
     shares = labels.where(rows & F.col(label).isNotNull()).agg(F.avg((F.col(label) == 0).cast("double"))).first()[0]
-    chosen = labelled(docs, labels, label, rows, sample).select("text", "label", F.col("doc_id").cast("long").alias("doc_id"))
-    got = chosen.mapInArrow(made, "doc_id long, label int, x binary").toArrow()
+    if sample is None:
+        scratch = Scratch(docs.sparkSession, "quality")
+        chosen = labels.where(rows & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+        chosen = docs.where(rows).select("doc_id", "text").join(chosen.hint("merge"), "doc_id")  # labels grow with the corpus: never broadcast
+    else:
+        chosen = labelled(docs, labels, label, rows, sample)
+    found = chosen.select("text", "label", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(made, "doc_id long, label int, x binary")
+    if sample is None:
+        found = scratch.write(found, "features")
+        n = found.count()
+        if n > BLOCK:
+            many = F.pmod(F.xxhash64(F.lit("block"), "doc_id", F.md5("x")), F.lit(-(-n // BLOCK)))
+            blocks = scratch.write(found.withColumn("block", many).groupBy("block").applyInArrow(packed, "block long, y binary, x binary"), "blocks")
+            return fit_blocks(blocks, shares, scratch)
+    got = found.toArrow()  # a block at the most
     if not got.num_rows:
         return np.zeros(SIZE, np.float32), 0.0
     ordered = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "label", "x"))))  # rows that are alike in all are the same

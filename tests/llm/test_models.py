@@ -254,3 +254,32 @@ def test_sample_has_no_value_too_many(spark):
     rows = spark.range(6000).selectExpr("id AS doc_id", "concat('x', id % 3000) AS lang", "7 AS _share", "8 AS _value")
     got = hash_sample(rows, "lang", 2000)
     assert got.columns == rows.columns and got.count() == 6000 and {(r._share, r._value) for r in got.collect()} == {(7, 8)}
+
+
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """A trait that only few of the labelled documents have counts, however many there are; blocks give the same in any order."""
+    rnd = np.random.default_rng(4)
+    rows = [(k, "".join(rnd.choice(list("abcdefgh " if k % 3 else "0123!?xyz "), 40))) for k in range(9_000)]
+    rare = [(k, "".join(rnd.choice(list("QRSTUV "), 40))) for k in range(9_000, 9_012)]  # labelled 0
+    labels = spark.createDataFrame([(k, int(k % 3 > 0 and k < 9_000)) for k, _ in rows + rare], "doc_id long, quality int")
+    frames = [spark.createDataFrame(r, "doc_id long, text string").repartition(n) for r, n in ((rows + rare, 2), ((rows + rare)[::-1], 5))]
+    seen = []
+    blocks = quality.fit_blocks
+    monkeypatch.setattr(quality, "fit_blocks", lambda b, *rest: (seen.append(sum(len(r.y) for r in b.collect())), blocks(b, *rest))[1])
+    one, two = (quality.learn(f, labels, F.lit(True)) for f in frames)
+    assert seen == [9_012, 9_012]  # about 6,000 before
+    assert np.array_equal(one[0], two[0]) and one[1] == two[1]
+    got = {r.doc_id: r.quality_score >= 0.5 for r in quality.score(frames[0], one).collect()}
+    assert np.mean([got[k] == (k % 3 > 0 and k < 9_000) for k in got]) > 0.99 and not any(got[k] for k, _ in rare)
+
+
+def test_threshold_by_narrowed_ranges(spark):
+    rng = np.random.default_rng(6)
+    s, y = np.round(rng.normal(size=3_000), 2), rng.integers(0, 2, 3_000)
+    frame = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int").groupBy("s").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    values, ones = np.unique(s), (y == 1).sum()
+    for share in (0.0, 0.2, 0.5, 0.97, 1.0):
+        w0, w1 = share / (3_000 - ones), (1 - share) / ones
+        cum = [w0 * ((s <= v) & (y == 0)).sum() + w1 * ((s <= v) & (y == 1)).sum() for v in values]
+        k = min(int(np.searchsorted(cum, share - 1e-9)), len(values) - 2)
+        assert quality.crossing(frame, w0, w1, share, few=5) == pytest.approx((values[k] + values[k + 1]) / 2)
